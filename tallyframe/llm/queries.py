@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import packing
+from . import language_id, line_dedup, mixing, packing, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,28 @@ def op2_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark, sf_dir):
+    return language_id.language_id(_table(spark, sf_dir, "documents"))
+
+
+def op6_warc_revisits(spark, sf_dir):
+    out = warc.resolve_revisits(warc.page_records(_table(spark, sf_dir, "pages")))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return out.withColumn("headers", F.array_join(pairs, ";"))
+
+
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.drop_boilerplate(_table(spark, sf_dir, "pages"))
+
+
+def op9_url_filter(spark, sf_dir):
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.schedule(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -25,7 +48,12 @@ def op8_exact_dedup(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
+        "op3_language_id": op3_language_id,
+        "op6_warc_revisits": op6_warc_revisits,
+        "op7_line_dedup": op7_line_dedup,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_url_filter": op9_url_filter,
+        "op10_mixing": op10_mixing,
     }
 
 
@@ -39,5 +67,46 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 
+OP6_SQL = r"""
+WITH c AS (
+  SELECT page_id, md5(coalesce(html, '')) AS digest, strlen(coalesce(html, ''))::BIGINT AS size, regexp_replace(trim(url), '#.*$', '') AS bare, url FROM pages
+), s AS (
+  SELECT *, regexp_replace(translate(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(http://[^:]*):80$|^(https://[^:]*):443$', '\1\2') AS head,
+    regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS rest FROM c
+), q AS (
+  SELECT *, regexp_replace(head, '^https?://(www[.])?', 'http://') AS host, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))), '&') AS query FROM s
+), u AS (
+  SELECT page_id, digest, size, CASE WHEN url IS NOT NULL THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical_url FROM q
+), a AS (
+  SELECT r.page_id, r.canonical_url, r.page_id * 2 + 1 AS ts, r.digest, f.page_id AS f_id, f.digest AS f_digest, f.size AS f_size,
+    CASE WHEN r.page_id % 10 = 0 THEN 'old-' || r.digest ELSE r.digest END AS etag
+  FROM u r ASOF LEFT JOIN u f ON r.canonical_url = f.canonical_url AND r.page_id * 2 + 1 >= f.page_id * 2
+)
+SELECT page_id || '-revisit' AS record_id, canonical_url, ts, CASE WHEN etag = f_digest THEN f_id || '-response' END AS resolved_id,
+  CASE WHEN f_id IS NULL THEN 'no_earlier' WHEN etag <> f_digest THEN 'validator_mismatch' ELSE 'resolved' END AS outcome,
+  (CASE WHEN etag = f_digest THEN 200 ELSE 304 END)::INTEGER AS status, CASE WHEN etag = f_digest THEN f_digest END AS payload_digest, CASE WHEN etag = f_digest THEN f_size END AS payload_length,
+  CASE WHEN etag = f_digest THEN 'age=0;content-length=' || f_size || ';content-type=text/html;date=' || page_id || ';etag=' || etag
+    ELSE 'content-length=0;date=' || page_id || ';etag=' || etag END AS headers
+FROM a
+""".replace("\\\\", "\\")
+
+OP7_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1) ELSE '' END AS raw,
+    regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', chr(10), 'gs'), '<script\b.*?</script\s*>', chr(10), 'gis'), '<style\b.*?</style\s*>', chr(10), 'gis') AS bare FROM pages
+), l AS (
+  SELECT rid, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    list_filter(list_transform(regexp_split_to_array(bare, '(?:<[^>]*>|[\r\n])+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM p
+), n AS (SELECT host, count(*) AS pages FROM l GROUP BY host
+), o AS (
+  SELECT d.host, d.line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) d JOIN n USING (host)
+  GROUP BY d.host, d.line, n.pages HAVING count(*) >= 5 AND count(*) > 0.2 * n.pages
+), m AS (SELECT host, list(line) AS often FROM o GROUP BY host)
+SELECT l.page_id, l.host, len(l.lines)::BIGINT AS n_lines, (len(l.lines) - len(k.kept))::BIGINT AS n_dropped, array_to_string(k.kept, chr(10)) AS text
+FROM l LEFT JOIN m USING (host), LATERAL (SELECT CASE WHEN m.often IS NULL THEN l.lines ELSE list_filter(l.lines, lambda x: NOT list_contains(m.often, x)) END AS kept) k
+""".replace("\\\\", "\\")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op6_warc_revisits": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL}
