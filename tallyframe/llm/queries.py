@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import language_id, line_dedup, mixing, packing, url_filter, warc
+from . import language_id, line_dedup, minhash, mixing, packing, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark, sf_dir):
+    return minhash.minhash_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op8_exact_dedup(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op2_packing": op2_packing,
         "op3_language_id": op3_language_id,
         "op6_warc_revisits": op6_warc_revisits,
