@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import language_id, line_dedup, minhash, mixing, packing, url_filter, warc
+from . import language_id, line_dedup, lm_score, minhash, mixing, packing, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_language_id(spark, sf_dir):
     return language_id.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark, sf_dir):
+    return lm_score.lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc_revisits(spark, sf_dir):
     out = warc.resolve_revisits(warc.page_records(_table(spark, sf_dir, "pages")))
     pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_packing": op2_packing,
         "op3_language_id": op3_language_id,
+        "op4_lm_score": op4_lm_score,
         "op6_warc_revisits": op6_warc_revisits,
         "op7_line_dedup": op7_line_dedup,
         "op8_exact_dedup": op8_exact_dedup,
