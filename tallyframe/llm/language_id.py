@@ -127,3 +127,18 @@ def language_id(docs: DataFrame, folds: int = 4, fold: int = 2, sample: int = SA
     held = crc_mod(F.col("doc_id"), folds) == fold
     languages, model = learn(docs, ~held, sample)
     return identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"), languages, model)
+
+
+def named(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
+    """The rows, with all their columns, whose prediction is not `und`."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import regex
+
+        letter = regex.compile(r"\p{L}")
+        for t in batches:
+            keep = [bool(languages and text is not None and letter.search(text) and infer(sent.value, text)) for text in t.column("text").to_pylist()]
+            yield t.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

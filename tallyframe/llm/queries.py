@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import covertree
 from . import exact_dedup as exact
 from . import language_id, line_dedup, lm_score, minhash, mixing, packing, url_filter, warc
 
@@ -31,6 +32,10 @@ def op4_lm_score(spark, sf_dir):
     return lm_score.lm_score(_table(spark, sf_dir, "documents"))
 
 
+def op5_covertree_dedup(spark, sf_dir):
+    return covertree.covertree_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_warc_revisits(spark, sf_dir):
     out = warc.resolve_revisits(warc.page_records(_table(spark, sf_dir, "pages")))
     pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_language_id": op3_language_id,
         "op4_lm_score": op4_lm_score,
+        "op5_covertree_dedup": op5_covertree_dedup,
         "op6_warc_revisits": op6_warc_revisits,
         "op7_line_dedup": op7_line_dedup,
         "op8_exact_dedup": op8_exact_dedup,
