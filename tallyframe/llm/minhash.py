@@ -5,10 +5,11 @@ a band of their signatures are candidates. A candidate pair's signatures are com
 batch: with a uniform prior on the similarity, the pair is dropped as soon as the posterior
 probability of reaching the threshold is below MISS. Survivors are verified exactly on full sets.
 
-A bucket is not expanded into pairs. First each member meets the bucket's smallest id; then, in
-buckets that the verified links leave in more than one component, the members outside the smallest
-id's component meet all others, in blocks, inside tasks that return survivors only. Pairs within a
-component are not needed for the components, so no link between different components is lost,
+A bucket is not expanded into pairs. First each member meets the bucket's smallest id. In buckets
+that the verified links leave in more than one component, the members outside the smallest id's
+component then meet all of that component, which streams past them in blocks and yields at most a
+link each; last, the likely pairs across components among those outside are verified. Pairs within
+a component are not needed for the components. No link between different components is lost,
 beyond the stated miss probabilities of banding (8e-5 for a pair at 0.75, less above) and pruning.
 
 Defined cases: null text and text without words have an empty set and are linked with nothing; a
@@ -32,9 +33,9 @@ from .shingles import shared, shingle_set
 
 BANDS, ROWS = 48, 6
 THRESHOLD = 75  # hundredths
-BATCH, MISS = 48, 1e-6
+BATCH, MISS = 48, 1e-5
 #: Members compared with each other in one place, and pairs verified beside one copy of a text.
-PROBES, TARGETS, BESIDE = 1024, 4096, 64
+PROBES, TARGETS, BESIDE = 512, 4096, 64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _a = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _b = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -148,7 +149,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The distinct (a, b) pairs whose full sets reach the threshold. Texts move once by id, and
     those on pairs once more; a text on many pairs is repeated once for each BESIDE of them."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BESIDE).alias("salts")).withColumnRenamed("a", "s_a")
-    salted = pairs.join(sizes, F.col("a") == F.col("s_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    salted = stored(pairs.join(sizes, F.col("a") == F.col("s_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")))
     ends = salted.select(F.col("b").alias("id"), "a", "salt", F.lit(True).alias("member"), "b").union(salted.select("a", "a", "salt", F.lit(False), F.lit(None).cast("long")).distinct())
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = texts.join(ends, F.col("doc_id") == F.col("id")).select("a", "salt", "member", "b", "text")
@@ -156,11 +157,63 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(_beside, "a long, b long").distinct()
 
 
+def _join_main(batches):
+    """Rows in order of (g, r, t, target): a few probes are held while the component's members stream
+    past; each probe keeps the first member that it is linked with."""
+
+    at, probes, sigs, sets, left = None, [], None, [], []
+
+    def batch(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for t in batches:
+        found = []
+        for *group, target, i, sig, text in zip(*(t.column(c).to_pylist() for c in ("g", "r", "t", "target", "id", "sig", "text")), strict=True):
+            if group != at:
+                at, probes, sigs = group, [], None
+            if not target:
+                probes.append((i, sig, text))
+                continue
+            if sigs is None:
+                sigs = np.frombuffer(b"".join([p[1] for p in probes]), np.uint8).reshape(len(probes), BANDS * ROWS)
+                sets, left = [shingle_set(p[2]) for p in probes], np.arange(len(probes))
+            if not len(left):
+                continue
+            near = left[likely(sigs[left], np.frombuffer(sig, np.uint8)[None])]
+            if len(near):
+                own = shingle_set(text)
+                done = [k for k in near.tolist() if 100 * (n := shared(own, sets[k])) >= THRESHOLD * (len(own) + len(sets[k]) - n)]
+                if done:
+                    found += [(probes[k][0], i) for k in done]
+                    left = left[~np.isin(left, done)]
+        yield batch(found)
+
+
+def main_links(mixed: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): verified links of members outside their bucket's main component with a member of it.
+
+    mixed (id, comp, main). A component meets all who share a bucket with it, in blocks of PROBES
+    by TARGETS; rows are the component's members once per block of probes, and no pairs.
+    """
+    probes = mixed.where("comp <> main").select(F.col("main").alias("g"), "id").distinct()
+    wanted = probes.groupBy("g").agg(F.ceil(F.count("*") / PROBES).alias("n_r"))
+    of = labels.select(F.col("component_id").alias("m_g"), "id").union(labels.select("component_id", F.col("component_id").alias("id")).distinct()).distinct()
+    of = of.union(mixed.where("comp = main and id = main").select("main", "id")).distinct()
+    sizes = of.groupBy("m_g").agg(F.ceil(F.count("*") / TARGETS).alias("n_t"))
+    plan = wanted.join(sizes, F.col("g") == F.col("m_g")).select(F.col("g").alias("p_g"), "n_r", "n_t")
+    plan = stored(plan)
+    targets = of.join(plan, F.col("m_g") == F.col("p_g")).select(F.col("p_g").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_r") - 1)).alias("r"), F.pmod(F.xxhash64("id"), F.col("n_t")).alias("t"), F.lit(True).alias("target"), "id")
+    asking = probes.join(plan, F.col("g") == F.col("p_g")).select("g", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_r")).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_t") - 1)).alias("t"), F.lit(False), "id")
+    both = texts.join(sigs.withColumnRenamed("id", "doc_id"), "doc_id")
+    rows = targets.union(asking).join(both, F.col("id") == F.col("doc_id")).select("g", "r", "t", "target", "id", "sig", "text")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "g", "r", "t").sortWithinPartitions("g", "r", "t", "target").mapInArrow(_join_main, "a long, b long")
+
+
 def _meet(batches):
-    """Rows in order of (key, r, t): within each group, probes meet targets of other components."""
-    at, rows = None, []
+    """Rows in order of (key, r, t): within each group, likely pairs of probes and targets of other components."""
 
-    def pairs():
+    def pairs(rows):
         probes = [x for x in rows if x[0]]
         targets = [x for x in rows if not x[0]]
         if not probes or not targets:
@@ -176,28 +229,25 @@ def _meet(batches):
     def batch(found):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+    at, rows = None, []
     for t in batches:
         for *group, probe, i, comp, sig in zip(*(t.column(c).to_pylist() for c in ("key", "r", "t", "probe", "id", "comp", "sig")), strict=True):
             if group != at:
-                yield batch(sorted(set(pairs())))
+                yield batch(sorted(set(pairs(rows))))
                 at, rows = group, []
             rows.append((probe, i, comp, sig))
-    yield batch(sorted(set(pairs())))
+    yield batch(sorted(set(pairs(rows))))
 
 
-def residual(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Likely pairs across components in buckets of three and more: members (key, id), labels (id, component_id)."""
-    m = members.join(labels.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id"), "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
-    m = stored(m)
-    stats = m.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), F.min_by("comp", "id").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = stats.where("n > 2 and lo <> hi")
-    rows = m.join(mixed.select("k", "n", "main"), F.col("key") == F.col("k"))
-    outside = rows.where("comp <> main").groupBy(F.col("key").alias("o_k")).agg(F.count("*").alias("n_out"))
-    rows = rows.join(outside, F.col("key") == F.col("o_k")).join(sigs.withColumnRenamed("id", "s_id"), F.col("id") == F.col("s_id"))
-    r, t = F.ceil(F.col("n_out") / PROBES), F.ceil(F.col("n") / TARGETS)
+def outside_pairs(mixed: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b): likely pairs across components among a bucket's members outside its main component."""
+    m = mixed.where("comp <> main").select("key", "id", "comp")
+    stats = m.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    rows = m.join(stats.select("k", "n"), F.col("key") == F.col("k")).join(sigs.withColumnRenamed("id", "s_id"), F.col("id") == F.col("s_id"))
+    r, t = F.ceil(F.col("n") / PROBES), F.ceil(F.col("n") / TARGETS)
     targets = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), r - 1)).alias("r"), F.pmod(F.xxhash64("id"), t).alias("t"), F.lit(False).alias("probe"), "id", "comp", "sig")
-    probes = rows.where("comp <> main").select("key", F.pmod(F.xxhash64("id", F.lit(1)), r).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), t - 1)).alias("t"), F.lit(True), "id", "comp", "sig")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes = rows.select("key", F.pmod(F.xxhash64("id", F.lit(1)), r).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), t - 1)).alias("t"), F.lit(True), "id", "comp", "sig")
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return targets.union(probes).repartition(parts, "key", "r", "t").sortWithinPartitions("key", "r", "t").mapInArrow(_meet, "a long, b long").distinct()
 
 
@@ -206,19 +256,23 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     feats = stored(described(docs))
     classes = feats.where("digest is not null and doc_id is not null").groupBy(F.col("digest").alias("c_digest")).agg(F.min("doc_id").alias("rep"))
     reps = feats.join(classes, (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("c_digest")))
-    sigs = reps.groupBy(F.col("doc_id").alias("id")).agg(F.first("sig").alias("sig"))
     buckets = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     often = buckets.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     members = stored(buckets.join(often, F.col("key") == F.col("k")).select("key", "id", "first", "n"))
     star = stored(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    sigs = stored(sigs.join(members.select("id").distinct(), "id", "left_semi"))
-    texts = docs.select("doc_id", "text")
+    sigs = stored(reps.select(F.col("doc_id").alias("id"), "sig").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     links = stored(verified(pruned(star, sigs), texts))
     labels = components(links)
-    more = residual(members.where("n > 2").select("key", "id"), labels, sigs).join(star, ["a", "b"], "left_anti")
-    more = stored(more)
-    if not more.isEmpty():
-        found = stored(verified(more, texts))
+    m = members.where("n > 2").select("key", "id").join(labels.withColumnRenamed("id", "l_id"), F.col("id") == F.col("l_id"), "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
+    m = stored(m)
+    mains = m.groupBy(F.col("key").alias("k")).agg(F.min_by("comp", "id").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k", "main")
+    mixed = stored(m.join(mains, F.col("key") == F.col("k")).select("key", "id", "comp", "main"))
+    if not mixed.isEmpty():
+        found = stored(main_links(mixed, labels, sigs, texts))
+        more = stored(outside_pairs(mixed, sigs).join(star, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            found = found.union(stored(verified(more, texts)))
         if not found.isEmpty():
             labels = components(links.union(found))
     own = feats.select("doc_id", "n_shingles", "digest")

@@ -26,7 +26,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Tokens in a length class: a piece takes its length rounded up to a multiple of it.
 UNIT = 8
 #: Parts, and words in them, whose ids a worker remembers; the older half goes beyond twice as many.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: The tokenizer's own word pattern, and letters for which its normaliser is lower().
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 PLAIN = r"[!-~\u00a1-\u012f\u0131-\u024f]*"

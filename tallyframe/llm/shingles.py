@@ -6,7 +6,7 @@ import numpy as np
 
 WORDS = 5
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
