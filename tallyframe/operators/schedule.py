@@ -125,7 +125,7 @@ def slot_candidates(posts: DataFrame, days: int = 7, observed: DataFrame | None
         o = observed.select(F.col("platform").alias("o_p"), F.col("weekday").alias("o_w"), F.col("hour").alias("o_h"), "lift", "n")
         s = s.join(o, (F.col("platform") == F.col("o_p")) & (F.weekday("slot") == F.col("o_w")) & (F.hour("slot") == F.col("o_h")), "left")
         score = score + F.coalesce(F.col("lift") * F.col("n") / (F.col("n") + 20), F.lit(0.0))
-    return s.select("post_id", "platform", "hook_type", "day", F.col("r.rule").alias("rule"), "slot", F.round(score, 4).alias("score"))
+    return s.select("post_id", "platform", "hook_type", "day", F.col("r.rule").alias("rule"), F.col("slot").cast("timestamp_ntz").alias("slot"), F.round(score, 4).alias("score"))
 
 
 def plan_slots(candidates: DataFrame, by: str) -> DataFrame:

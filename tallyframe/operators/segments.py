@@ -88,3 +88,12 @@ def candidate_runs(units: DataFrame, by: str, min_s: float, max_s: float, longes
     out = ahead.select(by, F.explode(runs).alias("r"))
     last = F.get("r", F.size("r") - 1)
     return out.select(by, F.col("r")[0]["unit"].alias("first"), last["unit"].alias("last"), F.col("r")[0]["start"].alias("start"), last["end"].alias("end"), F.array_join(F.transform("r", lambda x: x["text"]), " ").alias("text"))
+
+
+def fill_from_pauses(marks: DataFrame, failed: DataFrame, by: str, every_s: float = 90.0) -> DataFrame:
+    """Marks for windows (by, window, from, to) that have none: of their pauses (by, id, t, reason) every
+    step-th, so that about one remains per every_s."""
+    j = marks.where("reason = 'pause'").join(failed, by).where("t >= `from` and t < `to`")
+    w = Window.partitionBy(by, "window")
+    step = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / F.greatest(F.lit(1), F.floor((F.col("to") - F.col("from")) / every_s))))
+    return j.withColumn("step", step).withColumn("rn", F.row_number().over(w.orderBy("t", "id")) - 1).where("rn % step = 0").select(by, "window", "id", "t")

@@ -107,3 +107,21 @@ def nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str, rea
     near = F.when(gap <= reach, F.struct(gap.alias("gap"), F.col("r_at").alias("at")))
     g = j.groupBy("_id").agg(F.min_by(F.when(gap <= reach, F.col("r_value")), near).alias(value))
     return g.select("_id.*", value)
+
+
+def expression(rows: DataFrame, by: str, name: str = "t") -> DataFrame:
+    """(by, expr): the polyline (t, x) as nested conditions on the time, for a renderer: the segment
+    that holds the time, interpolated; the ends hold outside."""
+    pts = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x")))).alias("p"))
+    last = F.format_string("%.3f", F.get("p", F.size("p") - 1)["x"])
+    pairs = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def part(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        slope = F.when(b["t"] > a["t"], (b["x"] - a["x"]) / F.nullif(b["t"] - a["t"], F.lit(0.0))).otherwise(0.0)
+        return F.format_string(f"if(lt({name},%.3f),%.3f+(%.5f)*({name}-%.3f),", b["t"], a["x"], slope, a["t"])
+
+    first = F.col("p")[0]
+    head = F.format_string(f"if(lt({name},%.3f),%.3f,", first["t"], first["x"])
+    text = F.concat(head, F.array_join(F.transform(pairs, part), ""), last, F.repeat(F.lit(")"), F.size("p")))
+    return pts.select(by, text.alias("expr"))

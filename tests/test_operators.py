@@ -182,3 +182,29 @@ def test_success_gate(spark):
     assert publish.require_success_ratio(rows, F.col("ok"), 0.5).count() == 2
     with pytest.raises(Exception, match="success ratio"):
         publish.require_success_ratio(rows, F.col("ok"), 0.9).collect()
+
+
+def test_expression_follows_the_polyline(spark):
+    rows = spark.createDataFrame([(1, 0.0, 0.0), (1, 2.0, 10.0), (1, 3.0, 4.0)], "v int, t double, x double")
+    text = timeseries.expression(rows, "v").first().expr
+    ev = lambda t: eval(text.replace("if(", "f("), {"f": lambda c, a, b: a if c else b, "lt": lambda a, b: a < b, "t": t})  # noqa: E731, S307
+    assert [ev(t) for t in (-1, 0, 1, 2, 2.5, 9)] == pytest.approx([0, 0, 5, 10, 7, 4])
+
+
+def test_pauses_fill_a_window(spark):
+    marks = spark.createDataFrame([(1, i, i * 10.0, "pause" if i % 2 else "punctuation") for i in range(40)], "v int, id long, t double, reason string")
+    failed = spark.createDataFrame([(1, 0, 0.0, 200.0)], "v int, window int, from double, to double")
+    assert [r.id for r in segments.fill_from_pauses(marks, failed, "v").orderBy("t").collect()] == [1, 11]
+
+
+def test_judging_repairs_and_records_failures(spark):
+    from tallyframe.operators import judging
+
+    def judge(prompt, note):
+        if prompt == "bad":
+            raise ValueError("no")
+        return '{"a": 1,}' if note else "nothing"
+
+    rows = spark.createDataFrame([(1, "good"), (2, "bad")], "id int, p string")
+    got = {r.id: (r.status, r.attempts) for r in judging.judged(rows, "id", "p", judge).collect()}
+    assert got == {1: ("ok", 2), 2: ("failed", 3)}
