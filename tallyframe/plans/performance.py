@@ -94,19 +94,19 @@ def newest_snapshot(s, d):
 
 
 def upsert_converges(s, d):
-    old = v.metrics(s, d).where("window in ('w1', 'w2')").select("post_id", "window", "hook_retention_3s", "ctr")
-    new = v.metrics(s, d).where("window in ('w2', 'w3')").select("post_id", "window", (F.col("ctr") + 1).alias("ctr"), F.lit(1).alias("at"))
+    old = v.metrics(s, d, 1, 2).select("post_id", "window", "hook_retention_3s", "ctr")
+    new = v.metrics(s, d, 2, 3).select("post_id", "window", (F.col("ctr") + 1).alias("ctr"), F.lit(1).alias("at"))
     return store.upsert(old, new, ["post_id", "window"], "at").select("post_id", "window", "hook_retention_3s", R("ctr"))
 
 
 def left_join_default(s, d):
-    m = v.metrics(s, d).where("window = 'w2'").select("post_id", "ctr", "flag")
+    m = v.metrics(s, d, 2).select("post_id", "ctr", "flag")
     return store.left_with_defaults(v.posts(s, d).select("post_id", "platform"), m, "post_id", {"ctr": 0.0, "flag": "none"})
 
 
 def anti_accounting(s, d):
     """Every post, with what became of it: those without metrics are counted, not lost."""
-    m = v.metrics(s, d).where("window = 'w7'").select(F.col("post_id").alias("m_id"))
+    m = v.metrics(s, d, 7).select(F.col("post_id").alias("m_id"))
     return v.posts(s, d).join(m, F.col("post_id") == F.col("m_id"), "left").select("post_id", F.when(F.col("m_id").isNull(), "skipped_no_metrics").otherwise("ok").alias("outcome"))
 
 
@@ -178,7 +178,7 @@ def issue_rows(s, d):
 
 
 def inner_skip(s, d):
-    return v.posts(s, d).join(v.metrics(s, d).where("window = 'w7'"), "post_id").select("post_id", "hook_type", "ctr")
+    return v.posts(s, d).join(v.metrics(s, d, 7), "post_id").select("post_id", "hook_type", "ctr")
 
 
 def dim_lookup_default(s, d):

@@ -19,8 +19,10 @@ def posts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def metrics(spark: SparkSession, d: str) -> DataFrame:
+def metrics(spark: SparkSession, d: str, *windows: int) -> DataFrame:
+    """Metrics by post and window; with windows given, the filter reaches the scan."""
     li = table(spark, d, "lineitem")
+    li = li.where(F.col("l_linenumber").isin(*windows)) if windows else li
     mean = lambda c: F.round(F.avg(c), 6)
     return li.groupBy(F.col("l_orderkey").alias("post_id"), F.concat(F.lit("w"), F.col("l_linenumber").cast("string")).alias("window")).agg(
         mean(1 - F.col("l_discount")).alias("hook_retention_3s"), F.round(F.avg("l_quantity") / 50, 6).alias("completion_rate"), mean("l_tax").alias("engagement_rate"), mean("l_discount").alias("ctr"),
@@ -28,9 +30,9 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def outcomes(spark: SparkSession, d: str, window: str = "w1") -> DataFrame:
-    """Posts with their metrics of one window; the filter goes below the grouping to the scan."""
-    return metrics(spark, d).where(F.col("window") == window).join(posts(spark, d), "post_id")
+def outcomes(spark: SparkSession, d: str, window: int = 1) -> DataFrame:
+    """Posts with their metrics of one window."""
+    return metrics(spark, d, window).join(posts(spark, d), "post_id")
 
 
 POSTS = """posts AS (SELECT o_orderkey AS post_id, o_custkey AS clip_id, o_orderpriority AS platform, c_mktsegment AS hook_type,
