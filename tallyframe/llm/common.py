@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts spell it: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+_stored: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,15 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tallyframe-")
+    atexit.register(shutil.rmtree, made, True)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
     return f"file://{made}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what this process has stored. Results that still read from it are to be written first."""
+    for path in _stored:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _stored.clear()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet in the shared folder and read back: lineage ends here,
     and a lost executor costs a reread, not a recomputation."""
     path = f"{shared_dir(df.sparkSession)}/tallyframe/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
