@@ -122,7 +122,7 @@ def interp_curve(s, d):
     """Each post's completion along its windows, read a little past the first."""
     pts = v.metrics(s, d).select("post_id", F.substring("window", 2, 9).cast("double").alias("x"), F.col("completion_rate").alias("y"))
     c = pts.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("c"))
-    return c.select("post_id", F.round(ts.interpolate(F.col("c"), F.col("c")[0]["x"] + 0.317), 3).alias("y"), F.round(ts.interpolate(F.col("c"), F.lit(0.5), False), 6).alias("before"))
+    return c.select("post_id", F.round(ts.interpolate(F.col("c"), F.col("c")[0]["x"] + 0.31415927), 5).alias("y"), F.round(ts.interpolate(F.col("c"), F.lit(0.5), False), 6).alias("before"))
 
 
 def shots(s, d):
@@ -243,7 +243,7 @@ SELECT doc_id, line, count(*) AS n FROM words JOIN l USING (doc_id) WHERE "end"
     "nearest_energy": f"""{_SA}, r AS (SELECT user_id, t, max(x) AS x FROM samples WHERE cut = 0 AND x IS NOT NULL GROUP BY 1, 2), j AS (SELECT l.event_id, r.x, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(l.t - r.t), r.t) AS rn FROM samples l LEFT JOIN r ON l.user_id = r.user_id AND abs(l.t - r.t) <= 86400 WHERE l.cut = 1)
 SELECT event_id, x FROM j WHERE rn = 1""",
     "interp_curve": f"""{_M}, p AS (SELECT post_id, substr("window", 2)::DOUBLE AS x, completion_rate AS y FROM metrics), q AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS rn, last_value(y) OVER (PARTITION BY post_id ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ly FROM p WINDOW w AS (PARTITION BY post_id ORDER BY x))
-SELECT post_id, round(CASE WHEN x1 IS NULL THEN ly ELSE y + 0.317::DOUBLE / (x1 - x) * (y1 - y) END, 3) AS y, round(ly, 6) AS before FROM q WHERE rn = 1""",
+SELECT post_id, round(CASE WHEN x1 IS NULL THEN ly ELSE y + 0.31415927::DOUBLE / (x1 - x) * (y1 - y) END, 5) AS y, round(ly, 6) AS before FROM q WHERE rn = 1""",
     "shot_anchor": f"""{_SA}, {_SHOT}, m AS (SELECT user_id, shot, list_sort(list(x)) AS v FROM shots WHERE x IS NOT NULL GROUP BY 1, 2), n AS (SELECT user_id, shot, v, v[len(v) // 2 + 1] AS median FROM m)
 SELECT user_id, shot, median, round(list_avg(list_filter(v, lambda y: abs(y - median) <= 20)), 6) AS anchor FROM n""",
     "travel": f"{_SA} SELECT user_id, round(sum(step), 6) AS travel, round(max(abs(x - 50)), 6) AS \"offset\" FROM (SELECT *, abs(x - lag(x) OVER (PARTITION BY user_id ORDER BY t, event_id)) AS step FROM samples WHERE x IS NOT NULL) GROUP BY user_id",
