@@ -25,8 +25,8 @@ from .common import stored
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Tokens in a length class: a piece takes its length rounded up to a multiple of it.
 UNIT = 8
-#: Parts, and words in them, whose ids a worker remembers; the older half goes beyond twice as many.
-REMEMBERED = 120_000
+#: Parts and words whose ids a worker remembers; of twice as many the older half goes.
+REMEMBERED = 250_000
 #: The tokenizer's own word pattern, and letters for which its normaliser is lower().
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 PLAIN = r"[!-~\u00a1-\u012f\u0131-\u024f]*"
@@ -71,15 +71,16 @@ def _known(name: str) -> _Recent:
         def word(w):
             return array("I", [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(letters))]).tobytes()
 
-        ids = _Recent(word)
-
         def part(p):
             if "<|" in p or not (p.isprintable() if p.isascii() else plain.fullmatch(p)):
                 return array("I", tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
-            p = p.lower()
-            return ids[p] if p.isascii() and p.isalpha() else b"".join([ids[w] for w in words.findall(p)])
+            if p.isascii() and p.isalpha() and p.islower():
+                return word(p)
+            found = words.findall(p.lower())
+            return word(p) if found == [p] else b"".join([known[w] for w in found])
 
-        _state[name] = _Recent(part)
+        known = _Recent(part)
+        _state[name] = known
     return _state[name]
 
 

@@ -276,3 +276,14 @@ def test_mixing_places_every_row_once(spark, odd, empty):
         assert all(abs(done[s] - t * w) < 1 for s, w in share.items())
     assert t > 90
     assert mixing.schedule(odd).count() == 15 and mixing.schedule(empty).count() == 0
+
+
+def test_random_texts_give_the_tokenizers_ids():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), random.Random(1)
+    texts = ["".join(rng.choice("aB'st,.!<|>éÉüß12 \n\t½²ªİıſ-_@ ́中") for _ in range(rng.randrange(40))) for _ in range(1000)]
+    assert packing.token_bytes(texts, "word_bpe_49k.json") == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
