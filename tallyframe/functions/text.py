@@ -106,9 +106,12 @@ def urls_as_23(c: Column) -> Column:
 
 
 def grams(tokens: Column, n: int = 3) -> Column:
-    """Distinct runs of n tokens."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    """Distinct runs of n tokens: the array zipped with itself shifted, so it is evaluated n times and not once a run."""
+    m = F.greatest(F.lit(0), F.size(tokens) - n + 1)
+    runs = F.slice(tokens, F.lit(1), m)
+    for j in range(2, n + 1):
+        runs = F.zip_with(runs, F.slice(tokens, F.lit(j), m), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -111,9 +111,9 @@ def dice_agreement(s, d):
 
 def trigram_jaccard(s, d):
     """Word three-grams of each benchmark item and of the document of its number."""
-    b = v.table(s, d, "benchmark").select("item_id", tx.grams(toks(F.lower("text"))).alias("b"))
-    t = docs(s, d).select(F.col("doc_id").alias("item_id"), tx.grams(toks(F.lower("text"))).alias("t"))
-    return b.join(t, "item_id").select("item_id", F.round(tx.jaccard(F.col("b"), F.col("t")), 6).alias("jaccard"))
+    b = v.table(s, d, "benchmark").select("item_id", F.col("text").alias("b"))
+    j = b.join(docs(s, d).select(F.col("doc_id").alias("item_id"), F.col("text").alias("t")), "item_id")  # texts first: few are cut up
+    return j.select("item_id", F.round(tx.jaccard(tx.grams(toks(F.lower("b"))), tx.grams(toks(F.lower("t")))), 6).alias("jaccard"))
 
 
 def quote_recall(s, d):
