@@ -3,8 +3,9 @@
 Equal vectors of a label form a class. The top level of a label's tree is a bounded set of sampled
 centres; each class goes to its nearest centre's cell, whose covering radius is the largest such
 distance. A class outside a cell is no neighbour of anything in it if its distance to the centre
-exceeds the radius plus the link distance, and of everything in it if the distance plus the radius
-stays below; only in between does it visit the cell. Inside a cell, trees of halving radii over
+exceeds the radius plus the link distance. Two cells whose centres' distance plus both radii stays
+below it link as a whole, settled by bound for the members of both; otherwise a class that may
+have neighbours in a cell visits it, so that each side of a pair counts it once. Inside a cell, trees of halving radii over
 its own classes and over all classes there are walked in pairs, with the same two bounds on node
 pairs and double-precision cosines where neither decides.
 
@@ -136,7 +137,9 @@ def _visit(sent, ids, cells, reach):
                 d = _distance(_unit(_vectors(t.column("v").take(pa.array(i)))), centres)
                 radius, weight = cells.value[0][first : first + len(centres)], cells.value[1][first : first + len(centres)]
                 away = np.arange(len(centres)) + first != home[i][:, None]
-                inside = away & (d + radius < reach - EDGE) & (weight > 0)
+                homes, own_home = np.unique(home[i] - first, return_inverse=True)
+                whole = _distance(centres[homes], centres) + radius[homes, None] + radius < reach - EDGE  # the same from both cells
+                inside = away & whole[own_home] & (weight > 0)
                 bulk[i] += inside @ weight
                 for a, j in zip(*inside.nonzero(), strict=True):
                     other[i[a]].append(int(ids.value[first + j]))

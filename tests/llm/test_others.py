@@ -174,6 +174,18 @@ def test_covertree_equals_brute_force(spark, cell):
     assert {i: r.component_id for i, r in got.items()} == label
 
 
+def test_covertree_stretched_cell_beside_a_tight_one(spark):
+    """Members of the tight cell are not inside the stretched one, whose near members are inside the tight one."""
+    draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40))
+    ids = [r.id for r in spark.range(6).orderBy(draw).collect()]  # the first two are the sampled centres
+    rows = [(i, [math.cos(a), math.sin(a)], 0) for i, a in zip(ids, (0.0, 0.10, 0.01, 0.02, 0.08, 2.0), strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in covertree.covertree_dedup(df, cell=3).collect()}
+    links, label = brute_vectors(rows)
+    assert [got[i].n_links for i in ids] == [4, 4, 4, 4, 4, 0]
+    assert {i: r.n_links for i, r in got.items()} == links and {i: r.component_id for i, r in got.items()} == label
+
+
 def test_covertree_empty_and_null_id(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert covertree.covertree_dedup(df).count() == 0
