@@ -273,6 +273,28 @@ def test_pfair_deviation_is_less_than_a_block():
     assert done == parts
 
 
+def test_mixing_follows_weights_that_are_no_thousandths(spark):
+    from fractions import Fraction
+
+    share = {"a": 0.50025, "b": 0.49955, "c": 0.0002}
+    exact = {k: Fraction(repr(w)) for k, w in share.items()}
+    counts = {"a": 6000, "b": 6000, "c": 3}
+    df = spark.range(12003).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.when(F.col("id") < 6000, "a").when(F.col("id") < 12000, "b").otherwise("c").alias("source"))
+    got = sorted((r.slot, r.source) for r in mixing.schedule(df, share, block=1).collect())
+    done = Counter()
+    for t, (slot, k) in enumerate(got, 1):
+        done[k] += 1
+        assert slot == t - 1 and all(abs(done[s] - t * w) < 1 for s, w in exact.items())
+        if done[k] == counts[k]:  # a source runs out
+            break
+    assert t > 10_000
+
+
+def test_mixing_more_sources_than_two_thousand(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), (F.col("id") % 2500).cast("string").alias("source"))
+    assert mixing.schedule(df, block=1).select("position").distinct().count() == 6000
+
+
 def test_mixing_places_every_row_once(spark, odd, empty):
     rows = spark.createDataFrame([(i, f"t{i}", "big" if i % 3 else ("mid" if i % 2 else "tiny")) for i in range(3000)], "doc_id long, text string, source string")
     share = {"big": 0.5, "mid": 0.3, "tiny": 0.2}
