@@ -35,15 +35,21 @@ def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, F.col("doc_id") == F.col("g_id"), "left_anti")
 
 
+def positions(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, position: each document's place in the sources' schedule; repeated rows share the first."""
+    return mixing.schedule(docs).groupBy("doc_id", "text_hash").agg(F.min("position").alias("position"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the order of the sources' schedule."""
-    placed = mixing.schedule(docs).groupBy(F.col("doc_id").alias("p_id"), "text_hash").agg(F.min("position").alias("position"))
+    placed = positions(docs).withColumnRenamed("doc_id", "p_id")
     joined = docs.join(placed, (F.xxhash64("text") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("p_id")))
     return joined.repartitionByRange("position").sortWithinPartitions("position").select(*(docs[c] for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Sequences numbered in the order of the sources' schedule, which stored rows do not keep: it is found again."""
+    return packing.pack(docs, order=positions(docs))
 
 
 STAGES = [("language_id", identified), ("exact_dedup", exact_unique), ("minhash_dedup", near_unique), ("mixing", mixed), ("packing", packed)]

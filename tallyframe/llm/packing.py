@@ -4,7 +4,9 @@ Each document is tokenised whole and cut into full sequences and one remainder.
 length histogram (a bounded number of length classes) is the demand of a cutting-stock linear
 program over filling patterns; a knapsack dynamic program prices new patterns until none improves
 it. Patterns are rounded down, what they leave is packed first-fit decreasing, and the patterns'
-places are dealt to the pieces by their rank within their class.
+places are dealt to the pieces by their rank within their class. With an order of the documents,
+each pattern's sequences are spread over it, classes are ranked by it, and sequences are numbered
+by the mean position of their pieces.
 
 Defined cases: a null text counts as empty and has only the closing id; a null doc_id is kept;
 repeated rows are documents of their own; an empty table gives no rows; other columns are ignored.
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Shares of a pattern's sequences that are spread over an order of the documents, and positions in a bucket of it.
+SLICES, BUCKET = 64, 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Tokens in a length class: a piece takes its length rounded up to a multiple of it.
 UNIT = 8
@@ -100,19 +104,21 @@ def _cut(name: str, size: int, closing: int):
     def run(batches):
         for t in batches:
             ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
+            more = t.column("text_hash").to_pylist() if "text_hash" in t.schema.names else None
             rows = []
-            for doc_id, data in zip(ids, token_bytes(texts, name), strict=True):
+            for k, (doc_id, data) in enumerate(zip(ids, token_bytes(texts, name), strict=True)):
                 data += last
                 n = len(data) // 4
-                rows += [(doc_id, s, min(size, n - s), zlib.crc32(data[4 * s : 4 * (s + size)]), n) for s in range(0, n, size)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                rows += [(doc_id, s, min(size, n - s), zlib.crc32(data[4 * s : 4 * (s + size)]), n, more and more[k]) for s in range(0, n, size)]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + (["text_hash"] if more is not None else [])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names=names)
 
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int, closing: int) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(_cut(tokenizer, size, closing), PIECES)
+def token_pieces(docs: DataFrame, tokenizer: str, size: int, closing: int, hashed: bool = False) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.xxhash64("text").alias("text_hash")] if hashed else []))
+    return texts.mapInArrow(_cut(tokenizer, size, closing), PIECES + (", text_hash long" if hashed else ""))
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
@@ -196,31 +202,59 @@ def solve(demand: dict[int, int], capacity: int, rounds: int = 5000) -> list[tup
     return used
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, closing: int = 1, unit: int = UNIT) -> DataFrame:
+def places_of(patterns: list[tuple[dict[int, int], int]], slices: int) -> list[tuple[int, int, int, int, int]]:
+    """(class, rank_from, rank_to, sequence_from, copies): the ranks of each class in order of the slices of each pattern."""
+    places, sequence, taken = [], 0, {}
+    for i in range(slices):
+        for pattern, whole in patterns:
+            n = (2 * whole * (i + 1) + slices) // (2 * slices) - (2 * whole * i + slices) // (2 * slices) if slices > 1 else whole
+            for s, k in pattern.items() if n else ():
+                at = taken.get(s, 0)
+                places.append((s, at, at + n * k, sequence, k))
+                taken[s] = at + n * k
+            sequence += n
+    return places
+
+
+def numbered(placed: DataFrame) -> DataFrame:
+    """The rows with sequences numbered by the mean position of their pieces."""
+    placed = stored(placed)
+    means = placed.groupBy("sequence_id").agg(F.avg("position").alias("mean")).withColumn("bucket", F.floor(F.col("mean") / BUCKET))
+    counts = means.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("bucket").alias("b_bucket"), (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("mean", "sequence_id")) - 1
+    new = means.withColumn("nth", nth).join(before, F.col("bucket") == F.col("b_bucket")).select(F.col("sequence_id").alias("s_id"), (F.col("before") + F.col("nth")).alias("number"))
+    return placed.join(new, F.col("sequence_id") == F.col("s_id")).drop("sequence_id", "s_id").withColumnRenamed("number", "sequence_id")
+
+
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, closing: int = 1, unit: int = UNIT, order: DataFrame | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row per piece.
 
-    Ranks within a class are counted in hashed buckets of it and shifted by the buckets' counts,
-    so no class, however common, is ranked in one task. The broadcast table of places has a row
-    for each class in each pattern: at most size/unit squared, whatever the input's size.
+    Ranks within a class are counted in buckets of it, by hash or by position, and shifted by the
+    buckets' counts, so no class, however common, is ranked in one task. The broadcast table of
+    places has a row for each class in each pattern: at most size/unit squared, whatever the
+    input's size, and with an order (doc_id, text_hash, position: each document once) SLICES times that.
     """
     spark = docs.sparkSession
-    pieces = stored(token_pieces(docs, tokenizer, size, closing).withColumn("class", F.ceil(F.col("length") / unit).cast("int")))
+    cut = token_pieces(docs, tokenizer, size, closing, order is not None)
+    if order is not None:
+        at = order.select(F.col("doc_id").cast("long").alias("o_id"), F.col("text_hash").alias("o_hash"), "position")
+        cut = stored(cut).join(at, (F.col("text_hash") == F.col("o_hash")) & F.col("doc_id").eqNullSafe(F.col("o_id"))).drop("o_id", "o_hash", "text_hash")
+    pieces = stored(cut.withColumn("class", F.ceil(F.col("length") / unit).cast("int")))
     demand = {r["class"]: r["n"] for r in pieces.groupBy("class").agg(F.count("*").alias("n")).collect()}
     total = sum(demand.values())
-    places, sequence, taken = [], 0, dict.fromkeys(demand, 0)
-    for pattern, n in solve(demand, size // unit):
-        for s, k in pattern.items():
-            places.append((s, taken[s], taken[s] + n * k, sequence, k))
-            taken[s] += n * k
-        sequence += n
+    places = places_of(solve(demand, size // unit), 1 if order is None else SLICES)
     table = spark.createDataFrame(places, "p_class int, rank_from long, rank_to long, sequence_from long, copies long")
     buckets = max(1, total // 20_000)
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    first = [] if order is None else ["position"]
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)) if order is None else F.floor(F.col("position") / BUCKET))
     counts = dealt.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     before = counts.select(F.col("class").alias("b_class"), F.col("bucket").alias("b_bucket"), (F.sum("n").over(Window.partitionBy("class").orderBy("bucket")) - F.col("n")).alias("before"))
-    within = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1)
+    within = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("class", "bucket").orderBy(*first, "doc_id", "start", "ids_crc32")) - 1)
     ranked = within.join(before, (F.col("class") == F.col("b_class")) & (F.col("bucket") == F.col("b_bucket"))).withColumn("rank", F.col("before") + F.col("nth"))
     placed = ranked.join(F.broadcast(table), (F.col("class") == F.col("p_class")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     placed = placed.withColumn("sequence_id", F.col("sequence_from") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("copies")))
+    if order is not None:
+        placed = numbered(placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "rank", "position"))
     ahead = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "rank").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0).cast("long")).alias("offset"))

@@ -25,3 +25,19 @@ def test_stages(spark, odd, empty):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id").distinct().count() > 150
+
+
+def test_sequences_follow_the_target_weights(spark):
+    """Sources of 4096 and 1024 documents have weights of 2/3 and 1/3 until the second runs out, after 3072 documents."""
+    rows = [(i, " ".join(["word"] * (20 + i * 7919 % 97)), "small" if i % 5 == 0 else "large") for i in range(5120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    packed = corpus_pipeline.packed(spark, docs, "").collect()
+    assert len(packed) == 5120 and sorted({r.sequence_id for r in packed}) == list(range(max(r.sequence_id for r in packed) + 1))
+    source, seen, small, checked = {i: s for i, _, s in rows}, 0, 0, 0
+    for r in sorted(packed, key=lambda r: r.sequence_id):
+        seen += 1
+        small += source[r.doc_id] == "small"
+        if 500 <= seen <= 2800:
+            checked += 1
+            assert abs(small / seen - 1 / 3) < 0.03
+    assert checked == 2301
