@@ -80,5 +80,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = stored(small.where("u <> v").distinct())
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     return stars.union(stars.select(F.col("component_id").alias("id"), "component_id").distinct())

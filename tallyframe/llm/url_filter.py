@@ -22,7 +22,9 @@ from .common import ascii_lower, stored
 
 #: (host and path, verdict) pairs of the query.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-DAMPING, ROUNDS, PARENT_WEIGHT, THRESHOLD = 0.85, 12, 0.25, 0.5
+DAMPING, PARENT_WEIGHT, THRESHOLD = 0.85, 0.25, 0.5
+#: Propagation ends when a kind's ranks change by less in sum; rounds between two looks, and rounds after which it raises.
+TOLERANCE, LOOK, MOST_ROUNDS = 1e-6, 6, 300
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -51,24 +53,33 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.union(weak).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank for several kinds at once: edges (kind, src, dst, weight), seeds
     (kind, host, seed) that sum to 1 for a kind -> (kind, host, rank). Mass without a way on
-    leaves the walk. A round is a join and a sum that combines before its shuffle; it is stored.
+    leaves the walk. A round is a join and a sum that combines before its shuffle. Without a
+    number of rounds it goes on until a round changes no kind's ranks by TOLERANCE in sum.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     share = stored(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("total")).alias("share")))
     start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
     rank = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    for i in range(rounds):
+    for i in range(MOST_ROUNDS if rounds is None else rounds):
+        look = rounds is None and i % LOOK == LOOK - 1
+        before = rank = stored(rank) if look else rank
         moved = rank.join(share, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         rank = moved.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % 3 == 2 or i == rounds - 1:
+        if look or i % 3 == 2 or i + 1 == rounds:
             rank = stored(rank)
+        if look:
+            change = rank.union(before.select("kind", "host", -F.col("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("d")).groupBy("kind").agg(F.sum("d").alias("d"))
+            if (change.agg(F.max("d")).first()[0] or 0.0) < TOLERANCE:
+                return rank
+    if rounds is None:
+        raise RuntimeError(f"ranks still change after {MOST_ROUNDS} rounds")
     return rank
 
 
-def filter_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: a row per page."""
     host, path = host_and_path(F.col("url"))
     judged = pages.select("page_id", "url", "html").select("page_id", host.alias("host"), path.alias("path"), "html").withColumn("found", rule_of(F.col("host"), F.col("path"), rules))

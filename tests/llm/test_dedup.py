@@ -106,3 +106,9 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.id: r.component_id for r in common.components(edges).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        common.components(edges, rounds=1)

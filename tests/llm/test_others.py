@@ -248,6 +248,13 @@ def test_pagerank_equals_dense_iteration(spark):
     assert [got.get(n, 0.0) for n in names] == pytest.approx(r.tolist())
 
 
+def test_pagerank_converges(spark):
+    edges = spark.createDataFrame([("k", "a", "b", 1.0), ("k", "b", "a", 1.0)], "kind string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("k", "a", 1.0)], "kind string, host string, seed double")
+    got = {r.host: r["rank"] for r in url_filter.propagate(edges, seeds).collect()}
+    assert got == pytest.approx({"a": 1 / 1.85, "b": 0.85 / 1.85}, abs=1e-5)
+
+
 def test_url_rules_and_propagation(spark):
     pages = [
         (1, "http://X.Example.com/en/7?q", ""), (2, "http://x.example.com/en/8", ""), (3, "http://a.net/de/1", ""), (4, "http://b.example.net/de/8x", ""), (5, "http://good.org/fr/1", '<a href="http://a.net/">'), (6, "nohost", None), (7, None, None),
