@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -50,6 +51,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Deletes the files of a stored DataFrame that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {"/".join(f.split("/")[:-1]) for f in df.inputFiles()}:
+        if path.split("/")[-2:-1] == ["tallyframe"]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that are done: it follows the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

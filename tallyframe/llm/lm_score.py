@@ -1,20 +1,23 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every frequent word (at least 1/CONTEXTS of all training tokens, so at most CONTEXTS of them) and
-the start of a text is a context with a restaurant of its own; all share one parent restaurant over
-single words, whose own base is uniform over the known words and one unknown. After any other word
-the parent predicts. Each table in a context restaurant is a customer of the parent.
-
-Words are dealt to groups by hash with all their contexts' counts. In a sweep a group reseats, for
-each word and restaurant, the word's customers in one block: a Chinese-restaurant seating is
-proposed and taken with the Metropolis-Hastings probability that leaves the Gibbs conditional in
-place. Groups need of each other only the restaurants' totals (a bounded vector), which are summed
-between passes. Predictive probabilities are averaged over SAMPLES seatings; the last pass repeats
-the seatings of the pass before by their seeds and knows their totals, so they sum to one.
-
-For scoring, each batch of texts sends every group its distinct (document, context, word) counts
-and gets back sums by document. A word's entries are one per document and context at most, and
-frequent words are spread over SPREAD groups by context.
+Every word seen in training, and the start of a text, is a context with a restaurant of its own; all
+share one parent restaurant over single words, whose own base is uniform over the known words and one
+unknown. Each table in a context restaurant is a customer of the parent.
+
+The distinct (context, word) pairs with their counts are dealt to groups by word; a word with more
+than GROUP tokens is split over groups by its contexts, and the parent's part of it is drawn from the
+sum over them. A pair seen once has one table. In a sweep a group reseats the customers of each other
+pair in one block: they come one by one, each run of customers until the next new table being one
+beta-geometric draw, which is the same chain at any count; the seating is taken with the ratio of its
+normalisers to those of the seating it replaces (Metropolis-Hastings within Gibbs). The tables of a
+word in the context restaurants are then reseated in the parent. Groups need of each other only
+their contexts' totals of tables: these are sums by context, delivered by joins before each pass.
+Concentrations are drawn between passes from their posterior on a grid, given the seatings;
+discounts are n1 / (n1 + 2 n2). Predictive probabilities are averaged over SAMPLES seatings.
+
+For scoring, a run of about BATCH tokens asks each group for its distinct words and pairs, and gets
+back the words' probabilities and the pairs' counts; a text's sum is made where its tokens are. So a
+frequent word or pair is asked for once a run, however many texts of the run hold it.
 
 Defined cases: a null text is empty and has only the end token; a null doc_id is kept and its fold
 is that of the empty text; repeated rows are documents of their own; an empty table gives no rows;
@@ -29,303 +32,435 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stored
+from .common import crc_mod, drop_stored, release, stored
 from .shingles import scrambled, word_hashes
 
-CONTEXTS, SPREAD, SAMPLES = 2047, 8, 3
-#: Tokens of a group of words; documents in a batch.
-GROUP, DOCS = 2_000_000, 4096
-CONCENTRATION = 1.0
-END = np.uint64(0x0E0D)
-RARE, WIDTH = 0, 4096  # context 0; contexts are 1..CONTEXTS and the start after them
-
-
-def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' word hashes, each with its end, and the texts' lengths."""
-    parts, lengths = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            parts.append(word_hashes(text))
-            lengths[i] = len(parts[-1])
-        parts.append(np.array([END], np.uint64))
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), lengths + 1
-
-
-def _contexts(w: np.ndarray, lengths: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Each token's context id, from the token before it in its text."""
-    u = np.zeros(len(w), np.int64)
-    if len(w):
-        u[1:] = _frequent_id(w[:-1], frequent)
-        u[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = len(frequent) + 1
-    return u
+SAMPLES, BURN = 3, 2
+#: Tokens of a group of pairs, and of a run of texts.
+GROUP, BATCH = 2_000_000, 2_000_000
+#: Words that may be split over groups (a share of more than 1/WIDE of all tokens).
+WIDE = 1 << 16
+GRID = np.geomspace(0.01, 1000.0, 61)
+END, START = np.uint64(0x0E0D), np.uint64(0x57A7)
+#: Contexts are told apart by 48 bits of their words' hashes, and so are a group's pairs when asked for.
+NARROW = np.uint64((1 << 48) - 1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
 
+def _six(x: np.ndarray) -> bytes:
+    """The low six bytes of each 64-bit number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-def _frequent_id(w: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """1 + the word's place in the sorted frequent words, or 0."""
-    if not len(frequent):
-        return np.zeros(len(w), np.int64)
-    at = np.searchsorted(frequent, w)
-    at[at == len(frequent)] = 0
-    return np.where(frequent[at] == w, at + 1, 0)
 
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
 
-def _group(w: np.ndarray, u: np.ndarray, often: np.ndarray, groups: int) -> np.ndarray:
-    """The group of a (word, context) pair: by the word, and for frequent words by the context too."""
-    spread = np.where(often, (u % SPREAD).astype(np.uint64), 0).astype(np.uint64)
-    return (scrambled(w + spread * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(groups)).astype(np.int64)
 
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, the lowest bytes first."""
+    return _packed(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
-def _slices(batches):
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpacked(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _runs(batches, columns=()):
+    """Runs of texts of about BATCH tokens: word hashes, each text with its end, the texts' lengths, and the rows' other columns."""
+    end, parts, lengths, kept, n = np.array([END]), [], [], [], 0
     for t in batches:
-        for i in range(0, t.num_rows, DOCS):
-            yield t.slice(i, DOCS)
+        other, at = pa.RecordBatch.from_arrays([t.column(c) for c in columns], names=list(columns)) if columns else None, 0
+        for i, text in enumerate(t.column("text").to_pylist()):
+            w = word_hashes(text) if text else end[:0]
+            parts += [w, end]
+            lengths.append(len(w) + 1)
+            n += len(w) + 1
+            if n >= BATCH:
+                if columns:
+                    kept.append(other.slice(at, i + 1 - at))
+                yield np.concatenate(parts), np.array(lengths), kept
+                parts, lengths, kept, n, at = [], [], [], 0, i + 1
+        if columns and at < t.num_rows:
+            kept.append(other.slice(at))
+    if lengths:
+        yield np.concatenate(parts), np.array(lengths), kept
+
+
+def _before(x: np.ndarray, lengths: np.ndarray, start) -> np.ndarray:
+    """What stands before each token in its text."""
+    u = np.empty_like(x)
+    u[1:] = x[:-1]
+    u[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = start
+    return u
 
 
-def _count_words(batches):
-    for t in _slices(batches):
-        w, n = np.unique(_tokens(t.column("text").to_pylist())[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
+def _code(w: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return scrambled(w * _MIX + scrambled(u & NARROW))
+
+
+class _Groups:
+    """Where words and pairs live: by word, and for split words by the context too."""
+
+    def __init__(self, groups: int, split: np.ndarray, pieces: np.ndarray):
+        self.groups, self.split, self.pieces = groups, split, pieces
 
+    def split_id(self, w: np.ndarray) -> np.ndarray:
+        """The place among the split words, or -1."""
+        if not len(self.split):
+            return np.full(len(w), -1)
+        at = np.searchsorted(self.split, w)
+        at[at == len(self.split)] = 0
+        return np.where(self.split[at] == w, at, -1)
 
-PAIRS = "g int, w binary, u binary, n binary"
+    def of_word(self, w: np.ndarray) -> np.ndarray:
+        return (scrambled(w) % np.uint64(self.groups)).astype(np.int64)
 
+    def of_pair(self, w: np.ndarray, u: np.ndarray) -> np.ndarray:
+        at = self.split_id(w)
+        if (at >= 0).any():
+            piece = np.where(at >= 0, scrambled(u & NARROW) % self.pieces[at] + np.uint64(1), np.uint64(0))
+            w = w + piece * _MIX
+        return self.of_word(w)
 
-def _count_pairs(frequent, groups):
+
+def _frequent(batches):
+    """(w, n) of the words that are frequent in a run, and (null, tokens)."""
+    for w, _, _ in _runs(batches):
+        words, n = np.unique(w, return_counts=True)
+        keep = n * WIDE > len(w)
+        ids = [*words[keep].view(np.int64).tolist(), None]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([*n[keep].tolist(), len(w)], pa.int64())], names=["w", "n"])
+
+
+PAIRS = "g int, w binary, reps binary, u binary, n binary"
+
+
+def _by_word(w, u, n, code):
+    """Pairs in order of (word, code) as words, pairs a word, contexts and counts."""
+    order = np.lexsort((code, w))
+    w, u, n = w[order], u[order], n[order]
+    first = np.concatenate(([True], w[1:] != w[:-1])).nonzero()[0]
+    return w[first].tobytes(), np.diff(np.append(first, len(w))).astype("<u4").tobytes(), _six(u), n.astype("<i8").tobytes()
+
+
+def _count_pairs(sent):
     def run(batches):
-        for t in _slices(batches):
-            w, lengths = _tokens(t.column("text").to_pylist())
-            u = _contexts(w, lengths, frequent.value)
-            words, at = np.unique(w, return_inverse=True)
-            code, n = np.unique(at * WIDTH + u, return_counts=True)
-            w, u = words[code // WIDTH], code % WIDTH
-            g = (scrambled(w) % np.uint64(groups)).astype(np.int64)
+        where = sent.value
+        for w, lengths, _ in _runs(batches):
+            u = _before(w, lengths, START)
+            code, first, n = np.unique(_code(w, u), return_index=True, return_counts=True)
+            w, u = w[first], u[first]
+            g = where.of_pair(w, u)
             order = np.argsort(g, kind="stable")
-            g, w, u, n = g[order], w[order], u[order].astype(np.uint16), n[order].astype(np.uint32)
-            ids, start = np.unique(g, return_index=True)
-            ends = [*start[1:].tolist(), len(g)]
-            cut = [[a[i:j].tobytes() for i, j in zip(start.tolist(), ends, strict=True)] for a in (w, u, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(x, pa.binary()) for x in cut)], names=["g", "w", "u", "n"])
+            ids, start = np.unique(g[order], return_index=True)
+            cut = [_by_word(w[i], u[i], n[i], code[i]) for i in np.split(order, start[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array([x[k] for x in cut], pa.binary()) for k in range(4))], names=["g", "w", "reps", "u", "n"])
 
     return run
 
 
-def _joined(column, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column), kind)
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    reps = np.frombuffer(b"".join(pdf.reps), "<u4")
+    w, u, n = np.repeat(np.frombuffer(b"".join(pdf.w), np.uint64), reps), _from_six(b"".join(pdf.u)), np.frombuffer(b"".join(pdf.n), "<i8")
+    code, first, back = np.unique(_code(w, u), return_index=True, return_inverse=True)
+    w, reps, u, n = _by_word(w[first], u[first], np.bincount(back, n).astype(np.int64), code)
+    return pd.DataFrame({"g": pdf.g[:1], "w": [w], "reps": [reps], "u": [u], "n": [n]})
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    w, u, n = _joined(pdf.w, np.uint64), _joined(pdf.u, np.uint16), _joined(pdf.n, np.uint32)
-    words, at = np.unique(w, return_inverse=True)
-    code, back = np.unique(at * WIDTH + u, return_inverse=True)
-    total = np.bincount(back, n).astype(np.int64)
-    return pd.DataFrame({"g": [pdf.g.iloc[0]], "w": [words[code // WIDTH].tobytes()], "u": [(code % WIDTH).astype(np.uint16).tobytes()], "n": [total.tobytes()]})
+def _read(w, reps, u, n):
+    words, reps = np.frombuffer(w, np.uint64), np.frombuffer(reps, "<u4")
+    return words, np.repeat(np.arange(len(words)), reps), _from_six(u), np.frombuffer(n, "<i8")
+
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    low = np.maximum(0.0, np.ceil(8.0 - x))
+    y, shift = x + low, np.zeros_like(x)
+    for k in range(int(low.max(initial=0))):
+        shift += np.log(np.where(k < low, x + k, 1.0))
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
-def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng) -> tuple[np.ndarray, np.ndarray]:
+
+def seat(c: np.ndarray, discount: float, weight: np.ndarray, step: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
     """A seating of c customers of one dish, for each row: its number of tables, and the log of the
-    proposal's normalisers. weight: (concentration + discount * tables in the restaurant) * base.
-
-    Customers come one by one; beyond 64 seated, in runs of a twentieth of those seated, whose new
-    tables are one binomial draw each, so that the steps grow with the logarithm of the count."""
-    order = np.argsort(-c, kind="stable")
-    c, weight = c[order], weight[order]
-    t, seated, logz = np.minimum(c, 1).astype(float), np.minimum(c, 1).astype(float), np.zeros(len(c))
-    while True:
-        k = int(np.searchsorted(-c, -(seated[0] + 0.5))) if len(c) else 0  # rows with customers left
-        if not k:
-            break
-        done = seated[:k]
-        run = np.minimum(np.where(done < 64, 1, done // 20), c[:k] - done)
-        z = done - discount * t[:k] + weight[:k]
-        new = rng.binomial(run.astype(np.int64), np.minimum(1.0, weight[:k] / z))
-        logz[:k] += run * np.log(z)
-        t[:k] += new
-        seated[:k] += run
-    out, z = np.empty_like(t), np.empty_like(logz)
-    out[order], z[order] = t, logz
-    return out, z
-
-
-class _Restaurants:
-    """One group's words: seatings, given the totals of all restaurants."""
-
-    def __init__(self, w, u, n, info):
-        self.info, self.n = info, n.astype(float)
-        self.words, self.at = np.unique(w, return_inverse=True)
-        self.u = u.astype(np.int64)
-        self.own = self.u != RARE
-        self.rng = np.random.Generator(np.random.PCG64(int(self.words[0]) if len(self.words) else 0))
-        self.c = np.bincount(self.at, self.n, len(self.words))
-        self.rare = np.bincount(self.at[~self.own], self.n[~self.own], len(self.words))
-        self.t = self.z = self.s = self.sz = None
-
-    def parent(self, s_total, n_total):
-        i = self.info
-        return (self.customers - i["d1"] * self.s + (CONCENTRATION + i["d1"] * s_total) * i["base"]) / (CONCENTRATION + n_total)
-
-    def sweep(self):
-        i = self.info
-        if self.t is None:  # one table a dish, as a start
-            self.t = np.where(self.own, 1.0, 0.0)
-            self.customers = self.rare + np.bincount(self.at, self.t, len(self.words))
-            self.s = np.minimum(self.customers, 1.0)
-        p = self.parent(i["s"], i["n"])
-        weight = (CONCENTRATION + i["d2"] * i["t"][self.u[self.own]]) * p[self.at[self.own]]
-        self.t[self.own], self.z = self._moved(self.t[self.own], self.z, *seat(self.n[self.own], weight, i["d2"], self.rng))
-        before = self.customers
-        self.customers = self.rare + np.bincount(self.at, self.t, len(self.words))
-        weight = np.full(len(self.words), (CONCENTRATION + i["d1"] * i["s"]) * i["base"])
-        s, z = seat(self.customers, weight, i["d1"], self.rng)
-        self.s, self.sz = self._moved(self.s, None if self.sz is None else np.where(before == self.customers, self.sz, -np.inf), s, z)
-
-    def _moved(self, old, old_z, new, new_z):
-        """Takes the proposals whose normalisers warrant it; a block without a comparable state is taken."""
-        if old_z is None:
-            return new, new_z
-        take = np.log(self.rng.random(len(new))) < new_z - old_z
-        return np.where(take, new, old), np.where(take, new_z, old_z)
-
-    def samples(self, burn):
-        for k in range(burn + SAMPLES):
-            self.sweep()
+    product of the customers' normalisers. At t tables of the dish a new one has weight + step * t,
+    against the customers seated less discount * t. The run of customers up to the next new table is
+    geometric with a beta chance: one draw a table, at any count."""
+    t, z = np.minimum(c, 1).astype(float), np.zeros(len(c))
+    at = (c > 1).nonzero()[0]
+    c, j, weight, step = c[at].astype(float), np.ones(len(at)), weight[at], step[at]
+    tables, logz = np.ones(len(at)), np.zeros(len(at))
+    while len(at):
+        new = weight + step * tables
+        old = j - discount * tables
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gap = np.floor(np.log(1.0 - rng.random(len(at))) / np.log1p(-rng.beta(new, old)))
+        end = np.minimum(c, j + np.nan_to_num(gap, nan=0.0, posinf=np.inf))
+        logz += _log_gamma(end - discount * tables + new) - _log_gamma(old + new)
+        opens = end < c
+        logz[opens] += np.log(end - discount * tables + new)[opens]
+        tables = tables + opens
+        j = end + 1
+        done = j >= c
+        if done.any():
+            t[at[done]], z[at[done]] = tables[done], logz[done]
+            left = ~done
+            at, c, j, weight, step, tables, logz = (v[left] for v in (at, c, j, weight, step, tables, logz))
+    return t, z
+
+
+def _taken(old, old_z, new, new_z, rng):
+    """The proposals that are taken, by the ratio of the normalisers; the first always is."""
+    if old_z is None:
+        return new, new_z
+    take = np.log(rng.random(len(new))) < new_z - old_z
+    return np.where(take, new, old), np.where(take, new_z, old_z)
+
+
+def _parent(i, customers, tables, s_total=None, n_total=None):
+    return (customers - i["d1"] * tables + (i["a1"] + i["d1"] * (i["s"] if s_total is None else s_total)) * i["base"]) / (i["a1"] + (i["n"] if n_total is None else n_total))
+
+
+SEATED = PAIRS + ", t binary, mean binary, customers binary, tables binary, cu binary, ct binary"
+
+
+def _seated(sent, burn, keep):
+    """Reseats a group's pairs, given the totals of tables of their contexts (u, total): its last
+    numbers of tables, their means over `keep` sweeps, and for each of these sweeps the words'
+    customers and tables in the parent and the contexts' tables of reseated pairs."""
+
+    def run(table: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(table):
+            return pd.DataFrame({k.split()[0]: [] for k in SEATED.split(", ")})
+        i, where = sent.value
+        row = table.iloc[0]
+        words, at, u, n = _read(row.w, row.reps, row.u, row.n)
+        rng = np.random.Generator(np.random.PCG64([int(row.g), burn]))
+        more = n > 1
+        single = np.bincount(at[~more], minlength=len(words)).astype(float)
+        a, c = at[more], n[more]
+        contexts, of = np.unique(u[more], return_inverse=True)
+        told = told.sort_values("u")
+        total = told.total.to_numpy(float)[np.searchsorted(told.u.to_numpy(np.int64).view(np.uint64), contexts)][of] if len(c) else np.empty(0)
+        split = where.split_id(words)
+        p_split = i["p_split"][split]
+        t, z = (np.ones(len(c)) if row.t is None else np.frombuffer(row.t, "<f8")), None
+        others = np.maximum(0.0, total - t)
+        customers = single + np.bincount(a, t, len(words))
+        s, sz, seen = np.minimum(customers, 1.0), None, None
+        kept, mean = [], np.zeros(len(c))
+        for k in range(burn + keep):
+            rest = customers[a] - t  # a pair's own tables are no evidence for it
+            p = np.where(split[a] >= 0, p_split[a], _parent(i, rest, np.minimum(s[a], rest)))
+            t, z = _taken(t, z, *seat(c, i["d2"], (i["a2"] + i["d2"] * others) * p, i["d2"] * p, rng), rng)
+            customers = single + np.bincount(a, t, len(words))
+            weight = (i["a1"] + i["d1"] * np.maximum(0.0, i["s"] - s)) * i["base"]
+            new, new_z = seat(np.where(split >= 0, 0.0, customers), i["d1"], weight, np.full(len(words), i["d1"] * i["base"]), rng)
+            if sz is not None:
+                sz = np.where(seen == customers, sz, -np.inf)  # other customers: there is no seating to keep
+            s, sz = _taken(s, sz, new, new_z, rng)
+            seen = customers
             if k >= burn:
-                yield k - burn
+                mean += t / keep
+                kept.append((customers, s, np.bincount(of, t, len(contexts))))
+        out = {"t": t, "mean": mean, "customers": np.array([x[0] for x in kept]), "tables": np.array([x[1] for x in kept]), "ct": np.array([x[2] for x in kept])}
+        own = {k: [row[k]] for k in ("g", "w", "reps", "u", "n")}
+        return pd.DataFrame(own | {k: [v.astype("<f8").tobytes()] for k, v in out.items()} | {"cu": [_six(contexts)]})
 
+    return run
 
-def _rows(t):
-    for w, u, n in zip(*(t.column(c).to_pylist() for c in ("w", "u", "n")), strict=True):
-        yield np.frombuffer(w, np.uint64), np.frombuffer(u, np.uint16), np.frombuffer(n, np.int64)
+
+def _dishes(batches):
+    """(g, u, single, more, customers): each group's dishes in each context, seen once or more often."""
+    for t in batches:
+        for g, *row in zip(*(t.column(c).to_pylist() for c in ("g", "w", "reps", "u", "n")), strict=True):
+            _, _, u, n = _read(*row)
+            ids, back = np.unique(u, return_inverse=True)
+            single = np.bincount(back, n == 1, len(ids)).astype(np.int64)
+            every, customers = np.bincount(back, minlength=len(ids)), np.bincount(back, n, len(ids)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), g, np.int32)), *(pa.array(x) for x in (ids.view(np.int64), single, every - single, customers))], names=["g", "u", "single", "more", "customers"]
+            )
 
 
-def _totals(sent, burn):
-    """(sample, u, total): tables in each context restaurant; -1 and -2 are the parent's customers and tables."""
+def _tables(keep):
+    """(u, t0, ...): each group's tables of reseated pairs in each context."""
 
     def run(batches):
         for t in batches:
-            for row in _rows(t):
-                r = _Restaurants(*row, sent.value)
-                for k in r.samples(burn):
-                    tables = np.bincount(r.u[r.own], r.t[r.own], WIDTH)
-                    u = tables.nonzero()[0]
-                    ids, v = [-1, -2, *u.tolist()], [r.customers.sum(), r.s.sum(), *tables[u].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(ids), pa.int32()), pa.array(ids, pa.int32()), pa.array(v, pa.float64())], names=["sample", "u", "total"])
+            for u, ct in zip(t.column("cu").to_pylist(), t.column("ct").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_from_six(u).view(np.int64)), *map(pa.array, np.frombuffer(ct, "<f8").reshape(keep, -1))], names=["u", *(f"t{k}" for k in range(keep))])
 
     return run
 
 
-MODEL = "g int, w binary, c binary, p binary, pair binary, delta binary"
+def _words(keep):
+    """(w, c, n1, n2, c0, ..., s0, ...): each group's words with their count, pairs seen once and twice, and customers and tables in the parent."""
+
+    def run(batches):
+        for t in batches:
+            for w, reps, u, n, customers, tables in zip(*(t.column(c).to_pylist() for c in ("w", "reps", "u", "n", "customers", "tables")), strict=True):
+                words, at, _, n = _read(w, reps, u, n)
+                count = np.bincount(at, n, len(words)).astype(np.int64)
+                both = [*np.frombuffer(customers, "<f8").reshape(keep, -1), *np.frombuffer(tables, "<f8").reshape(keep, -1)]
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(count), *map(pa.array, both)], names=["w", "c", *(f"{x}{k}" for x in "cs" for k in range(keep))])
+
+    return run
+
+
+def _grid(d: float):
+    """The contexts' log likelihood of (tables, customers) at each concentration of the grid."""
+
+    def run(batches):
+        for t in batches:
+            tables, c = (t.column(k).to_numpy().astype(float) for k in ("tables", "customers"))
+            (tables, c), n = np.unique(np.stack([tables, c]), axis=1, return_counts=True) if len(c) else ((tables, c), c)
+            value = [float(n @ (_log_gamma(x / d + tables) - _log_gamma(x + c))) + n.sum() * float((_log_gamma(np.array([x])) - _log_gamma(np.array([x / d])))[0]) for x in GRID]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(GRID), dtype=np.int32)), pa.array(value, pa.float64())], names=["x", "value"])
+
+    return run
+
+
+def _drawn(value: np.ndarray, rng) -> float:
+    p = np.exp(value - value.max())
+    return float(rng.choice(GRID, p=p / p.sum()))
+
+
+FACT = np.dtype([("w", "<u8"), ("c", "<i8"), ("customers", "<i8"), ("c_k", "<f8", SAMPLES), ("s_k", "<f8", SAMPLES), ("t_k", "<f8", SAMPLES)])
+MODEL = "g int, w binary, reps binary, u binary, n binary, mean binary, facts binary"
 
 
-def _model(sent, burn, totals, groups, frequent):
-    """Per scoring group: words, counts, the parent's probability in each sample, and for each pair
-    (word's index * WIDTH + context) what its own customers add."""
+def _facts(sent):
+    """Words' rows packed by group."""
 
     def run(batches):
+        _, where = sent.value
         for t in batches:
-            for row in _rows(t):
-                r = _Restaurants(*row, i := sent.value)
-                tables, p = np.zeros(len(r.t if r.t is not None else r.n)), []
-                for k in r.samples(burn):
-                    tables += r.t / SAMPLES
-                    p.append(r.parent(totals.value[k]["s"], totals.value[k]["n"]))
-                p = np.array(p).reshape(SAMPLES, -1).T
-                delta = np.where(r.own, (r.n - i["d2"] * tables) / (CONCENTRATION + i["c"][r.u]), 0.0)
-                often = _frequent_id(r.words, frequent.value) > 0
-                pair_g = _group(r.words[r.at], r.u, often[r.at], groups)
-                word_g = [_group(r.words, np.full(len(r.words), k), often, groups) for k in range(SPREAD)]
-                out = []
-                for g in np.unique(np.concatenate([pair_g, *word_g])).tolist():
-                    words = np.any([x == g for x in word_g], axis=0).nonzero()[0]
-                    pairs = ((pair_g == g) & r.own).nonzero()[0]
-                    code = np.searchsorted(words, r.at[pairs]) * WIDTH + r.u[pairs]
-                    out.append((g, r.words[words].tobytes(), r.c[words].tobytes(), p[words].tobytes(), code.astype(np.int64).tobytes(), delta[pairs].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[j] for x in out], pa.binary()) for j in range(1, 6))], names=["g", "w", "c", "p", "pair", "delta"])
+            x = np.zeros(t.num_rows, FACT)
+            x["w"] = t.column("w").to_numpy().view(np.uint64)
+            x["c"], x["customers"] = t.column("c").to_numpy(), t.column("customers").to_numpy()
+            for k in range(SAMPLES):
+                x["c_k"][:, k], x["s_k"][:, k], x["t_k"][:, k] = (t.column(f"{v}{k}").to_numpy() for v in "cst")
+            g = where.of_word(x["w"])
+            order = np.argsort(g, kind="stable")
+            ids, start = np.unique(g[order], return_index=True)
+            cut = [x[i].tobytes() for i in np.split(order, start[1:])] if len(ids) else []
+            none = pa.nulls(len(ids), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *[none] * 5, pa.array(cut, pa.binary())], names=["g", "w", "reps", "u", "n", "mean", "facts"])
 
     return run
 
 
-ASKED = "g int, batch long, w binary, reps binary, doc binary, u binary, n binary, ids binary"
+ASKED = "g int, batch long, words binary, codes binary, own binary, ids binary"
+
+
+def _local(w: np.ndarray, lengths: np.ndarray):
+    """Distinct words, the most frequent first, and each token's place among them."""
+    words, at, n = np.unique(w, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return words[order], rank[at]
+
 
+def _distinct(at: np.ndarray, lengths: np.ndarray, n_words: int, inverse: bool):
+    """Distinct (word, word before) pairs of places; the start's place is n_words."""
+    return np.unique(at * (n_words + 1) + _before(at, lengths, n_words), return_inverse=inverse)
 
-def _ask(frequent, groups):
-    """A batch's distinct (word, context, document) counts by group, and a row (g < 0) of its documents."""
+
+def _ask(sent):
+    """A run's distinct words and pairs by group, and a row (g < 0) of its texts and tokens."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        for k, t in enumerate(_slices(batches)):
-            w, lengths = _tokens(t.column("text").to_pylist())
-            u = _contexts(w, lengths, frequent.value)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            words, at = np.unique(w, return_inverse=True)
-            code, n = np.unique((at * WIDTH + u) * DOCS + doc, return_counts=True)
-            doc, u, at = code % DOCS, code // DOCS % WIDTH, code // DOCS // WIDTH
-            g = _group(words[at], u, (_frequent_id(words, frequent.value) > 0)[at], groups)
-            order = np.argsort(g, kind="stable")
-            g, doc, u, at, n = g[order], doc[order], u[order], at[order], n[order]
+        part, (_, where) = TaskContext.get().partitionId(), sent.value
+        for k, (w, lengths, kept) in enumerate(_runs(batches, ("doc_id", "held_out"))):
             batch = (part << 24) + k
-            ids, start = np.unique(g, return_index=True)
-            rows = []
-            for i, j, own in zip(start.tolist(), [*start[1:].tolist(), len(g)], ids.tolist(), strict=True):
-                first = np.concatenate(([0], (at[i + 1 : j] != at[i : j - 1]).nonzero()[0] + 1))
-                reps = np.diff(np.concatenate((first, [j - i])))
-                rows.append((own, batch, words[at[i + first]].tobytes(), reps.astype(np.uint32).tobytes(), doc[i:j].astype(np.uint16).tobytes(), u[i:j].astype(np.uint16).tobytes(), n[i:j].astype(np.uint32).tobytes(), None))
-            header = pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("held_out"), pa.array(lengths)], names=["doc_id", "held_out", "n_tokens"])
+            words, at = _local(w, lengths)
+            pairs = _distinct(at, lengths, len(words), False)
+            every = np.append(words, START)
+            pw, pu = words[pairs // len(every)], every[pairs % len(every)]
+            gw, gp, code = where.of_word(every), where.of_pair(pw, pu), _code(pw, pu) >> np.uint64(16)
+            rows = {}
+            for side, g, value in ((0, gw, every), (1, gp, code)):
+                order = np.argsort(g, kind="stable")
+                ids, start = np.unique(g[order], return_index=True)
+                for own, i in zip(ids.tolist(), np.split(order, start[1:]), strict=True):
+                    rows.setdefault(own, [b"", b""])[side] = _six(value[i]) if side else value[i].tobytes()
+            header = pa.Table.from_batches([pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["doc_id", "held_out"]) for x in kept]).append_column("n_tokens", pa.array(lengths, pa.int64()))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, header.schema) as out:
-                out.write_batch(header)
-            rows.append((-1 - batch % groups, batch, None, None, None, None, None, sink.getvalue().to_pybytes()))
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["g", "batch", "w", "reps", "doc", "u", "n", "ids"])
+                out.write_table(header)
+            out = [(g, batch, *x, None, None) for g, x in rows.items()]
+            out.append((-1 - batch % where.groups, batch, _packed(gw.astype("<u4")), _packed(gp.astype("<u4")), _planes(at), sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["g", "batch", "words", "codes", "own", "ids"])
 
     return run
 
 
-ANSWER = "batch long, doc binary, known binary, base binary, score binary, ids binary"
+ANSWER = "g int, batch long, words binary, codes binary, own binary, ids binary"
+
+
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted keys: where each asked one is, and whether it is."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
 
 
-def _answer(sent, totals):
-    """A group's entries against its part of the model: sums by document for each batch."""
+def _answer(sent):
+    """For each word asked for: its count, its customers as a context, and in each sample its
+    probability in the parent and the share its restaurant leaves to the parent; for each pair its
+    count less the discounted tables."""
 
     def run(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        i, every = sent.value, totals.value
-        if not len(asked):
-            return pd.DataFrame({k: [] for k in ("batch", "doc", "known", "base", "score", "ids")})
-        out = [(x.batch, None, None, None, None, x.ids) for x in asked.itertuples() if x.ids is not None]
-        words, c, p, pair, delta = np.empty(0, np.uint64), np.empty(0), np.empty((0, SAMPLES)), np.empty(0, np.int64), np.empty(0)
-        if len(model):
-            words = _joined(model.w, np.uint64)
-            order = np.argsort(words)
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            c, p = _joined(model.c, np.float64)[order], _joined(model.p, np.float64).reshape(-1, SAMPLES)[order]
-            first = np.repeat(np.cumsum([0, *[len(x) // 8 for x in model.w]])[:-1], [len(x) // 8 for x in model.pair])
-            pair = _joined(model.pair, np.int64)
-            pair = place[pair // WIDTH + first] * WIDTH + pair % WIDTH
-            words, by = words[order], np.argsort(pair)
-            pair, delta = pair[by], _joined(model.delta, np.float64)[by]
-        unknown = np.array([(CONCENTRATION + i["d1"] * x["s"]) * i["base"] / (CONCENTRATION + x["n"]) for x in every])
-        back = np.array([(CONCENTRATION + i["d2"] * x["t"]) / (CONCENTRATION + i["c"]) for x in every]).T  # by context and sample
-        back[RARE] = 1.0
-        for x in (x for x in asked.itertuples() if x.ids is None):
-            w, doc, u, n = np.frombuffer(x.w, np.uint64), np.frombuffer(x.doc, np.uint16), np.frombuffer(x.u, np.uint16).astype(np.int64), np.frombuffer(x.n, np.uint32)
-            at = np.minimum(np.searchsorted(words, w), max(0, len(words) - 1))
-            known = (words[at] == w) if len(words) else np.zeros(len(w), bool)
-            count = np.where(known, c[at], 0.0) if len(words) else np.zeros(len(w))
-            parent = np.where(known[:, None], p[at], unknown) if len(words) else np.tile(unknown, (len(w), 1))
-            reps = np.frombuffer(x.reps, np.uint32)
-            at, known, count, parent = (np.repeat(v, reps, axis=0) for v in (at, known, count, parent))
-            prob = (back[u] * parent).mean(1)
-            if len(pair):
-                code = at * WIDTH + u
-                j = np.minimum(np.searchsorted(pair, code), len(pair) - 1)
-                prob = prob + np.where(known & (pair[j] == code), delta[j], 0.0)
-            base = np.log10((count + 0.5) / (i["N"] + 0.5 * (i["V"] + 1)))
-            docs, sums = np.unique(doc, return_inverse=True)
-            out.append((x.batch, docs.astype(np.uint16).tobytes(), *(np.bincount(sums, v * n, len(docs)).tobytes() for v in (known, base, np.log10(prob))), None))
-        return pd.DataFrame(out, columns=["batch", "doc", "known", "base", "score", "ids"])
+        i, where = sent.value
+        out = [tuple(x) for x in asked.loc[asked.g < 0, ["g", "batch", "words", "codes", "own", "ids"]].itertuples(index=False)]
+        facts = np.concatenate([np.zeros(0, FACT), *(np.frombuffer(x, FACT) for x in model.facts if x is not None)])
+        facts = facts[np.argsort(facts["w"])]
+        code, value = [np.zeros(0, np.uint64)], [np.zeros(0)]
+        for x in model.itertuples() if len(model) else ():
+            if x.u is not None:
+                words, at, u, n = _read(x.w, x.reps, x.u, x.n)
+                tables = np.ones(len(n))
+                tables[n > 1] = np.frombuffer(x.mean, "<f8")
+                code.append(_code(words[at], u) >> np.uint64(16))
+                value.append(n - i["d2"] * tables)
+        code, value = np.concatenate(code), np.concatenate(value)
+        order = np.argsort(code)
+        code, value = code[order], value[order]
+        split = where.split_id(facts["w"])
+        s_k = np.where(split[:, None] >= 0, i["s_split"][split], facts["s_k"])
+        parent = _parent(i, facts["c_k"], s_k, i["s_k"], i["n_k"])
+        back = (i["a2"] + i["d2"] * facts["t_k"]) / (i["a2"] + facts["customers"])[:, None]
+        unknown = _parent(i, np.zeros(SAMPLES), np.zeros(SAMPLES), i["s_k"], i["n_k"])
+        for x in asked.loc[asked.g >= 0].itertuples():
+            w, c = np.frombuffer(x.words, np.uint64), _from_six(x.codes)
+            at, known = _found(facts["w"], w)
+            told = np.zeros((len(w), 2 + 2 * SAMPLES))
+            told[:, 2 : 2 + SAMPLES], told[:, 2 + SAMPLES :] = unknown, 1.0
+            at = at[known]
+            told[known] = np.column_stack([facts["c"][at], facts["customers"][at], parent[at], back[at]])
+            at, known = _found(code, c)
+            pair = np.zeros(len(c))
+            pair[known] = value[at[known]]
+            out.append((x.g, x.batch, _packed(told.T), _packed(pair), None, None))
+        return pd.DataFrame(out, columns=["g", "batch", "words", "codes", "own", "ids"])
 
     return run
 
@@ -333,73 +468,110 @@ def _answer(sent, totals):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _gather(train):
+def _gather(sent):
+    """A run's answers put beside its tokens, and summed by text."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        header = pa.ipc.open_stream(next(x for x in pdf.ids if x is not None)).read_all()
-        n = header.num_rows
-        sums = pdf[pdf.ids.isnull()].sort_values("doc")
-        doc = _joined(sums.doc, np.uint16)
-        total = {k: np.bincount(doc, _joined(sums[k], np.float64), n) for k in ("known", "base", "score")}
+        i, _ = sent.value
+        own = next(x for x in pdf.itertuples() if x.ids is not None)
+        header = pa.ipc.open_stream(own.ids).read_all()
+        lengths = header.column("n_tokens").to_numpy()
+        at, gw, gp = _from_planes(own.own), _unpacked(own.words, "<u4"), _unpacked(own.codes, "<u4")
+        answers = {x.g: x for x in pdf.itertuples() if x.ids is None}
+        words, pairs = np.zeros((2 + 2 * SAMPLES, len(gw))), np.zeros(len(gp))
+        for g, out, side in ((gw, words, 0), (gp, pairs, 1)):
+            order = np.argsort(g, kind="stable")
+            ids, start = np.unique(g[order], return_index=True)
+            for group, k in zip(ids.tolist(), np.split(order, start[1:]), strict=True):
+                if side:
+                    out[k] = _unpacked(answers[group].codes, "<f8")
+                else:
+                    out[:, k] = _unpacked(answers[group].words, "<f8").reshape(2 + 2 * SAMPLES, -1)
+        code, back = _distinct(at, lengths, len(gw) - 1, True)
+        w, u = code // len(gw), code % len(gw)
+        prob = (words[2 : 2 + SAMPLES, w] * words[2 + SAMPLES :, u]).mean(0) + pairs / (i["a2"] + words[1, u])
+        base = np.log10((words[0, :-1] + 0.5) / (i["N"] + 0.5 * (i["V"] + 1)))
+        ends = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        sums = [np.add.reduceat(v, ends) for v in ((words[0, :-1] > 0).astype(np.int64)[at], base[at], np.log10(prob)[back])]
         return pd.DataFrame({
-            "doc_id": header.column("doc_id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "held_out": header.column("held_out").to_pandas(), "n_tokens": header.column("n_tokens").to_pandas(), "n_known": total["known"].round().astype(np.int64),
-            "train_tokens": np.full(n, train), "base_score": total["base"], "score": total["score"],
+            "doc_id": header.column("doc_id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "held_out": header.column("held_out").to_pandas(), "n_tokens": lengths, "n_known": sums[0],
+            "train_tokens": np.full(len(lengths), i["N"]), "base_score": sums[1], "score": sums[2],
         })
 
     return run
 
 
-def score_texts(docs: DataFrame, held: Column, burn: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, held: Column, burn: int = BURN, group: int = GROUP) -> DataFrame:
     """The contract's columns, a row per document; learned from the documents outside `held`."""
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
+    rng = np.random.Generator(np.random.PCG64(11))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     train = rows.where("not held_out").select("text")
-    counts = stored(train.mapInArrow(_count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
-    frequent = [r.w for r in counts.where(F.col("n") > whole.N / CONTEXTS).select("w").collect()]  # fewer than CONTEXTS rows
-    frequent = send(np.sort(np.array(frequent, np.int64).view(np.uint64)))
-    groups = max(48, int(whole.N // GROUP))
-    table = stored(train.mapInArrow(_count_pairs(frequent, groups), PAIRS).groupBy("g").applyInPandas(_merge, PAIRS))
-
-    def start(batches):
-        """(sample, u, total): each restaurant's customers (sample 0) and dishes (1), and the pairs seen once and twice."""
-        for t in batches:
-            for _, u, n in _rows(t):
-                c, k = np.bincount(u, n, WIDTH), np.bincount(u, minlength=WIDTH)
-                ids = k.nonzero()[0]
-                own = n[u != RARE]
-                v = [*c[ids], *k[ids].astype(float), float((own == 1).sum()), float((own == 2).sum())]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids) + [1] * len(ids) + [2, 2], pa.int32()), pa.array([*ids, *ids, 1, 2], pa.int32()), pa.array(v, pa.float64())], names=["sample", "u", "total"])
-
-    def summed(run):
-        found = table.mapInArrow(run, "sample int, u int, total double").groupBy("sample", "u").agg(F.sum("total").alias("total")).collect()
-        out = {k: np.zeros(WIDTH + 2) for k in range(3)}  # the last two places are -2 and -1
-        for r in found:
-            out[r["sample"]][r.u] = r.total
-        return out
-
-    first = summed(start)
-    c, dishes = (first[k][:WIDTH].copy() for k in (0, 1))
-    rare, once, twice = c[RARE], first[2][1], first[2][2]
-    c[RARE] = dishes[RARE] = 0
-    info = {
-        "N": whole.N, "V": whole.V, "base": 1 / (whole.V + 1), "c": c, "t": dishes, "n": dishes.sum() + rare, "s": float(whole.V),
-        "d2": min(0.95, max(0.05, once / max(1.0, once + 2 * twice))), "d1": min(0.95, max(0.05, whole.n1 / max(1.0, whole.n1 + 2 * whole.n2))),
-    }
-
-    def read(found):
-        return [{"t": found[k][:WIDTH], "n": found[k][-1], "s": found[k][-2]} for k in range(SAMPLES)]
-
-    for last in (False, True):
-        sent = send(info)
-        totals = read(summed(_totals(sent, burn)))
-        if not last:
-            info = info | {k: sum(x[k] for x in totals) / SAMPLES for k in ("t", "n", "s")}
-    every = send(totals)
-    model = table.mapInArrow(_model(sent, burn, every, groups, frequent), MODEL)
-    asked = rows.mapInArrow(_ask(frequent, groups), ASKED)
-    answers = asked.groupBy("g").cogroup(model.groupBy("g")).applyInPandas(_answer(sent, every), ANSWER)
-    return answers.groupBy("batch").applyInPandas(_gather(int(whole.N)), SCORES)
+    found = train.mapInArrow(_frequent, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    total = int(found.where("w is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    often = sorted(((r.w % (1 << 64), r.n) for r in found.where((F.col("w").isNotNull()) & (F.col("n") > max(group, total // WIDE))).collect()))  # at most WIDE rows
+    split = np.array([w for w, _ in often], np.uint64)
+    where = _Groups(max(48, total // group), split, np.array([-(-n // group) for _, n in often], np.uint64))
+    table = stored(train.mapInArrow(_count_pairs(send(where)), PAIRS).groupBy("g").applyInPandas(_merge, PAIRS))
+    release(spark)
+    dishes = "g int, u long, single long, more long, customers long"
+    contexts = stored(table.mapInArrow(_dishes, dishes).groupBy("u").agg(*(F.sum(c).alias(c) for c in ("single", "more", "customers"))))
+    release(spark)
+    counts = table.mapInArrow(_count_words, "w long, c long, n1 long, n2 long, dishes long").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("c", "n1", "n2", "dishes")))
+    one = lambda c, k: F.coalesce(F.sum((F.col(c) == k).cast("long")), F.lit(0)).alias(f"{c}{k}")
+    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count("*").alias("V"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "dishes")), one("dishes", 1), one("dishes", 2)).first()
+    discount = lambda a, b: min(0.95, max(0.05, a / max(1.0, a + 2 * b)))
+    at_first = np.zeros(len(split))  # the split words' customers in the parent
+    for r in counts.where(F.col("w").isin([int(w) for w in split.view(np.int64)])).collect():
+        at_first[np.searchsorted(split, r.w % (1 << 64))] = r.dishes
+    info = {"N": int(whole.N), "V": int(whole.V), "base": 1 / (whole.V + 1), "d1": discount(whole.dishes1, whole.dishes2), "d2": discount(whole.n1, whole.n2), "a1": 1.0, "a2": 1.0, "s": float(whole.V), "n": float(whole.dishes)}
+    info["p_split"] = _parent(info, at_first, np.minimum(at_first, 1.0))
+    info["p_split"] = np.append(info["p_split"], 0.0)  # the place of -1
+    sent, state, tables = send((info, where)), table.withColumn("t", F.lit(None).cast("binary")), contexts.select("u", (F.col("single") + F.col("more")).cast("double").alias("total"))
+    for keep in (1, SAMPLES):
+        told = state.mapInArrow(_dishes, dishes).where("more > 0").select("g", "u").join(tables, "u").groupBy("g")
+        before, state = state, stored(state.groupBy("g").cogroup(told).applyInPandas(_seated(sent, burn, keep), SEATED))
+        sums = state.mapInArrow(_tables(keep), "u long, " + ", ".join(f"t{k} double" for k in range(keep))).groupBy("u").agg(*(F.sum(f"t{k}").alias(f"t{k}") for k in range(keep)))
+        sums = sums.withColumnRenamed("u", "t_u")
+        held_tables = [(F.coalesce(f"t{k}", F.lit(0.0)) + F.col("single")).alias(f"t{k}") for k in range(keep)]
+        own = stored(contexts.join(sums, F.col("u") == F.col("t_u"), "left").select("u", "customers", *held_tables))
+        numbers = ", ".join(f"{x}{k} double" for x in "cs" for k in range(keep))
+        words = state.mapInArrow(_words(keep), f"w long, c long, {numbers}").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("c", *(f"{x}{k}" for x in "cs" for k in range(keep)))))
+        words = stored(words)
+        release(spark)
+        parts = words.agg(*(F.coalesce(F.sum(f"{x}{k}"), F.lit(0.0)).alias(f"{x}{k}") for x in "cs" for k in range(keep))).first()
+        c_split = np.zeros((len(split), keep))
+        for r in words.where(F.col("w").isin([int(w) for w in split.view(np.int64)])).collect():
+            c_split[np.searchsorted(split, r.w % (1 << 64))] = [r[f"c{k}"] for k in range(keep)]
+        step = info["d1"] * info["base"]
+        s_split = np.array([seat(c, info["d1"], np.full(len(c), (info["a1"] + info["d1"] * info["s"]) * info["base"]), np.full(len(c), step), rng)[0] for c in c_split.T]).reshape(keep, -1).T
+        n_k, s_k = np.array([parts[f"c{k}"] for k in range(keep)]), np.array([parts[f"s{k}"] for k in range(keep)]) + s_split.sum(0)
+        info = info | {"s_k": s_k, "n_k": n_k, "s": float(s_k.mean()), "n": float(n_k.mean()), "s_split": np.vstack([s_split, np.zeros((1, keep))])}
+        if keep == 1:  # concentrations for the next pass, given this one's seatings
+            fit = own.select(F.col("t0").alias("tables"), "customers").mapInArrow(_grid(info["d2"]), "x int, value double").groupBy("x").agg(F.sum("value").alias("value")).collect()
+            if fit:
+                info["a2"] = _drawn(np.array([r.value for r in sorted(fit, key=lambda r: r.x)]), rng)
+                info["a1"] = _drawn(_log_gamma(GRID / info["d1"] + info["s"]) - _log_gamma(GRID / info["d1"]) - _log_gamma(GRID + info["n"]) + _log_gamma(GRID), rng)
+            info["p_split"] = np.append(_parent(info, c_split[:, 0], s_split[:, 0]), 0.0)
+            tables = own.select("u", F.col("t0").alias("total"))
+        sent = send((info, where))
+        drop_stored(before)
+    fact = words.withColumn("k", F.col("w").bitwiseAND(F.lit(int(NARROW)))).join(own, F.col("k") == F.col("u"), "full_outer")
+    fact = fact.select(F.coalesce("w", "u").alias("w"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("c", "customers")), *(F.coalesce(f"{x}{k}", F.lit(0.0)).alias(f"{x}{k}") for x in "cst" for k in range(SAMPLES)))
+    model = state.select("g", "w", "reps", "u", "n", "mean", F.lit(None).cast("binary").alias("facts")).union(fact.mapInArrow(_facts(sent), MODEL))
+    asked = rows.mapInArrow(_ask(sent), ASKED)
+    answers = asked.groupBy("g").cogroup(model.groupBy("g")).applyInPandas(_answer(sent), ANSWER)
+    return answers.groupBy("batch").applyInPandas(_gather(sent), SCORES)
+
+
+def _count_words(batches):
+    """(w, c, n1, n2, dishes): each group's words with their count, their pairs seen once and twice, and their pairs."""
+    for t in batches:
+        for row in zip(*(t.column(c).to_pylist() for c in ("w", "reps", "u", "n")), strict=True):
+            words, at, _, n = _read(*row)
+            each = [np.bincount(at, x, len(words)).astype(np.int64) for x in (n, n == 1, n == 2, np.ones(len(n)))]
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *map(pa.array, each)], names=["w", "c", "n1", "n2", "dishes"])
 
 
 def lm_score(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:

@@ -133,13 +133,116 @@ def test_lm_predictions_sum_to_one(spark):
     assert 0 < got[10_000] < 1 and got[10_001] > got[10_003] and got[10_001] > got[10_004] and sum(got[10_000 + k] for k in range(5)) < 1
 
 
-def test_seating_stays_within_bounds():
+def test_seating_follows_the_chain():
+    """Numbers of tables against customers who come one by one, for few and many customers."""
     rng = np.random.default_rng(0)
     c = np.array([1.0, 2, 10, 1000, 10**9, 0])
-    t, z = lm_score.seat(c, np.full(6, 0.5), 0.5, rng)
+    t, z = lm_score.seat(c, 0.5, np.full(6, 0.5), np.full(6, 0.1), rng)
     assert ((t >= np.minimum(c, 1)) & (t <= c)).all() and np.isfinite(z).all()
-    many = lm_score.seat(np.full(20000, 2.0), np.full(20000, 0.5), 0.5, rng)[0]
-    assert many.mean() == pytest.approx(1 + 0.5 / (1 - 0.5 + 0.5), abs=0.02)
+    for n, weight, step in ((2, 0.5, 0.0), (5, 0.3, 0.2), (300, 2.0, 0.1)):
+        wanted = []
+        for _ in range(2000):
+            tables = 1
+            for j in range(1, n):
+                new, old = weight + step * tables, j - 0.5 * tables
+                tables += rng.random() < new / (new + old)
+            wanted.append(tables)
+        got = lm_score.seat(np.full(20000, float(n)), 0.5, np.full(20000, weight), np.full(20000, step), rng)[0]
+        assert got.mean() == pytest.approx(np.mean(wanted), rel=0.05) and got.std() == pytest.approx(np.std(wanted), rel=0.1)
+
+
+def sequential_seating(train, held, sweeps=60, burn=20):
+    """A plain Gibbs sampler of the two-level model, a customer at a time: mean probability of each (context, word)."""
+    import random
+
+    rng, grid = random.Random(5), lm_score.GRID.tolist()
+    pairs = [(u, w) for t in train for u, w in zip(["^", *t], [*t, "$"])]
+    seen = Counter(pairs)
+    words, follow = {w for _, w in pairs}, Counter(w for _, w in seen)
+    d2 = min(0.95, max(0.05, (n1 := sum(n == 1 for n in seen.values())) / max(1, n1 + 2 * sum(n == 2 for n in seen.values()))))
+    d1 = min(0.95, max(0.05, (n1 := sum(n == 1 for n in follow.values())) / max(1, n1 + 2 * sum(n == 2 for n in follow.values()))))
+    base, a1, a2 = 1 / (len(words) + 1), 1.0, 1.0
+    low, top, tables, customers, s, n = defaultdict(list), defaultdict(list), Counter(), Counter(), 0, 0
+
+    def p_top(w):
+        return (sum(top[w]) - d1 * len(top[w]) + (a1 + d1 * s) * base) / (a1 + n)
+
+    def p_low(u, w):
+        own = low[u, w]
+        return (sum(own) - d2 * len(own) + (a2 + d2 * tables[u]) * p_top(w)) / (a2 + customers[u])
+
+    def sit(sizes, d, new):
+        weights = [x - d for x in sizes] + [new]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(sizes):
+            sizes.append(0)
+        sizes[k] += 1
+        return k == len(sizes) - 1 and sizes[k] == 1
+
+    def leave(sizes):
+        k = rng.choices(range(len(sizes)), sizes)[0]
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            return True
+        return False
+
+    def add(u, w):
+        nonlocal s, n
+        if sit(low[u, w], d2, (a2 + d2 * tables[u]) * p_top(w)):
+            tables[u] += 1
+            s += sit(top[w], d1, (a1 + d1 * s) * base)
+            n += 1
+        customers[u] += 1
+
+    def remove(u, w):
+        nonlocal s, n
+        customers[u] -= 1
+        if leave(low[u, w]):
+            tables[u] -= 1
+            s -= leave(top[w])
+            n -= 1
+
+    def drawn(d, rooms):
+        value = [sum(math.lgamma(x / d + t) - math.lgamma(x / d) - math.lgamma(x + c) + math.lgamma(x) for t, c in rooms) for x in grid]
+        return rng.choices(grid, [math.exp(v - max(value)) for v in value])[0]
+
+    for u, w in pairs:
+        add(u, w)
+    asked = [[(u, w) for u, w in zip(["^", *t], [*t, "$"])] for t in held]
+    mean = defaultdict(float)
+    for k in range(sweeps):
+        for u, w in pairs:
+            remove(u, w)
+            add(u, w)
+        a2, a1 = drawn(d2, [(tables[u], customers[u]) for u in customers]), drawn(d1, [(s, n)])
+        if k >= burn:
+            for q in {q for t in asked for q in t}:
+                mean[q] += p_low(*q) / (sweeps - burn)
+    return [sum(math.log10(mean[q]) for q in t) for t in asked]
+
+
+def test_lm_scores_equal_a_sequential_sampler(spark):
+    """Texts of a small bigram language, those held out with unknown words too: scores agree within a few hundredths a token."""
+    import random
+
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(40)]
+    likes = {w: rng.choices(vocabulary, [1 / (k + 1) for k in range(40)], k=6) for w in vocabulary}
+
+    def text():
+        out = [rng.choice(vocabulary)]
+        for _ in range(rng.randrange(3, 25)):
+            out.append(rng.choice(likes[out[-1]]) if rng.random() < 0.8 else rng.choice(vocabulary))
+        return out
+
+    train, held = [text() for _ in range(120)], [text() for _ in range(30)] + [["new", "w1", "w2"], []]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(train + held)], "doc_id long, text string")
+    wanted = sequential_seating(train, held)
+    for group in (2_000_000, 50):  # whole words, and words split over groups
+        got = {r.doc_id: r.score for r in lm_score.score_texts(df, F.col("doc_id") >= len(train), group=group).collect()}
+        off = [(got[len(train) + i] - x) / (len(held[i]) + 1) for i, x in enumerate(wanted)]
+        assert abs(float(np.mean(off))) < 0.02 and max(map(abs, off[:30])) < 0.1 and max(map(abs, off)) < 0.3, off
 
 
 def brute_vectors(rows):
