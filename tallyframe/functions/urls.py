@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The tags in the order in which they are written.
-TAGS = ("utm_source", "utm_campaign", "utm_content", "utm_term", "yvc_v", "yvc_lang", "yvc_run")
+#: The standard tags in the order in which they are written; what follows the prefix in an installation's own.
+STANDARD, OWN = ("utm_source", "utm_campaign", "utm_content", "utm_term"), ("v", "lang", "run")
+PREFIX = "tf_"
 
 
 def slug(c: Column) -> Column:
@@ -24,17 +25,17 @@ def query_map(url: Column) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1))
 
 
-def parse(url: Column) -> Column:
-    """struct of a tagged URL's attribution; null without utm_source."""
+def parse(url: Column, prefix: str = PREFIX) -> Column:
+    """struct of a tagged URL's attribution; null without utm_source. prefix: of the installation's own tags."""
     q = query_map(url)
     part = lambda name, default="": F.coalesce(F.try_element_at(q, F.lit(name)), F.lit(default))
-    names = (("platform", "utm_source", ""), ("clip_id", "utm_content", ""), ("hook_type", "utm_term", ""), ("variant", "yvc_v", "a"), ("campaign", "utm_campaign", ""), ("run", "yvc_run", ""), ("lang", "yvc_lang", "tr"))
+    names = (("platform", "utm_source", ""), ("clip_id", "utm_content", ""), ("hook_type", "utm_term", ""), ("variant", f"{prefix}v", "a"), ("campaign", "utm_campaign", ""), ("run", f"{prefix}run", ""), ("lang", f"{prefix}lang", "tr"))
     return F.when(F.map_contains_key(q, "utm_source"), F.struct(*(part(tag, default).alias(name) for name, tag, default in names)))
 
 
-def build(url: Column, platform: Column, clip_id: Column, hook_type: Column, variant: Column, campaign: Column, run: Column, lang: Column) -> Column:
+def build(url: Column, platform: Column, clip_id: Column, hook_type: Column, variant: Column, campaign: Column, run: Column, lang: Column, prefix: str = PREFIX) -> Column:
     """The URL with its tags set: other parameters stay, empty tags are left out."""
-    own = dict(zip(TAGS, (slug(platform), slug(campaign), slug(clip_id), slug(hook_type), F.coalesce(F.nullif(slug(variant), F.lit("")), F.lit("a")), F.coalesce(F.nullif(slug(lang), F.lit("")), F.lit("tr")), slug(run)), strict=True))
+    own = dict(zip((*STANDARD, *(prefix + k for k in OWN)), (slug(platform), slug(campaign), slug(clip_id), slug(hook_type), F.coalesce(F.nullif(slug(variant), F.lit("")), F.lit("a")), F.coalesce(F.nullif(slug(lang), F.lit("")), F.lit("tr")), slug(run)), strict=True))
     q = query_map(url)
     medium = {"utm_medium": F.lit("social_organic")}
     new = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), c.alias("value")) for k, c in (own | medium).items())), lambda e: e["value"] != "")

@@ -58,11 +58,23 @@ def gap_drivers(scored: DataFrame, ranking: DataFrame, weights=None) -> DataFram
     return long.select("metric", F.round("w", 3).alias("winner_z"), F.round("l", 3).alias("loser_z"), F.round("c", 4).alias("contribution"), share.alias("share"))
 
 
+def half_up(c: Column, digits: int) -> Column:
+    """Rounded by a floor, the same in every engine and never a negative zero."""
+    return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
+
+
+def exact_mean(c: Column, when: Column | None = None, digits: int = 9) -> Column:
+    """The mean of values of so many digits, summed as decimals: the same in any order of the rows."""
+    c = F.when(when, c) if when is not None else c
+    return F.sum(c.cast(f"decimal(28,{digits})")).cast("double") / F.nullif(F.count(c), F.lit(0))
+
+
 def ab_lifts(rows: DataFrame, weights=None) -> DataFrame:
     """For each test group and platform with both sides: relative lift of B over A by metric, 0 where
-    A is not positive, and their weighted composite rounded to 4."""
+    A is not positive, and their weighted composite rounded to 4. Sums are exact, so that no rounding
+    depends on the order of the rows."""
     weights = weights or WEIGHTS
-    means = [F.avg(F.when(F.col("variant") == v, F.col(m))).alias(f"{v}_{m}") for m in weights for v in "AB"]
+    means = [exact_mean(F.col(m), F.col("variant") == v).alias(f"{v}_{m}") for m in weights for v in "AB"]
     sides = [F.count_if(F.col("variant") == v).alias(f"n_{v.lower()}") for v in "AB"]
     both = rows.where(F.col("ab_group").isNotNull()).groupBy("ab_group", "platform").agg(*means, *sides).where("n_a > 0 and n_b > 0")
 
@@ -72,20 +84,20 @@ def ab_lifts(rows: DataFrame, weights=None) -> DataFrame:
 
     undefined = sum((F.when(F.col(f"A_{m}") > 0, 0).otherwise(1) for m in weights), F.lit(0))
     total = sum((F.lit(w) * lift(m) for m, w in weights.items()), F.lit(0.0))
-    return both.select("ab_group", "platform", "n_a", "n_b", *(lift(m).alias(f"lift_{m}") for m in weights), F.round(total, 4).alias("composite_lift"), undefined.alias("undefined"))
+    return both.select("ab_group", "platform", "n_a", "n_b", *(lift(m).alias(f"lift_{m}") for m in weights), half_up(total, 4).alias("composite_lift"), undefined.alias("undefined"))
 
 
 def ab_verdicts(lifts: DataFrame, material: float = MATERIAL_LIFT) -> DataFrame:
     """A winner only where the mean lift is material and every shared platform agrees in direction."""
     sign = F.signum("composite_lift")
     g = lifts.groupBy("ab_group").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("platforms"), F.avg("composite_lift").alias("m"),
+        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("platforms"), exact_mean(F.col("composite_lift")).alias("m"),
         F.count_if(sign > 0).alias("up"), F.count_if(sign < 0).alias("down"),
     )
     agreeing = F.when(F.col("m") > 0, F.col("up")).when(F.col("m") < 0, F.col("down")).otherwise(F.lit(0).cast("long"))
     g = g.withColumn("platforms_agreeing", agreeing).withColumn("material", F.abs("m") >= material)
     winner = F.when(F.col("material") & (F.col("platforms_agreeing") == F.col("platforms")), F.when(F.col("m") > 0, "B").otherwise("A"))
-    return g.select("ab_group", "n_a", "n_b", "platforms", F.round("m", 4).alias("mean_lift"), F.col("m").alias("exact_lift"), "platforms_agreeing", "material", winner.alias("winner"))
+    return g.select("ab_group", "n_a", "n_b", "platforms", half_up(F.col("m"), 4).alias("mean_lift"), F.col("m").alias("exact_lift"), "platforms_agreeing", "material", winner.alias("winner"))
 
 
 def real_fraction(detail: Column, fields=tuple(WEIGHTS)) -> Column:

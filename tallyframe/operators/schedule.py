@@ -7,6 +7,7 @@ n log n + n * k on arrays. Everything around it (thresholds, slots, scores) is r
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -167,10 +168,11 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column, gap
 
 def without_conflicts(rows: DataFrame, chosen: DataFrame, by: str, gap: float, bucket_s: float = 3600.0) -> DataFrame:
     """Rows that overlap no chosen interval of their group. Both sides are cut into time buckets, so
-    the join is by group and bucket with the overlap as its residue, not by all pairs of a group."""
+    the join is by group and bucket with the overlap as its residue, not by all pairs of a group.
+    Nulls: a row without a group, start or end overlaps nothing; other columns may hold any."""
     span = lambda s, e: F.sequence(F.floor(s / bucket_s), F.floor(e / bucket_s))
     c = chosen.select(F.col(by).alias("c_by"), F.col("start").alias("c_start"), F.col("end").alias("c_end")).withColumn("c_bucket", F.explode(span(F.col("c_start") - gap, F.col("c_end") + gap)))
     r = rows.withColumn("_bucket", F.explode(span(F.col("start"), F.col("end"))))
-    key = [c for c in rows.columns]
-    hit = r.join(c, (F.col(by) == F.col("c_by")) & (F.col("_bucket") == F.col("c_bucket")) & overlaps(F.col("start"), F.col("end"), F.col("c_start"), F.col("c_end"), gap), "left_semi").select(*key).distinct()
-    return rows.join(hit, key, "left_anti")
+    found = r.join(c, (F.col(by) == F.col("c_by")) & (F.col("_bucket") == F.col("c_bucket")) & overlaps(F.col("start"), F.col("end"), F.col("c_start"), F.col("c_end"), gap), "left_semi")
+    hit = found.select(*(F.col(c).alias(f"h_{c}") for c in rows.columns)).distinct()
+    return rows.join(hit, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in rows.columns)), "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -97,16 +97,30 @@ def interpolate(curve: Column, at: Column, clamp_low: bool = True) -> Column:
     return F.when(F.lit(clamp_low) & (at <= first["x"]), first["y"]).otherwise(out)
 
 
-def nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str, reach: float) -> DataFrame:
-    """left with the value of right nearest in time within `reach`, by group: time buckets as wide as
-    the reach make it an equi-join of each row with three buckets; ties take the earlier."""
-    r = right.select(F.col(by).alias("r_by"), F.col(at).alias("r_at"), F.col(value).alias("r_value"), F.floor(F.col(at) / reach).alias("r_bucket"))
-    rows = left.withColumn("_id", F.struct(*left.columns)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(at) / reach) - 1, F.floor(F.col(at) / reach) + 1)))
-    j = rows.join(r, (F.col(by) == F.col("r_by")) & (F.col("_bucket") == F.col("r_bucket")), "left")
-    gap = F.abs(F.col(at) - F.col("r_at"))
-    near = F.when(gap <= reach, F.struct(gap.alias("gap"), F.col("r_at").alias("at")))
-    g = j.groupBy("_id").agg(F.min_by(F.when(gap <= reach, F.col("r_value")), near).alias(value))
-    return g.select("_id.*", value)
+def nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str, slice_s: float = 3600.0) -> DataFrame:
+    """left with the value of right nearest in time, by group; ties take the earlier time, and of equal
+    times the largest value.
+
+    Time is cut into slices: within one, a window carries the last and the next value; from slice to
+    slice go only each slice's first and last value. So a long group is spread over its slices.
+    Repeated rows each get a row; a null group or time, and a group without values, find nothing.
+    """
+    point = lambda t, x: F.struct(t.cast("double").alias("at"), x.alias("v"))
+    r = right.where(F.col(by).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(at).alias("_at")).agg(F.max(value).alias("_v"))
+    r = r.select("_by", "_at", point(F.col("_at"), F.col("_v")).alias("_p"))
+    asked = left.where(F.col(by).isNotNull() & F.col(at).isNotNull()).select(F.col(by).alias("_by"), F.col(at).alias("_at")).distinct().withColumn("_p", F.lit(None).cast(r.schema["_p"].dataType))
+    rows = r.union(asked).withColumn("_slice", F.floor(F.col("_at") / slice_s))
+    w = Window.partitionBy("_by", "_slice").orderBy("_at")
+    ahead, behind = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
+    near = rows.withColumn("_last", F.last("_p", ignorenulls=True).over(ahead)).withColumn("_next", F.first("_p", ignorenulls=True).over(behind)).where("_p is null")
+    ends = rows.groupBy(F.col("_by").alias("s_by"), F.col("_slice").alias("s_slice")).agg(F.max("_p").alias("top"), F.min("_p").alias("low"))
+    s = Window.partitionBy("s_by").orderBy("s_slice")
+    carried = ends.select("s_by", "s_slice", F.last("top", ignorenulls=True).over(s.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("low", ignorenulls=True).over(s.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    j = near.join(carried, (F.col("_by") == F.col("s_by")) & (F.col("_slice") == F.col("s_slice")), "left")
+    last, after = F.coalesce("_last", "before"), F.coalesce("_next", "after")
+    pick = F.when(after.isNull() | (F.col("_at") - last["at"] <= after["at"] - F.col("_at")), last["v"]).otherwise(after["v"])
+    found = j.select("_by", "_at", pick.alias(value))
+    return left.join(found, (F.col(by) == F.col("_by")) & (F.col(at) == F.col("_at")), "left").select(*(left[c] for c in left.columns), found[value])
 
 
 def expression(rows: DataFrame, by: str, name: str = "t") -> DataFrame:

@@ -56,11 +56,11 @@ def hook_gap_drivers(s, d):
 
 def ab_lift_by_platform(s, d):
     out = perf.ab_lifts(v.outcomes(s, d))
-    return out.select("ab_group", "platform", "n_a", "n_b", *((F.round(c, n) + 0.0).alias(c) for c, n in [*((f"lift_{m}", 5) for m in M), ("composite_lift", 3)]))
+    return out.select("ab_group", "platform", "n_a", "n_b", *(perf.half_up(F.col(c), n).alias(c) for c, n in [*((f"lift_{m}", 5) for m in M), ("composite_lift", 3)]))
 
 
 def ab_verdict(s, d):
-    return perf.ab_verdicts(perf.ab_lifts(v.outcomes(s, d))).withColumn("mean_lift", F.round("exact_lift", 3)).drop("exact_lift")
+    return perf.ab_verdicts(perf.ab_lifts(v.outcomes(s, d))).withColumn("mean_lift", perf.half_up(F.col("exact_lift"), 3)).drop("exact_lift")
 
 
 def provenance_rollup(s, d):
@@ -247,7 +247,9 @@ _FRACTION = "(" + " + ".join(f"CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0 END" for c
 _WEIGHT = "(" + " + ".join(f"CASE WHEN {c} THEN {perf.WEIGHTS[m]}::DOUBLE ELSE 0 END" for m, c in _REAL.items()) + ")"
 _RANK = """ranking AS (SELECT *, row_number() OVER (ORDER BY hqs_shrunk DESC, hook_type) AS rank FROM (
   SELECT hook_type, count(*) AS n, round(avg(hqs), 4) AS hqs_mean, round(count(*) * avg(hqs) / (count(*) + 5), 4) AS hqs_shrunk FROM scored GROUP BY hook_type))"""
-_LIFTS = "lifts AS (SELECT *, round(" + " + ".join(f"{w}::DOUBLE * lift_{m}" for m, w in perf.WEIGHTS.items()) + ", 4) AS composite_lift FROM (SELECT ab_group, platform, n_a, n_b, " + ", ".join(f"CASE WHEN a_{m} > 0 THEN (b_{m} - a_{m}) / a_{m} + 0.0 ELSE 0 END AS lift_{m}" for m in M) + " FROM (SELECT ab_group, platform, count_if(variant = 'A')::BIGINT AS n_a, count_if(variant = 'B')::BIGINT AS n_b, " + ", ".join(f"avg({m}) FILTER (variant = '{x.upper()}') AS {x}_{m}" for m in M for x in "ab") + " FROM outcomes GROUP BY ab_group, platform) WHERE n_a > 0 AND n_b > 0))"
+_UP = "floor(({0}) * 1e{1} + 0.5::DOUBLE) / 1e{1}"
+_MEAN = "(sum(({0})::DECIMAL(28,9))::DOUBLE / count({0}))"
+_LIFTS = "lifts AS (SELECT *, " + _UP.format(" + ".join(f"{w}::DOUBLE * lift_{m}" for m, w in perf.WEIGHTS.items()), 4) + " AS composite_lift FROM (SELECT ab_group, platform, n_a, n_b, " + ", ".join(f"CASE WHEN a_{m} > 0 THEN (b_{m} - a_{m}) / a_{m} + 0.0 ELSE 0 END AS lift_{m}" for m in M) + " FROM (SELECT ab_group, platform, count_if(variant = 'A')::BIGINT AS n_a, count_if(variant = 'B')::BIGINT AS n_b, " + ", ".join(_MEAN.format(f"CASE WHEN variant = '{x.upper()}' THEN {m} END") + f" AS {x}_{m}" for m in M for x in "ab") + " FROM outcomes GROUP BY ab_group, platform) WHERE n_a > 0 AND n_b > 0))"
 _PRIORS = f"""aged AS (SELECT *, (epoch_us(max(collected_at) OVER ()) - epoch_us(collected_at)) / 86400e6 AS age FROM scored),
 taught AS (SELECT hook_type, sum(exp(-age / 90)) AS n, sum(exp(-age / 90) * hqs) AS s FROM aged WHERE {_WEIGHT} >= 0.6 GROUP BY hook_type),
 types AS (SELECT DISTINCT hook_type FROM scored),
@@ -265,10 +267,10 @@ ends AS (SELECT arg_min(hook_type, rank) AS winner, arg_max(hook_type, rank) AS
 sides AS (SELECT w.metric, w.z AS w, l.z AS l FROM (UNPIVOT means ON {', '.join(M)} INTO NAME metric VALUE z) w JOIN (UNPIVOT means ON {', '.join(M)} INTO NAME metric VALUE z) l USING (metric), ends WHERE w.hook_type = winner AND l.hook_type = loser),
 c AS (SELECT *, CASE metric {' '.join(f"WHEN '{m}' THEN {w}::DOUBLE" for m, w in perf.WEIGHTS.items())} END * (w - l) AS c FROM sides)
 SELECT metric, round(w, 3) AS winner_z, round(l, 3) AS loser_z, round(c, 4) AS contribution, CASE WHEN c > 0 THEN round(c / sum(c) FILTER (c > 0) OVER (), 4) ELSE 0.0::DOUBLE END AS share FROM c""",
-    "ab_lift_by_platform": f"{_O}, {_LIFTS} SELECT ab_group, platform, n_a, n_b, {', '.join(f'round(lift_{m}, 5) + 0.0 AS lift_{m}' for m in M)}, round(composite_lift, 3) + 0.0 AS composite_lift FROM lifts",
-    "ab_verdict": f"""{_O}, {_LIFTS}, g AS (SELECT ab_group, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, count(*) AS platforms, avg(composite_lift) AS m, count_if(composite_lift > 0) AS up, count_if(composite_lift < 0) AS down FROM lifts GROUP BY ab_group),
+    "ab_lift_by_platform": f"{_O}, {_LIFTS} SELECT ab_group, platform, n_a, n_b, {', '.join(f'{_UP.format(f"lift_{m}", 5)} AS lift_{m}' for m in M)}, {_UP.format("composite_lift", 3)} AS composite_lift FROM lifts",
+    "ab_verdict": f"""{_O}, {_LIFTS}, g AS (SELECT ab_group, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, count(*) AS platforms, {_MEAN.format("composite_lift")} AS m, count_if(composite_lift > 0) AS up, count_if(composite_lift < 0) AS down FROM lifts GROUP BY ab_group),
 h AS (SELECT *, (CASE WHEN m > 0 THEN up WHEN m < 0 THEN down ELSE 0 END)::BIGINT AS platforms_agreeing, abs(m) >= 0.05 AS material FROM g)
-SELECT ab_group, n_a, n_b, platforms, round(m, 3) AS mean_lift, platforms_agreeing, material, CASE WHEN material AND platforms_agreeing = platforms THEN CASE WHEN m > 0 THEN 'B' ELSE 'A' END END AS winner FROM h""",
+SELECT ab_group, n_a, n_b, platforms, {_UP.format("m", 3)} AS mean_lift, platforms_agreeing, material, CASE WHEN material AND platforms_agreeing = platforms THEN CASE WHEN m > 0 THEN 'B' ELSE 'A' END END AS winner FROM h""",
     "provenance_rollup": f"{_O} SELECT post_id, CASE flag WHEN 'R' THEN 'REAL' WHEN 'A' THEN 'MIXED' ELSE 'SIMULATED' END AS provenance FROM outcomes",
     "simulated_share": f"{_O} SELECT hook_type, round(1 - avg({_FRACTION}), 6) AS simulated_share, count_if({_WEIGHT} >= 0.6)::BIGINT AS teaching FROM outcomes GROUP BY hook_type",
     "real_weight": f"{_O} SELECT post_id, round({_WEIGHT}, 6) AS real_weight FROM outcomes",

@@ -9,6 +9,7 @@ from ..functions import hashing
 from ..operators import schedule as sch
 from ..operators import segments as seg
 from ..operators import timeseries as ts
+from ..operators.performance import half_up
 from . import views as v
 
 PLATFORMS, KINDS = ("linkedin", "instagram", "x", "tiktok", "youtube"), ("data_number", "contrarian", "howto", "story", "question")
@@ -95,8 +96,9 @@ def score_shapes(s, d):
 
 
 def chosen(s, d):
-    """The fifth part of the intervals that stands for those already chosen."""
-    return v.intervals(s, d).where("event_id % 97 = 0")
+    """The intervals already chosen: the best of each type and hour."""
+    i = v.intervals(s, d)
+    return i.groupBy("video", F.floor(F.col("start") / 3600)).agg(F.max_by(F.struct(*i.columns), F.struct("score", "event_id")).alias("r")).select("r.*")
 
 
 def interval_conflicts(s, d):
@@ -122,7 +124,7 @@ def interp_curve(s, d):
     """Each post's completion along its windows, read a little past the first."""
     pts = v.metrics(s, d).select("post_id", F.substring("window", 2, 9).cast("double").alias("x"), F.col("completion_rate").alias("y"))
     c = pts.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("c"))
-    return c.select("post_id", F.round(ts.interpolate(F.col("c"), F.col("c")[0]["x"] + 0.31415927), 5).alias("y"), F.round(ts.interpolate(F.col("c"), F.lit(0.5), False), 6).alias("before"))
+    return c.select("post_id", half_up(ts.interpolate(F.col("c"), F.col("c")[0]["x"] + 0.25), 5).alias("y"), F.round(ts.interpolate(F.col("c"), F.lit(0.5), False), 6).alias("before"))
 
 
 def shots(s, d):
@@ -237,13 +239,15 @@ SQL = {
     "age_days": f"{_P} SELECT post_id, round((epoch_us(TIMESTAMP '1998-12-31 12:00:00') - epoch_us(published_at)) / 86400e6, 6) AS age FROM posts",
     "score_shapes": f"""{_M} SELECT post_id, "window", round(exp(-power((completion_rate - 1 / 3) / 0.15::DOUBLE, 2) / 2), 6) AS thirds, round(greatest(0.0::DOUBLE, 1 - abs(completion_rate - 0.35::DOUBLE) / 0.25::DOUBLE), 6) AS size, round(power(1 - completion_rate, 2), 6) AS gate,
   (floor(1080 * 9 / 16 / 2 + completion_rate * 100) * 2)::BIGINT AS even_width FROM metrics""",
-    "interval_conflicts": f"""{_I} SELECT event_id, video FROM intervals i WHERE NOT EXISTS (SELECT 1 FROM intervals c WHERE c.event_id % 97 = 0 AND c.video = i.video AND i.start < c."end" + 5 AND c.start < i."end" + 5)""",
+    "interval_conflicts": f"""{_I} , chosen AS (SELECT * FROM intervals QUALIFY row_number() OVER (PARTITION BY video, floor(start / 3600) ORDER BY score DESC, event_id DESC) = 1)
+SELECT event_id, video FROM intervals i WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.video = i.video AND i.start < c."end" + 5 AND c.start < i."end" + 5)""",
     "range_words": f"""WITH {v.WORDS}, {v.SENTENCES}, l AS (SELECT doc_id, line, round(0.3::DOUBLE * (sum(len(tokens)) OVER (PARTITION BY doc_id ORDER BY line) - len(tokens)), 3) AS f FROM sentences WHERE line < 8)
 SELECT doc_id, line, count(*) AS n FROM words JOIN l USING (doc_id) WHERE "end" > f - 0.01 AND start < round(f + 6, 3) + 0.01 GROUP BY 1, 2""",
-    "nearest_energy": f"""{_SA}, r AS (SELECT user_id, t, max(x) AS x FROM samples WHERE cut = 0 AND x IS NOT NULL GROUP BY 1, 2), j AS (SELECT l.event_id, r.x, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(l.t - r.t), r.t) AS rn FROM samples l LEFT JOIN r ON l.user_id = r.user_id AND abs(l.t - r.t) <= 86400 WHERE l.cut = 1)
-SELECT event_id, x FROM j WHERE rn = 1""",
+    "nearest_energy": f"""{_SA}, r AS (SELECT user_id, t, max(x) AS x FROM samples WHERE cut = 0 AND x IS NOT NULL GROUP BY 1, 2), l AS (SELECT * FROM samples WHERE cut = 1),
+a AS (SELECT l.event_id, l.t AS t, l.user_id, r.t AS a_t, r.x AS ax FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.t >= r.t), b AS (SELECT a.*, r.t AS b_t, r.x AS bx FROM a ASOF LEFT JOIN r ON a.user_id = r.user_id AND a.t <= r.t)
+SELECT event_id, CASE WHEN b_t IS NULL OR t - a_t <= b_t - t THEN ax ELSE bx END AS x FROM b""",
     "interp_curve": f"""{_M}, p AS (SELECT post_id, substr("window", 2)::DOUBLE AS x, completion_rate AS y FROM metrics), q AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS rn, last_value(y) OVER (PARTITION BY post_id ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ly FROM p WINDOW w AS (PARTITION BY post_id ORDER BY x))
-SELECT post_id, round(CASE WHEN x1 IS NULL THEN ly ELSE y + 0.31415927::DOUBLE / (x1 - x) * (y1 - y) END, 5) AS y, round(ly, 6) AS before FROM q WHERE rn = 1""",
+SELECT post_id, floor((CASE WHEN x1 IS NULL THEN ly ELSE y + 0.25::DOUBLE / (x1 - x) * (y1 - y) END) * 1e5 + 0.5::DOUBLE) / 1e5 AS y, round(ly, 6) AS before FROM q WHERE rn = 1""",
     "shot_anchor": f"""{_SA}, {_SHOT}, m AS (SELECT user_id, shot, list_sort(list(x)) AS v FROM shots WHERE x IS NOT NULL GROUP BY 1, 2), n AS (SELECT user_id, shot, v, v[len(v) // 2 + 1] AS median FROM m)
 SELECT user_id, shot, median, round(list_avg(list_filter(v, lambda y: abs(y - median) <= 20)), 6) AS anchor FROM n""",
     "travel": f"{_SA} SELECT user_id, round(sum(step), 6) AS travel, round(max(abs(x - 50)), 6) AS \"offset\" FROM (SELECT *, abs(x - lag(x) OVER (PARTITION BY user_id ORDER BY t, event_id)) AS step FROM samples WHERE x IS NOT NULL) GROUP BY user_id",

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.functions import hashing, jsonx, simulate, urls
+from tallyframe.functions import hashing, jsonx, urls
 from tallyframe.functions import text as tx
 from tallyframe.operators import performance as perf
 from tallyframe.operators import priors, publish, schedule, segments, store, timeseries
@@ -153,14 +153,6 @@ def test_json_repair_gives_up():
     assert jsonx.repaired("no json here") is None and jsonx.repaired(None) is None
 
 
-def test_simulation_is_seeded_and_keeps_real_values(spark):
-    rows = spark.createDataFrame([("p1", "tiktok", "howto", 40.0, "T+24h", 1.0, "plain", {"views": 10.0}), ("p2", "x", "story", 2.0, "T+1h", 1.0, "plain", {"impressions": 500.0})], "post_id string, platform string, hook_type string, duration_s double, window string, follower_factor double, render_variant string, real map<string,double>")
-    a, b = (sorted(simulate.simulate(rows.repartition(n)).collect(), key=lambda r: r.post_id) for n in (1, 4))
-    assert a == b and a[0].views == 10 and a[1].impressions == 500
-    assert a[0].provenance_detail["views"] == "REAL" and a[0].provenance_detail["ctr"] == "SIMULATED"
-    assert all(x >= y for r in a for x, y in zip(r.retention_curve, r.retention_curve[1:]))
-
-
 def test_copy_gates(spark):
     clip = "maaş 18 milyon lira oldu ve herkes bunu konuşuyor bugün"
     rows = spark.createDataFrame([("c", "x", "kısa metin http://a.b/" + "c" * 300, ["a"], "milyon lira oldu ve herkes bunu", "18", clip), ("c", "linkedin", "uydurma metin", [], "hiç söylenmemiş altı kelimelik bir söz", "77", clip)], "clip_id string, platform string, body string, hashtags array<string>, evidence_quote string, key_number string, clip_text string")
@@ -208,3 +200,26 @@ def test_judging_repairs_and_records_failures(spark):
     rows = spark.createDataFrame([(1, "good"), (2, "bad")], "id int, p string")
     got = {r.id: (r.status, r.attempts) for r in judging.judged(rows, "id", "p", judge).collect()}
     assert got == {1: ("ok", 2), 2: ("failed", 3)}
+
+
+def test_conflicts_of_rows_with_nulls(spark):
+    rows = spark.createDataFrame([(1, "a", 0.0, 10.0, None), (1, "a", 0.0, 10.0, None), (2, "a", 100.0, 110.0, None), (3, None, 0.0, 10.0, 1.0), (4, "a", None, 10.0, 1.0)], "id int, video string, start double, end double, score double")
+    chosen = spark.createDataFrame([("a", 5.0, 8.0), (None, 5.0, 8.0)], "video string, start double, end double")
+    assert sorted(r.id for r in schedule.without_conflicts(rows, chosen, "video", 1.0).collect()) == [2, 3, 4]
+
+
+@pytest.mark.parametrize("slice_s", [1.0, 3600.0])
+def test_nearest_of_repeated_null_and_far_rows(spark, slice_s):
+    left = spark.createDataFrame([("a", 5.0, 1), ("a", 5.0, 1), ("a", None, 2), (None, 5.0, 3), ("b", 1.0, 4), ("a", 1e6, 5), ("a", 15.0, 6), ("a", 10.0, 7)], "k string, t double, id int")
+    right = spark.createDataFrame([("a", 10.0, 1.0), ("a", 20.0, 2.0), ("a", 20.0, 3.0), ("a", None, 9.0), (None, 5.0, 9.0)], "k string, t double, x double")
+    got = sorted((r.id, r.x) for r in timeseries.nearest(left, right, "k", "t", "x", slice_s).collect())
+    assert got == [(1, 1.0), (1, 1.0), (2, None), (3, None), (4, None), (5, 3.0), (6, 1.0), (7, 1.0)]
+
+
+def test_nearest_equals_brute_force(spark):
+    rng = random.Random(4)
+    left, right = ([(rng.randrange(3), round(rng.uniform(0, 500), 1), i) for i in range(n)] for n in (60, 40))
+    got = {r.id: r.x for r in timeseries.nearest(spark.createDataFrame(left, "k int, t double, id int"), spark.createDataFrame(right, "k int, t double, x int"), "k", "t", "x", 20.0).collect()}
+    for k, t, i in left:
+        best = min(((abs(t - r[1]), r[1], -r[2]) for r in right if r[0] == k), default=None)
+        assert got[i] == (None if best is None else -best[2])
