@@ -37,13 +37,15 @@ from .shingles import scrambled, word_hashes
 
 SAMPLES, BURN = 3, 2
 #: Tokens of a group of pairs, and of a run of texts.
-GROUP, BATCH = 2_000_000, 2_000_000
+GROUP, BATCH = 2_000_000, 1_000_000
+#: A text in so many, by its hash, tells how many groups there are and which words are split over them: no result depends on it.
+SHARE = 16
 #: Words that may be split over groups (a share of more than 1/WIDE of all tokens).
 WIDE = 1 << 16
 GRID = np.geomspace(0.01, 1000.0, 61)
 END, START = np.uint64(0x0E0D), np.uint64(0x57A7)
-#: Contexts are told apart by 48 bits of their words' hashes, and so are a group's pairs when asked for.
-NARROW = np.uint64((1 << 48) - 1)
+#: Contexts are told apart by 48 bits of their words' hashes, and a group's pairs, when asked for, by 40.
+NARROW, CONTEXT_BYTES, CODE_BYTES, CODE_SHIFT = np.uint64((1 << 48) - 1), 6, 5, np.uint64(24)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,14 +61,14 @@ def _unpacked(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def _six(x: np.ndarray) -> bytes:
-    """The low six bytes of each 64-bit number."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _narrow(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of each 64-bit number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.view("<u8").reshape(-1)
 
 
@@ -138,7 +140,7 @@ class _Groups:
 
 
 def _frequent(batches):
-    """(w, n) of the words that are frequent in a run, and (null, tokens)."""
+    """(w, n) of the words that are frequent in a run of the sampled texts, and (null, tokens)."""
     for w, _, _ in _runs(batches):
         words, n = np.unique(w, return_counts=True)
         keep = n * WIDE > len(w)
@@ -154,7 +156,7 @@ def _by_word(w, u, n, code):
     order = np.lexsort((code, w))
     w, u, n = w[order], u[order], n[order]
     first = np.concatenate(([True], w[1:] != w[:-1])).nonzero()[0]
-    return w[first].tobytes(), np.diff(np.append(first, len(w))).astype("<u4").tobytes(), _six(u), n.astype("<i8").tobytes()
+    return w[first].tobytes(), np.diff(np.append(first, len(w))).astype("<u4").tobytes(), _narrow(u, CONTEXT_BYTES), n.astype("<i8").tobytes()
 
 
 def _count_pairs(sent):
@@ -175,7 +177,7 @@ def _count_pairs(sent):
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     reps = np.frombuffer(b"".join(pdf.reps), "<u4")
-    w, u, n = np.repeat(np.frombuffer(b"".join(pdf.w), np.uint64), reps), _from_six(b"".join(pdf.u)), np.frombuffer(b"".join(pdf.n), "<i8")
+    w, u, n = np.repeat(np.frombuffer(b"".join(pdf.w), np.uint64), reps), _wide(b"".join(pdf.u), CONTEXT_BYTES), np.frombuffer(b"".join(pdf.n), "<i8")
     code, first, back = np.unique(_code(w, u), return_index=True, return_inverse=True)
     w, reps, u, n = _by_word(w[first], u[first], np.bincount(back, n).astype(np.int64), code)
     return pd.DataFrame({"g": pdf.g[:1], "w": [w], "reps": [reps], "u": [u], "n": [n]})
@@ -183,7 +185,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _read(w, reps, u, n):
     words, reps = np.frombuffer(w, np.uint64), np.frombuffer(reps, "<u4")
-    return words, np.repeat(np.arange(len(words)), reps), _from_six(u), np.frombuffer(n, "<i8")
+    return words, np.repeat(np.arange(len(words)), reps), _wide(u, CONTEXT_BYTES), np.frombuffer(n, "<i8")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -206,7 +208,7 @@ def seat(c: np.ndarray, discount: float, weight: np.ndarray, step: np.ndarray, r
     while len(at):
         new = weight + step * tables
         old = j - discount * tables
-        with np.errstate(divide="ignore", invalid="ignore"):
+        with np.errstate(all="ignore"):
             gap = np.floor(np.log(1.0 - rng.random(len(at))) / np.log1p(-rng.beta(new, old)))
         end = np.minimum(c, j + np.nan_to_num(gap, nan=0.0, posinf=np.inf))
         logz += _log_gamma(end - discount * tables + new) - _log_gamma(old + new)
@@ -278,22 +280,28 @@ def _seated(sent, burn, keep):
                 kept.append((customers, s, np.bincount(of, t, len(contexts))))
         out = {"t": t, "mean": mean, "customers": np.array([x[0] for x in kept]), "tables": np.array([x[1] for x in kept]), "ct": np.array([x[2] for x in kept])}
         own = {k: [row[k]] for k in ("g", "w", "reps", "u", "n")}
-        return pd.DataFrame(own | {k: [v.astype("<f8").tobytes()] for k, v in out.items()} | {"cu": [_six(contexts)]})
+        return pd.DataFrame(own | {k: [v.astype("<f8").tobytes()] for k, v in out.items()} | {"cu": [_narrow(contexts, CONTEXT_BYTES)]})
 
     return run
 
 
 def _dishes(batches):
-    """(g, u, single, more, customers): each group's dishes in each context, seen once or more often."""
+    """(u, single, more, customers): each group's dishes in each context, seen once or more often."""
     for t in batches:
-        for g, *row in zip(*(t.column(c).to_pylist() for c in ("g", "w", "reps", "u", "n")), strict=True):
-            _, _, u, n = _read(*row)
+        for u, n in zip(*(t.column(c).to_pylist() for c in ("u", "n")), strict=True):
+            u, n = _wide(u, CONTEXT_BYTES), np.frombuffer(n, "<i8")
             ids, back = np.unique(u, return_inverse=True)
             single = np.bincount(back, n == 1, len(ids)).astype(np.int64)
             every, customers = np.bincount(back, minlength=len(ids)), np.bincount(back, n, len(ids)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), g, np.int32)), *(pa.array(x) for x in (ids.view(np.int64), single, every - single, customers))], names=["g", "u", "single", "more", "customers"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids.view(np.int64), single, every - single, customers)], names=["u", "single", "more", "customers"])
+
+
+def _wanted(batches):
+    """(g, u): the contexts of each group's pairs that are reseated."""
+    for t in batches:
+        for g, u, n in zip(*(t.column(c).to_pylist() for c in ("g", "u", "n")), strict=True):
+            ids = np.unique(_wide(u, CONTEXT_BYTES)[np.frombuffer(n, "<i8") > 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), g, np.int32)), pa.array(ids.view(np.int64))], names=["g", "u"])
 
 
 def _tables(keep):
@@ -302,21 +310,26 @@ def _tables(keep):
     def run(batches):
         for t in batches:
             for u, ct in zip(t.column("cu").to_pylist(), t.column("ct").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(_from_six(u).view(np.int64)), *map(pa.array, np.frombuffer(ct, "<f8").reshape(keep, -1))], names=["u", *(f"t{k}" for k in range(keep))])
+                yield pa.RecordBatch.from_arrays([pa.array(_wide(u, CONTEXT_BYTES).view(np.int64)), *map(pa.array, np.frombuffer(ct, "<f8").reshape(keep, -1))], names=["u", *(f"t{k}" for k in range(keep))])
 
     return run
 
 
-def _words(keep):
-    """(w, c, n1, n2, c0, ..., s0, ...): each group's words with their count, pairs seen once and twice, and customers and tables in the parent."""
+def _words(keep, sums):
+    """(w, c, c0, ..., s0, ...): each group's words with their count, and customers and tables in the
+    parent; with `sums`, of all words that are not split only the group's sum, under a null word."""
 
     def run(batches):
         for t in batches:
             for w, reps, u, n, customers, tables in zip(*(t.column(c).to_pylist() for c in ("w", "reps", "u", "n", "customers", "tables")), strict=True):
                 words, at, _, n = _read(w, reps, u, n)
                 count = np.bincount(at, n, len(words)).astype(np.int64)
-                both = [*np.frombuffer(customers, "<f8").reshape(keep, -1), *np.frombuffer(tables, "<f8").reshape(keep, -1)]
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(count), *map(pa.array, both)], names=["w", "c", *(f"{x}{k}" for x in "cs" for k in range(keep))])
+                both, ids = [*np.frombuffer(customers, "<f8").reshape(keep, -1), *np.frombuffer(tables, "<f8").reshape(keep, -1)], pa.array(words.view(np.int64))
+                if sums:
+                    own = sums.split_id(words) >= 0
+                    ids = pa.array([*words[own].view(np.int64).tolist(), None], pa.int64())
+                    count, *both = (np.append(x[own], x[~own].sum()) for x in (count, *both))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(count), *map(pa.array, both)], names=["w", "c", *(f"{x}{k}" for x in "cs" for k in range(keep))])
 
     return run
 
@@ -339,7 +352,7 @@ def _drawn(value: np.ndarray, rng) -> float:
     return float(rng.choice(GRID, p=p / p.sum()))
 
 
-FACT = np.dtype([("w", "<u8"), ("c", "<i8"), ("customers", "<i8"), ("c_k", "<f8", SAMPLES), ("s_k", "<f8", SAMPLES), ("t_k", "<f8", SAMPLES)])
+FACT = np.dtype([("w", "<u8"), ("c", "<i8"), ("customers", "<i8"), ("c_k", "<i8", SAMPLES), ("s_k", "<i8", SAMPLES), ("t_k", "<i8", SAMPLES)])
 MODEL = "g int, w binary, reps binary, u binary, n binary, mean binary, facts binary"
 
 
@@ -394,13 +407,13 @@ def _ask(sent):
             pairs = _distinct(at, lengths, len(words), False)
             every = np.append(words, START)
             pw, pu = words[pairs // len(every)], every[pairs % len(every)]
-            gw, gp, code = where.of_word(every), where.of_pair(pw, pu), _code(pw, pu) >> np.uint64(16)
+            gw, gp, code = where.of_word(every), where.of_pair(pw, pu), _code(pw, pu) >> CODE_SHIFT
             rows = {}
             for side, g, value in ((0, gw, every), (1, gp, code)):
                 order = np.argsort(g, kind="stable")
                 ids, start = np.unique(g[order], return_index=True)
                 for own, i in zip(ids.tolist(), np.split(order, start[1:]), strict=True):
-                    rows.setdefault(own, [b"", b""])[side] = _six(value[i]) if side else value[i].tobytes()
+                    rows.setdefault(own, [b"", b""])[side] = _narrow(value[i], CODE_BYTES) if side else value[i].tobytes()
             header = pa.Table.from_batches([pa.RecordBatch.from_arrays([x.column(0), x.column(1)], names=["doc_id", "held_out"]) for x in kept]).append_column("n_tokens", pa.array(lengths, pa.int64()))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, header.schema) as out:
@@ -439,7 +452,7 @@ def _answer(sent):
                 words, at, u, n = _read(x.w, x.reps, x.u, x.n)
                 tables = np.ones(len(n))
                 tables[n > 1] = np.frombuffer(x.mean, "<f8")
-                code.append(_code(words[at], u) >> np.uint64(16))
+                code.append(_code(words[at], u) >> CODE_SHIFT)
                 value.append(n - i["d2"] * tables)
         code, value = np.concatenate(code), np.concatenate(value)
         order = np.argsort(code)
@@ -450,16 +463,16 @@ def _answer(sent):
         back = (i["a2"] + i["d2"] * facts["t_k"]) / (i["a2"] + facts["customers"])[:, None]
         unknown = _parent(i, np.zeros(SAMPLES), np.zeros(SAMPLES), i["s_k"], i["n_k"])
         for x in asked.loc[asked.g >= 0].itertuples():
-            w, c = np.frombuffer(x.words, np.uint64), _from_six(x.codes)
+            w, c = np.frombuffer(x.words, np.uint64), _wide(x.codes, CODE_BYTES)
             at, known = _found(facts["w"], w)
-            told = np.zeros((len(w), 2 + 2 * SAMPLES))
-            told[:, 2 : 2 + SAMPLES], told[:, 2 + SAMPLES :] = unknown, 1.0
-            at = at[known]
-            told[known] = np.column_stack([facts["c"][at], facts["customers"][at], parent[at], back[at]])
+            told, counted, at = np.ones((2 * SAMPLES, len(w)), "<f4"), np.zeros((2, len(w)), "<i8"), at[known]
+            told[:SAMPLES] = unknown[:, None]
+            told[:, known] = np.vstack([parent[at].T, back[at].T])
+            counted[:, known] = facts["c"][at], facts["customers"][at]
             at, known = _found(code, c)
             pair = np.zeros(len(c))
             pair[known] = value[at[known]]
-            out.append((x.g, x.batch, _packed(told.T), _packed(pair), None, None))
+            out.append((x.g, x.batch, _packed(told), _packed(pair.astype("<f4")), _packed(counted), None))
         return pd.DataFrame(out, columns=["g", "batch", "words", "codes", "own", "ids"])
 
     return run
@@ -478,21 +491,22 @@ def _gather(sent):
         lengths = header.column("n_tokens").to_numpy()
         at, gw, gp = _from_planes(own.own), _unpacked(own.words, "<u4"), _unpacked(own.codes, "<u4")
         answers = {x.g: x for x in pdf.itertuples() if x.ids is None}
-        words, pairs = np.zeros((2 + 2 * SAMPLES, len(gw))), np.zeros(len(gp))
+        words, counted, pairs = np.zeros((2 * SAMPLES, len(gw)), "<f4"), np.zeros((2, len(gw)), np.int64), np.zeros(len(gp), "<f4")
         for g, out, side in ((gw, words, 0), (gp, pairs, 1)):
             order = np.argsort(g, kind="stable")
             ids, start = np.unique(g[order], return_index=True)
             for group, k in zip(ids.tolist(), np.split(order, start[1:]), strict=True):
                 if side:
-                    out[k] = _unpacked(answers[group].codes, "<f8")
+                    out[k] = _unpacked(answers[group].codes, "<f4")
                 else:
-                    out[:, k] = _unpacked(answers[group].words, "<f8").reshape(2 + 2 * SAMPLES, -1)
+                    out[:, k] = _unpacked(answers[group].words, "<f4").reshape(2 * SAMPLES, -1)
+                    counted[:, k] = _unpacked(answers[group].own, "<i8").reshape(2, -1)
         code, back = _distinct(at, lengths, len(gw) - 1, True)
         w, u = code // len(gw), code % len(gw)
-        prob = (words[2 : 2 + SAMPLES, w] * words[2 + SAMPLES :, u]).mean(0) + pairs / (i["a2"] + words[1, u])
-        base = np.log10((words[0, :-1] + 0.5) / (i["N"] + 0.5 * (i["V"] + 1)))
+        prob = sum(words[k, w].astype(float) * words[SAMPLES + k, u] for k in range(SAMPLES)) / SAMPLES + pairs / (i["a2"] + counted[1, u])
+        base = np.log10((counted[0, :-1] + 0.5) / (i["N"] + 0.5 * (i["V"] + 1)))
         ends = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        sums = [np.add.reduceat(v, ends) for v in ((words[0, :-1] > 0).astype(np.int64)[at], base[at], np.log10(prob)[back])]
+        sums = [np.add.reduceat(v, ends) for v in ((counted[0, :-1] > 0).astype(np.int64)[at], base[at], np.log10(prob)[back])]
         return pd.DataFrame({
             "doc_id": header.column("doc_id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "held_out": header.column("held_out").to_pandas(), "n_tokens": lengths, "n_known": sums[0],
             "train_tokens": np.full(len(lengths), i["N"]), "base_score": sums[1], "score": sums[2],
@@ -508,41 +522,41 @@ def score_texts(docs: DataFrame, held: Column, burn: int = BURN, group: int = GR
     rng = np.random.Generator(np.random.PCG64(11))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     train = rows.where("not held_out").select("text")
-    found = train.mapInArrow(_frequent, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    total = int(found.where("w is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    often = sorted(((r.w % (1 << 64), r.n) for r in found.where((F.col("w").isNotNull()) & (F.col("n") > max(group, total // WIDE))).collect()))  # at most WIDE rows
+    some = train.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0).mapInArrow(_frequent, "w long, n long").groupBy("w").agg((F.sum("n") * SHARE).alias("n"))
+    found = {r.w: r.n for r in some.orderBy(F.desc("n")).limit(WIDE).collect()}
+    total = found.pop(None, 0)
+    often = sorted((w % (1 << 64), n) for w, n in found.items() if n > max(group, total // WIDE))
     split = np.array([w for w, _ in often], np.uint64)
     where = _Groups(max(48, total // group), split, np.array([-(-n // group) for _, n in often], np.uint64))
     table = stored(train.mapInArrow(_count_pairs(send(where)), PAIRS).groupBy("g").applyInPandas(_merge, PAIRS))
     release(spark)
-    dishes = "g int, u long, single long, more long, customers long"
-    contexts = stored(table.mapInArrow(_dishes, dishes).groupBy("u").agg(*(F.sum(c).alias(c) for c in ("single", "more", "customers"))))
+    contexts = stored(table.mapInArrow(_dishes, "u long, single long, more long, customers long").groupBy("u").agg(*(F.sum(c).alias(c) for c in ("single", "more", "customers"))))
     release(spark)
     counts = table.mapInArrow(_count_words, "w long, c long, n1 long, n2 long, dishes long").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("c", "n1", "n2", "dishes")))
     one = lambda c, k: F.coalesce(F.sum((F.col(c) == k).cast("long")), F.lit(0)).alias(f"{c}{k}")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count("*").alias("V"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "dishes")), one("dishes", 1), one("dishes", 2)).first()
     discount = lambda a, b: min(0.95, max(0.05, a / max(1.0, a + 2 * b)))
     at_first = np.zeros(len(split))  # the split words' customers in the parent
-    for r in counts.where(F.col("w").isin([int(w) for w in split.view(np.int64)])).collect():
+    for r in counts.where(F.col("w").isin([int(w) for w in split.view(np.int64)])).collect() if len(split) else ():
         at_first[np.searchsorted(split, r.w % (1 << 64))] = r.dishes
     info = {"N": int(whole.N), "V": int(whole.V), "base": 1 / (whole.V + 1), "d1": discount(whole.dishes1, whole.dishes2), "d2": discount(whole.n1, whole.n2), "a1": 1.0, "a2": 1.0, "s": float(whole.V), "n": float(whole.dishes)}
     info["p_split"] = _parent(info, at_first, np.minimum(at_first, 1.0))
     info["p_split"] = np.append(info["p_split"], 0.0)  # the place of -1
     sent, state, tables = send((info, where)), table.withColumn("t", F.lit(None).cast("binary")), contexts.select("u", (F.col("single") + F.col("more")).cast("double").alias("total"))
     for keep in (1, SAMPLES):
-        told = state.mapInArrow(_dishes, dishes).where("more > 0").select("g", "u").join(tables, "u").groupBy("g")
+        told = state.mapInArrow(_wanted, "g int, u long").join(tables, "u").groupBy("g")
         before, state = state, stored(state.groupBy("g").cogroup(told).applyInPandas(_seated(sent, burn, keep), SEATED))
         sums = state.mapInArrow(_tables(keep), "u long, " + ", ".join(f"t{k} double" for k in range(keep))).groupBy("u").agg(*(F.sum(f"t{k}").alias(f"t{k}") for k in range(keep)))
         sums = sums.withColumnRenamed("u", "t_u")
         held_tables = [(F.coalesce(f"t{k}", F.lit(0.0)) + F.col("single")).alias(f"t{k}") for k in range(keep)]
         own = stored(contexts.join(sums, F.col("u") == F.col("t_u"), "left").select("u", "customers", *held_tables))
         numbers = ", ".join(f"{x}{k} double" for x in "cs" for k in range(keep))
-        words = state.mapInArrow(_words(keep), f"w long, c long, {numbers}").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("c", *(f"{x}{k}" for x in "cs" for k in range(keep)))))
+        words = state.mapInArrow(_words(keep, where if keep == 1 else None), f"w long, c long, {numbers}").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("c", *(f"{x}{k}" for x in "cs" for k in range(keep)))))
         words = stored(words)
         release(spark)
         parts = words.agg(*(F.coalesce(F.sum(f"{x}{k}"), F.lit(0.0)).alias(f"{x}{k}") for x in "cs" for k in range(keep))).first()
         c_split = np.zeros((len(split), keep))
-        for r in words.where(F.col("w").isin([int(w) for w in split.view(np.int64)])).collect():
+        for r in words.where(F.col("w").isin([int(w) for w in split.view(np.int64)])).collect() if len(split) else ():
             c_split[np.searchsorted(split, r.w % (1 << 64))] = [r[f"c{k}"] for k in range(keep)]
         step = info["d1"] * info["base"]
         s_split = np.array([seat(c, info["d1"], np.full(len(c), (info["a1"] + info["d1"] * info["s"]) * info["base"]), np.full(len(c), step), rng)[0] for c in c_split.T]).reshape(keep, -1).T
