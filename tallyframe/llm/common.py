@@ -7,6 +7,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,12 +76,32 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+#: A key with more than one in HOT of all rows is joined by broadcast: there are fewer than HOT such keys.
+HOT = 1024
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int | None = None) -> DataFrame:
+    """rows, left joined with per_key: one row per key, n being the rows that it holds.
+
+    Keys with many rows are joined by a broadcast of fewer than HOT rows (2 * HOT for a total that
+    is a bound only), so their rows stay where they are; only the others are dealt out by key. Rows
+    with a null key are not dealt out at all. Both sides are read more than once: store them first.
+    """
+    total = total if total is not None else per_key.agg(F.sum(n)).first()[0] or 0
+    hot, cold = per_key.where(F.col(n) * HOT > total), per_key.where(F.col(n) * HOT <= total)
+    some = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    spread = rows.where(some).join(F.broadcast(hot), keys)
+    dealt = rows.where(some).join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys, "left")
+    absent = rows.where(~some).select(*rows.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in per_key.schema if f.name not in keys))
+    return spread.unionByName(dealt).unionByName(absent)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) links -> (id, component_id) for every id on a link; component_id is the smallest id reachable.
 
     Alternating large-star and small-star steps: each shrinks the graph towards stars whose
     centre is the smallest id. A step is one grouped minimum (combined before the shuffle) and
-    one join by id, which adaptive execution splits for hubs. Every round's edges are stored.
+    one join by id, by broadcast for the hubs. Every round's edges are stored.
     Empty input gives no rows; null ends and self links are ignored; repeated links count once.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u <> v").distinct()
@@ -91,10 +112,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen = (mark.n, mark.x)
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_by_key(both.where("v > u"), low, ["u"], "n", 2 * mark.n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_by_key(large, low, ["u"], "n", 2 * mark.n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = stored(small.where("u <> v").distinct())
     else:
         raise RuntimeError(f"components still change after {rounds} rounds")

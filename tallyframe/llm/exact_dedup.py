@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, stored
+from .common import ASCII_SPACE, join_by_key, stored
 
 PRIMES = (2147483647, 2147483629)
 POINTS = (1000003, 1299709)
 #: Characters in a chunk; texts of more than one chunk take the row-per-chunk way.
 CHUNK = 65536
+#: Members of a group that are compared beside one copy of its chosen text.
+BESIDE = 1000
 KEY = ["fp1", "fp2", "n_bytes", "part"]
 FP = "doc_id long, xx long, n_cp long, n_bytes long, fp1 long, fp2 long, text_sha256 string"
 _powers: dict = {}
@@ -112,15 +114,18 @@ def fingerprints(docs: DataFrame, chunk: int = CHUNK, primes=PRIMES) -> DataFram
 
 def _differing(docs: DataFrame, rows: DataFrame, groups: DataFrame, chunk: int) -> DataFrame:
     """(doc_id, xx) of rows whose normalised text is not that of their group's chosen row."""
-    many = groups.where("group_size > 1").select(*KEY, F.xxhash64(*KEY, "keep_id", "keep_xx").alias("g"), "keep_id", "keep_xx")
-    members = rows.join(many, KEY).select("doc_id", "xx", "g", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("xx") == F.col("keep_xx"))).alias("chosen")).distinct()
+    many = groups.where("group_size > 1").select(*KEY, "group_size", F.xxhash64(*KEY, "keep_id", "keep_xx").alias("g"), F.ceil(F.col("group_size") / BESIDE).alias("salts"), "keep_id", "keep_xx")
+    chosen = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("xx") == F.col("keep_xx"))
+    members = join_by_key(rows, many, KEY, "group_size").where("g is not null").select("doc_id", "xx", "g", "salts", chosen.alias("chosen")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("xx", F.xxhash64("text"))
-    m = members.select(F.col("doc_id").alias("m_id"), F.col("xx").alias("m_xx"), "g", "chosen")
-    found = texts.join(m, (F.col("xx") == F.col("m_xx")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).select("doc_id", "xx", "g", "chosen", F.translate("text", ASCII_SPACE, "").alias("bare"))
+    m = members.select(F.col("doc_id").alias("m_id"), F.col("xx").alias("m_xx"), "g", "salts", "chosen")
+    found = texts.join(m, (F.col("xx") == F.col("m_xx")) & F.col("doc_id").eqNullSafe(F.col("m_id"))).select("doc_id", "xx", "g", "salts", "chosen", F.translate("text", ASCII_SPACE, "").alias("bare"))
     cut = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length("bare") - 1, F.lit(0)) / chunk).cast("int")), lambda i: F.substring(F.col("bare"), i * chunk + 1, F.lit(chunk)))
-    chunks = found.select("doc_id", "xx", "g", "chosen", F.posexplode(cut).alias("at", "piece"))
-    chosen = chunks.where("chosen").select(F.col("g").alias("c_g"), F.col("at").alias("c_at"), F.col("piece").alias("c_piece")).dropDuplicates(["c_g", "c_at"])
-    beside = chunks.where("not chosen").join(chosen, (F.col("g") == F.col("c_g")) & (F.col("at") == F.col("c_at")), "left")
+    chunks = found.select("doc_id", "xx", "g", "salts", "chosen", F.posexplode(cut).alias("at", "piece"))
+    chosen = chunks.where("chosen").select(F.col("g").alias("c_g"), F.col("at").alias("c_at"), "salts", F.col("piece").alias("c_piece")).dropDuplicates(["c_g", "c_at"])
+    chosen = chosen.withColumn("c_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    others = chunks.where("not chosen").withColumn("salt", F.pmod(F.xxhash64("doc_id", "xx"), F.col("salts")))
+    beside = others.join(chosen, (F.col("g") == F.col("c_g")) & (F.col("at") == F.col("c_at")) & (F.col("salt") == F.col("c_salt")), "left")
     return beside.groupBy("doc_id", "xx").agg(F.bool_and(F.coalesce(F.col("piece") == F.col("c_piece"), F.lit(False))).alias("same")).where("not same").select("doc_id", "xx")
 
 
@@ -128,20 +133,20 @@ def exact_dedup(docs: DataFrame, chunk: int = CHUNK, primes=PRIMES) -> DataFrame
     """doc_id, keep_id, group_size, kept, text_sha256: a row per input row.
 
     Of equal texts the row with the most code points, then the smallest doc_id, stays.
-    Grouping is an aggregate that combines before its shuffle; the texts that share a fingerprint
-    move once by id and once by group, where adaptive execution splits a hot group's rows.
+    Grouping is an aggregate that combines before its shuffle; a hot group's rows take its result by
+    broadcast. The texts that share a fingerprint move once by id and once by group, a large group's
+    dealt over one copy of its chosen text for each BESIDE members.
     """
     rows, part = stored(fingerprints(docs, chunk, primes).withColumn("part", F.lit(0))), 0
     while True:
         best = F.min_by(F.struct("doc_id", "xx"), F.struct(-F.col("n_cp"), F.col("doc_id").isNull(), "doc_id", "xx"))
-        groups = rows.groupBy(*KEY).agg(F.count("*").alias("group_size"), best.alias("best")).select(*KEY, "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.xx").alias("keep_xx"))
+        groups = stored(rows.groupBy(*KEY).agg(F.count("*").alias("group_size"), best.alias("best")).select(*KEY, "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.xx").alias("keep_xx")))
         bad = stored(_differing(docs, rows.where(F.col("part") == part), groups.where(F.col("part") == part), chunk))
         if bad.isEmpty():
             break
         b = bad.select(F.col("doc_id").alias("b_id"), F.col("xx").alias("b_xx"))
         rows = stored(rows.join(b, (F.col("xx") == F.col("b_xx")) & F.col("doc_id").eqNullSafe(F.col("b_id")), "left").withColumn("part", F.when(F.col("b_xx").isNotNull(), part + 1).otherwise(F.col("part"))).drop("b_id", "b_xx"))
         part += 1
-    g = groups.select(*(F.col(k).alias(f"g_{k}") for k in KEY), "group_size", "keep_id", "keep_xx")
-    out = rows.join(g, [F.col(k) == F.col(f"g_{k}") for k in KEY])
+    out = join_by_key(rows, groups, KEY, "group_size")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("xx") == F.col("keep_xx"))
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_bytes", "xx")

@@ -97,7 +97,38 @@ def test_minhash_chain_in_one_bucket(spark):
     assert {r.doc_id: r.component_id for r in minhash.minhash_dedup(df).collect()} == wanted
 
 
+def test_minhash_repeated_ids(spark):
+    """A doc_id with a copy of another's text and a text of its own: each row is judged by its text."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (7, b + " more")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.minhash_dedup(rows).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (7, 5, False)]
+
+
+def test_minhash_members_outside_the_main_component(spark, monkeypatch):
+    """All classes in shared buckets, several clusters and loners: small blocks give the brute-force components."""
+    for name, value in (("PROBES", 3), ("TARGETS", 4), ("OUTSIDE", 3), ("BESIDE", 2)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(8)
+    rows, n = [], 0
+    for _ in range(6):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        for _ in range(rng.randrange(2, 7)):
+            rows.append((n, " ".join(text)))
+            text[rng.randrange(40)] = f"e{rng.randrange(10**6)}"
+            n += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sigs = [(i, minhash.signature(shingles.shingle_set(t)).astype(np.uint8).tobytes()) for i, t in rows]
+    sets = {i: shingles.shingle_set(t) for i, t in rows}
+    wanted = linked(sorted(sets), lambda a, b: 100 * (x := shingles.shared(sets[a], sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - x))
+    mixed = spark.createDataFrame([(k, i, i, -1) for k in (1, 2) for i, _ in rows], "key long, id long, comp long, main long")
+    found = minhash.outside_links(mixed, spark.createDataFrame(sigs, "id long, sig binary"), df)
+    got = {r.id: r.component_id for r in minhash.joined_labels(spark.createDataFrame([], "id long, component_id long"), found).collect()}
+    assert {i: got.get(i, i) for i in wanted} == wanted
+
+
 def test_bayes_bound():
+    assert minhash.missed(minhash.NEEDED, 0.75) <= minhash.MISS and all(least > 0 for _, least in minhash.NEEDED)
     assert minhash.least_matches(288, 0.75, 1e-6) < 288 * 0.75
     assert [m for _, m in minhash.NEEDED] == sorted(m for _, m in minhash.NEEDED)
 
