@@ -26,6 +26,9 @@ without training rows every token is unknown; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+import random
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,11 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, drop_stored, release, stored
-from .shingles import scrambled, word_hashes
+from .shingles import scrambled
 
 SAMPLES, BURN = 3, 2
 #: Tokens of a group of pairs, and of a run of texts.
-GROUP, BATCH = 2_000_000, 1_000_000
+GROUP, BATCH = 400_000, 1_000_000
 #: A text in so many, by its hash, tells how many groups there are and which words are split over them: no result depends on it.
 SHARE = 16
 #: Words that may be split over groups (a share of more than 1/WIDE of all tokens).
@@ -66,9 +69,10 @@ def _narrow(x: np.ndarray, width: int) -> bytes:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _wide(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+def _wide(data, width: int) -> np.ndarray:
+    narrow = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out = np.zeros((len(narrow), 8), np.uint8)
+    out[:, :width] = narrow
     return out.view("<u8").reshape(-1)
 
 
@@ -81,25 +85,40 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(_unpacked(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
+class _Local(dict):
+    """Word -> its place among a run's words, and the words' hashes; the end has place 0."""
+
+    def __init__(self):
+        self.hashes = [int(END)]
+
+    def __missing__(self, word):
+        import xxhash
+
+        k = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return k
+
+
 def _runs(batches, columns=()):
-    """Runs of texts of about BATCH tokens: word hashes, each text with its end, the texts' lengths, and the rows' other columns."""
-    end, parts, lengths, kept, n = np.array([END]), [], [], [], 0
+    """Runs of texts of about BATCH tokens: each token's place among the run's words (a text's end
+    included), the words' hashes, the texts' lengths, and the rows' other columns."""
+    end, local, parts, lengths, kept, n = np.zeros(1, np.int64), _Local(), [], [], [], 0
     for t in batches:
         other, at = pa.RecordBatch.from_arrays([t.column(c) for c in columns], names=list(columns)) if columns else None, 0
-        for i, text in enumerate(t.column("text").to_pylist()):
-            w = word_hashes(text) if text else end[:0]
-            parts += [w, end]
-            lengths.append(len(w) + 1)
-            n += len(w) + 1
+        for i, text in enumerate(t.column("text")):
+            words = (text.as_py() or "").encode().lower().split()
+            parts += [np.fromiter(map(local.__getitem__, words), np.int64, len(words)), end]
+            lengths.append(len(words) + 1)
+            n += len(words) + 1
             if n >= BATCH:
                 if columns:
                     kept.append(other.slice(at, i + 1 - at))
-                yield np.concatenate(parts), np.array(lengths), kept
-                parts, lengths, kept, n, at = [], [], [], 0, i + 1
+                yield np.concatenate(parts), np.array(local.hashes, np.uint64), np.array(lengths), kept
+                local, parts, lengths, kept, n, at = _Local(), [], [], [], 0, i + 1
         if columns and at < t.num_rows:
             kept.append(other.slice(at))
     if lengths:
-        yield np.concatenate(parts), np.array(lengths), kept
+        yield np.concatenate(parts), np.array(local.hashes, np.uint64), np.array(lengths), kept
 
 
 def _before(x: np.ndarray, lengths: np.ndarray, start) -> np.ndarray:
@@ -114,6 +133,11 @@ def _code(w: np.ndarray, u: np.ndarray) -> np.ndarray:
     return scrambled(w * _MIX + scrambled(u & NARROW))
 
 
+def _pairs(at: np.ndarray, lengths: np.ndarray, n_words: int) -> np.ndarray:
+    """Each token's pair of places, its own and that of the word before it; the start's is n_words."""
+    return at * (n_words + 1) + _before(at, lengths, n_words)
+
+
 class _Groups:
     """Where words and pairs live: by word, and for split words by the context too."""
 
@@ -141,11 +165,11 @@ class _Groups:
 
 def _frequent(batches):
     """(w, n) of the words that are frequent in a run of the sampled texts, and (null, tokens)."""
-    for w, _, _ in _runs(batches):
-        words, n = np.unique(w, return_counts=True)
-        keep = n * WIDE > len(w)
+    for at, words, _, _ in _runs(batches):
+        n = np.bincount(at, minlength=len(words))
+        keep = n * WIDE > len(at)
         ids = [*words[keep].view(np.int64).tolist(), None]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([*n[keep].tolist(), len(w)], pa.int64())], names=["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([*n[keep].tolist(), len(at)], pa.int64())], names=["w", "n"])
 
 
 PAIRS = "g int, w binary, reps binary, u binary, n binary"
@@ -162,10 +186,11 @@ def _by_word(w, u, n, code):
 def _count_pairs(sent):
     def run(batches):
         where = sent.value
-        for w, lengths, _ in _runs(batches):
-            u = _before(w, lengths, START)
-            code, first, n = np.unique(_code(w, u), return_index=True, return_counts=True)
-            w, u = w[first], u[first]
+        for at, words, lengths, _ in _runs(batches):
+            pairs, n = np.unique(_pairs(at, lengths, len(words)), return_counts=True)
+            every = np.append(words, START)
+            w, u = words[pairs // len(every)], every[pairs % len(every)]
+            code = _code(w, u)
             g = where.of_pair(w, u)
             order = np.argsort(g, kind="stable")
             ids, start = np.unique(g[order], return_index=True)
@@ -183,6 +208,12 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": pdf.g[:1], "w": [w], "reps": [reps], "u": [u], "n": [n]})
 
 
+def _each(t, *columns):
+    """The rows' buffers, a row at a time and without a copy."""
+    for i in range(t.num_rows):
+        yield tuple(t.column(c)[i].as_buffer() for c in columns)
+
+
 def _read(w, reps, u, n):
     words, reps = np.frombuffer(w, np.uint64), np.frombuffer(reps, "<u4")
     return words, np.repeat(np.arange(len(words)), reps), _wide(u, CONTEXT_BYTES), np.frombuffer(n, "<i8")
@@ -196,6 +227,20 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+def _seat_one(c, j, weight, step, tables, logz, discount, rng):
+    while j < c:
+        new, old = weight + step * tables, j - discount * tables
+        share = rng.betavariate(new, old)
+        gap = math.log(1.0 - rng.random()) / math.log1p(-share) if 0.0 < share < 1.0 else (c if share <= 0.0 else 0.0)
+        end = min(c, j + math.floor(min(gap, c)))
+        logz += math.lgamma(end - discount * tables + new) - math.lgamma(old + new)
+        if end < c:
+            logz += math.log(end - discount * tables + new)
+            tables += 1
+        j = end + 1
+    return tables, logz
+
+
 def seat(c: np.ndarray, discount: float, weight: np.ndarray, step: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
     """A seating of c customers of one dish, for each row: its number of tables, and the log of the
     product of the customers' normalisers. At t tables of the dish a new one has weight + step * t,
@@ -206,6 +251,10 @@ def seat(c: np.ndarray, discount: float, weight: np.ndarray, step: np.ndarray, r
     c, j, weight, step = c[at].astype(float), np.ones(len(at)), weight[at], step[at]
     tables, logz = np.ones(len(at)), np.zeros(len(at))
     while len(at):
+        if len(at) < 24:  # a few rows with many tables: the same draws, a row at a time
+            for k, *row in zip(at.tolist(), c.tolist(), j.tolist(), weight.tolist(), step.tolist(), tables.tolist(), logz.tolist(), strict=True):
+                t[k], z[k] = _seat_one(*row, discount, random.Random(int(rng.integers(1 << 62))))
+            break
         new = weight + step * tables
         old = j - discount * tables
         with np.errstate(all="ignore"):
@@ -288,7 +337,7 @@ def _seated(sent, burn, keep):
 def _dishes(batches):
     """(u, single, more, customers): each group's dishes in each context, seen once or more often."""
     for t in batches:
-        for u, n in zip(*(t.column(c).to_pylist() for c in ("u", "n")), strict=True):
+        for u, n in _each(t, "u", "n"):
             u, n = _wide(u, CONTEXT_BYTES), np.frombuffer(n, "<i8")
             ids, back = np.unique(u, return_inverse=True)
             single = np.bincount(back, n == 1, len(ids)).astype(np.int64)
@@ -299,7 +348,7 @@ def _dishes(batches):
 def _wanted(batches):
     """(g, u): the contexts of each group's pairs that are reseated."""
     for t in batches:
-        for g, u, n in zip(*(t.column(c).to_pylist() for c in ("g", "u", "n")), strict=True):
+        for g, (u, n) in zip(t.column("g").to_pylist(), _each(t, "u", "n"), strict=True):
             ids = np.unique(_wide(u, CONTEXT_BYTES)[np.frombuffer(n, "<i8") > 1])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), g, np.int32)), pa.array(ids.view(np.int64))], names=["g", "u"])
 
@@ -309,7 +358,7 @@ def _tables(keep):
 
     def run(batches):
         for t in batches:
-            for u, ct in zip(t.column("cu").to_pylist(), t.column("ct").to_pylist(), strict=True):
+            for u, ct in _each(t, "cu", "ct"):
                 yield pa.RecordBatch.from_arrays([pa.array(_wide(u, CONTEXT_BYTES).view(np.int64)), *map(pa.array, np.frombuffer(ct, "<f8").reshape(keep, -1))], names=["u", *(f"t{k}" for k in range(keep))])
 
     return run
@@ -321,7 +370,7 @@ def _words(keep, sums):
 
     def run(batches):
         for t in batches:
-            for w, reps, u, n, customers, tables in zip(*(t.column(c).to_pylist() for c in ("w", "reps", "u", "n", "customers", "tables")), strict=True):
+            for w, reps, u, n, customers, tables in _each(t, "w", "reps", "u", "n", "customers", "tables"):
                 words, at, _, n = _read(w, reps, u, n)
                 count = np.bincount(at, n, len(words)).astype(np.int64)
                 both, ids = [*np.frombuffer(customers, "<f8").reshape(keep, -1), *np.frombuffer(tables, "<f8").reshape(keep, -1)], pa.array(words.view(np.int64))
@@ -380,20 +429,6 @@ def _facts(sent):
 ASKED = "g int, batch long, words binary, codes binary, own binary, ids binary"
 
 
-def _local(w: np.ndarray, lengths: np.ndarray):
-    """Distinct words, the most frequent first, and each token's place among them."""
-    words, at, n = np.unique(w, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return words[order], rank[at]
-
-
-def _distinct(at: np.ndarray, lengths: np.ndarray, n_words: int, inverse: bool):
-    """Distinct (word, word before) pairs of places; the start's place is n_words."""
-    return np.unique(at * (n_words + 1) + _before(at, lengths, n_words), return_inverse=inverse)
-
-
 def _ask(sent):
     """A run's distinct words and pairs by group, and a row (g < 0) of its texts and tokens."""
 
@@ -401,10 +436,12 @@ def _ask(sent):
         from pyspark import TaskContext
 
         part, (_, where) = TaskContext.get().partitionId(), sent.value
-        for k, (w, lengths, kept) in enumerate(_runs(batches, ("doc_id", "held_out"))):
-            batch = (part << 24) + k
-            words, at = _local(w, lengths)
-            pairs = _distinct(at, lengths, len(words), False)
+        for k, (at, words, lengths, kept) in enumerate(_runs(batches, ("doc_id", "held_out"))):
+            batch, order = (part << 24) + k, np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            words, at = words[order], place[at]  # frequent words in low places: their numbers pack better
+            pairs = np.unique(_pairs(at, lengths, len(words)))
             every = np.append(words, START)
             pw, pu = words[pairs // len(every)], every[pairs % len(every)]
             gw, gp, code = where.of_word(every), where.of_pair(pw, pu), _code(pw, pu) >> CODE_SHIFT
@@ -501,7 +538,7 @@ def _gather(sent):
                 else:
                     out[:, k] = _unpacked(answers[group].words, "<f4").reshape(2 * SAMPLES, -1)
                     counted[:, k] = _unpacked(answers[group].own, "<i8").reshape(2, -1)
-        code, back = _distinct(at, lengths, len(gw) - 1, True)
+        code, back = np.unique(_pairs(at, lengths, len(gw) - 1), return_inverse=True)
         w, u = code // len(gw), code % len(gw)
         prob = sum(words[k, w].astype(float) * words[SAMPLES + k, u] for k in range(SAMPLES)) / SAMPLES + pairs / (i["a2"] + counted[1, u])
         base = np.log10((counted[0, :-1] + 0.5) / (i["N"] + 0.5 * (i["V"] + 1)))
@@ -582,7 +619,7 @@ def score_texts(docs: DataFrame, held: Column, burn: int = BURN, group: int = GR
 def _count_words(batches):
     """(w, c, n1, n2, dishes): each group's words with their count, their pairs seen once and twice, and their pairs."""
     for t in batches:
-        for row in zip(*(t.column(c).to_pylist() for c in ("w", "reps", "u", "n")), strict=True):
+        for row in _each(t, "w", "reps", "u", "n"):
             words, at, _, n = _read(*row)
             each = [np.bincount(at, x, len(words)).astype(np.int64) for x in (n, n == 1, n == 2, np.ones(len(n)))]
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *map(pa.array, each)], names=["w", "c", "n1", "n2", "dishes"])
