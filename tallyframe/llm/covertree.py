@@ -13,8 +13,8 @@ Pairs are counted and merged into a spanning set of links where they are found,
 
 Defined cases: a null label, and vectors that are null, empty, zero or hold null or non-finite
 components, link with nothing; vectors of unequal lengths do not link; a null vec_id links with
-nothing, has a null component and is kept; repeated rows are vectors of their own; an empty table
-gives no rows; other columns are ignored.
+nothing, has a null component and is kept; repeated rows, and rows with one vec_id, are vectors of
+their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, join_by_key, stored
 
 COSINE = 0.93
 #: Classes a cell should have; centres in all, and bytes of them; own classes in a block of a cell; points in a leaf.
@@ -207,7 +207,8 @@ def covertree_dedup(table: DataFrame, cosine: float = COSINE, cell: int = CELL)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~bad, F.lit(False))
     rows = stored(rows.withColumn("grp", F.when(usable, F.concat_ws("|", F.size("v").cast("string"), F.col("label").cast("string")))))
     good = rows.where("grp is not null")
-    classes = stored(good.groupBy("grp", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
+    classes = good.groupBy("grp", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))  # a class's own id: a vec_id may be in several
     large = classes.groupBy("grp").agg(F.count("*").alias("n"), F.first(F.size("v")).alias("size")).where(F.col("n") > cell).orderBy(F.desc("n"), "grp").limit(CENTRES).collect()
     room = min(CENTRES, CENTRE_BYTES // (8 * max((r["size"] for r in large), default=1)))
     scale = min(1.0, room * cell / max(1, sum(r.n for r in large)))
@@ -215,7 +216,7 @@ def covertree_dedup(table: DataFrame, cosine: float = COSINE, cell: int = CELL)
     tops, ids, first = {}, [], 0
     if wanted:  # the classes of smallest hash, a few more than are wanted of each group: bounded by the room
         share = F.create_map(*(F.lit(x) for r in large for x in (r.grp, min(1.0, (2 * wanted[r.grp] + 8) / r.n))))
-        draw = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 40))
+        draw = F.pmod(F.xxhash64("least", F.lit(5)), F.lit(1 << 40))
         sample = classes.where(F.col("grp").isin(*wanted)).withColumn("draw", draw).where(F.col("draw") < share[F.col("grp")] * (1 << 40)).select("grp", "rep", "v", "draw").collect()
         by: dict[str, list] = {}
         for r in sorted(sample, key=lambda r: (r.grp, r.draw, r.rep)):
@@ -226,7 +227,7 @@ def covertree_dedup(table: DataFrame, cosine: float = COSINE, cell: int = CELL)
             ids += [r.rep for r in chosen]
             first += len(chosen)
     sent, reach = send(tops), float(np.sqrt(2 - 2 * cosine))
-    placed = stored(classes.mapInArrow(_place(sent), "grp string, rep long, mult long, v array<double>, cell long, dist double"))
+    placed = stored(classes.drop("least").mapInArrow(_place(sent), "grp string, rep long, mult long, v array<double>, cell long, dist double"))
     radius, weight = np.zeros(first), np.zeros(first)
     sizes = placed.groupBy("grp", "cell").agg(F.max("dist").alias("radius"), F.sum("mult").alias("weight"), F.count("*").alias("n"))
     for r in sizes.where("cell >= 0").collect():
@@ -240,7 +241,9 @@ def covertree_dedup(table: DataFrame, cosine: float = COSINE, cell: int = CELL)
     found = stored(dealt.repartition(parts, "grp", "cell", "block").sortWithinPartitions("grp", "cell", "block").mapInArrow(_link(cosine), "rep long, linked long, near array<long>"))
     labels = components(found.select(F.col("rep").alias("a"), F.explode("near").alias("b")))
     linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    told = classes.select(F.col("grp").alias("c_grp"), F.col("v").alias("c_v"), "rep").join(linked, "rep").join(labels, F.col("rep") == F.col("id"), "left").select("c_grp", "c_v", "rep", "linked", "component_id")
-    out = rows.join(told, (F.col("grp") == F.col("c_grp")) & (F.col("v") == F.col("c_v")), "left")
-    component = F.coalesce("component_id", "rep", "vec_id")
+    told = stored(classes.join(linked, "rep").join(labels, F.col("rep") == F.col("id"), "left").select("grp", "v", "mult", "least", "linked", F.coalesce("component_id", "rep").alias("root")))
+    smallest = stored(told.groupBy("root").agg(F.min("least").alias("smallest"), F.count("*").alias("classes")))
+    told = stored(join_by_key(told, smallest, ["root"], "classes").select("grp", "v", "mult", "linked", "smallest"))
+    out = join_by_key(rows, told, ["grp", "v"], "mult")
+    component = F.coalesce("smallest", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("linked") - 1, F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

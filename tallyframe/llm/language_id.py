@@ -5,8 +5,8 @@ expectation-maximisation estimates its proportions from the trigrams' likelihood
 languages grows while the likelihood, less half a log of the trigram count for each added language,
 improves. The prediction is the language with the largest share.
 
-Fitting takes at most SAMPLE labelled documents of a language, chosen by hash over the whole table;
-the model has TRIGRAMS cells for each language and is what is broadcast.
+Fitting takes at most SAMPLE different labelled texts of a language, those of the smallest hashes
+over the whole table; the model has TRIGRAMS cells for each language and is what is broadcast.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; rows without lang or text
 teach nothing; with no labelled rows at all every prediction is `und`; null ids are kept; repeated
@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod
 
 TRIGRAMS, SAMPLE, MAX_LANGUAGES = 1 << 15, 4000, 256
-STEPS, PENALTY = 10, 0.5
+PENALTY = 0.5
+#: Expectation-maximisation goes on until no share changes by so much.
+SETTLED = 1e-3
 _fold = np.arange(256, dtype=np.uint32)
 _fold[:128] = 32
 _fold[97:123] = np.arange(97, 123)
@@ -40,13 +42,15 @@ def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return cells, counts[cells].astype(float)
 
 
-def mixture(likelihood: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def mixture(likelihood: np.ndarray, counts: np.ndarray, settled: float = SETTLED) -> tuple[np.ndarray, float]:
     """Proportions of the columns, and the log likelihood, by expectation-maximisation."""
     k, n = likelihood.shape[1], counts.sum()
     share = np.full(k, 1 / k)
-    for _ in range(steps if k > 1 else 0):
+    while k > 1:
         p = likelihood * share
-        share = (counts / p.sum(1)) @ p / n
+        before, share = share, (counts / p.sum(1)) @ p / n
+        if np.abs(share - before).max() < settled:
+            break
     return share, float(counts @ np.log(likelihood @ share))
 
 
@@ -83,15 +87,21 @@ def _teach(batches):
 
 def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities by cell and language) from the usable labelled rows."""
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not totals:
         return [], np.ones((TRIGRAMS, 0))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / (1 << 30)
-    limit = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, sample / n)))
-    chosen = rows.where(part < F.get(F.array(limit[F.col("lang")]), F.lit(0)))
+    # the smallest hashes: a threshold that about twice as many pass, then exact ranks among these
+    text = F.xxhash64("text")
+    low = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, min(1.0, 2 * sample / n))))
+    part = F.pmod(F.xxhash64(text, F.lit(7)), F.lit(1 << 30)) / (1 << 30)
+    marked = rows.withColumn("h", text).withColumn("part", part)
+    few = marked.where(F.col("part") < F.get(F.array(low[F.col("lang")]), F.lit(0))).groupBy("lang", "h").agg(F.min("part").alias("part"))
+    passed = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("part", "h")))
+    picked = passed.where(F.col("nth") <= sample).select("lang", "h")  # at most `sample` rows a language
+    chosen = marked.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
     cells = chosen.select("lang", "text").mapInArrow(_teach, "lang string, cell int, n double").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(totals)
     model = np.full((TRIGRAMS, len(languages)), 0.5)

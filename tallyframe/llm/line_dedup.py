@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .url_filter import host_and_path
 
 RATIO, LEAST_PAGES = 0.2, 5
-#: A host with more than 1/HOT of all pages has them dealt over HOT groups; there are fewer than HOT such hosts.
-HOT = 64
+#: A host with more than 1/hot of all pages has them dealt over so many groups; there are fewer than `hot` such
+#: hosts. hot is this many times the shuffle partitions.
+SPREAD = 8
 
 
 def page_lines(html: Column) -> Column:
@@ -46,11 +47,12 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     """page_id, host, n_lines, n_dropped, text (kept lines, a line each): a row per page."""
     lined = pages.select("page_id", host_and_path(F.col("url"))[0].alias("host"), page_lines(F.col("html")).alias("lines"))
     per_host = pages.select(host_and_path(F.col("url"))[0].alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    groups = SPREAD * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = per_host.agg(F.sum("n").alias("total"))
-    hot = per_host.crossJoin(F.broadcast(total)).where(F.col("n") * HOT > F.col("total")).select("h")  # total is one row
+    hot = per_host.crossJoin(F.broadcast(total)).where(F.col("n") * groups > F.col("total")).select("h")  # total is one row
     often = boilerplate(lined.select("host", "lines"), ratio, least_pages).join(F.broadcast(hot), F.col("host") == F.col("h"), "left")
-    often = often.select(F.col("host").alias("b_host"), "marks", F.explode(F.sequence(F.lit(0), F.when(F.col("h").isNull(), 0).otherwise(HOT - 1))).alias("b_part"))
-    dealt = lined.join(F.broadcast(hot), F.col("host") == F.col("h"), "left").withColumn("part", F.when(F.col("h").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(HOT))).cast("int"))
+    often = often.select(F.col("host").alias("b_host"), "marks", F.explode(F.sequence(F.lit(0), F.when(F.col("h").isNull(), 0).otherwise(groups - 1))).alias("b_part"))
+    dealt = lined.join(F.broadcast(hot), F.col("host") == F.col("h"), "left").withColumn("part", F.when(F.col("h").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(groups))).cast("int"))
     beside = dealt.join(often, (F.col("host") == F.col("b_host")) & (F.col("part") == F.col("b_part")), "left")
     keep = F.when(F.col("marks").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("marks"), _mark(x))))
     kept = beside.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), keep.alias("kept"))

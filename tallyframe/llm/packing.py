@@ -25,14 +25,20 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Shares of a pattern's sequences that are spread over an order of the documents, and positions in a bucket of it.
-SLICES, BUCKET = 64, 20_000
+SLICES, BUCKET = 16, 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Tokens in a length class: a piece takes its length rounded up to a multiple of it.
-UNIT = 8
+#: Length classes: lengths up to EXACT are classes of their own, longer ones are rounded up to a multiple of UNIT.
+EXACT, UNIT = 128, 8
+#: How far the program may stay above the bound by the lengths' sum.
+GAP = 1e-3
 #: Parts and words whose ids a worker remembers; of twice as many the older half goes.
 REMEMBERED = 250_000
-#: The tokenizer's own word pattern, and letters for which its normaliser is lower().
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: The tokenizer's own word pattern and steps, and letters for which its normaliser is lower().
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 PLAIN = r"[!-~\u00a1-\u012f\u0131-\u024f]*"
 _state: dict = {}
 
@@ -54,9 +60,11 @@ class _Recent(dict):
         return value
 
 
-def _known(name: str) -> _Recent:
-    """Part without blanks -> its ids' bytes, by the tokenizer of that name or path."""
+def _known(name: str):
+    """Part without blanks -> its ids' bytes, by the tokenizer of that name or path; for a tokenizer
+    of other steps than STEPS a function of whole texts."""
     if name not in _state:
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,7 +72,13 @@ def _known(name: str) -> _Recent:
         import regex
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+        path = name if "/" in name else public_tokenizers.path(name)
+        tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if any(spec.get(k) != v for k, v in STEPS.items()) or spec["model"]["type"] != "BPE":  # another tokenizer: whole texts, by itself
+            _state[name] = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return _state[name]
         model, words, plain = tokenizer.model, regex.compile(WORDS), regex.compile(PLAIN)
 
         # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
@@ -95,6 +109,8 @@ def token_bytes(texts: list[str], name: str) -> list[bytes]:
     parts between blanks and line ends; a part of plain Latin text is that of its words.
     """
     known = _known(name)
+    if not isinstance(known, _Recent):
+        return [known(text) for text in texts]
     return [b"".join([known[p] for p in text.replace("\n", " ").split(" ")]) for text in texts]
 
 
@@ -121,66 +137,87 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int, closing: int, hashe
     return texts.mapInArrow(_cut(tokenizer, size, closing), PIECES + (", text_hash long" if hashed else ""))
 
 
-def price(values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The knapsack over lengths 1..capacity with these values (index 0 unused): best value, pattern."""
+def filled(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The knapsack over lengths 1..capacity with these values (index 0 unused): for each room the best value and the length it takes last."""
     best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
         sums = values[1 : c + 1] + best[c - 1 :: -1][:c]
         k = int(sums.argmax())
         best[c], pick[c] = (sums[k], k + 1) if sums[k] > best[c - 1] + 1e-12 else (best[c - 1], 0)
+    return best, pick
+
+
+def unrolled(pick: np.ndarray, room: int) -> dict[int, int]:
     pattern: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if pick[c]:
-            pattern[int(pick[c])] = pattern.get(int(pick[c]), 0) + 1
-            c -= int(pick[c])
+    while room > 0:
+        if s := int(pick[room]):
+            pattern[s] = pattern.get(s, 0) + 1
+            room -= s
         else:
-            c -= 1
-    return float(best[capacity]), pattern
+            room -= 1
+    return pattern
+
+
+def patterns_through(values: np.ndarray, sizes: np.ndarray, capacity: int, most: int) -> tuple[float, list[dict[int, int]]]:
+    """The knapsack's best value, and the best patterns that hold a given length, of the `most` lengths of the largest such values."""
+    best, pick = filled(values, capacity)
+    through = values[sizes] + best[capacity - sizes]
+    found = {}
+    for k in np.argsort(-through, kind="stable")[:most].tolist():
+        pattern = unrolled(pick, capacity - int(sizes[k]))
+        pattern[int(sizes[k])] = pattern.get(int(sizes[k]), 0) + 1
+        found[tuple(sorted(pattern.items()))] = pattern
+    return float(best[capacity]), list(found.values())
 
 
-def solve(demand: dict[int, int], capacity: int, rounds: int = 5000) -> list[tuple[dict[int, int], int]]:
+def solve(demand: dict[int, int], capacity: int, gap: float = GAP, pivots: int = 200_000) -> list[tuple[dict[int, int], int]]:
     """Patterns (length -> copies) with how often each is used, covering the demand.
 
-    The simplex method on the covering program, with columns from price(). Runs on the driver:
-    its size is the number of length classes, whatever the input's size.
+    The simplex method on the covering program; one knapsack table prices a column through every
+    length. It ends at the optimum, or within `gap` of the bound that the lengths' sum gives. Runs on
+    the driver: its size is the number of length classes, whatever the input's size.
     """
     sizes = sorted(k for k, v in demand.items() if v > 0)
     if not sizes:
         return []
-    m = len(sizes)
+    m, lengths = len(sizes), np.array(sizes)
     row = {s: i for i, s in enumerate(sizes)}
     need = np.array([demand[s] for s in sizes], float)
     columns: list[dict[int, int] | None] = [{s: capacity // s} for s in sizes]
-    cost = np.ones(m)
-    inverse = np.diag([1.0 / (capacity // s) for s in sizes])
-    x = inverse @ need
-    for _ in range(rounds):
+    cost, inverse = np.ones(m), np.diag([1.0 / (capacity // s) for s in sizes])
+    x, dual, done = inverse @ need, None, 0
+    enough = float(lengths @ need) / capacity * (1 + gap)
+    while True:
         dual = cost @ inverse
         if (low := int(dual.argmin())) >= 0 and dual[low] < -1e-9:  # a surplus column enters
-            entering, column, c = None, -np.eye(m)[:, low], 0.0
+            entering = [None]
         else:
             values = np.full(capacity + 1, -1.0)
             values[sizes] = dual
-            best, entering = price(values, capacity)
-            if best <= 1 + 1e-7:
+            best, entering = patterns_through(values, lengths, capacity, 64)
+            if best <= 1 + 1e-7 or float(x @ cost) <= enough:
                 break
-            column, c = np.zeros(m), 1.0
-            for s, n in entering.items():
-                column[row[s]] = n
-        step = inverse @ column
-        up = step > 1e-10
-        if not up.any():
-            break
-        ratio = np.full(m, np.inf)
-        ratio[up] = np.maximum(x[up], 0) / step[up]
-        out = int(ratio.argmin())
-        x = x - ratio[out] * step
-        x[out] = ratio[out]
-        pivot = inverse[out] / step[out]
-        inverse = inverse - np.outer(step, pivot)
-        inverse[out] = pivot
-        columns[out], cost[out] = entering, c
+        for pattern in entering:
+            if pattern is None:
+                step, gain, c = -inverse[:, low], -dual[low], 0.0
+            else:
+                at, copies = [row[s] for s in pattern], np.array(list(pattern.values()), float)
+                step, gain, c = inverse[:, at] @ copies, float(dual[at] @ copies) - 1, 1.0
+            up = step > 1e-10
+            if gain <= 1e-9 or not up.any():
+                continue
+            ratio = np.full(m, np.inf)
+            ratio[up] = np.maximum(x[up], 0) / step[up]
+            out = int(ratio.argmin())
+            x = x - ratio[out] * step
+            x[out] = ratio[out]
+            pivot = inverse[out] / step[out]
+            some = step.nonzero()[0]
+            inverse[some] -= np.outer(step[some], pivot)
+            inverse[out] = pivot
+            columns[out], cost[out], dual, done = pattern, c, dual - gain * pivot, done + 1
+            if done > pivots:
+                raise RuntimeError(f"the packing program isn't solved after {pivots} pivots")
     left = dict(demand)
     used: list[tuple[dict[int, int], int]] = []
     for pattern, amount in sorted(((p, v) for p, v in zip(columns, x.tolist(), strict=True) if p), key=lambda q: -q[1]):
@@ -227,25 +264,25 @@ def numbered(placed: DataFrame) -> DataFrame:
     return placed.join(new, F.col("sequence_id") == F.col("s_id")).drop("sequence_id", "s_id").withColumnRenamed("number", "sequence_id")
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, closing: int = 1, unit: int = UNIT, order: DataFrame | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, closing: int = 1, unit: int = UNIT, exact: int = EXACT, order: DataFrame | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row per piece.
 
     Ranks within a class are counted in buckets of it, by hash or by position, and shifted by the
     buckets' counts, so no class, however common, is ranked in one task. The broadcast table of
-    places has a row for each class in each pattern: at most size/unit squared, whatever the
-    input's size, and with an order (doc_id, text_hash, position: each document once) SLICES times that.
+    places has a row for each class in each pattern: at most the square of the number of classes
+    (exact + size/unit), whatever the input's size, and with an order (doc_id, text_hash, position: each document once) SLICES times that.
     """
     spark = docs.sparkSession
     cut = token_pieces(docs, tokenizer, size, closing, order is not None)
     if order is not None:
         at = order.select(F.col("doc_id").cast("long").alias("o_id"), F.col("text_hash").alias("o_hash"), "position")
         cut = stored(cut).join(at, (F.col("text_hash") == F.col("o_hash")) & F.col("doc_id").eqNullSafe(F.col("o_id"))).drop("o_id", "o_hash", "text_hash")
-    pieces = stored(cut.withColumn("class", F.ceil(F.col("length") / unit).cast("int")))
+    pieces = stored(cut.withColumn("class", F.when(F.col("length") <= exact, F.col("length")).otherwise(F.least(F.ceil(F.col("length") / unit) * unit, F.lit(size))).cast("int")))
     demand = {r["class"]: r["n"] for r in pieces.groupBy("class").agg(F.count("*").alias("n")).collect()}
     total = sum(demand.values())
-    places = places_of(solve(demand, size // unit), 1 if order is None else SLICES)
+    places = places_of(solve(demand, size), 1 if order is None else SLICES)
     table = spark.createDataFrame(places, "p_class int, rank_from long, rank_to long, sequence_from long, copies long")
-    buckets = max(1, total // 20_000)
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
     first = [] if order is None else ["position"]
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)) if order is None else F.floor(F.col("position") / BUCKET))
     counts = dealt.groupBy("class", "bucket").agg(F.count("*").alias("n"))

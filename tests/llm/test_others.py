@@ -289,6 +289,14 @@ def test_covertree_stretched_cell_beside_a_tight_one(spark):
     assert {i: r.n_links for i, r in got.items()} == links and {i: r.component_id for i, r in got.items()} == label
 
 
+def test_covertree_one_id_in_two_classes(spark):
+    """Orthogonal vectors with one vec_id do not link, and what one of them links with is no link of the other."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (3, [-1.0, 0.0], 0), (3, [-1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in covertree.covertree_dedup(df).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 1, 3), (3, 1, 3)]
+
+
 def test_covertree_empty_and_null_id(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert covertree.covertree_dedup(df).count() == 0
@@ -422,6 +430,23 @@ def test_mixing_places_every_row_once(spark, odd, empty):
     assert mixing.schedule(odd).count() == 15 and mixing.schedule(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "other"])
+def test_other_tokenizers_encode_whole_texts(name, tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    if name == "other":
+        spec = json.load(open(path, encoding="utf-8"))
+        spec["normalizer"] = None
+        path = str(tmp_path / "other.json")
+        json.dump(spec, open(path, "w", encoding="utf-8"))
+    text = "Some Words, ÉCOLE don't 12"
+    assert packing.token_bytes([text], path)[0] == np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_random_texts_give_the_tokenizers_ids():
     import random
 
