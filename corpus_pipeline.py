@@ -14,25 +14,42 @@ from tallyframe.llm.common import crc_mod, stored
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the mixture model can name; texts without any letter go."""
+    """Documents in a language that the mixture model can name.
+
+    A null text and a text without any letter go, and where no row has a language all go. Null ids,
+    repeated rows, very long texts and other columns, whatever their names, stay as they are.
+    """
     languages, model = language_id.learn(docs, crc_mod(F.col("doc_id"), 4) != 2)
     return language_id.named(docs, languages, model)
 
 
+def without(docs: DataFrame, found: DataFrame, hashed: str) -> DataFrame:
+    """docs less the rows that an operator (doc_id, kept and the hash of the text, null as empty) does
+    not keep. Rows are told apart by id and text, so a text that stays is never lost with another of
+    its id; of repeated rows with the same id and text one stays."""
+    gone = found.where("not kept").select(F.col("doc_id").alias("g_id"), F.col(hashed).alias("g_hash")).distinct()
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    left = docs.join(gone, (text == gone["g_hash"]) & docs["doc_id"].cast("long").eqNullSafe(gone["g_id"]), "left_anti")
+    repeated = found.where("kept and doc_id is not null").groupBy("doc_id", hashed).agg(F.count("*").alias("n")).where("n > 1")
+    return left if repeated.isEmpty() else left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+
+
 def exact_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, white space aside."""
-    found = exact_dedup.exact_dedup(docs)
-    gone = found.where("not kept").select(F.col("doc_id").alias("g_id"), F.col("xx").alias("g_xx"))
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    left = docs.join(gone, (text == F.col("g_xx")) & F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti")
-    repeated = found.where("kept").groupBy("doc_id", "xx").agg(F.count("*").alias("n")).where("n > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    """One document of each group of equal texts, white space aside: the longest, then of the smallest id.
+
+    Null and empty texts are one group. A row with a null id stays only if no row with an id can
+    stand for it. An empty table gives no rows; other columns are carried along.
+    """
+    return without(docs, exact_dedup.exact_dedup(docs), "xx")
 
 
 def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    gone = minhash.minhash_dedup(docs).where("not kept").select(F.col("doc_id").alias("g_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("g_id"), "left_anti")
+    """One document of each component of near-duplicates: that of the smallest id.
+
+    Null and empty texts and rows with a null id are near to nothing and stay. An empty table gives
+    no rows; other columns are carried along.
+    """
+    return without(docs, minhash.minhash_dedup(docs), "text_hash")
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -41,14 +58,24 @@ def positions(docs: DataFrame) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the sources' schedule."""
-    placed = positions(docs).withColumnRenamed("doc_id", "p_id")
-    joined = docs.join(placed, (F.xxhash64("text") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("p_id")))
-    return joined.repartitionByRange("position").sortWithinPartitions("position").select(*(docs[c] for c in docs.columns))
+    """The documents in the order of the sources' schedule: every row, none twice.
+
+    A null source is a source of its own; a null text or id is placed like any other. An empty table
+    gives no rows; other columns are carried along.
+    """
+    placed = positions(docs).select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), F.col("position").alias("p_position"))
+    joined = docs.join(placed, (F.xxhash64(docs["text"]) == placed["p_hash"]) & docs["doc_id"].eqNullSafe(placed["p_id"]))
+    order = placed["p_position"]
+    return joined.repartitionByRange(order).sortWithinPartitions(order).select(*(docs[c] for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences numbered in the order of the sources' schedule, which stored rows do not keep: it is found again."""
+    """Every token of every document in one piece of a sequence: sequences are numbered in the order of
+    the sources' schedule, which stored rows do not keep, so it is found again.
+
+    A null text has its closing token only; null ids and repeated rows are packed as they are; an
+    empty table gives no rows; other columns are left out.
+    """
     return packing.pack(docs, order=positions(docs))
 
 
