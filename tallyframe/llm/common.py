@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts spell it: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 _stored: list[str] = []
+#: Whether shuffle files go when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,9 +46,14 @@ def clear(spark: SparkSession) -> None:
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet in the shared folder and read back: lineage ends here,
-    and a lost executor costs a reread, not a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/tallyframe/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    and a lost executor costs a reread, not a recomputation. The shuffle files of the plan go with it."""
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/tallyframe/{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -61,12 +67,6 @@ def drop_stored(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that are done: it follows the driver's garbage collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, drop_stored, release, stored
+from .common import crc_mod, drop_stored, stored
 from .shingles import scrambled
 
 SAMPLES, BURN = 3, 2
 #: Tokens of a group of pairs, and of a run of texts.
-GROUP, BATCH = 400_000, 1_000_000
+GROUP, BATCH = 400_000, 500_000
 #: A text in so many, by its hash, tells how many groups there are and which words are split over them: no result depends on it.
 SHARE = 16
 #: Words that may be split over groups (a share of more than 1/WIDE of all tokens).
@@ -566,9 +566,7 @@ def score_texts(docs: DataFrame, held: Column, burn: int = BURN, group: int = GR
     split = np.array([w for w, _ in often], np.uint64)
     where = _Groups(max(48, total // group), split, np.array([-(-n // group) for _, n in often], np.uint64))
     table = stored(train.mapInArrow(_count_pairs(send(where)), PAIRS).groupBy("g").applyInPandas(_merge, PAIRS))
-    release(spark)
     contexts = stored(table.mapInArrow(_dishes, "u long, single long, more long, customers long").groupBy("u").agg(*(F.sum(c).alias(c) for c in ("single", "more", "customers"))))
-    release(spark)
     counts = table.mapInArrow(_count_words, "w long, c long, n1 long, n2 long, dishes long").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("c", "n1", "n2", "dishes")))
     one = lambda c, k: F.coalesce(F.sum((F.col(c) == k).cast("long")), F.lit(0)).alias(f"{c}{k}")
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count("*").alias("V"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "dishes")), one("dishes", 1), one("dishes", 2)).first()
@@ -590,7 +588,6 @@ def score_texts(docs: DataFrame, held: Column, burn: int = BURN, group: int = GR
         numbers = ", ".join(f"{x}{k} double" for x in "cs" for k in range(keep))
         words = state.mapInArrow(_words(keep, where if keep == 1 else None), f"w long, c long, {numbers}").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("c", *(f"{x}{k}" for x in "cs" for k in range(keep)))))
         words = stored(words)
-        release(spark)
         parts = words.agg(*(F.coalesce(F.sum(f"{x}{k}"), F.lit(0.0)).alias(f"{x}{k}") for x in "cs" for k in range(keep))).first()
         c_split = np.zeros((len(split), keep))
         for r in words.where(F.col("w").isin([int(w) for w in split.view(np.int64)])).collect() if len(split) else ():

@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_dedup(spark, sf_dir):
-    return minhash.minhash_dedup(_table(spark, sf_dir, "documents"))
+    return minhash.minhash_dedup(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op2_packing(spark, sf_dir):
@@ -85,26 +85,33 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 
 OP6_SQL = r"""
 WITH c AS (
-  SELECT page_id, md5(coalesce(html, '')) AS digest, strlen(coalesce(html, ''))::BIGINT AS size, regexp_replace(trim(url), '#.*$', '') AS bare, url FROM pages
+  SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'response' ELSE 'revisit' END AS kind, md5(coalesce(html, '')) AS digest, strlen(coalesce(html, ''))::BIGINT AS size, page_id // 40 AS version,
+    regexp_replace(url, '^([A-Za-z]+://[^/?#]*/[^/?#]*).*$', '\1', 's') || CASE WHEN page_id % 2 = 0 THEN '/?utm_source=feed#top' ELSE '' END AS url FROM pages
 ), s AS (
+  SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare,
+    CASE WHEN CASE WHEN kind = 'response' THEN page_id % 4 <> 0 ELSE page_id % 5 < 3 END THEN 'v' || version END AS etag, CASE WHEN CASE WHEN kind = 'response' THEN page_id % 7 <> 0 ELSE page_id % 2 = 0 END THEN 'd' || version END AS modified FROM c
+), h AS (
   SELECT *, regexp_replace(translate(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(http://[^:]*):80$|^(https://[^:]*):443$', '\1\2') AS head,
-    regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS rest FROM c
+    regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS rest FROM s
 ), q AS (
   SELECT *, regexp_replace(head, '^https?://(www[.])?', 'http://') AS host, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') AS path,
-    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))), '&') AS query FROM s
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))), '&') AS query FROM h
 ), u AS (
-  SELECT page_id, digest, size, CASE WHEN url IS NOT NULL THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical_url FROM q
+  SELECT page_id, kind, digest, size, etag, modified, page_id // 2 AS ts, page_id || '-' || kind AS record_id, CASE WHEN url IS NOT NULL THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical_url FROM q
+), f AS (
+  SELECT * FROM u WHERE kind = 'response' QUALIFY row_number() OVER (PARTITION BY canonical_url, ts ORDER BY record_id DESC) = 1
 ), a AS (
-  SELECT r.page_id, r.canonical_url, r.page_id * 2 + 1 AS ts, r.digest, f.page_id AS f_id, f.digest AS f_digest, f.size AS f_size,
-    CASE WHEN r.page_id % 10 = 0 THEN 'old-' || r.digest ELSE r.digest END AS etag
-  FROM u r ASOF LEFT JOIN u f ON r.canonical_url = f.canonical_url AND r.page_id * 2 + 1 >= f.page_id * 2
+  SELECT r.*, f.record_id AS f_id, f.digest AS f_digest, f.size AS f_size, f.etag AS f_etag, f.modified AS f_modified
+  FROM (SELECT * FROM u WHERE kind = 'revisit') r ASOF LEFT JOIN f ON r.canonical_url = f.canonical_url AND r.ts >= f.ts
+), o AS (
+  SELECT *, CASE WHEN f_id IS NULL THEN 'no_earlier'
+    WHEN coalesce(etag <> f_etag, false) OR coalesce(etag IS NULL AND modified <> f_modified, false) OR NOT ((etag IS NOT NULL AND f_etag IS NOT NULL) OR (modified IS NOT NULL AND f_modified IS NOT NULL)) THEN 'validator_mismatch' ELSE 'resolved' END AS outcome FROM a
 )
-SELECT page_id || '-revisit' AS record_id, canonical_url, ts, CASE WHEN etag = f_digest THEN f_id || '-response' END AS resolved_id,
-  CASE WHEN f_id IS NULL THEN 'no_earlier' WHEN etag <> f_digest THEN 'validator_mismatch' ELSE 'resolved' END AS outcome,
-  (CASE WHEN etag = f_digest THEN 200 ELSE 304 END)::INTEGER AS status, CASE WHEN etag = f_digest THEN f_digest END AS payload_digest, CASE WHEN etag = f_digest THEN f_size END AS payload_length,
-  CASE WHEN etag = f_digest THEN 'age=0;content-length=' || f_size || ';content-type=text/html;date=' || page_id || ';etag=' || etag
-    ELSE 'content-length=0;date=' || page_id || ';etag=' || etag END AS headers
-FROM a
+SELECT record_id, canonical_url, ts, CASE WHEN outcome = 'resolved' THEN f_id END AS resolved_id, outcome, (CASE WHEN outcome = 'resolved' THEN 200 ELSE 304 END)::INTEGER AS status,
+  CASE WHEN outcome = 'resolved' THEN f_digest END AS payload_digest, CASE WHEN outcome = 'resolved' THEN f_size END AS payload_length,
+  CASE WHEN outcome = 'resolved' THEN 'age=0;content-length=' || f_size || ';content-type=text/html;date=' || page_id || CASE WHEN coalesce(etag, f_etag) IS NOT NULL THEN ';etag=' || coalesce(etag, f_etag) ELSE '' END
+    ELSE 'content-length=0;date=' || page_id || CASE WHEN etag IS NOT NULL THEN ';etag=' || etag ELSE '' END END AS headers
+FROM o
 """.replace("\\\\", "\\")
 
 OP7_SQL = r"""
@@ -124,5 +131,65 @@ FROM l LEFT JOIN m USING (host), LATERAL (SELECT CASE WHEN m.often IS NULL THEN
 """.replace("\\\\", "\\")
 
 
+#: Components: the smallest id that a closure of the links reaches.
+_CLOSURE = """
+), r AS (
+  SELECT DISTINCT a AS id, a AS low FROM (SELECT a FROM e UNION SELECT b FROM e)
+  UNION SELECT CASE WHEN e.a = r.id THEN e.b ELSE e.a END, r.low FROM r JOIN e ON r.id = e.a OR r.id = e.b
+), k AS (SELECT id, min(low) AS component_id FROM r GROUP BY id)
+"""
+
+OP1_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM t WHERE len(w) > 0
+), s AS (SELECT doc_id, unnest(s) AS x FROM g
+), n AS (SELECT doc_id, len(s) AS n FROM g
+), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)""" + _CLOSURE + """
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN k ON id = doc_id
+"""
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0
+), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+), l AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id
+), e AS (SELECT a, b FROM p""" + _CLOSURE + """
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN l ON l.id = vec_id LEFT JOIN k ON k.id = vec_id
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), rules(rule, verdict, site, below) AS (VALUES {rules}
+), j AS (
+  SELECT page_id, host, path, html, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled FROM h LEFT JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, '/' || below) GROUP BY ALL
+), hosts AS (SELECT DISTINCT host FROM j WHERE host <> ''
+), up AS (SELECT host AS a, regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) AS b FROM hosts WHERE regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) <> ''
+), w AS (
+  SELECT host AS src, translate(regexp_extract(u, '^(?:[A-Za-z]+:)?//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst, 1.0::DOUBLE AS weight
+  FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?((?:[a-z]+:)?//[^"''\s>]*)', 1)) AS u FROM j WHERE host <> '') WHERE true
+  UNION ALL SELECT a, b, 0.25::DOUBLE FROM up UNION ALL SELECT b, a, 0.25::DOUBLE FROM up
+), e AS (SELECT src, dst, sum(weight) AS weight FROM w WHERE dst <> '' AND src <> dst GROUP BY 1, 2
+), m AS (
+  SELECT 'trust' AS kind, src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM e UNION ALL SELECT 'distrust', dst, src, weight / sum(weight) OVER (PARTITION BY dst) FROM e
+), d AS (
+  SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS seed FROM (SELECT CASE ruled WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*)::DOUBLE AS n FROM j WHERE ruled IS NOT NULL GROUP BY 1, 2)
+), r AS (
+  SELECT 0 AS step, kind, host, seed AS mass FROM d
+  UNION ALL SELECT step + 1, kind, host, sum(x) FROM (
+    SELECT r.step, m.kind, m.dst AS host, 0.85::DOUBLE * r.mass * m.share AS x FROM r JOIN m ON r.kind = m.kind AND r.host = m.src WHERE r.step < 120) GROUP BY 1, 2, 3
+), k AS (SELECT host, 0.15::DOUBLE * coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS trust, 0.15::DOUBLE * coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS distrust FROM r GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) > 0.5 * (coalesce(trust, 0) + coalesce(distrust, 0)) THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN k ON j.host = k.host
+""".replace("{rules}", ", ".join(f"('{r}', '{v}', '{r.partition('/')[0]}', '{r.partition('/')[2]}')" for r, v in url_filter.RULES))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_revisits": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op5_covertree_dedup": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}

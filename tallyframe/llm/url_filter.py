@@ -2,7 +2,7 @@
 
 Trust is personalised PageRank from the hosts of allowed pages along the edges; distrust is the
 same from the hosts of blocked pages along the reversed edges. A host is blocked when distrust
-exceeds its share of both by the threshold. Host edges come from absolute links in the pages and,
+exceeds its share of both by the threshold. Host edges come from links in the pages that name a host and,
 weakly, from each host to its parent domain and back, so that hosts without links are judged by
 their domain. DataFrame functions only.
 
@@ -43,9 +43,12 @@ def rule_of(host: Column, path: Column, rules) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight) between different hosts, from pages with host and html columns."""
-    targets = F.transform(F.regexp_extract_all("html", F.lit(r"(?i)href\s*=\s*[\"']?([a-z]+://[^\"'\s>]*)"), 1), lambda u: host_and_path(u)[0])
-    links = pages.where("html like '%://%' and host <> ''").select(F.col("host").alias("src"), F.explode(targets).alias("dst"))
+    """(src, dst, weight) between different hosts, from pages with host and html columns: absolute
+    links, and those that take over the page's scheme. Other links lead to the page's own host, which
+    no walk between hosts needs."""
+    named = F.regexp_extract_all("html", F.lit(r"(?i)href\s*=\s*[\"']?((?:[a-z]+:)?//[^\"'\s>]*)"), 1)
+    targets = F.transform(named, lambda u: ascii_lower(F.regexp_extract(u, "^(?:[A-Za-z]+:)?//([^/?#]*)", 1)))
+    links = pages.where("html like '%//%' and host <> ''").select(F.col("host").alias("src"), F.explode(targets).alias("dst"))
     linked = links.where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.select("host").where("host <> ''").union(linked.select("dst")).distinct()
     parent = hosts.select(F.col("host").alias("a"), F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1).alias("b")).where("b <> ''").distinct()

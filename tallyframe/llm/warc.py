@@ -84,18 +84,21 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Two capture records per page: its full response, and a later not-modified one whose entity tag
-    is stale for every tenth page."""
-    digest = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
-    p = pages.select("page_id", "url", digest.alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"))
-    kind = F.explode(F.array(F.lit("response"), F.lit("revisit"))).alias("kind")
-    p = p.select("*", kind)
-    first = F.col("kind") == "response"
-    stale = F.pmod(F.col("page_id"), F.lit(10)) == 0
-    etag = F.when(~first & stale, F.concat(F.lit("old-"), F.col("digest"))).otherwise(F.col("digest"))
-    full = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.col("size").cast("string"), F.lit("etag"), F.col("digest"), F.lit("age"), F.lit("0"))
+    """A capture per page, of its site's section (the url up to the first part of its path, spelled in
+    two ways): a third are full responses, the others not-modified records, two captures share a time,
+    and a section's validators change every forty pages. So a record's response is another page's, of
+    any earlier time and of either version; some records carry an entity tag, some a date, some
+    neither. Nulls: a null page_id is a record without time or validators; a null url or html is
+    allowed; repeated rows are captures of their own; an empty table gives no rows."""
+    i, digest = F.col("page_id"), F.md5(F.coalesce("html", F.lit("")).cast("binary"))
+    kind = F.when(i % 3 == 0, "response").otherwise("revisit")
+    p = pages.select("page_id", F.concat(F.regexp_replace("url", "(?s)^([A-Za-z]+://[^/?#]*/[^/?#]*).*$", "$1"), F.when(i % 2 == 0, "/?utm_source=feed#top").otherwise("")).alias("url"), kind.alias("kind"), digest.alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"))
+    first, version = F.col("kind") == "response", F.floor(i / 40).cast("string")
+    etag = F.when(F.when(first, i % 4 != 0).otherwise(i % 5 < 3), F.concat(F.lit("v"), version))
+    modified = F.when(F.when(first, i % 7 != 0).otherwise(i % 2 == 0), F.concat(F.lit("d"), version))
+    full = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.col("size").cast("string"), F.lit("etag"), etag, F.lit("age"), F.lit("0"))
     short = F.create_map(F.lit("content-length"), F.lit("0"), F.lit("etag"), etag, F.lit("date"), F.col("page_id").cast("string"))
     return p.select(
-        F.concat_ws("-", F.col("page_id").cast("string"), "kind").alias("record_id"), "url", (F.col("page_id") * 2 + F.when(first, 0).otherwise(1)).alias("ts"), "kind", F.when(first, 200).otherwise(304).alias("status"), etag.alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"), F.when(first, F.col("digest")).alias("payload_digest"), F.when(first, F.col("size")).alias("payload_length"), F.when(first, full).otherwise(short).alias("headers"),
+        F.concat_ws("-", F.col("page_id").cast("string"), "kind").alias("record_id"), "url", F.floor(i / 2).alias("ts"), "kind", F.when(first, 200).otherwise(304).alias("status"), etag.alias("etag"), modified.alias("last_modified"),
+        F.when(first, F.col("digest")).alias("payload_digest"), F.when(first, F.col("size")).alias("payload_length"), F.map_filter(F.when(first, full).otherwise(short), lambda _, x: x.isNotNull()).alias("headers"),
     )
