@@ -23,15 +23,16 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.named(docs, languages, model)
 
 
-def without(docs: DataFrame, found: DataFrame, hashed: str) -> DataFrame:
+def without(docs: DataFrame, found: DataFrame, hashed: str, named_only: bool = False) -> DataFrame:
     """docs less the rows that an operator (doc_id, kept and the hash of the text, null as empty) does
     not keep. Rows are told apart by id and text, so a text that stays is never lost with another of
-    its id; of repeated rows with the same id and text one stays."""
+    its id; of repeated rows with the same id and text one stays, with named_only where the id isn't null."""
     gone = found.where("not kept").select(F.col("doc_id").alias("g_id"), F.col(hashed).alias("g_hash")).distinct()
     text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     left = docs.join(gone, (text == gone["g_hash"]) & docs["doc_id"].cast("long").eqNullSafe(gone["g_id"]), "left_anti")
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id", hashed).agg(F.count("*").alias("n")).where("n > 1")
-    return left if repeated.isEmpty() else left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    single = F.col("doc_id").isNotNull() if named_only else F.lit(True)
+    repeated = found.where(F.col("kept") & single).groupBy("doc_id", hashed).agg(F.count("*").alias("n")).where("n > 1")
+    return left if repeated.isEmpty() else left.where(~single).unionByName(left.where(single).dropDuplicates(["doc_id", "text"]))
 
 
 def exact_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and rows with a null id are near to nothing and stay. An empty table gives
     no rows; other columns are carried along.
     """
-    return without(docs, minhash.minhash_dedup(docs), "text_hash")
+    return without(docs, minhash.minhash_dedup(docs), "text_hash", named_only=True)
 
 
 def positions(docs: DataFrame) -> DataFrame:
