@@ -76,14 +76,15 @@ def overlapping_windows(duration: Column, core: float, context: float) -> Column
     return F.transform(starts, lambda i: F.struct(i.alias("window"), F.greatest(F.lit(0.0), i * core - context).alias("from"), F.least(duration, (i + 1) * core + context).alias("to"), (i * core).alias("core_from"), F.least(duration, (i + 1) * core).alias("core_to")))
 
 
-def candidate_runs(units: DataFrame, by: str, min_s: float, max_s: float, longest: int) -> DataFrame:
+def candidate_runs(units: DataFrame, by: str, min_s: float, max_s: float) -> DataFrame:
     """All runs of adjacent units whose span lies in [min_s, max_s]: (by, first, last, start, end, text).
 
-    A run is found from its first unit's row through the following `longest` rows, so nothing is
-    joined; `longest` bounds how many units can fit max_s.
+    A run is found from its first unit's row and the units that start within max_s of it, however
+    many they are, so nothing is joined.
     """
-    w = Window.partitionBy(by).orderBy("unit").rowsBetween(0, longest - 1)
-    ahead = units.withColumn("ahead", F.collect_list(F.struct("unit", "start", "end", "text")).over(w))
+    w = Window.partitionBy(by).orderBy(F.floor(F.col("start") * 1000)).rangeBetween(0, int(max_s * 1000) + 1)
+    near = F.filter(F.array_sort(F.collect_list(F.struct("unit", "start", "end", "text")).over(w)), lambda x: x["unit"] >= F.col("unit"))
+    ahead = units.withColumn("ahead", near)
     runs = F.filter(F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda n: F.slice("ahead", 1, n)), lambda r: F.round(F.get(r, F.size(r) - 1)["end"] - r[0]["start"], 6).between(min_s, max_s))
     out = ahead.select(by, F.explode(runs).alias("r"))
     last = F.get("r", F.size("r") - 1)

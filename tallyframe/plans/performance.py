@@ -127,7 +127,7 @@ def target_window_fallback(s, d):
     return store.target_or_last(v.metrics(s, d), "post_id", "window", "w2").select("post_id", "window", "ctr")
 
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def store_counts(s, d):

@@ -21,8 +21,7 @@ def toks(c: Column) -> Column:
 
 
 def tr_case_fold(s, d):
-    t = docs(s, d).select("doc_id", F.substring("text", 1, 40).alias("t"))
-    return t.select("doc_id", tx.tr_upper(F.col("t")).alias("up"), tx.tr_lower(F.col("t")).alias("low"))
+    return docs(s, d).select("doc_id", tx.tr_upper(F.col("text")).alias("up"), tx.tr_lower(F.col("text")).alias("low"))
 
 
 def diacritic_density(s, d):
@@ -30,7 +29,7 @@ def diacritic_density(s, d):
 
 
 def ascii_fold_tokens(s, d):
-    return docs(s, d).select("doc_id", F.size(toks(tx.ascii_fold(F.col("text")))).alias("tokens"), tx.ascii_fold(F.substring("text", 1, 30)).alias("folded"))
+    return docs(s, d).select("doc_id", F.size(toks(tx.ascii_fold(F.col("text")))).alias("tokens"), tx.ascii_fold(F.col("text")).alias("folded"))
 
 
 def numeric_density(s, d):
@@ -79,9 +78,10 @@ def norm_ws(s, d):
 
 
 def contains_evidence(s, d):
-    """Documents that hold the second to sixth word of themselves as a quote of another document's start."""
-    quote = F.array_join(F.slice(F.split("text", " "), 2, 5), " ")
-    return docs(s, d).select("doc_id", F.col("text").contains(quote).alias("verbatim"), F.lower("text").contains(F.concat(F.lower(quote), F.lit("#"))).alias("absent"))
+    """Whether the document of a benchmark item's number holds its second to ninth words, as they are and whatever their case and blanks."""
+    quote = F.array_join(F.slice(F.split("q", " "), 2, 8), " ")
+    j = docs(s, d).join(v.table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("q")), "doc_id")
+    return j.select("doc_id", F.col("text").contains(quote).alias("verbatim"), tx.norm_ws(F.col("text")).contains(tx.norm_ws(quote)).alias("normed"))
 
 
 def url23(s, d):
@@ -91,12 +91,14 @@ def url23(s, d):
 def ass_timestamp(s, d):
     c = F.round(F.col("start") * 100).cast("long")
     stamp = F.format_string("%d:%02d:%02d.%02d", F.floor(c / 360000), F.floor(c / 6000) % 60, F.floor(c / 100) % 60, c % 100)
-    return v.words(s, d).where("pos % 50 = 7").select("doc_id", "pos", stamp.alias("stamp"))
+    return v.words(s, d).select("doc_id", "pos", stamp.alias("stamp"))
 
 
 def term_freq_top(s, d):
-    t = docs(s, d).select(F.explode(F.array_distinct(toks(F.lower("text")))).alias("term"))
-    return t.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
+    """The fifty most frequent terms, of equal counts the one that occurs first."""
+    t = docs(s, d).select("doc_id", F.posexplode(toks(F.lower("text"))).alias("pos", "term"))
+    g = t.groupBy("term").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    return g.orderBy(F.desc("n"), "first").limit(50).select("term", "n")
 
 
 def dice_agreement(s, d):
@@ -135,10 +137,14 @@ def stopword_recall(s, d):
 
 
 def pairwise_jaccard(s, d):
-    """Near-duplicate lines within a document's first lines, each pair once."""
-    t = v.sentences(s, d).where("line < 6").select("doc_id", "line", tx.grams(F.transform("tokens", F.lower), 1).alias("g"))
-    j = t.alias("a").join(t.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.line") < F.col("b.line")))
-    return j.select(F.col("a.doc_id").alias("doc_id"), F.col("a.line").alias("line_a"), F.col("b.line").alias("line_b"), F.round(tx.jaccard(F.col("a.g"), F.col("b.g")), 6).alias("jaccard"))
+    """Pairs of a document's lines that share 0.8 of their words. Of such a pair's sets, sorted, the
+    first fifths and one more meet, so lines are joined by these words and not each with each."""
+    t = v.sentences(s, d).select("doc_id", "line", F.array_sort(F.array_distinct(F.transform("tokens", F.lower))).alias("g")).where("size(g) > 0")
+    head = t.select("doc_id", "line", F.explode(F.slice("g", F.lit(1), F.size("g") - F.ceil(F.size("g") * 0.8).cast("int") + 1)).alias("w"))
+    pairs = head.alias("a").join(head.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.line") < F.col("b.line"))).select(F.col("a.doc_id").alias("doc_id"), F.col("a.line").alias("line_a"), F.col("b.line").alias("line_b")).distinct()
+    side = lambda k: t.select("doc_id", F.col("line").alias(f"line_{k}"), F.col("g").alias(f"g_{k}"))
+    j = pairs.join(side("a"), ["doc_id", "line_a"]).join(side("b"), ["doc_id", "line_b"])
+    return j.select("doc_id", "line_a", "line_b", F.round(tx.jaccard(F.col("g_a"), F.col("g_b")), 6).alias("jaccard")).where("jaccard >= 0.8")
 
 
 def self_contained(s, d):
@@ -203,10 +209,13 @@ def turn_changes(s, d):
 
 
 def raw_segments(s, d):
-    """Segments of 40 words of each document."""
-    w = v.words(s, d).withColumn("seg", F.floor(F.col("pos") / 40))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
-    return w.groupBy("doc_id", "seg").agg(F.min("start").alias("start"), F.max("end").alias("end"), text.alias("text"), F.count("*").alias("word_count"))
+    """Segments of 40 words of each document: slices of its words, which never leave their row."""
+    t = docs(s, d).select("doc_id", toks(F.col("text")).alias("t"))
+    t = t.select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.ceil(F.size("t") / 40).cast("int") - 1)).alias("seg")).where("size(t) > 0")
+    clock = lambda pos: F.round(0.3 * pos + F.floor(pos / 17), 3)
+    own = t.select("doc_id", F.col("seg").cast("long").alias("seg"), F.slice("t", F.col("seg") * 40 + 1, F.lit(40)).alias("own"))
+    last = F.col("seg") * 40 + F.size("own") - 1
+    return own.select("doc_id", "seg", clock(F.col("seg") * 40).alias("start"), F.round(clock(last) + 0.25, 3).alias("end"), F.array_join("own", " ").alias("text"), F.size("own").cast("long").alias("word_count"))
 
 
 def merge_short(s, d):
@@ -220,7 +229,7 @@ def split_long(s, d):
 
 
 def chunk6(s, d):
-    w = v.words(s, d).where("pos < 60")
+    w = v.words(s, d)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
     return w.groupBy("doc_id", F.floor(F.col("pos") / 6).alias("chunk")).agg(F.min("start").alias("start"), F.max("end").alias("end"), text.alias("text"))
 
@@ -234,10 +243,10 @@ def overlap_windows(s, d):
 
 
 def candidate_runs(s, d):
-    u = v.sentences(s, d).where("line < 12").withColumn("n", F.size("tokens"))
+    u = v.sentences(s, d).withColumn("n", F.size("tokens"))
     w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("end", F.round(F.sum("n").over(w) * 0.3, 3)).withColumn("start", F.round(F.col("end") - F.col("n") * 0.3, 3)).withColumnRenamed("line", "unit")
-    return seg.candidate_runs(u, "doc_id", 10.0, 60.0, 12).select("doc_id", "first", "last", "start", "end")
+    return seg.candidate_runs(u, "doc_id", 10.0, 60.0).select("doc_id", "first", "last", "start", "end")
 
 
 def range_slice_words(s, d):
@@ -248,10 +257,9 @@ def range_slice_words(s, d):
 
 def core_context_text(s, d):
     """The words between one boundary and the next, cut at 160 characters, and their part."""
-    b = seg.boundaries(v.words(s, d).where("pos < 200"), "doc_id")
-    w = Window.partitionBy("doc_id").orderBy("word_index")
-    b = b.withColumn("to", F.coalesce(F.lead("word_index").over(w), F.col("word_index") + 200))
-    j = v.words(s, d).where("pos < 200").join(b.select("doc_id", "id", "word_index", "to", "t"), "doc_id").where("pos >= word_index and pos < `to`")
+    b = seg.boundaries(v.words(s, d), "doc_id").select("doc_id", F.col("word_index").alias("pos"), F.struct("id", "t").alias("b"))
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    j = v.words(s, d).join(b, ["doc_id", "pos"], "left").select("doc_id", "pos", "w", F.last("b", ignorenulls=True).over(w).alias("b")).where("b is not null").select("doc_id", "pos", "w", "b.id", "b.t")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ")
     g = j.groupBy("doc_id", "id").agg(F.min("t").alias("t"), F.substring(text, 1, 160).alias("text"))
     return g.select("doc_id", F.col("id").cast("long").alias("id"), F.when(F.col("t") < 30, "core").otherwise("context").alias("part"), "text")
@@ -259,7 +267,7 @@ def core_context_text(s, d):
 
 def adjacent_pairs(s, d):
     w = Window.partitionBy("doc_id").orderBy("pos")
-    t = v.words(s, d).where("pos < 100").select("doc_id", "w", F.lead("w").over(w).alias("next"))
+    t = v.words(s, d).select("doc_id", "w", F.lead("w").over(w).alias("next"))
     return t.where("next is not null").groupBy("w", "next").agg(F.count("*").alias("n")).where("n >= 5")
 
 
@@ -287,15 +295,17 @@ def flatten_words(s, d):
     """Words of all lines in one order per document."""
     w = Window.partitionBy("doc_id").orderBy("line", "pos")
     t = v.sentences(s, d).select("doc_id", "line", F.posexplode("tokens").alias("pos", "w"))
-    return t.select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("at"), "w").where("at < 20")
+    return t.select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("at"), "w")
 
 
 def zip_pairs(s, d):
-    """Adjacent tokens zipped, and header zipped with row."""
+    """A line's adjacent tokens zipped, and its tokens zipped with a header of column names."""
     t = v.sentences(s, d).where("size(tokens) >= 3")
-    pairs = F.zip_with(F.slice("tokens", 1, 2), F.slice("tokens", 2, 2), lambda a, b: F.concat_ws("+", a, b))
-    m = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.slice("tokens", 1, 2))
-    return t.select("doc_id", "line", F.array_join(pairs, "|").alias("pairs"), m["b"].alias("b"))
+    n = F.size("tokens") - 1
+    pairs = F.zip_with(F.slice("tokens", F.lit(1), n), F.slice("tokens", F.lit(2), n), lambda a, b: F.concat_ws("+", a, b))
+    header = F.transform("tokens", lambda _, i: F.concat(F.lit("c"), i.cast("string")))
+    m = F.map_from_arrays(header, F.col("tokens"))
+    return t.select("doc_id", "line", F.array_join(pairs, "|").alias("pairs"), F.element_at(m, F.concat(F.lit("c"), n.cast("string"))).alias("b"))
 
 
 def json_props(s, d):
@@ -330,9 +340,9 @@ _BOUND = """b AS (SELECT doc_id, word_index, t, reason, (row_number() OVER (PART
 _Q = lambda name: f"regexp_extract(url, '[?&]{name}=([^&#]*)', 1)"
 _BT = f"WITH b AS (SELECT b.item_id, {_T.format('lower(b.text)')} AS b, {_T.format('lower(d.text)')} AS t FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)"
 SQL = {
-    "tr_case_fold": f"SELECT doc_id, replace(upper(translate(t, 'iı', 'İI')), 'ẞ', 'SS') AS up, lower({_LOW.format('t')}) AS low FROM (SELECT doc_id, left(text, 40) AS t FROM documents)",
+    "tr_case_fold": f"SELECT doc_id, replace(upper(translate(t, 'iı', 'İI')), 'ẞ', 'SS') AS up, lower({_LOW.format('t')}) AS low FROM (SELECT doc_id, text AS t FROM documents)",
     "diacritic_density": f"SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0 ELSE length(regexp_replace(text, '[^{tx.DIACRITICS}]', '', 'g')) * 1000.0::DOUBLE / length(text) END, 6) AS density, regexp_matches(text, '[̧̇̆̈]') AS combining FROM documents",
-    "ascii_fold_tokens": f"SELECT doc_id, {_N.replace('text', f"translate(text, '{tx.DIACRITICS}', '{tx.SHADOWS}')")}::INTEGER AS tokens, translate(left(text, 30), '{tx.DIACRITICS}', '{tx.SHADOWS}') AS folded FROM documents",
+    "ascii_fold_tokens": f"SELECT doc_id, {_N.replace('text', f"translate(text, '{tx.DIACRITICS}', '{tx.SHADOWS}')")}::INTEGER AS tokens, translate(text, '{tx.DIACRITICS}', '{tx.SHADOWS}') AS folded FROM documents",
     "numeric_density": f"SELECT doc_id, round({_PER("len(regexp_extract_all(text, '[0-9]+([.,][0-9]+)*'))", _N)}, 6) AS numeric_per_100w FROM documents",
     "rate_score": f"SELECT doc_id, wps, round(CASE WHEN wps <= 2.0 OR wps >= 4.5 THEN 0.0::DOUBLE WHEN wps <= 3.2 THEN {_SC('wps', 2.0, 3.2)} ELSE {_SC('(4.5::DOUBLE - wps)', 0.0, 1.2999999999999998)} END, 3) AS rate_score FROM (SELECT doc_id, round({_N} / (length(text) / 20.0::DOUBLE + 1), 6) AS wps FROM documents)",
     "density_filter": f"SELECT doc_id, n::INTEGER AS words FROM (SELECT doc_id, text, {_N} AS n, length(text) / 10.0::DOUBLE AS span FROM documents) WHERE span >= 5 AND n >= 15 AND n / span >= 0.4 AND trim(text) <> ''",
@@ -342,22 +352,24 @@ SQL = {
     "text_bundle": f"SELECT doc_id, n::INTEGER AS word_count, round(num, 2) AS numeric_per_100w, round({_SC('num', 0.0, 6.0)}, 2) AS numeric_score FROM (SELECT doc_id, n, {_PER("len(regexp_extract_all(text, '[0-9]+'))", 'n')} AS num FROM (SELECT doc_id, text, {_N} AS n FROM documents))",
     "abbrev": f"SELECT coalesce(body <> '' AND (regexp_matches(body, '^[0-9]+$') OR lower({_LOW.format('body')}) IN {_IN(tx.ABBREVIATIONS)}), false) AS abbreviation, count(*) AS n FROM (SELECT regexp_replace(token, '[.?!…]+$', '') AS body FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS token FROM documents) WHERE token LIKE '%.') GROUP BY 1",
     "norm_ws": "SELECT doc_id, md5(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '))) AS normed FROM documents",
-    "contains_evidence": "SELECT doc_id, contains(text, q) AS verbatim, contains(lower(text), lower(q) || '#') AS absent FROM (SELECT doc_id, text, array_to_string(list_slice(string_split(text, ' '), 2, 6), ' ') AS q FROM documents)",
+    "contains_evidence": "SELECT doc_id, contains(text, q) AS verbatim, contains(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ')), lower(trim(regexp_replace(q, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '))) AS normed FROM (SELECT doc_id, d.text, array_to_string(list_slice(string_split(b.text, ' '), 2, 9), ' ') AS q FROM documents d JOIN benchmark b ON item_id = doc_id)",
     "url23": "SELECT page_id, regexp_replace('see ' || url || ' now', 'https?://\\S+', repeat('x', 23), 'g') AS text FROM pages",
-    "ass_timestamp": f"{_W} SELECT doc_id, pos, printf('%d:%02d:%02d.%02d', c // 360000, c // 6000 % 60, c // 100 % 60, c % 100) AS stamp FROM (SELECT doc_id, pos, round(start * 100)::BIGINT AS c FROM words WHERE pos % 50 = 7)",
-    "term_freq_top": f"SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({_T.format('lower(text)')})) AS term FROM documents) GROUP BY term ORDER BY n DESC, term LIMIT 50",
+    "ass_timestamp": f"{_W} SELECT doc_id, pos, printf('%d:%02d:%02d.%02d', c // 360000, c // 6000 % 60, c // 100 % 60, c % 100) AS stamp FROM (SELECT doc_id, pos, round(start * 100)::BIGINT AS c FROM words)",
+    "term_freq_top": f"SELECT term, count(*) AS n FROM (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM (SELECT doc_id, {_T.format('lower(text)')} AS t FROM documents)) GROUP BY term ORDER BY n DESC, min((doc_id, pos)) LIMIT 50",
     "dice_agreement": f"""WITH c AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({_T.format('lower(text)')}) AS w FROM documents) GROUP BY 1, 2), z AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY 1),
 h AS (SELECT a.doc_id, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.w = b.w AND b.doc_id = a.doc_id + 1 GROUP BY 1)
 SELECT z.doc_id, round(2 * coalesce(shared, 0) / (z.total + y.total), 6) AS dice FROM z JOIN z y ON y.doc_id = z.doc_id + 1 LEFT JOIN h ON h.doc_id = z.doc_id""",
     "trigram_jaccard": f"{_BT}, g AS (SELECT item_id, {_GRAMS('b')} AS b, {_GRAMS('t')} AS t FROM b) SELECT item_id, round({_JACCARD('b', 't')}, 6) AS jaccard FROM g",
     "quote_recall": f"{_BT} SELECT item_id, round(CASE WHEN len(list_distinct(b)) = 0 THEN 0 ELSE len(list_intersect(list_distinct(b), t))::DOUBLE / len(list_distinct(b)) END, 6) AS recall FROM b",
     "stopword_recall": f"{_BT}, e AS (SELECT item_id, list_distinct(list_filter(b, lambda x: x NOT IN {_IN(STOP)})) AS b, t FROM b) SELECT item_id, recall, recall >= 0.4 AS matches FROM (SELECT item_id, round(len(list_intersect(b, t))::DOUBLE / len(b), 6) AS recall FROM e WHERE len(b) >= 2)",
-    "pairwise_jaccard": f"{_SENT}, g AS (SELECT doc_id, line, list_distinct(list_transform(tokens, lambda x: lower(x))) AS g FROM sentences WHERE line < 6) SELECT a.doc_id, a.line AS line_a, b.line AS line_b, round({_JACCARD('a.g', 'b.g')}, 6) AS jaccard FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.line < b.line",
+    "pairwise_jaccard": f"""{_SENT}, g AS (SELECT doc_id, line, list_distinct(list_transform(tokens, lambda x: lower(x))) AS g FROM sentences), x AS (SELECT doc_id, line, len(g) AS n, unnest(g) AS w FROM g),
+c AS (SELECT a.doc_id, a.line AS line_a, b.line AS line_b, a.n AS na, b.n AS nb, count(*) AS shared FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.w = b.w AND a.line < b.line GROUP BY ALL)
+SELECT doc_id, line_a, line_b, round(shared::DOUBLE / (na + nb - shared), 6) AS jaccard FROM c WHERE round(shared::DOUBLE / (na + nb - shared), 6) >= 0.8""",
     "self_contained": f"""{_SENT}, x AS (SELECT doc_id, line, list_transform(tokens, lambda t: lower(translate(t, 'Iİ', 'ıi'))) AS t, coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY line), '') AS p FROM sentences)
 SELECT doc_id, line, CASE WHEN len(t) = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 10.0::DOUBLE - CASE WHEN t[1] IN {_IN(tx.ANAPHORA)} THEN 4 ELSE 0 END - CASE WHEN len(list_filter(list_slice(t, 2, 8), lambda w: w IN {_IN(tx.PRONOUNS)})) > 0 THEN 3 ELSE 0 END - CASE WHEN rtrim(p) LIKE '%?' THEN 3 ELSE 0 END) END AS score FROM x""",
     "dictionary_ratio": f"SELECT lang, count_if(w IN {_IN(STOP)})::BIGINT AS hits, round(count_if(w IN {_IN(STOP)}) / count(*), 6) AS ratio FROM (SELECT lang, unnest({_T.format('lower(text)')}) AS w FROM documents) GROUP BY lang",
     "rates": f"SELECT doc_id, round(length(text) * 100.0::DOUBLE / greatest(1, n), 6) AS chars_per_100w, round(n * 60.0::DOUBLE / (length(text) / 15.0::DOUBLE + 1), 6) AS words_per_min FROM (SELECT doc_id, text, {_N} AS n FROM documents)",
-    "url_parse": f"SELECT page_id, {_Q('utm_source')} AS platform, {_Q('utm_campaign')} AS campaign, 'a' AS variant, 'tr' AS lang FROM pages WHERE regexp_matches(url, '[?&]utm_source=')",
+    "url_parse": f"SELECT page_id, {_Q('utm_source')} AS platform, {_Q('utm_campaign')} AS campaign, coalesce(nullif({_Q('tf_v')}, ''), 'a') AS variant, coalesce(nullif({_Q('tf_lang')}, ''), 'tr') AS lang FROM pages WHERE regexp_matches(url, '[?&]utm_source=')",
     "url_build_roundtrip": "SELECT page_id, 'tik-tok' AS platform, 'clip-' || page_id AS clip_id, 'b' AS variant, '' AS run, 'en' AS lang FROM pages",
     "slug": "SELECT page_id, lower(trim(regexp_replace(regexp_replace(trim(url), '[^A-Za-z0-9._-]', '-', 'g'), '-{2,}', '-', 'g'), '-')) AS slug FROM pages",
     "video_id": "SELECT page_id, CASE WHEN v <> '' THEN v ELSE left(sha1(url), 11) END AS video_id FROM (SELECT page_id, url, regexp_extract(url, '(?:v=|youtu\\.be/|shorts/)([A-Za-z0-9_-]{11})', 1) AS v FROM pages)",
@@ -371,21 +383,21 @@ SELECT doc_id, (isle - 1)::BIGINT AS seg, min(start) AS start, max("end") AS "en
 q AS (SELECT *, CASE WHEN pieces = 1 THEN word_count ELSE greatest(1, word_count // pieces) END AS per, unnest(range(pieces)) AS k FROM p)
 SELECT doc_id, seg, k::BIGINT AS k, round(start + k * (("end" - start) / pieces), 3) AS start, round(least("end", start + (k + 1) * (("end" - start) / pieces)), 3) AS "end",
   CASE WHEN pieces = 1 THEN text ELSE array_to_string(list_slice(string_split(text, ' '), k * per + 1, (k + 1) * per), ' ') END AS text, per::BIGINT AS word_count FROM q""",
-    "chunk6": f"""{_W} SELECT doc_id, pos // 6 AS chunk, min(start) AS start, max("end") AS "end", string_agg(w, ' ' ORDER BY pos) AS text FROM words WHERE pos < 60 GROUP BY 1, 2""",
+    "chunk6": f"""{_W} SELECT doc_id, pos // 6 AS chunk, min(start) AS start, max("end") AS "end", string_agg(w, ' ' ORDER BY pos) AS text FROM words GROUP BY 1, 2""",
     "overlap_windows": f"""{_W}, n AS (SELECT doc_id, max("end") AS dur FROM words GROUP BY 1), w AS (SELECT doc_id, dur, unnest(range(greatest(1, ceil(dur / 60)::BIGINT))) AS win FROM n)
 SELECT w.doc_id, win AS "window", count(*) AS words, count_if(start >= win * 60 AND start < least(dur, (win + 1) * 60))::BIGINT AS core_words FROM words JOIN w USING (doc_id)
 WHERE start >= greatest(0, win * 60 - 10) AND start < least(dur, (win + 1) * 60 + 10) GROUP BY 1, 2""",
-    "candidate_runs": f"""{_SENT}, u AS (SELECT *, round("end" - n * 0.3::DOUBLE, 3) AS start FROM (SELECT doc_id, line, len(tokens) AS n, round(sum(len(tokens)) OVER (PARTITION BY doc_id ORDER BY line) * 0.3::DOUBLE, 3) AS "end" FROM sentences WHERE line < 12))
+    "candidate_runs": f"""{_SENT}, u AS (SELECT *, round("end" - n * 0.3::DOUBLE, 3) AS start FROM (SELECT doc_id, line, len(tokens) AS n, round(sum(len(tokens)) OVER (PARTITION BY doc_id ORDER BY line) * 0.3::DOUBLE, 3) AS "end" FROM sentences))
 SELECT a.doc_id, a.line AS first, b.line AS last, a.start, b."end" FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.line >= a.line WHERE round(b."end" - a.start, 6) BETWEEN 10 AND 60""",
     "range_slice_words": f"""{_W} SELECT doc_id, pos, round(greatest(0.0::DOUBLE, start - 5), 3) AS start, round("end" - 5, 3) AS "end" FROM words WHERE "end" > 4.99 AND start < 9.01""",
-    "core_context_text": f"""{_W.replace('words AS', 'every AS')}, words AS (SELECT * FROM every WHERE pos < 200), {_BOUND}, r AS (SELECT *, coalesce(lead(word_index) OVER (PARTITION BY doc_id ORDER BY word_index), word_index + 200) AS until FROM b)
+    "core_context_text": f"""{_W}, {_BOUND}, r AS (SELECT *, coalesce(lead(word_index) OVER (PARTITION BY doc_id ORDER BY word_index), word_index + 1000000000) AS until FROM b)
 SELECT r.doc_id, r.id::BIGINT AS id, CASE WHEN min(r.t) < 30 THEN 'core' ELSE 'context' END AS part, left(string_agg(w, ' ' ORDER BY pos), 160) AS text FROM words JOIN r USING (doc_id) WHERE pos >= word_index AND pos < until GROUP BY 1, 2""",
-    "adjacent_pairs": f"{_W} SELECT w, next, count(*) AS n FROM (SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM words WHERE pos < 100) WHERE next IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5",
+    "adjacent_pairs": f"{_W} SELECT w, next, count(*) AS n FROM (SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM words) WHERE next IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5",
     "votes_first": "SELECT role AS speaker, count(*) AS votes, first(length(text) ORDER BY turn, conv_id, text)::BIGINT AS first_length FROM conversations GROUP BY role",
     "cum_alloc": f"{_SENT} SELECT doc_id, line, round(60 * (sum(length(text)) OVER (PARTITION BY doc_id ORDER BY line) / nullif(sum(length(text)) OVER (PARTITION BY doc_id), 0)), 5) AS until FROM sentences",
     "systematic_sample": f"{_SENT} SELECT doc_id, line FROM sentences WHERE line % 3 = 0",
-    "flatten_words": f"""{_SENT}, f AS (SELECT doc_id, unnest(flatten(list(tokens ORDER BY line))) AS w, unnest(range(len(flatten(list(tokens ORDER BY line))))) AS "at" FROM sentences GROUP BY doc_id) SELECT doc_id, "at", w FROM f WHERE "at" < 20""",
-    "zip_pairs": f"{_SENT} SELECT doc_id, line, tokens[1] || '+' || tokens[2] || '|' || tokens[2] || '+' || tokens[3] AS pairs, tokens[2] AS b FROM sentences WHERE len(tokens) >= 3",
+    "flatten_words": f"""{_SENT}, f AS (SELECT doc_id, unnest(flatten(list(tokens ORDER BY line))) AS w, unnest(range(len(flatten(list(tokens ORDER BY line))))) AS "at" FROM sentences GROUP BY doc_id) SELECT doc_id, "at", w FROM f""",
+    "zip_pairs": f"{_SENT} SELECT doc_id, line, array_to_string(list_transform(range(1, len(tokens)), lambda i: tokens[i] || '+' || tokens[i + 1]), '|') AS pairs, tokens[len(tokens)] AS b FROM sentences WHERE len(tokens) >= 3",
     "json_props": "SELECT event_id, props->>'$.k' AS k, coalesce(props->>'$.result', props->>'$.content', props->>'$.k', '') AS unwrapped, '{\"t\":\"' || event_type || '\"}' AS encoded FROM events",
     "cache_key": "SELECT doc_id, left(sha256('score' || chr(0) || 'v1' || chr(0) || coalesce(text, '')), 32) AS key FROM documents",
 }
