@@ -7,7 +7,7 @@ import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -30,11 +30,15 @@ def maybe_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of append logs: blank lines are skipped, and each file ends at its first malformed line."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
-    read = lines.withColumn("row", F.from_json("line", schema, {"mode": "PERMISSIVE"})).withColumn("bad", F.try_parse_json("line").isNull())
-    first = F.min(F.when(F.col("bad"), F.col("at"))).over(Window.partitionBy("file"))
-    return read.withColumn("stop", first).where("stop is null or at < stop").select("row.*")
+    """Rows of append logs: blank lines are skipped, and each file ends at its first malformed line.
+
+    Files are read in splittable blocks, whose lines have ids that grow within a block; the first bad
+    line of each file, if it has any, is a small row by block start and id that is joined back."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
+    read = lines.withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("bad", F.try_parse_json("value").isNull())
+    stops = read.where("bad").groupBy(F.col("file").alias("s_file")).agg(F.min(F.struct("block", "at")).alias("stop"))
+    kept = read.join(stops, F.col("file") == F.col("s_file"), "left").where(F.col("stop").isNull() | (F.struct("block", "at") < F.col("stop")))
+    return kept.select("row.*")
 
 
 def captions(spark: SparkSession, path: str) -> DataFrame:
@@ -44,21 +48,28 @@ def captions(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", F.array_join(F.transform(kept, lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", ""))), " ").alias("text"))
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def _samples(content: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-    def one(data, a, b):
+@F.pandas_udf(ArrayType(ArrayType(FloatType())))
+def _samples(content: pd.Series, spans: pd.Series) -> pd.Series:
+    def cut(data, pairs):
         with wave.open(io.BytesIO(data)) as w:
-            rate = w.getframerate()
-            w.setpos(min(int(a * rate), w.getnframes()))
-            return (np.frombuffer(w.readframes(max(0, int((b - a) * rate))), "<i2").astype(np.float32) / 32768).tolist()
+            rate, out = w.getframerate(), []
+            for span in pairs:
+                w.setpos(min(int(span["start"] * rate), w.getnframes()))
+                out.append((np.frombuffer(w.readframes(max(0, int((span["end"] - span["start"]) * rate))), "<i2").astype(np.float32) / 32768).tolist())
+            return out
 
-    return pd.Series([one(*x) for x in zip(content, start, end)])
+    return pd.Series([cut(*x) for x in zip(content, spans)])
 
 
 def wav_windows(spark: SparkSession, path: str, windows: DataFrame) -> DataFrame:
-    """windows (file, start, end, ...) with the mono samples of each, read from 16-bit WAV files."""
+    """windows (file, start, end, ...) with the mono samples of each, read from 16-bit WAV files. A
+    file's windows are gathered first, so its bytes move once and are cut in one place."""
     audio = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("_file"), "content")
-    return windows.join(audio, F.col("file") == F.col("_file")).withColumn("samples", _samples("content", "start", "end")).drop("content", "_file")
+    of = windows.groupBy("file").agg(F.collect_list(F.struct(*windows.columns)).alias("spans"))
+    ends = F.transform("spans", lambda x: F.struct(x["start"].cast("double").alias("start"), x["end"].cast("double").alias("end")))
+    cut = of.join(audio, F.col("file") == F.col("_file")).select("spans", _samples("content", ends).alias("cuts"))
+    both = cut.select(F.explode(F.arrays_zip("spans", "cuts")).alias("x"))
+    return both.select("x.spans.*", F.col("x.cuts").alias("samples"))
 
 
 def header_rows(header: Column, row: Column) -> Column:

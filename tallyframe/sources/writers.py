@@ -34,18 +34,26 @@ def append_json_lines(rows: DataFrame, path: str) -> None:
 
 
 def upsert_table(incoming: DataFrame, path: str, name: str, order: str) -> None:
-    """Merges rows into a store table: the merged table is written beside it, then takes its place."""
+    """Merges rows into a store table: the merged table is written beside it, then takes its place. The
+    old table is moved aside, not deleted, until then: after a crash between the two moves the next
+    call finds it and puts it back."""
     spark = incoming.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    old, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.before")
+    fs = old.getFileSystem(conf)
+    if fs.exists(aside):  # left by a call that didn't end
+        if exists(spark, path):
+            fs.delete(aside, True)
+        elif not fs.rename(aside, old):
+            raise OSError(f"{path}.before could not be put back")
     merged = upsert(maybe_table(spark, path, name), incoming, KEYS[name], order)
     part = f"{path}.{uuid.uuid4().hex}"
     merged.write.parquet(part)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(conf)
-    if exists(spark, path):
-        fs.delete(old, True)
-    if not fs.rename(new, old):
+    if exists(spark, path) and not fs.rename(old, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(part), old):
         raise OSError(f"{part} could not take the place of {path}")
+    fs.delete(aside, True)
 
 
 def record_run(tables: dict[str, tuple[DataFrame, str]], folder: str) -> dict[str, int]:
@@ -65,10 +73,18 @@ def write_csv(rows: DataFrame, path: str) -> bool:
     return True
 
 
-def markdown(rows: DataFrame, most: int = 200) -> str:
+def _few(rows: DataFrame, most: int) -> list:
+    """The rows of a small result; more than `most` is an error, not a shorter report."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows: aggregate it, or allow more")
+    return found
+
+
+def markdown(rows: DataFrame, most: int = 10_000) -> str:
     """A small result as a table."""
     cell = lambda x: str("" if x is None else x).replace("|", "\\|")
-    lines = [" | ".join(rows.columns), " | ".join("---" for _ in rows.columns), *(" | ".join(map(cell, r)) for r in rows.limit(most).collect())]
+    lines = [" | ".join(rows.columns), " | ".join("---" for _ in rows.columns), *(" | ".join(map(cell, r)) for r in _few(rows, most))]
     return "\n".join(f"| {x} |" for x in lines) + "\n"
 
 
@@ -79,12 +95,12 @@ def scorecard(scores: DataFrame, width: int = 20) -> str:
     return "\n".join([f"{rows[0].segment_id}  {rows[0].total:.1f}", *(f"{r.criterion:<18} {r.bar} {r.score:4.1f}" for r in rows)]) if rows else ""
 
 
-def report_html(title: str, sections: dict[str, DataFrame], curve: list[tuple[float, float]] | None = None) -> str:
+def report_html(title: str, sections: dict[str, DataFrame], curve: list[tuple[float, float]] | None = None, most: int = 10_000) -> str:
     """A page of small results, with an optional curve of (0..1, 0..1) drawn inline."""
     parts = [f"<h1>{html.escape(title)}</h1>"]
     for name, df in sections.items():
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in r) + "</tr>" for r in df.limit(200).collect())
+        body = "".join("<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in r) + "</tr>" for r in _few(df, most))
         parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
     if curve:
         points = " ".join(f"{300 * x:.1f},{100 - 100 * y:.1f}" for x, y in curve)
