@@ -19,6 +19,16 @@ def wrap(words: Column, width: int, lines: int) -> Column:
     return F.aggregate(words, start, step)
 
 
+def wrap_cut(words: Column, width: int, lines: int) -> Column:
+    """Array of the first `lines` lines of the same filling: a cover's title, what doesn't fit goes."""
+
+    def step(acc: Column, w: Column) -> Column:
+        joined = F.concat(F.get(acc, F.size(acc) - 1), F.lit(" "), w)
+        return F.when((F.size(acc) > 0) & (F.length(joined) <= width), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.array_append(acc, w))
+
+    return F.slice(F.aggregate(words, F.array().cast("array<string>"), step), 1, lines)
+
+
 def timestamp(seconds: Column) -> Column:
     c = F.round(seconds * 100).cast("long")
     return F.format_string("%d:%02d:%02d.%02d", F.floor(c / 360000), F.floor(c / 6000) % 60, F.floor(c / 100) % 60, c % 100)

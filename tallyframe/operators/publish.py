@@ -38,7 +38,10 @@ def missing_numbers(cited: Column, clip: Column) -> Column:
 
 
 def validate_copy(rows: DataFrame, banned: tuple[str, ...] = ()) -> DataFrame:
-    """(clip_id, platform, issues) for rows (clip_id, platform, body, hashtags, evidence_quote, key_number, clip_text)."""
+    """(clip_id, platform, issues) for rows (clip_id, platform, body, hashtags, evidence_quote, key_number, clip_text).
+
+    Where the rows have a body_en that isn't blank, it is published by itself where the first of
+    LINKED is, and passes that platform's gates of length, links and phrases."""
     quote, platform = tx.norm_ws(F.col("evidence_quote")), F.col("platform")
     words = F.size(F.filter(F.split(quote, " "), lambda w: w != ""))
     most, low, high = _by(platform, {k: v[0] - v[1] for k, v in SPECS.items()}), _by(platform, {k: v[2] for k, v in SPECS.items()}), _by(platform, {k: v[3] for k, v in SPECS.items()})
@@ -53,9 +56,25 @@ def validate_copy(rows: DataFrame, banned: tuple[str, ...] = ()) -> DataFrame:
         issue(~tags.between(low, high), "HASHTAG_COUNT", "warn", tags.cast("string")),
         *(issue(F.lower("body").contains(b.lower()), "BANNED_PHRASE", "error", b) for b in banned),
     )
+    if "body_en" in rows.columns:
+        en, (room, kept, *_) = F.trim("body_en"), SPECS[LINKED[0]]
+        other = present(
+            issue(F.length(en) > room - kept, "EN_LEN_OVER", "error", F.concat_ws(" > ", F.length(en).cast("string"), F.lit(str(room - kept)))),
+            issue(en.contains("http"), "EN_LINK_IN_BODY", "error", "the link is appended later"),
+            *(issue(F.lower(en).contains(b.lower()), "EN_BANNED_PHRASE", "error", b) for b in banned),
+        )
+        found = F.when(F.coalesce(en, F.lit("")) != "", F.concat(found, other)).otherwise(found)
     return rows.select("clip_id", "platform", found.alias("issues"))
 
 
+def bilingual(rows: DataFrame) -> DataFrame:
+    """Posts (clip_id, platform, lang, body, hashtags): each row's own, and where it has a body_en that
+    isn't blank one more in English, on the first platform of LINKED alone."""
+    own = F.struct(F.lit("tr").alias("lang"), F.col("body").alias("body"))
+    en = F.when((F.col("platform") == LINKED[0]) & (F.coalesce(F.trim("body_en"), F.lit("")) != ""), F.struct(F.lit("en").alias("lang"), F.trim("body_en").alias("body")))
+    return rows.select("clip_id", "platform", "hashtags", F.explode(F.filter(F.array(own, en), lambda x: x.isNotNull())).alias("x")).select("clip_id", "platform", "x.lang", "x.body", "hashtags")
+
+
 def near_identical(rows: DataFrame, limit: float = 0.85) -> DataFrame:
     """(clip_id, a, b): platforms of a clip whose bodies share most three-word runs; at most ten pairs a clip."""
     g = rows.select("clip_id", "platform", tx.grams(F.split(tx.norm_ws(F.col("body")), " ")).alias("g"))
@@ -82,6 +101,39 @@ def request_plan(rows: DataFrame, part: int = 4 << 20) -> DataFrame:
     return rows.select("post_id", F.explode(F.concat(edge(F.lit(0), "start"), parts, edge(n + 1, "finish"))).alias("c")).select("post_id", "c.*")
 
 
+#: Fixed values by platform: the calls before the media, the parts' label, first number and bytes (no
+#: number or bytes: the whole media in one call; no label: no upload), and the calls after.
+PLANS = {
+    "linkedin": (("initialize_upload",), ("upload_part_", 1, 4 << 20), ("finalize_upload", "create_post")),
+    "instagram": (("check_publishing_limit", "create_container", "poll_container_status", "publish_container"), None, ()),
+    "youtube": (("init_resumable_upload",), ("upload_bytes", None, None), ()),
+    "x": (("media_init",), ("media_append_", 0, 5 << 20), ("media_finalize", "create_tweet")),
+    "tiktok": (("query_creator_info", "init_video_publish"), ("upload_video", None, None), ("fetch_publish_status",)),
+}
+
+
+def platform_plan(rows: DataFrame) -> DataFrame:
+    """(post_id, seq, label, from, length): the calls that publishing (post_id, platform, bytes) would
+    make, in order. A platform without a plan makes none; of unknown bytes the parts are left out."""
+
+    def calls(names) -> Column:
+        kind = "array<struct<label:string,from:bigint,length:bigint>>"
+        return F.array(*(F.struct(F.lit(x).alias("label"), F.lit(None).cast("long").alias("from"), F.lit(None).cast("long").alias("length")) for x in names)).cast(kind)
+
+    def parts(label: str, first: int | None, size: int | None) -> Column:
+        size = F.lit(size).cast("long") if size else F.greatest(F.col("bytes"), F.lit(1).cast("long"))
+        n = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("bytes") / size))
+        name = lambda i: F.lit(label) if first is None else F.concat(F.lit(label), (i + first).cast("string"))
+        each = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(name(i).alias("label"), (i * size).alias("from"), F.least(size, F.col("bytes") - i * size).alias("length")))
+        return F.when(F.col("bytes").isNotNull(), each).otherwise(calls(()))
+
+    plan = F.lit(None)
+    for platform, (before, upload, after) in PLANS.items():
+        own = F.concat(calls(before), parts(*upload), calls(after)) if upload else calls(before + after)
+        plan = F.when(F.col("platform") == platform, own).otherwise(plan)
+    return rows.select("post_id", F.posexplode(plan).alias("at", "c")).select("post_id", (F.col("at") + 1).alias("seq"), "c.*")
+
+
 def redacted(headers: Column) -> Column:
     """Header values that carry credentials, hidden; the Bearer scheme stays."""
     secret = lambda k: F.lower(k).isin("authorization", "x-api-key", "profile-key", "cookie")

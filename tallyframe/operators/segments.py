@@ -76,6 +76,58 @@ def overlapping_windows(duration: Column, core: float, context: float) -> Column
     return F.transform(starts, lambda i: F.struct(i.alias("window"), F.greatest(F.lit(0.0), i * core - context).alias("from"), F.least(duration, (i + 1) * core + context).alias("to"), (i * core).alias("core_from"), F.least(duration, (i + 1) * core).alias("core_to")))
 
 
+def tiles(marks: DataFrame, spans: DataFrame, by: str, least_s: float = 1.0, sparse_s: float = 20.0, sparse_words: int = 15) -> DataFrame:
+    """(by, seg, start, end, first_word, n_words): the time from a unit's first word to its end, cut at
+    its marks (by, word_index, t). Tiles shorter than least_s go, and those longer than sparse_s with
+    fewer than sparse_words words; the others are numbered. spans: (by, origin, duration, n_words)."""
+    cuts = marks.select(by, F.col("word_index").cast("long").alias("first_word"), F.col("t").cast("double").alias("start"))
+    edges = spans.select(by, F.lit(0).cast("long").alias("first_word"), F.col("origin").cast("double").alias("start")).unionByName(cuts)
+    w = Window.partitionBy(by).orderBy("first_word", "start")
+    own = spans.select(by, F.col("duration").cast("double").alias("_end"), F.col("n_words").cast("long").alias("_words"))
+    t = edges.withColumn("end", F.lead("start").over(w)).withColumn("to", F.lead("first_word").over(w)).join(own, by)
+    t = t.select(by, "start", F.coalesce("end", "_end").alias("end"), "first_word", (F.coalesce("to", "_words") - F.col("first_word")).alias("n_words"))
+    long = F.round(F.col("end") - F.col("start"), 6)
+    kept = t.where((long >= least_s) & ~((long > sparse_s) & (F.col("n_words") < sparse_words)))
+    return kept.select(by, (F.row_number().over(Window.partitionBy(by).orderBy("first_word", "start")) - 1).cast("long").alias("seg"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "first_word", "n_words")
+
+
+def locate(units: DataFrame, wanted: DataFrame, by: str, least: float = 0.4, most: int = 3) -> DataFrame:
+    """(by, unit, confidence): where the wanted words (by, wanted) stand among units (by, unit, tokens):
+    the unit with the highest recall, if it reaches `least`; else, of the runs of up to `most` units,
+    the one of the highest recall, and in it the unit with the highest of its own. Ties go to the
+    earlier and the shorter; a group whose words are found nowhere has no row."""
+    w = Window.partitionBy(by).orderBy("unit").rowsBetween(0, most - 1)
+    j = units.join(wanted.select(by, F.array_distinct("wanted").alias("wanted")), by).where(F.size("wanted") > 0)
+    part = lambda c: F.size(F.array_intersect("wanted", c)) / F.size("wanted")
+    own = j.withColumn("single", part(F.col("tokens"))).withColumn("ahead", F.collect_list(F.struct("unit", "single", "tokens")).over(w))
+    runs = F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda n: F.slice("ahead", F.lit(1), n))
+    rated = F.transform(runs, lambda r: F.struct(
+        part(F.flatten(F.transform(r, lambda x: x["tokens"]))).alias("recall"), (-F.size(r)).alias("shorter"),
+        F.array_max(F.transform(r, lambda x: F.struct(x["single"].alias("single"), (-x["unit"]).alias("at"))))["at"].alias("at"),
+    ))
+    best = own.select(by, "unit", "single", F.array_max(rated).alias("run"))
+    g = best.groupBy(by).agg(F.max(F.struct("single", -F.col("unit"))).alias("one"), F.max(F.struct(F.col("run.recall").alias("recall"), (-F.col("unit")).alias("first"), F.col("run.shorter").alias("shorter"), F.col("run.at").alias("at"))).alias("many"))
+    alone = F.col("one.single") >= least
+    found = g.select(by, F.when(alone, -F.col("one.col2")).otherwise(-F.col("many.at")).alias("unit"), F.round(F.when(alone, F.col("one.single")).otherwise(F.col("many.recall")), 3).alias("confidence"))
+    return found.where(F.col("confidence") >= F.round(F.lit(least), 3))
+
+
+def opening_windows(units: DataFrame, found: DataFrame, by: str, min_s: float, max_s: float, lead_in_s: float = 2.5) -> DataFrame:
+    """(by, first, last, start, end, fraction, score): runs of units (by, unit, start, end) that open on
+    the unit found (by, unit, confidence, total, span) or, where that costs at most lead_in_s, on the
+    one before it, and last from min_s to max_s. Opening on it exactly adds three."""
+    w = Window.partitionBy(by).orderBy("unit")
+    begin = units.select(by, "unit", "start", F.lag("unit").over(w).alias("before"), F.lag("start").over(w).alias("before_start"))
+    hit = found.join(begin, [by, "unit"])
+    near = F.col("before").isNotNull() & (F.round(F.col("start") - F.col("before_start"), 6) <= lead_in_s)
+    opens = F.filter(F.array(F.struct(F.col("unit").alias("first"), F.col("start").alias("start"), F.lit(True).alias("exact")), F.struct(F.col("before").alias("first"), F.col("before_start").alias("start"), F.lit(False).alias("exact"))), lambda x: x["exact"] | near)
+    s = hit.select(by, "confidence", "total", "span", F.explode(opens).alias("o")).select(by, "confidence", "total", "span", "o.*")
+    j = s.join(units.select(by, F.col("unit").alias("last"), F.col("end").alias("end")), by).where((F.col("last") >= F.col("first")) & F.round(F.col("end") - F.col("start"), 6).between(min_s, max_s))
+    fraction = F.least(F.lit(1.0), (F.col("end") - F.col("start")) / F.greatest(F.lit(1e-6), F.col("span")))
+    score = F.col("total") * F.sqrt(fraction) * (0.75 + 0.25 * F.col("confidence")) + F.when(F.col("exact"), 3.0).otherwise(0.0)
+    return j.select(by, "first", "last", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round(fraction, 3).alias("fraction"), F.round(score, 2).alias("score"))
+
+
 def candidate_runs(units: DataFrame, by: str, min_s: float, max_s: float) -> DataFrame:
     """All runs of adjacent units whose span lies in [min_s, max_s]: (by, first, last, start, end, text).
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import performance, texts, timeline
+from . import performance, publishing, texts, timeline
 
-_PARTS = (performance, texts, timeline)
+_PARTS = (performance, texts, timeline, publishing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

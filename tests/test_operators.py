@@ -223,3 +223,54 @@ def test_nearest_equals_brute_force(spark):
     for k, t, i in left:
         best = min(((abs(t - r[1]), r[1], -r[2]) for r in right if r[0] == k), default=None)
         assert got[i] == (None if best is None else -best[2])
+
+
+def test_english_gates_and_bilingual_posts(spark):
+    rows = spark.createDataFrame([("c", "linkedin", "metin", ["a", "b", "c"], None), ("d", "linkedin", "metin", ["a"], "see http://x " + "y" * 3000), ("e", "x", "metin", ["a"], "short Text")], "clip_id string, platform string, body string, hashtags array<string>, body_en string")
+    checked = rows.selectExpr("*", "'bir iki üç dört beş altı' AS evidence_quote", "CAST(NULL AS STRING) AS key_number", "'bir iki üç dört beş altı' AS clip_text")
+    got = {r.clip_id: {i.code for i in r.issues} for r in publish.validate_copy(checked, ("Short",)).collect()}
+    assert got["c"] == set() and got["d"] == {"HASHTAG_COUNT", "EN_LEN_OVER", "EN_LINK_IN_BODY"} and got["e"] == {"EN_BANNED_PHRASE"}
+    assert sorted((r.clip_id, r.lang) for r in publish.bilingual(rows).collect()) == [("c", "tr"), ("d", "en"), ("d", "tr"), ("e", "tr")]
+
+
+def test_cut_wrap_drops_what_does_not_fit(spark):
+    from tallyframe.operators import captions
+
+    words = F.array(*map(F.lit, "one two three four five".split()))
+    assert spark.range(1).select(captions.wrap_cut(words, 7, 2)).first()[0] == ["one two", "three"]
+
+
+def test_a_hook_split_over_sentences(spark):
+    units = spark.createDataFrame([(1, 0, ["x"]), (1, 1, ["a", "b"]), (1, 2, ["c"]), (1, 3, ["y"])], "d int, unit long, tokens array<string>")
+    wanted = spark.createDataFrame([(1, ["a", "b", "c", "e"])], "d int, wanted array<string>")
+    assert [tuple(r) for r in segments.locate(units, wanted, "d", 0.7).collect()] == [(1, 1, 0.75)]
+    assert [tuple(r) for r in segments.locate(units, wanted, "d", 0.5).collect()] == [(1, 1, 0.5)]
+    assert segments.locate(units, wanted, "d", 0.9).count() == 0
+
+
+def test_gates_and_verdicts(spark):
+    from tallyframe.operators import quality
+
+    row = spark.range(1).select(
+        quality.gate({"eyes": F.lit(0.2), "frontal": F.lit(0.9)}, F.lit(True)).alias("half"), quality.gate({"eyes": F.lit(0.5)}, F.lit(False)).alias("none"), quality.frontality(F.lit(0.0), F.lit(10.0), F.lit(5.0)).alias("front"),
+        quality.cut_verdict(F.lit(0.5), F.lit(0.0), F.lit(0.0), F.lit(1), F.lit(1.0)).alias("jump"), quality.cut_verdict(F.lit(0.5), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0.1)).alias("dip"),
+    ).first()
+    assert row.half == pytest.approx(0.3 + 0.7 * 0.25) and row.none == 0.35 and row.front == 1.0 and (row.jump, row.dip) == ("jump_cut", "transitioned")
+
+
+def test_reports_refuse_to_shorten(spark):
+    from tallyframe.sources import writers
+
+    with pytest.raises(ValueError):
+        writers.markdown(spark.range(5), most=4)
+
+
+def test_upsert_recovers_the_table_moved_aside(spark, tmp_path):
+    from tallyframe.sources import readers, writers
+
+    path = f"{tmp_path}/videos"
+    rows = lambda *x: spark.createDataFrame(x, "video_id string, title string, at int")
+    writers.upsert_table(rows(("a", "x", 1)), path, "videos", "at")
+    (tmp_path / "videos").rename(tmp_path / "videos.before")  # as a crash between the two moves leaves it
+    writers.upsert_table(rows(("b", "y", 1)), path, "videos", "at")
+    assert sorted(r.video_id for r in readers.maybe_table(spark, path, "videos").collect()) == ["a", "b"] and not (tmp_path / "videos.before").exists()
