@@ -108,25 +108,47 @@ def is_holiday(ts: Column) -> Column:
     return (F.month(ts) * 100 + F.dayofmonth(ts)).isin(*(m * 100 + d for m, d in HOLIDAYS))
 
 
+def _slots(days: int) -> Column:
+    """Array of a post's (day, rule, slot, score): a row's slots, without an exchange. The rules are
+    eight rows, built into the plan."""
+    rules = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(p).alias("p"), F.array(*map(F.lit, w)).alias("weekdays"), F.lit(a).alias("minute"), F.lit(x).alias("weight")) for i, p, w, a, _, x in RULES))
+    default = F.array(F.struct(F.lit("S0").alias("rule"), F.col("platform").alias("p"), F.array(*map(F.lit, (1, 2, 3))).alias("weekdays"), F.lit(600).alias("minute"), F.lit(0.5).alias("weight")))
+    own = F.filter(rules, lambda r: r["p"] == F.col("platform"))
+    own = F.when(F.size(own) > 0, own).otherwise(default)
+
+    def at(day: Column, r: Column) -> Column:
+        slot = F.timestamp_add("MINUTE", r["minute"], F.date_trunc("day", F.timestamp_add("DAY", day, F.col("now"))))
+        return F.struct(day.alias("day"), r["rule"].alias("rule"), slot.alias("slot"), r["weight"].alias("weight"), r["weekdays"].alias("weekdays"))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda day: F.transform(own, lambda r: at(day, r))))
+    open_ = F.filter(every, lambda x: F.array_contains(x["weekdays"], F.weekday(x["slot"])) & (x["slot"] > F.timestamp_add("MINUTE", F.lit(30), F.col("now"))))
+
+    def bonus(x: Column) -> Column:
+        return F.coalesce(*(F.when(F.col("hook_type") == h, F.when(F.hour(x["slot"]) < 15, a).otherwise(b)) for h, (a, b) in CONTENT.items()), F.lit(0.0))
+
+    return F.transform(open_, lambda x: F.struct(x["day"].alias("day"), x["rule"].alias("rule"), x["slot"].alias("slot"), (x["weight"] + bonus(x) - x["day"] * 0.02).alias("score")))
+
+
 def slot_candidates(posts: DataFrame, days: int = 7, observed: DataFrame | None = None) -> DataFrame:
     """Each post's slots (columns post_id, platform, hook_type, now in local time): day, rule, slot, score.
 
-    The rules are eight rows, built into the plan. observed: (platform, weekday, hour, lift, n).
+    observed: (platform, weekday, hour, lift, n), which adds to the score in proportion to n / (n + 20).
     """
-    rules = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(p).alias("p"), F.array(*map(F.lit, w)).alias("weekdays"), F.lit(a).alias("minute"), F.lit(x).alias("weight")) for i, p, w, a, _, x in RULES))
-    default = F.array(F.struct(F.lit("S0").alias("rule"), F.col("platform").alias("p"), F.array(*map(F.lit, (1, 2, 3))).alias("weekdays"), F.lit(600).alias("minute"), F.lit(0.5).alias("weight")))
-    own = F.filter(rules, lambda r: r["p"] == F.col("platform"))
-    s = posts.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).withColumn("r", F.explode(F.when(F.size(own) > 0, own).otherwise(default)))
-    slot = F.timestamp_add("MINUTE", F.col("r.minute"), F.date_trunc("day", F.timestamp_add("DAY", F.col("day"), F.col("now"))))
-    s = s.withColumn("slot", slot).where(F.array_contains("r.weekdays", F.weekday("slot")) & (F.col("slot") > F.timestamp_add("MINUTE", F.lit(30), F.col("now"))))
-    morning = F.hour("slot") < 15
-    bonus = F.coalesce(*(F.when(F.col("hook_type") == h, F.when(morning, a).otherwise(b)) for h, (a, b) in CONTENT.items()), F.lit(0.0))
-    score = F.col("r.weight") + bonus - F.col("day") * 0.02
+    s = posts.select("post_id", "platform", "hook_type", F.explode(_slots(days)).alias("s")).select("post_id", "platform", "hook_type", "s.*")
+    score = F.col("score")
     if observed is not None:
         o = observed.select(F.col("platform").alias("o_p"), F.col("weekday").alias("o_w"), F.col("hour").alias("o_h"), "lift", "n")
         s = s.join(o, (F.col("platform") == F.col("o_p")) & (F.weekday("slot") == F.col("o_w")) & (F.hour("slot") == F.col("o_h")), "left")
         score = score + F.coalesce(F.col("lift") * F.col("n") / (F.col("n") + 20), F.lit(0.0))
-    return s.select("post_id", "platform", "hook_type", "day", F.col("r.rule").alias("rule"), F.col("slot").cast("timestamp_ntz").alias("slot"), F.round(score, 4).alias("score"))
+    return s.select("post_id", "platform", "hook_type", "day", "rule", F.col("slot").cast("timestamp_ntz").alias("slot"), F.round(score, 4).alias("score"))
+
+
+def best_slots(posts: DataFrame, first: int, last: int, days: int = 7) -> DataFrame:
+    """(post_id, rule, slot, score, rn): each post's slots from the first-th to the last-th best, ranked
+    within its row; equal scores go by day and rule."""
+    order = F.array_sort(F.transform(_slots(days), lambda x: F.struct((-F.round(x["score"], 4)).alias("low"), x["day"].alias("day"), x["rule"].alias("rule"), x["slot"].alias("slot"))))
+    some = posts.select("post_id", F.posexplode(F.slice(order, first, last - first + 1)).alias("at", "x"))
+    return some.select("post_id", "x.rule", F.col("x.slot").cast("timestamp_ntz").alias("slot"), (-F.col("x.low")).alias("score"), (F.col("at") + first).alias("rn"))
 
 
 def plan_slots(candidates: DataFrame, by: str) -> DataFrame:

@@ -21,8 +21,10 @@ def boundaries(words: DataFrame, by: str, gap_s: float = 0.65, speaker: str | No
     reason = F.when(ends, "punctuation").when(pause, "pause")
     if speaker:
         reason = reason.when(F.lead(speaker).over(w) != F.col(speaker), "speaker_change")
-    found = words.select(by, (F.col("pos") + 1).alias("word_index"), F.lead("start").over(w).alias("t"), reason.alias("reason")).where("t is not null and reason is not null")
-    return found.withColumn("id", F.row_number().over(Window.partitionBy(by).orderBy("word_index")) - 1)
+    marked = words.withColumn("t", F.lead("start").over(w)).withColumn("reason", reason)
+    mark = F.col("t").isNotNull() & F.col("reason").isNotNull()
+    numbered = marked.withColumn("id", F.count_if(mark).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)  # the same order: one sort
+    return numbered.where(mark).select(by, (F.col("pos") + 1).alias("word_index"), "t", "reason", F.col("id").cast("int").alias("id"))
 
 
 def islands(rows: DataFrame, by: str, order: list[str], starts: Column, name: str) -> DataFrame:

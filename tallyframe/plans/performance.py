@@ -28,7 +28,7 @@ def detail(rows: DataFrame) -> DataFrame:
 def aged(spark, d):
     """Outcomes that may teach, with their age in days before the newest."""
     rows = detail(scored(spark, d))
-    newest = rows.agg(F.max("collected_at").alias("newest"))
+    newest = v.metrics(spark, d, 1).join(v.posts(spark, d), "post_id", "left_semi").agg(F.max("collected_at").alias("newest"))
     age = (F.unix_micros(F.col("newest").cast("timestamp")) - F.unix_micros(F.col("collected_at").cast("timestamp"))) / 86400e6
     return rows.crossJoin(F.broadcast(newest)).withColumn("age_days", age)  # one row
 
@@ -79,13 +79,13 @@ def real_weight(s, d):
 def hook_priors(s, d):
     rows = aged(s, d)
     taught = rows.where(perf.real_weight(F.col("detail")) >= perf.TEACHING)
-    return priors.hook_priors(taught, rows.select("hook_type")).drop("sampled_multiplier")
+    return priors.hook_priors(taught, v.outcomes(s, d).select("hook_type")).drop("sampled_multiplier")
 
 
 def hook_priors_sampled(s, d):
     rows = aged(s, d)
     taught = rows.where(perf.real_weight(F.col("detail")) >= perf.TEACHING)
-    return priors.hook_priors(taught, rows.select("hook_type"), seed="run").select("hook_type", R("sampled_multiplier", 3))
+    return priors.hook_priors(taught, v.outcomes(s, d).select("hook_type"), seed="run").select("hook_type", R("sampled_multiplier", 3))
 
 
 def newest_snapshot(s, d):

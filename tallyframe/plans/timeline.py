@@ -41,8 +41,7 @@ def slot_candidates(s, d):
 
 def slot_topk(s, d):
     """The second to fifth slots of each post."""
-    w = Window.partitionBy("post_id").orderBy(F.desc("score"), "day", "rule")
-    return sch.slot_candidates(slot_posts(s, d)).withColumn("rn", F.row_number().over(w)).where("rn between 2 and 5").select("post_id", "rule", "slot", "score", "rn")
+    return sch.best_slots(slot_posts(s, d), 2, 5)
 
 
 def plan_slots(s, d):
@@ -251,6 +250,16 @@ SELECT event_id, CASE WHEN b_t IS NULL OR t - a_t <= b_t - t THEN ax ELSE bx END
 SELECT post_id, floor((CASE WHEN x1 IS NULL THEN ly ELSE y + 0.25::DOUBLE / (x1 - x) * (y1 - y) END) * 1e5 + 0.5::DOUBLE) / 1e5 AS y, round(ly, 6) AS before FROM q WHERE rn = 1""",
     "shot_anchor": f"""{_SA}, {_SHOT}, m AS (SELECT user_id, shot, list_sort(list(x)) AS v FROM shots WHERE x IS NOT NULL GROUP BY 1, 2), n AS (SELECT user_id, shot, v, v[len(v) // 2 + 1] AS median FROM m)
 SELECT user_id, shot, median, round(list_avg(list_filter(v, lambda y: abs(y - median) <= 20)), 6) AS anchor FROM n""",
+    "select_with_quota": f"""{_I}, d AS (SELECT video || '|' || floor(start / 86400)::BIGINT AS video, event_id AS id, score, CASE WHEN event_id % 3 = 0 THEN 'story' ELSE 'howto' END AS hook_type FROM intervals),
+r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY score * CASE WHEN hook_type = 'howto' THEN 1.1::DOUBLE ELSE 1 END DESC, id) AS rn FROM d), o AS (SELECT *, rn <= 4 AS greedy, rn > 4 AND hook_type <> 'howto' AS other FROM r),
+q AS (SELECT *, other AND row_number() OVER (PARTITION BY video, other ORDER BY rn) <= 1 AS quota FROM o), t AS (SELECT *, greedy OR quota AS taken FROM q),
+f AS (SELECT *, 5 - count_if(taken) OVER (PARTITION BY video) AS spare, row_number() OVER (PARTITION BY video, taken ORDER BY rn) AS fn FROM t)
+SELECT * FROM (SELECT video, id, score, hook_type, CASE WHEN greedy THEN 'greedy' WHEN quota THEN 'exploration_quota' WHEN fn <= spare THEN 'greedy_fill' END AS selected_reason FROM f) WHERE selected_reason IS NOT NULL""",
+    "dedupe_gap": f"""WITH RECURSIVE {v.SAMPLES}, n AS (SELECT user_id, event_id AS id, t, coalesce(floor(x), 0)::BIGINT AS votes, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM samples),
+k AS (SELECT user_id, rn, id, t, votes, true AS added, 1::BIGINT AS place FROM n WHERE rn = 1
+  UNION ALL SELECT n.user_id, n.rn, CASE WHEN n.t - k.t >= 86400 OR n.votes > k.votes THEN n.id ELSE k.id END, CASE WHEN n.t - k.t >= 86400 OR n.votes > k.votes THEN n.t ELSE k.t END, CASE WHEN n.t - k.t >= 86400 OR n.votes > k.votes THEN n.votes ELSE k.votes END,
+    n.t - k.t >= 86400, k.place + CASE WHEN n.t - k.t >= 86400 THEN 1 ELSE 0 END FROM k JOIN n ON n.user_id = k.user_id AND n.rn = k.rn + 1)
+SELECT user_id, id, t, votes FROM (SELECT *, row_number() OVER (PARTITION BY user_id, place ORDER BY rn DESC) AS last FROM k) WHERE last = 1""",
     "travel": f"{_SA} SELECT user_id, round(sum(step), 6) AS travel, round(max(abs(x - 50)), 6) AS \"offset\" FROM (SELECT *, abs(x - lag(x) OVER (PARTITION BY user_id ORDER BY t, event_id)) AS step FROM samples WHERE x IS NOT NULL) GROUP BY user_id",
     "running_min": f"{_SA} SELECT event_id, min(x) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS low FROM samples",
     "shot_from_diff": f"{_SA} SELECT user_id, count_if(c)::BIGINT AS cuts FROM (SELECT user_id, coalesce(abs(x - lag(x) OVER (PARTITION BY user_id ORDER BY t, event_id)) > 28, false) AS c FROM samples WHERE x IS NOT NULL) GROUP BY user_id",
