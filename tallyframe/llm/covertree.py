@@ -2,7 +2,7 @@
 
 Equal vectors of a label form a class. The top level of a label's tree is a bounded set of sampled
 centres; each class goes to its nearest centre's cell, whose covering radius is the largest such
-distance. A class outside a cell is no neighbour of anything in it if its distance to the centre
+distance. Cells that hold too many classes get centres of their own, level by level. A class outside a cell is no neighbour of anything in it if its distance to the centre
 exceeds the radius plus the link distance. Two cells whose centres' distance plus both radii stays
 below it link as a whole, settled by bound for the members of both; otherwise a class that may
 have neighbours in a cell visits it, so that each side of a pair counts it once. Inside a cell, trees of halving radii over
@@ -107,8 +107,12 @@ def _vectors(column) -> np.ndarray:
     return np.array(column.to_pylist(), float)
 
 
+CLASS = "grp string, own boolean, rep long, mult long, bulk double, sure array<long>, v array<double>"
+_CLASS = tuple(c.split()[0] for c in CLASS.split(", "))
+
+
 def _place(sent):
-    """Each class's cell and its distance to that centre; a label without centres is one cell."""
+    """Each class's nearest centre and its distance to it; a group without centres is one cell."""
 
     def run(batches):
         for t in batches:
@@ -118,28 +122,31 @@ def _place(sent):
                 first, centres = sent.value[g]
                 d = _distance(_unit(_vectors(t.column("v").take(pa.array(at)))), centres)
                 cell[at], dist[at] = first + d.argmin(1), d.min(1)
-            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in ("grp", "rep", "mult", "v")), pa.array(cell), pa.array(dist)], names=["grp", "rep", "mult", "v", "cell", "dist"])
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in _CLASS), pa.array(cell), pa.array(dist)], names=[*_CLASS, "cell", "dist"])
 
     return run
 
 
 def _visit(sent, ids, cells, reach):
-    """Rows for each cell that a class is in (own) or visits; links settled by the bounds alone."""
+    """Rows for each cell that a class is in (own) or visits; links settled by the bounds alone. What
+    visits the group already (not own) only visits its cells."""
 
     def run(batches):
         for t in batches:
-            group, home = t.column("grp").to_pylist(), t.column("cell").to_numpy()
-            rep, mult = t.column("rep").to_numpy(), t.column("mult").to_numpy()
-            at, cell, own, bulk, other = [np.arange(t.num_rows)], [home], [np.ones(t.num_rows, bool)], np.zeros(t.num_rows), [[] for _ in range(t.num_rows)]
+            group, home, mine = t.column("grp").to_pylist(), t.column("cell").to_numpy(), t.column("own").to_numpy(zero_copy_only=False)
+            bulk, other = t.column("bulk").to_numpy().copy(), [list(x or ()) for x in t.column("sure").to_pylist()]
+            alone = np.array([g not in sent.value for g in group], bool)
+            stay = (mine | alone).nonzero()[0]
+            at, cell, own = [stay], [home[stay]], [mine[stay]]
             for g in {g for g in group if g in sent.value}:
                 i = np.array([k for k, v in enumerate(group) if v == g])
                 first, centres = sent.value[g]
                 d = _distance(_unit(_vectors(t.column("v").take(pa.array(i)))), centres)
                 radius, weight = cells.value[0][first : first + len(centres)], cells.value[1][first : first + len(centres)]
-                away = np.arange(len(centres)) + first != home[i][:, None]
+                away = (np.arange(len(centres)) + first != home[i][:, None]) | ~mine[i][:, None]
                 homes, own_home = np.unique(home[i] - first, return_inverse=True)
                 whole = _distance(centres[homes], centres) + radius[homes, None] + radius < reach - EDGE  # the same from both cells
-                inside = away & whole[own_home] & (weight > 0)
+                inside = away & whole[own_home] & (weight > 0) & mine[i][:, None]
                 bulk[i] += inside @ weight
                 for a, j in zip(*inside.nonzero(), strict=True):
                     other[i[a]].append(int(ids.value[first + j]))
@@ -147,18 +154,72 @@ def _visit(sent, ids, cells, reach):
                 at.append(i[a])
                 cell.append(first + j)
                 own.append(np.zeros(len(a), bool))
-            at = np.concatenate(at)
-            own = np.concatenate(own)
+            at, own = np.concatenate(at), np.concatenate(own)
             sure = [other[k] if o else [] for k, o in zip(at.tolist(), own.tolist(), strict=True)]
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [t.column("grp").take(take), pa.array(np.concatenate(cell)), pa.array(own), pa.array(rep[at]), pa.array(mult[at]), pa.array(np.where(own, bulk[at], 0.0)), pa.array(sure, pa.list_(pa.int64())), t.column("v").take(take)],
-                names=["grp", "cell", "own", "rep", "mult", "bulk", "sure", "v"],
+                [t.column("grp").take(take), pa.array(own), t.column("rep").take(take), t.column("mult").take(take), pa.array(np.where(own, bulk[at], 0.0)), pa.array(sure, pa.list_(pa.int64())), t.column("v").take(take), pa.array(np.concatenate(cell))],
+                names=[*_CLASS, "cell"],
             )
 
     return run
 
 
+def _level(rows: DataFrame, large: list, cosine: float, cell: int) -> DataFrame:
+    """The rows with a cell, and again for each cell that they visit. large: (grp, n, size) of the groups
+    that get centres, about n / cell each and CENTRES in all; a group without centres is one cell."""
+    spark = rows.sparkSession
+    send = spark.sparkContext.broadcast
+    room = min(CENTRES, CENTRE_BYTES // (8 * max((r["size"] for r in large), default=1)))
+    scale = min(1.0, room * cell / max(1, sum(r.n for r in large)))
+    wanted = {r.grp: max(1, int(scale * r.n / cell)) for r in large}
+    tops, ids, first = {}, [], 0
+    if wanted:  # the classes of smallest hash, a few more than are wanted of each group: bounded by the room
+        share = F.create_map(*(F.lit(x) for r in large for x in (r.grp, min(1.0, (2 * wanted[r.grp] + 8) / r.n))))
+        draw = F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1 << 40))
+        sample = rows.where(F.col("own") & F.col("grp").isin(*wanted)).withColumn("draw", draw).where(F.col("draw") < share[F.col("grp")] * (1 << 40)).select("grp", "rep", "v", "draw").collect()
+        by: dict[str, list] = {}
+        for r in sorted(sample, key=lambda r: (r.grp, r.draw, r.rep)):
+            by.setdefault(r.grp, []).append(r)
+        for g, found in by.items():
+            chosen = found[: wanted[g]]
+            tops[g] = (first, _unit(np.array([r.v for r in chosen], float)))
+            ids += [r.rep for r in chosen]
+            first += len(chosen)
+    sent, reach = send(tops), float(np.sqrt(2 - 2 * cosine))
+    placed = stored(rows.select(*_CLASS).mapInArrow(_place(sent), CLASS + ", cell long, dist double"))
+    radius, weight = np.zeros(first), np.zeros(first)
+    for r in placed.where("own and cell >= 0").groupBy("cell").agg(F.max("dist").alias("radius"), F.sum("mult").alias("weight")).collect():
+        radius[r.cell], weight[r.cell] = r.radius, r.weight
+    return stored(placed.mapInArrow(_visit(sent, send(np.array(ids, np.int64)), send((radius, weight)), reach), CLASS + ", cell long"))
+
+
+def _cells(classes: DataFrame, cosine: float, cell: int) -> DataFrame:
+    """The classes in cells, with those that visit them. A cell of more than BLOCK classes gets centres of
+    its own in a level below, as many cells at a time as CENTRES allows; one that its centres don't
+    take apart (a part keeps nine tenths) stays as it is."""
+    n = [F.count("*").alias("n"), F.first(F.size("v")).alias("size")]
+    large = classes.groupBy("grp").agg(*n).where(F.col("n") > cell).orderBy(F.desc("n"), "grp").limit(CENTRES).collect()
+    visits, kept = _level(classes, large, cosine, cell), {r.grp: r.n for r in large}
+    while True:
+        sizes = visits.where("own").groupBy("grp", "cell").agg(*n).where(F.col("n") > BLOCK)
+        big = [r for r in sizes.orderBy(F.desc("n"), "grp", "cell").limit(CENTRES).collect() if r.n <= 0.9 * kept.get(r.grp, float("inf"))]
+        some, room = [], CENTRES
+        for r in big:  # the largest first, while their centres fit
+            room -= -(-r.n // cell)
+            if room < 0 and some:
+                break
+            some.append(r)
+        if not some:
+            return visits
+        below = [type("Large", (dict,), {"__getattr__": dict.__getitem__})(grp=f"{r.grp}|{r.cell}", n=r.n, size=r["size"]) for r in some]
+        kept |= {r.grp: r.n for r in below}
+        name = F.concat_ws("|", "grp", F.col("cell").cast("string"))
+        mine = name.isin([r.grp for r in below])
+        lower = visits.where(mine).withColumn("grp", name).drop("cell")
+        visits = stored(visits.where(~mine).unionByName(_level(lower, below, cosine, cell)))
+
+
 def _link(cosine):
     """Rows in order of (grp, cell, block): for each own class its weight of linked vectors and links that join its component."""
 
@@ -200,7 +261,6 @@ def _link(cosine):
 def covertree_dedup(table: DataFrame, cosine: float = COSINE, cell: int = CELL) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row per input row."""
     spark = table.sparkSession
-    send = spark.sparkContext.broadcast
     v = F.transform("embedding", lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (F.size("v") == 0) | ~F.exists("v", lambda x: x != 0)
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v"))
@@ -209,30 +269,9 @@ def covertree_dedup(table: DataFrame, cosine: float = COSINE, cell: int = CELL)
     good = rows.where("grp is not null")
     classes = good.groupBy("grp", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))
     classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))  # a class's own id: a vec_id may be in several
-    large = classes.groupBy("grp").agg(F.count("*").alias("n"), F.first(F.size("v")).alias("size")).where(F.col("n") > cell).orderBy(F.desc("n"), "grp").limit(CENTRES).collect()
-    room = min(CENTRES, CENTRE_BYTES // (8 * max((r["size"] for r in large), default=1)))
-    scale = min(1.0, room * cell / max(1, sum(r.n for r in large)))
-    wanted = {r.grp: max(1, int(scale * r.n / cell)) for r in large}
-    tops, ids, first = {}, [], 0
-    if wanted:  # the classes of smallest hash, a few more than are wanted of each group: bounded by the room
-        share = F.create_map(*(F.lit(x) for r in large for x in (r.grp, min(1.0, (2 * wanted[r.grp] + 8) / r.n))))
-        draw = F.pmod(F.xxhash64("least", F.lit(5)), F.lit(1 << 40))
-        sample = classes.where(F.col("grp").isin(*wanted)).withColumn("draw", draw).where(F.col("draw") < share[F.col("grp")] * (1 << 40)).select("grp", "rep", "v", "draw").collect()
-        by: dict[str, list] = {}
-        for r in sorted(sample, key=lambda r: (r.grp, r.draw, r.rep)):
-            by.setdefault(r.grp, []).append(r)
-        for g, found in by.items():
-            chosen = found[: wanted[g]]
-            tops[g] = (first, _unit(np.array([r.v for r in chosen], float)))
-            ids += [r.rep for r in chosen]
-            first += len(chosen)
-    sent, reach = send(tops), float(np.sqrt(2 - 2 * cosine))
-    placed = stored(classes.drop("least").mapInArrow(_place(sent), "grp string, rep long, mult long, v array<double>, cell long, dist double"))
-    radius, weight = np.zeros(first), np.zeros(first)
-    sizes = placed.groupBy("grp", "cell").agg(F.max("dist").alias("radius"), F.sum("mult").alias("weight"), F.count("*").alias("n"))
-    for r in sizes.where("cell >= 0").collect():
-        radius[r.cell], weight[r.cell] = r.radius, r.weight
-    visits = placed.mapInArrow(_visit(sent, send(np.array(ids, np.int64)), send((radius, weight)), reach), "grp string, cell long, own boolean, rep long, mult long, bulk double, sure array<long>, v array<double>")
+    own = classes.select("grp", F.lit(True).alias("own"), "rep", "mult", F.lit(0.0).alias("bulk"), F.array().cast("array<long>").alias("sure"), "v")
+    visits = _cells(own, cosine, cell)
+    sizes = visits.where("own").groupBy("grp", "cell").agg(F.count("*").alias("n"))
     blocks = sizes.select(F.col("grp").alias("b_grp"), F.col("cell").alias("b_cell"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     dealt = visits.join(blocks, (F.col("grp") == F.col("b_grp")) & (F.col("cell") == F.col("b_cell"))).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("own", F.col("own") & (F.col("mine") == F.col("block")))

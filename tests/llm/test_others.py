@@ -263,8 +263,10 @@ def brute_vectors(rows):
     return links, label
 
 
-@pytest.mark.parametrize("cell", [1000, 20])
-def test_covertree_equals_brute_force(spark, cell):
+@pytest.mark.parametrize(("cell", "block"), [(1000, 4096), (20, 4096), (4, 8)])
+def test_covertree_equals_brute_force(spark, cell, block, monkeypatch):
+    monkeypatch.setattr(covertree, "BLOCK", block)
+    monkeypatch.setattr(covertree, "CENTRES", 6 if block == 8 else 4096)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + rng.normal(size=8) * (0.02 if i % 3 else 0.3)).astype(np.float32).tolist(), i % 2) for i in range(150)]
@@ -279,9 +281,13 @@ def test_covertree_equals_brute_force(spark, cell):
 
 def test_covertree_stretched_cell_beside_a_tight_one(spark):
     """Members of the tight cell are not inside the stretched one, whose near members are inside the tight one."""
-    draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40))
-    ids = [r.id for r in spark.range(6).orderBy(draw).collect()]  # the first two are the sampled centres
-    rows = [(i, [math.cos(a), math.sin(a)], 0) for i, a in zip(ids, (0.0, 0.10, 0.01, 0.02, 0.08, 2.0), strict=True)]
+    angles = (0.0, 0.10, 0.01, 0.02, 0.08, 2.0)
+    turned = [(k, i, [math.cos(a + k / 100), math.sin(a + k / 100)]) for k in range(300) for i, a in enumerate(angles)]
+    draw = F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1 << 40))
+    drawn = spark.createDataFrame(turned, "k int, i int, v array<double>").select("k", F.struct(draw.alias("draw"), "i").alias("d")).groupBy("k").agg(F.sort_array(F.collect_list("d")).alias("d")).orderBy("k").collect()
+    k = next(r.k for r in drawn if {r.d[0].i, r.d[1].i} == {0, 1})  # a turn at which the first two are the sampled centres
+    ids = list(range(6))
+    rows = [(i, v, 0) for at, i, v in turned if at == k]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r for r in covertree.covertree_dedup(df, cell=3).collect()}
     links, label = brute_vectors(rows)
