@@ -102,6 +102,15 @@ def _known(name: str):
     return _state[name]
 
 
+def word_pattern(name: str):
+    """The tokenizer's word pattern, if it takes the steps of STEPS; else None."""
+    if isinstance(_known(name), _Recent):
+        import regex
+
+        return regex.compile(WORDS)
+    return None
+
+
 def token_bytes(texts: list[str], name: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree
+from . import bpe_tree, covertree
 from . import exact_dedup as exact
 from . import language_id, line_dedup, lm_score, minhash, mixing, packing, url_filter, warc
 
@@ -58,6 +58,11 @@ def op8_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_bpe_tree(spark, sf_dir):
+    t = bpe_tree.encode(_table(spark, sf_dir, "documents")).withColumn("text", bpe_tree.decode(F.col("ids")))
+    return t.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_url_filter": op9_url_filter,
         "op10_mixing": op10_mixing,
+        "op12_bpe_tree": op12_bpe_tree,
     }
 
 
