@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe_tree, covertree
 from . import exact_dedup as exact
-from . import language_id, line_dedup, lm_score, minhash, mixing, packing, url_filter, warc
+from . import language_id, line_dedup, lm_score, minhash, mixing, packing, prefix_trie, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op8_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.placed(_table(spark, sf_dir, "conversations"))))
+
+
 def op12_bpe_tree(spark, sf_dir):
     t = bpe_tree.encode(_table(spark, sf_dir, "documents")).withColumn("text", bpe_tree.decode(F.col("ids")))
     return t.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_url_filter": op9_url_filter,
         "op10_mixing": op10_mixing,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_bpe_tree": op12_bpe_tree,
     }
 
@@ -197,5 +202,27 @@ SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust,
 """.replace("{rules}", ", ".join(f"('{r}', '{v}', '{r.partition('/')[0]}', '{r.partition('/')[2]}')" for r, v in url_filter.RULES))
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, strlen(coalesce(text, '')) AS b, substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')), 1, 32) AS c FROM conversations WHERE conv_id IS NOT NULL
+), l AS (SELECT conv_id, list({'c': c, 'b': b} ORDER BY turn NULLS FIRST, role, c) AS l FROM t GROUP BY conv_id
+), h AS (
+  SELECT conv_id, l, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y // 2, 3988292384 * (y % 2)))), 4294967295) % 9 AS h FROM l
+), r AS (SELECT h.conv_id, list_concat(coalesce(base.l[1:h], []), h.l[h + 1:]) AS l FROM h LEFT JOIN l base ON base.conv_id = h.conv_id - h.conv_id % 5
+), m AS (
+  SELECT conv_id, d, array_to_string(list_transform(l[1:d], lambda x: x.c), ',') AS k, CASE WHEN d > 0 THEN array_to_string(list_transform(l[1:d - 1], lambda x: x.c), ',') END AS p, CASE WHEN d > 0 THEN l[d].b ELSE 0 END AS b, d = len(l) AS last
+  FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM r)
+), n AS (SELECT k, d, min(p) AS p, min(conv_id) AS conv_id, count(*) AS n, max(b) AS b, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last) AS ends FROM m GROUP BY k, d
+), c AS (SELECT p AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY p
+), s AS (
+  SELECT x.k, count(*) FILTER (c.k IS NULL) AS n_leaves, sum((n.n - 1) * n.b) AS saved
+  FROM (SELECT DISTINCT a.k, b.k AS below FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.d <= b.d) x JOIN n ON n.k = x.below LEFT JOIN c ON c.k = x.below GROUP BY x.k
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n LEFT JOIN n p ON p.k = n.p AND n.d > 0 LEFT JOIN c ON c.k = n.k JOIN s ON s.k = n.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op5_covertree_dedup": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op11_prefix_trie": OP11_SQL, "op1_minhash_dedup": OP1_SQL, "op5_covertree_dedup": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
