@@ -38,7 +38,9 @@ WHOLE, HALF = 32_768, 8_192
 #: Characters that a window first takes on either side of a join.
 WINDOW = 64
 #: Stretches whose tokens a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 50_000
+#: Rows whose texts and ids a worker holds at a time.
+ROWS = 1_000
 VOCABULARY = "word_bpe_49k.json"
 _tokenizers: dict = {}
 _stretches: dict = {}
@@ -212,18 +214,32 @@ def concatenated(model, margin: int, text: str, parts: list[Tokens], edges: list
 _CUT = "doc_id long, digest binary, half int, n_halves int, piece string"
 
 
-def encode(docs: DataFrame, name: str = VOCABULARY, whole: int = WHOLE, half: int = HALF) -> DataFrame:
-    """(doc_id, ids): every text's ids as little-endian unsigned 32-bit integers, one row a document.
+def decoder(name: str):
+    """Array of ids -> text, special tokens included."""
+    model, _ = tokenizer(name)
+    if model.decoder is not None:
+        return lambda ids: model.decode(ids.tolist(), skip_special_tokens=False)
+    shown = [model.id_to_token(i) for i in range(model.get_vocab_size())]
+    return lambda ids: " ".join([shown[i] for i in ids.tolist() if i < len(shown)])  # tokens between blanks, unknown ids left out
+
+
+def encode(docs: DataFrame, name: str = VOCABULARY, whole: int = WHOLE, half: int = HALF, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): every text's ids as little-endian unsigned 32-bit integers, one row a document; with
+    decoded also the text that decode() makes of them, by the same workers.
 
     A long text's halves are counted by document and content before they are dealt out, so many
     repeated rows are encoded once; no more than one document is held at a time when they are joined.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
+    schema = "doc_id long, ids binary" + ", text string" * decoded
+
     def short(batches):
-        for b in batches:
+        back = decoder(name) if decoded else None
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids = token_bytes(b.column("text").to_pylist(), name)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            more = {"text": pa.array([back(np.frombuffer(x, "<u4")) for x in ids], pa.string())} if decoded else {}
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "ids": pa.array(ids, pa.binary())} | more)
 
     def cut(batches):
         for b in batches:
@@ -247,13 +263,14 @@ def encode(docs: DataFrame, name: str = VOCABULARY, whole: int = WHOLE, half: in
         for at, ids, places in zip(edges, pdf.ids, pdf.places, strict=False):
             start, end, word = np.frombuffer(places, "<u2" if half < 1 << 16 else "<u4").astype(np.int64).reshape(3, -1)
             parts.append(Tokens(np.frombuffer(ids, "<u4"), start + at, end + at, word))
-        ids, n = concatenated(model, margin, text, parts, edges).ids.astype("<u4").tobytes(), int(pdf.n.iloc[0])
-        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(pdf.doc_id.iloc[0]) else int(pdf.doc_id.iloc[0])] * n, "Int64"), "ids": [ids] * n})
+        ids, n = concatenated(model, margin, text, parts, edges).ids.astype("<u4"), int(pdf.n.iloc[0])
+        more = {"text": [decoder(name)(ids)] * n} if decoded else {}
+        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(pdf.doc_id.iloc[0]) else int(pdf.doc_id.iloc[0])] * n, "Int64"), "ids": [ids.tobytes()] * n} | more)
 
-    few = own.where(F.char_length("text") <= whole).mapInArrow(short, "doc_id long, ids binary")
+    few = own.where(F.char_length("text") <= whole).mapInArrow(short, schema)
     halves = own.where(F.char_length("text") > whole).mapInArrow(cut, _CUT).groupBy("doc_id", "digest", "half", "n_halves", "piece").agg(F.count("*").alias("n"))
     dealt = halves.mapInArrow(apart, f"{_CUT}, n long, ids binary, places binary")
-    return few.unionByName(dealt.groupBy("doc_id", "digest").applyInPandas(together, "doc_id long, ids binary"))
+    return few.unionByName(dealt.groupBy("doc_id", "digest").applyInPandas(together, schema))
 
 
 def decode(ids: Column, name: str = VOCABULARY) -> Column:
@@ -261,12 +278,7 @@ def decode(ids: Column, name: str = VOCABULARY) -> Column:
 
     @F.pandas_udf("string")
     def run(c: pd.Series) -> pd.Series:
-        model, _ = tokenizer(name)
-        if model.decoder is None:  # tokens between blanks, unknown ids left out
-            shown = [model.id_to_token(i) for i in range(model.get_vocab_size())]
-            some = lambda ids: " ".join([shown[i] for i in ids.tolist() if i < len(shown)])
-        else:
-            some = lambda ids: model.decode(ids.tolist(), skip_special_tokens=False)
-        return c.map(lambda b: None if b is None else some(np.frombuffer(b, "<u4")))
+        back = decoder(name)
+        return c.map(lambda b: None if b is None else back(np.frombuffer(b, "<u4")))
 
     return run(ids)

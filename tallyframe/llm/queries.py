@@ -63,7 +63,7 @@ def op11_prefix_trie(spark, sf_dir):
 
 
 def op12_bpe_tree(spark, sf_dir):
-    t = bpe_tree.encode(_table(spark, sf_dir, "documents")).withColumn("text", bpe_tree.decode(F.col("ids")))
+    t = bpe_tree.encode(_table(spark, sf_dir, "documents"), decoded=True)
     return t.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -67,6 +67,7 @@ def test_query_is_the_librarys(spark, model, tmp_path):
 
 @pytest.mark.parametrize("sizes", [{}, {"whole": 16, "half": 8}])
 def test_odd_rows(odd, model, sizes):
+    odd = odd.where("text is null or length(text) < 1000") if sizes else odd  # not tens of thousands of halves
     rows = bpe_tree.encode(odd, **sizes).collect()
     want = sorted((str(r.doc_id), np.array(model[0].encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes()) for r in odd.collect())
     assert sorted((str(r.doc_id), bytes(r.ids)) for r in rows) == want  # repeated rows and the null id as often as they are there
@@ -76,4 +77,6 @@ def test_empty_and_null(empty, spark):
     from pyspark.sql import functions as F
 
     assert bpe_tree.encode(empty).count() == 0
+    t = bpe_tree.encode(spark.createDataFrame([(1, "Hello there")], "doc_id long, text string"), decoded=True).withColumn("again", bpe_tree.decode(F.col("ids"))).first()
+    assert t.text == t.again == "hello</w> there</w>"
     assert spark.createDataFrame([(None,)], "ids binary").select(bpe_tree.decode(F.col("ids")).alias("t")).first().t is None
