@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe_tree, covertree
 from . import exact_dedup as exact
-from . import language_id, line_dedup, lm_score, minhash, mixing, packing, prefix_trie, url_filter, warc
+from . import language_id, line_dedup, lm_score, minhash, mixing, packing, prefix_trie, url_filter, va_file, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_bpe_tree(spark, sf_dir):
     return t.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_va_file(spark, sf_dir):
+    return va_file.hard_negatives(va_file.mined(_table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": op10_mixing,
         "op11_prefix_trie": op11_prefix_trie,
         "op12_bpe_tree": op12_bpe_tree,
+        "op13_va_file": op13_va_file,
     }
 
 
@@ -224,5 +229,19 @@ FROM n LEFT JOIN n p ON p.k = n.p AND n.d > 0 LEFT JOIN c ON c.k = n.k JOIN s ON
 """
 
 
+OP13_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.x, v.x)::BIGINT AS score FROM v a JOIN v ON a.vec_id % 50 = 0 AND a.vec_id <> v.vec_id AND len(a.x) = len(v.x)
+), p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_prefix_trie": OP11_SQL, "op1_minhash_dedup": OP1_SQL, "op5_covertree_dedup": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op13_va_file": OP13_SQL, "op11_prefix_trie": OP11_SQL, "op1_minhash_dedup": OP1_SQL, "op5_covertree_dedup": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filter": OP9_SQL}
