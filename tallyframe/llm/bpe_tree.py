@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,19 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .packing import token_bytes, word_pattern
+from .packing import PLAIN, stretch_ids, token_bytes
 
 #: Characters up to which a text is encoded whole, and to which a half is cut at least.
 WHOLE, HALF = 32_768, 8_192
 #: Characters that a window first takes on either side of a join.
 WINDOW = 64
-#: Stretches whose tokens a worker remembers.
-REMEMBERED = 50_000
 #: Rows whose texts and ids a worker holds at a time.
 ROWS = 1_000
 VOCABULARY = "word_bpe_49k.json"
 _tokenizers: dict = {}
-_stretches: dict = {}
+_lengths: dict = {}
 
 
 def tokenizer(name: str):
@@ -99,31 +96,40 @@ def encoded(model, text: str, at: int) -> Tokens:
     return Tokens(np.array(e.ids, np.uint32), place[:, 0], place[:, 1], np.array(e.word_ids, np.int64))
 
 
-def halved(model, text: str, known: dict, plain=None) -> Tokens:
+def halved(name: str, text: str) -> Tokens:
     """encoded(model, text, 0) by the stretches between blanks and line ends, at which no word goes on.
 
-    known: what was found for short stretches; a caller's, so that its size is bounded. plain: the
-    tokenizer's own word pattern, if it takes the steps of packing.STEPS."""
-    parts = text.replace("\n", " ").split(" ")
-    rows = []
-    for p in parts:
-        row = known.get(p)
-        if row is None:
-            if plain and p.isascii() and p.isprintable() and "<|" not in p:  # its words one by one: the same without the library's records
-                row = array("I", [x for k, w in enumerate(plain.finditer(p.lower())) for t in model.model.tokenize(w[0]) for x in (t.id, w.start() + t.offsets[0], w.start() + t.offsets[1], k)]).tobytes()
-            else:
-                t = encoded(model, p, 0)
-                row = np.stack((t.ids, t.start, t.end, t.word), 1).astype("<u4").tobytes()
-            if len(p) < 64:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[p] = row
-        rows.append(row)
-    table = np.frombuffer(b"".join(rows), "<u4").reshape(-1, 4).astype(np.int64)
-    of = np.repeat(np.arange(len(parts)), [len(r) // 16 for r in rows])
-    at = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])[of]
-    new = (np.diff(of, prepend=-1) != 0) | (np.diff(table[:, 3], prepend=-1) != 0)
-    return Tokens(table[:, 0].astype(np.uint32), table[:, 1] + at, table[:, 2] + at, np.cumsum(new))
+    The ids of a stretch that normalisation only lowers are remembered; its tokens stand one after
+    another, so their places are sums of the characters that begin in each, and a token that begins
+    within a character has that one too. Other stretches are the library's."""
+    (model, _), known = tokenizer(name), stretch_ids(name)
+    if known is None:
+        return encoded(model, text, 0)
+    if name not in _lengths:
+        import regex
+
+        strings = [model.id_to_token(i) for i in range(model.get_vocab_size())]
+        inner = {chr(c) for c in (*range(161, 173), *range(174, 192), *range(290, 324))}  # the byte-level alphabet's 0x80 to 0xbf
+        bare = [x.removesuffix("</w>") for x in strings]
+        _lengths[name] = np.array([sum(c not in inner for c in x) for x in bare]), np.array([x[:1] in inner for x in bare], np.int64), np.array([x.endswith("</w>") for x in strings]), regex.compile(PLAIN)
+    length, inside, closes, plain = _lengths[name]
+    parts, rows, others = text.replace("\n", " ").split(" "), [], {}
+    for k, p in enumerate(parts):
+        if (p.isprintable() if p.isascii() else plain.fullmatch(p)) and "<|" not in p:
+            rows.append(known[p])
+        else:
+            others[k] = encoded(model, p, 0)
+            rows.append(others[k].ids.astype("<u4").tobytes())
+    ids, n = np.frombuffer(b"".join(rows), "<u4"), np.array([len(r) // 4 for r in rows])
+    first, at = np.cumsum(n) - n, np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+    of, size = np.repeat(np.arange(len(parts)), n), length[ids]
+    ends = np.cumsum(size)
+    end = ends - np.concatenate(([0], ends))[first][of] + at[of]
+    start, new = end - size - inside[ids], np.concatenate(([True], closes[ids][:-1] | (np.diff(of) != 0)))[: len(ids)]
+    for k, t in others.items():
+        here = slice(first[k], first[k] + n[k])
+        start[here], end[here], new[here] = t.start + at[k], t.end + at[k], np.diff(t.word, prepend=-1) != 0
+    return Tokens(ids, start, end, np.cumsum(new))
 
 
 def chained(parts: list[Tokens]) -> Tokens:
@@ -249,9 +255,8 @@ def encode(docs: DataFrame, name: str = VOCABULARY, whole: int = WHOLE, half: in
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id] * n, pa.int64()), "digest": [digest] * n, "half": pa.array(range(n), pa.int32()), "n_halves": pa.array([n] * n, pa.int32()), "piece": [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]})
 
     def apart(batches):
-        (model, _), known, plain = tokenizer(name), _stretches.setdefault(name, {}), word_pattern(name)
         for b in batches:
-            found = [halved(model, p, known, plain) for p in b.column("piece").to_pylist()]
+            found = [halved(name, p) for p in b.column("piece").to_pylist()]
             more = {"ids": [t.ids.astype("<u4").tobytes() for t in found], "places": [np.concatenate((t.start, t.end, t.word)).astype("<u2" if half < 1 << 16 else "<u4").tobytes() for t in found]}
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, more.values())], [*b.schema.names, *more])
 

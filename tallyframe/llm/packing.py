@@ -102,13 +102,10 @@ def _known(name: str):
     return _state[name]
 
 
-def word_pattern(name: str):
-    """The tokenizer's word pattern, if it takes the steps of STEPS; else None."""
-    if isinstance(_known(name), _Recent):
-        import regex
-
-        return regex.compile(WORDS)
-    return None
+def stretch_ids(name: str):
+    """Stretch without blanks -> its ids' bytes, remembered; None for a tokenizer of other steps than STEPS."""
+    known = _known(name)
+    return known if isinstance(known, _Recent) else None
 
 
 def token_bytes(texts: list[str], name: str) -> list[bytes]:
