@@ -7,6 +7,7 @@ n log n + n * k on arrays. Everything around it (thresholds, slots, scores) is r
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from functools import reduce
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import jitter_minutes
+from .folds import cut_islands, folded
 
 
 def best_intervals(start: np.ndarray, end: np.ndarray, score: np.ndarray, k: int, gap: float) -> list[int]:
@@ -151,37 +153,81 @@ def best_slots(posts: DataFrame, first: int, last: int, days: int = 7) -> DataFr
     return some.select("post_id", "x.rule", F.col("x.slot").cast("timestamp_ntz").alias("slot"), (-F.col("x.low")).alias("score"), (F.col("at") + first).alias("rn"))
 
 
-def plan_slots(candidates: DataFrame, by: str) -> DataFrame:
-    """One publish time per post, in order of post: the best slot that is no holiday and at least
-    MIN_GAP_H hours from the platform's earlier posts, half an hour later beside one of the group's
-    other posts, plus the post's jitter. Each choice limits the next, so a group is folded in order."""
+#: The notes of a plan.
+NO_RULE, HOLIDAY_SKIPPED, RELAXED, STAGGERED, JITTERED = "no_rule_matched", "G3_holiday_skipped", "G1_relaxed_no_free_slot", "G2_cross_platform_stagger", "G5_jitter_applied"
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, taken, used = [], {}, []
-        for post, own in pdf.sort_values(["post_id", "score", "day", "rule"], ascending=[True, False, True, True]).groupby("post_id", sort=True):
-            platform, notes = own.platform.iloc[0], []
-            free = [r for r in own.itertuples() if not any(abs((r.slot - t).total_seconds()) < MIN_GAP_H * 3600 for t in taken.get(platform, []))]
-            open_ = [r for r in free if (r.slot.month, r.slot.day) not in HOLIDAYS]
-            if open_:
-                pick = open_[0]
-                if free[0] is not pick:
-                    notes.append("holiday_skipped")
-            else:
-                pick = own.iloc[0]
-                notes.append("gap_relaxed")
-            at = pick.slot
-            if any(abs((at - t).total_seconds()) < STAGGER_MIN * 60 for t in used):
-                at += pd.Timedelta(minutes=STAGGER_MIN)
-                notes.append("staggered")
-            at += pd.Timedelta(minutes=int(own.jitter.iloc[0]))
-            taken.setdefault(platform, []).append(at)
-            used.append(at)
-            out.append((pdf[by].iloc[0], post, platform, pick.rule, at, pick.score, ",".join(notes)))
-        return pd.DataFrame(out, columns=[by, "post_id", "platform", "rule", "slot", "score", "constraints"])
-
-    types = dict(candidates.dtypes)
-    jittered = candidates.withColumn("jitter", jitter_minutes(F.col("post_id").cast("string")))
-    return jittered.groupBy(by).applyInPandas(group, f"{by} {types[by]}, post_id {types['post_id']}, platform string, rule string, slot timestamp_ntz, score double, constraints string")
+
+class Planned:
+    """What limits a video's next post: minutes planned so far, by platform and by clip, in order."""
+
+    def __init__(self) -> None:
+        self.platforms: dict[str, list[int]] = {}
+        self.clips: dict[object, list[int]] = {}
+
+    @staticmethod
+    def near(times: list[int], at: int, minutes: int) -> bool:
+        i = bisect_left(times, at - minutes + 1)
+        return i < len(times) and times[i] < at + minutes
+
+    def choose(self, platform: str, clip: object, slots: list, jitter: int) -> tuple[str, int, float, list[str]]:
+        """(rule, minute, score, notes) of the post, which is added to what is planned. slots: (score, rule,
+        minute, holiday) from the best on."""
+        notes, pick, taken = [], None, self.platforms.setdefault(platform, [])
+        for x in slots:
+            if self.near(taken, x["minute"], MIN_GAP_H * 60):
+                continue
+            if not x["holiday"]:
+                pick = x
+                break
+            notes.append(HOLIDAY_SKIPPED)
+        if pick is None:
+            pick = slots[0]
+            notes.append(RELAXED)
+        at, own = pick["minute"], self.clips.setdefault(clip, [])
+        if self.near(own, at, STAGGER_MIN):
+            at += STAGGER_MIN
+            notes.append(STAGGERED)
+        at += jitter
+        notes.append(JITTERED)
+        insort(taken, at)
+        insort(own, at)
+        return pick["rule"], at, pick["score"], notes
+
+
+def plan_slots(posts: DataFrame, by: str, clip: str, days: int = 7) -> DataFrame:
+    """(by, post_id, clip, platform, rule, slot, score, constraints): one publish time per post of (by, clip,
+    post_id, platform, hook_type, now), in order of post_id within `by`.
+
+    A post takes its best slot that is no holiday and at least MIN_GAP_H hours from the posts already
+    planned for its platform, whatever their clip; if none is free, its best. Within STAGGER_MIN minutes
+    of another post of its clip it goes that much later; its jitter comes last. Posts more than days + 2
+    days apart cannot limit each other, so a video is folded by islands of time, in streams.
+
+    Defined cases: a post without a time or platform takes tomorrow at nine and neither limits nor is
+    limited; repeated rows are posts of their own; a null video or clip is one of its own; an empty table
+    gives none.
+    """
+    order = F.array_sort(F.transform(_slots(days), lambda x: F.struct((-F.round(x["score"], 4)).alias("low"), x["day"].alias("day"), x["rule"].alias("rule"), x["slot"].cast("timestamp_ntz").alias("slot"))))
+    minute = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / 60_000_000)
+    slots = F.transform(order, lambda x: F.struct((-x["low"]).alias("score"), x["rule"].alias("rule"), minute(x["slot"]).alias("minute"), is_holiday(x["slot"]).alias("holiday")))
+    rows = posts.select(by, clip, "post_id", "platform", "hook_type", "now").withColumn("slots", slots).withColumn("jitter", jitter_minutes(F.col("post_id").cast("string")))
+    ready = (F.size("slots") > 0) & F.col("platform").isNotNull()
+    types = dict(posts.dtypes)
+    schema = f"{by} {types[by]}, post_id {types['post_id']}, {clip} {types[clip]}, platform string, rule string, minute long, score double, constraints string"
+
+    def step(state: Planned, row: tuple):
+        video, _, post, own, platform, slots, jitter = row
+        rule, at, score, notes = state.choose(platform, own, list(slots), int(jitter))
+        yield video, post, own, platform, rule, at, score, ",".join(notes)
+
+    placed = cut_islands(rows.where(ready).drop("hook_type"), by, F.unix_seconds(F.col("now").cast("timestamp")) / 86400.0, days + 2.0)
+    placed = placed.select(by, "island", "post_id", clip, "platform", "slots", "jitter")
+    done = folded(placed, [by, "island"], ["post_id", clip], Planned, step, lambda _: (), schema)
+    none = rows.where(~F.coalesce(ready, F.lit(False)))
+    at = F.date_trunc("day", F.timestamp_add("DAY", F.lit(1), F.col("now"))) + F.expr("INTERVAL 9 HOURS")
+    none = none.select(by, "post_id", clip, "platform", F.lit("FALLBACK").alias("rule"), minute(at).alias("minute"), F.lit(0.0).alias("score"), F.lit(NO_RULE).alias("constraints"))
+    slot = F.timestamp_seconds(F.col("minute") * 60).cast("timestamp_ntz")
+    return done.unionByName(none).select(by, "post_id", clip, "platform", "rule", slot.alias("slot"), "score", "constraints")
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column, gap: float) -> Column:

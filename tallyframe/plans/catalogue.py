@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import performance, publishing, texts, timeline
+from . import collecting, performance, publishing, texts, timeline
 
-_PARTS = (performance, texts, timeline, publishing)
+_PARTS = (performance, texts, timeline, publishing, collecting)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

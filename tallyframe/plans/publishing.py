@@ -77,10 +77,6 @@ def request_calls(s, d):
     return publish.platform_plan(slot_posts(s, d).join(v.posts(s, d).select("post_id", F.round(F.col("total") * 100).cast("long").alias("bytes")), "post_id").select("post_id", "platform", "bytes"))
 
 
-def half_even(s, d):
-    return v.posts(s, d).select("post_id", F.bround(F.col("post_id") / 4.0, 1).alias("even"), F.round(F.col("post_id") / 4.0, 1).alias("up"))
-
-
 def redacted_headers(s, d):
     h = F.create_map(F.lit("Authorization"), F.concat(F.lit("Bearer "), F.col("url")), F.lit("X-Api-Key"), F.col("page_id").cast("string"), F.lit("Accept"), F.col("url"))
     hidden = publish.redacted(h)
@@ -105,7 +101,7 @@ def spelled(s, d):
     return v.posts(s, d).select("post_id", F.array_join(F.transform(tx.spelled_numbers(text), lambda n: n.cast("string")), ",").alias("numbers"))
 
 
-QUERIES = {f.__name__: f for f in (nfc_text, tiled_segments, hook_location, hook_windows, cut_verdicts, clip_checks, face_scores, cover_pick, request_calls, half_even, redacted_headers, checked_share, spelled)}
+QUERIES = {f.__name__: f for f in (nfc_text, tiled_segments, hook_location, hook_windows, cut_verdicts, clip_checks, face_scores, cover_pick, request_calls, redacted_headers, checked_share, spelled)}
 
 _UNITS = f"""{v.SENTENCES}, u AS (SELECT doc_id, line AS unit, tokens, n, "end", round("end" - n * 0.3::DOUBLE, 3) AS start FROM (SELECT doc_id, line, list_transform(tokens, lambda x: lower(x)) AS tokens, len(tokens) AS n, round(sum(len(tokens)) OVER (PARTITION BY doc_id ORDER BY line) * 0.3::DOUBLE, 3) AS "end" FROM sentences)),
 b AS (SELECT item_id AS doc_id, list_distinct(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x))) AS wanted FROM benchmark),
@@ -143,7 +139,6 @@ c(post_id, step, label, "from", length) AS ({_PARTS('upload_part_', 1, 4 << 20)}
   UNION ALL SELECT post_id, 1, 'upload_bytes', 0, bytes FROM b WHERE platform = 'youtube' UNION ALL SELECT post_id, 2, 'upload_video', 0, bytes FROM b WHERE platform = 'tiktok'
   UNION ALL {' UNION ALL '.join(q for p, (before, up, after) in publish.PLANS.items() for q in (_CALLS(p, before, 0), _CALLS(p, after, 1000000)) if q)})
 SELECT post_id, row_number() OVER (PARTITION BY post_id ORDER BY step)::INTEGER AS seq, label, "from", length FROM c""",
-    "half_even": f"WITH {v.POSTS} SELECT post_id, round_even(post_id / 4.0::DOUBLE, 1) AS even, round(post_id / 4.0::DOUBLE, 1) AS up FROM posts",
     "redacted_headers": """SELECT page_id, 'Bearer [REDACTED]' AS bearer, '[REDACTED]' AS api_key, url AS accept, '{"a": [{"b": "' || replace(url, 'example', '<DOMAIN>') || '"}]}' AS body FROM pages""",
     "checked_share": f"WITH {v.POSTS} SELECT post_id, status FROM posts",
     "spelled": f"WITH {v.POSTS}, n AS (SELECT post_id, (post_id % 9 + 1) * 10 AS ten, clip_id % 9 + 1 AS one FROM posts) SELECT post_id, array_to_string(list_sort([one, ten, ten + one]), ',') AS numbers FROM n",

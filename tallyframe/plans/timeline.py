@@ -45,9 +45,8 @@ def slot_topk(s, d):
 
 
 def plan_slots(s, d):
-    p = slot_posts(s, d)
-    c = sch.slot_candidates(p).join(p.select("post_id", "clip_id"), "post_id")
-    return sch.plan_slots(c, "clip_id")
+    """Posts of ten videos, each of many clips."""
+    return sch.plan_slots(slot_posts(s, d).withColumn("video", F.col("clip_id") % 10), "video", "clip_id")
 
 
 def sha1_jitter(s, d):
@@ -230,6 +229,21 @@ SQL = {
     "hash_variant": f"""{_P} SELECT post_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(8), lambda i: ('0x' || substr(h, i * 8 + 1, 8))::BIGINT)), lambda a, x: (a * 4294967296 + x) % 3) AS variant FROM (SELECT post_id, sha256('seed|render_variant|' || post_id) AS h FROM posts)""",
     "slot_candidates": f"{_P}, {_SLOTS} SELECT * FROM slots",
     "slot_topk": f"{_P}, {_SLOTS} SELECT post_id, rule, slot, score, rn::INTEGER AS rn FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY score DESC, day, rule) AS rn FROM slots) WHERE rn BETWEEN 2 AND 5",
+    "plan_slots": f"""WITH RECURSIVE {v.POSTS}, {_SLOTS}, n AS (
+  SELECT sp.*, clip_id % 10 AS video, row_number() OVER (PARTITION BY clip_id % 10 ORDER BY post_id) AS rn, ('0x' || left(sha1(post_id::VARCHAR), 4))::INTEGER % 25 - 12 AS jitter,
+    (SELECT list({{'slot': slot, 'rule': rule, 'score': score}} ORDER BY score DESC, day, rule) FROM slots WHERE slots.post_id = sp.post_id) AS c FROM sp),
+k(video, rn, post_id, clip_id, platform, pick, due, notes, taken) AS (
+  SELECT DISTINCT video, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::STRUCT(slot TIMESTAMP, rule VARCHAR, score DOUBLE), NULL::TIMESTAMP, NULL::VARCHAR[], []::STRUCT(platform VARCHAR, clip_id BIGINT, due TIMESTAMP)[] FROM n
+  UNION ALL
+  SELECT video, rn, post_id, clip_id, platform, pick, due, notes, list_append(taken, {{'platform': platform, 'clip_id': clip_id, 'due': due}}) FROM (
+    SELECT *, pick.slot + CASE WHEN near THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END + to_minutes(jitter) AS due,
+      list_concat(list_concat(list_transform(range(skipped), lambda i: 'G3_holiday_skipped'), CASE WHEN first IS NULL THEN ['G1_relaxed_no_free_slot'] ELSE [] END), list_append(CASE WHEN near THEN ['G2_cross_platform_stagger'] ELSE [] END, 'G5_jitter_applied')) AS notes
+    FROM (SELECT *, len(list_filter(taken, lambda t: t.clip_id = x.clip_id AND abs(epoch(t.due) - epoch(pick.slot)) < 1800)) > 0 AS near FROM (
+      SELECT *, coalesce(free[first], c[1]) AS pick, coalesce(first - 1, len(free)) AS skipped FROM (
+        SELECT *, list_position(list_transform(free, lambda f: month(f.slot) * 100 + day(f.slot) IN ({', '.join(str(m * 100 + d) for m, d in sch.HOLIDAYS)})), false) AS first FROM (
+          SELECT n.video, n.rn, n.post_id, n.clip_id, n.platform, n.jitter, n.c, k.taken, list_filter(n.c, lambda f: len(list_filter(k.taken, lambda t: t.platform = n.platform AND abs(epoch(t.due) - epoch(f.slot)) < 14400)) = 0) AS free
+          FROM k JOIN n ON n.video = k.video AND n.rn = k.rn + 1))) x)))
+SELECT video, post_id, clip_id, platform, pick.rule AS rule, due AS slot, pick.score AS score, array_to_string(notes, ',') AS constraints FROM k WHERE rn > 0""",
     "sha1_jitter": f"{_P} SELECT post_id, (('0x' || left(sha1(post_id::VARCHAR), 4))::INTEGER % 25 - 12)::INTEGER AS minutes FROM posts",
     "holiday_filter": f"{_P} SELECT post_id, published_at FROM posts WHERE month(published_at) * 100 + day(published_at) IN ({', '.join(str(m * 100 + d) for m, d in sch.HOLIDAYS)})",
     "gap_hours": f"{_P} SELECT post_id, (epoch_us(published_at) - epoch_us(lag(published_at) OVER w)) // 3600000000 AS hours, coalesce((epoch_us(published_at) - epoch_us(lag(published_at) OVER w)) // 3600000000 < 4, false) AS too_close FROM posts WINDOW w AS (PARTITION BY clip_id ORDER BY published_at, post_id)",
