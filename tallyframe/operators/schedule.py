@@ -1,88 +1,167 @@
-"""Selecting intervals under a count and a gap, with exploration and relaxed thresholds; and publish slots.
-
-Each selection depends on every interval of its video, so a video is one group; the work inside is
-n log n + n * k on arrays. Everything around it (thresholds, slots, scores) is relational.
-"""
+"""Selecting intervals under a count and a gap, with exploration and relaxed thresholds; and publish slots."""
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import jitter_minutes
+from ..sources.durable import stored
 from .folds import cut_islands, folded
 
 
-def best_intervals(start: np.ndarray, end: np.ndarray, score: np.ndarray, k: int, gap: float) -> list[int]:
-    """Indices of up to k intervals at least `gap` apart: as many as possible, then the best total."""
+def best_by_count(start: list, end: list, score: list, k: int, gap: float) -> list[tuple[float, tuple]]:
+    """For each count from 0 to at most k that so many intervals, at least `gap` apart, can reach: the best
+    total and the intervals' numbers. Equal totals keep the intervals that end first."""
     n = len(start)
-    if n == 0 or k <= 0:
-        return []
-    order = np.argsort(end, kind="stable")
-    s, e, v = start[order], end[order], score[order]
-    before = np.minimum(np.searchsorted(e + gap, s, side="right"), np.arange(n))  # how many can precede each
-    best = np.full((n + 1, k + 1), -np.inf)
-    best[:, 0] = 0.0
-    for i in range(n):
-        best[i + 1, 1:] = np.maximum(best[i, 1:], v[i] + best[before[i], :-1])
-    left, i, chosen = int(np.flatnonzero(best[n] > -np.inf).max()), n, []
-    while i and left:
-        if v[i - 1] + best[before[i - 1], left - 1] >= best[i - 1, left]:
-            chosen.append(i - 1)
-            i, left = int(before[i - 1]), left - 1
-        else:
-            i -= 1
-    return [int(order[c]) for c in sorted(chosen, key=lambda c: -v[c])]
-
-
-def explored(start, end, score, kind, picked: list[int], k: int, gap: float, exploited: set, ratio: float = 0.2) -> list[int]:
-    """The picked intervals, rebuilt where too few are of kinds outside `exploited`."""
-    quota = max(1, math.ceil(ratio * k)) if k > 0 else 0
-    if not exploited or sum(kind[i] not in exploited for i in picked) >= quota:
-        return picked
-    others = np.array([i for i, x in enumerate(kind) if x not in exploited], int)
-    first = [int(others[i]) for i in best_intervals(start[others], end[others], score[others], quota, gap)] if len(others) else []
-    if not first:
-        return picked
-    clear = np.all([(start >= end[i] + gap) | (end + gap <= start[i]) for i in first], axis=0).nonzero()[0]
-    rest = [int(clear[i]) for i in best_intervals(start[clear], end[clear], score[clear], k - len(first), gap)]
-    return sorted(first + rest, key=lambda i: start[i])
-
-
-def schedule(rows: DataFrame, by: str, key: str, k: int, gap: float, kind: str | None = None, exploited: frozenset = frozenset(), thresholds: tuple[float, ...] = ()) -> DataFrame:
-    """(by, key, start, end, score, threshold) of the chosen intervals of each group.
+    order = sorted(range(n), key=lambda i: end[i])
+    ends, best = [end[i] + gap for i in order], [[(0.0, ())]]
+    for at, i in enumerate(order):
+        before = best[min(bisect_right(ends, start[i]), at)]
+        now = list(best[at])
+        for c in range(min(k, len(before))):
+            total = score[i] + before[c][0]
+            if c + 1 == len(now):
+                now.append((total, (i, before[c][1])))
+            elif total > now[c + 1][0]:
+                now[c + 1] = (total, (i, before[c][1]))
+        best.append(now)
+
+    def listed(chain: tuple) -> tuple:
+        out = []
+        while chain:
+            out.append(chain[0])
+            chain = chain[1]
+        return tuple(out)
+
+    return [(total, listed(chain)) for total, chain in best[n]]
+
+
+#: Islands whose choices are merged in one step, before a group's blocks are.
+BLOCK = 1024
+
+
+def select_intervals(rows: DataFrame, by: list[str], key: str, k: str, gap: float) -> DataFrame:
+    """(by, key) of the intervals (by, key, start, end, score, k) chosen in each group: as many as possible up
+    to the group's k, at least `gap` apart, and of those the best total.
+
+    A group is cut into islands where no interval and no gap reaches across. Each island is solved by
+    itself for every count; the islands' totals by count are added as max-plus convolutions, by blocks
+    of islands and then by group. What moves is at most k numbers and k keys a count, so a group of any
+    size is worked by many tasks. Intervals with a null or NaN start, end or score are not eligible; repeated
+    rows are intervals of their own; a k below 1 chooses none.
+    """
+    rows = rows.select(*by, key, *(F.col(c).cast("double").alias(c) for c in ("start", "end", "score")), F.col(k).cast("int").alias("k"))
+    rows = rows.where((F.col("k") > 0) & reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(c) for c in ("start", "end", "score"))))
+    w = Window.partitionBy(*by).orderBy("start", "end", key)
+    so_far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("_new", F.when(so_far.isNull() | (F.col("start") >= so_far + gap), 1).otherwise(0))
+    isles = marked.withColumn("island", F.sum("_new").over(w)).drop("_new")
+    types = dict(rows.dtypes)
+    head, keyed = ", ".join(f"{c} {types[c]}" for c in by), f"keys array<{types[key]}>"
+    one = F.count("*").over(Window.partitionBy(*by, "island")) == 1
+    isles = isles.withColumn("alone", one)
+    n = len(by)
+
+    def add(state: list, row: tuple):
+        state.append(row)
+        return ()
+
+    def solved(state: list):
+        pick = lambda i: [r[i] for r in state]
+        group, own = state[0][: n + 1], pick(n + 1)
+        for c, (total, chosen) in enumerate(best_by_count(pick(n + 2), pick(n + 3), pick(n + 4), state[0][n + 5], gap)):
+            if c:
+                yield (*group, c, total, [own[i] for i in chosen], state[0][n + 5])
+
+    schema = f"{head}, island long, c int, total double, {keyed}, k int"
+    many = folded(isles.where("not alone").select(*by, "island", key, "start", "end", "score", "k"), [*by, "island"], ["start", "end", key], list, add, solved, schema)
+    single = isles.where("alone").select(*by, "island", F.lit(1).alias("c"), F.col("score").alias("total"), F.array(key).alias("keys"), "k")
+
+    def merged(answers: DataFrame, keys: list[str], order: str, last: bool) -> DataFrame:
+        m = len(keys)
+
+        def close(state: dict) -> list:
+            """best, convolved with the island's own answers."""
+            best, own = state["best"], state["own"]
+            out = list(best)
+            for c, (total, chosen) in own.items():
+                for b, (had, with_) in enumerate(best):
+                    if b + c <= state["k"]:
+                        while len(out) <= b + c:
+                            out.append(None)
+                        if out[b + c] is None or had + total > out[b + c][0]:
+                            out[b + c] = (had + total, [*with_, *chosen])
+            return out
+
+        def step(state: dict, row: tuple):
+            place = row[m]
+            if state.get("at") != place:
+                if "at" in state:
+                    state["best"] = close(state)
+                state |= {"at": place, "own": {}, "key": row[:m], "k": row[m + 4]}
+                state.setdefault("best", [(0.0, [])])
+            state["own"][row[m + 1]] = (row[m + 2], list(row[m + 3]))
+            return ()
+
+        def end(state: dict):
+            best = close(state)
+            for c, (total, chosen) in enumerate(best):
+                if c and (not last or c == len(best) - 1):
+                    yield (*state["key"], c, total, chosen, state["k"])
+
+        more = ", ".join(f"{c} {types.get(c, 'long')}" for c in keys)
+        return folded(answers.select(*keys, order, "c", "total", "keys", "k"), keys, [order, "c"], dict, step, end, f"{more}, c int, total double, {keyed}, k int")
+
+    answers = many.unionByName(single).withColumn("block", F.floor(F.col("island") / BLOCK))
+    blocks = merged(answers, [*by, "block"], "island", False)
+    return merged(blocks, by, "block", True).select(*by, F.explode("keys").alias(key))
+
+
+def schedule(rows: DataFrame, by: str, key: str, k: int, gap: float, kind: str | None = None, exploited: frozenset = frozenset(), thresholds: tuple[float, ...] = (), ratio: float = 0.2) -> DataFrame:
+    """(by, key, start, end, score, threshold) of the chosen intervals of each group. key names an interval.
 
     thresholds: scores from which intervals are eligible, tried in order until k are chosen; the
-    last holds in any case.
+    last holds in any case. kind, exploited: where fewer than a share of k, rounded up, are of other
+    kinds than the exploited, the best of those are chosen first and the rest around them.
     """
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["end", key], ignore_index=True)
-        for low in thresholds or (-np.inf,):
-            pool = pdf[pdf.score >= low].reset_index(drop=True)
-            s, e, v = (pool[c].to_numpy(float) for c in ("start", "end", "score"))
-            picked = best_intervals(s, e, v, k, gap)
-            if len(picked) >= k:
-                break
-        if kind:
-            picked = explored(s, e, v, pool[kind].tolist(), picked, k, gap, set(exploited))
-        return pool.loc[picked, [by, key, "start", "end", "score"]].assign(threshold=low)
-
-    columns = dict.fromkeys([by, key, "start", "end", "score", *([kind] if kind else [])])
-    types = dict(rows.dtypes)
-    return rows.select(*columns).groupBy(by).applyInPandas(group, f"{by} {types[by]}, {key} {types[key]}, start double, end double, score double, threshold double")
+    tries = thresholds or (float("-inf"),)
+    own = rows.select(by, key, "start", "end", "score", *([kind] if kind else []))
+    level = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.lit(low).alias("threshold")) for i, low in enumerate(tries)))).alias("x")
+    pools = own.select("*", level).select(*own.columns, "x.t", "x.threshold").where(F.col("score") >= F.col("threshold")).withColumn("k", F.lit(k))
+    picked = stored(select_intervals(pools, [by, "t"], key, "k", gap))
+    counts = picked.groupBy(by, "t").agg(F.count("*").alias("n"))
+    enough = counts.groupBy(F.col(by).alias("c_by")).agg(F.coalesce(F.min(F.when(F.col("n") >= k, F.col("t"))), F.lit(len(tries) - 1)).alias("c_t"))
+    taken = picked.join(enough, picked[by].eqNullSafe(F.col("c_by")) & (F.col("t") == F.col("c_t")), "left_semi")
+    full = pools.withColumnRenamed(by, "p_by").withColumnRenamed("t", "p_t").withColumnRenamed(key, "p_key")
+    out = taken.join(full, taken[by].eqNullSafe(full["p_by"]) & (taken["t"] == full["p_t"]) & taken[key].eqNullSafe(full["p_key"])).select(by, key, "start", "end", "score", *([kind] if kind else []), "threshold")
+    if kind and exploited and k > 0:
+        out = _explored(stored(out), pools, enough, by, key, k, gap, kind, exploited, max(1, math.ceil(ratio * k)))
+    return out.select(by, key, *(F.col(c).cast("double").alias(c) for c in ("start", "end", "score")), "threshold")
+
+
+def _explored(out: DataFrame, pools: DataFrame, enough: DataFrame, by: str, key: str, k: int, gap: float, kind: str, exploited: frozenset, quota: int) -> DataFrame:
+    other = ~F.coalesce(F.col(kind).isin(*exploited), F.lit(False))
+    few = out.groupBy(F.col(by).alias("f_by")).agg(F.count_if(other).alias("others")).where(F.col("others") < quota).select("f_by")
+    pool = pools.join(enough, pools[by].eqNullSafe(F.col("c_by")) & (pools["t"] == F.col("c_t")), "left_semi").join(few, pools[by].eqNullSafe(F.col("f_by")), "left_semi")
+    pool = stored(pool.select(by, key, "start", "end", "score", kind, "threshold"))
+    names = select_intervals(pool.where(other).withColumn("k", F.lit(quota)), [by], key, "k", gap)
+    first = stored(pool.join(names.select(F.col(by).alias("n_by"), F.col(key).alias("n_key")), pool[by].eqNullSafe(F.col("n_by")) & pool[key].eqNullSafe(F.col("n_key")), "left_semi"))
+    left = first.groupBy(F.col(by).alias("l_by")).agg((F.lit(k) - F.count("*")).cast("int").alias("k"))
+    clear = without_conflicts(pool, first, by, gap)
+    clear = clear.join(left, clear[by].eqNullSafe(F.col("l_by"))).drop("l_by")
+    names = select_intervals(clear, [by], key, "k", gap)
+    second = pool.join(names.select(F.col(by).alias("n_by"), F.col(key).alias("n_key")), pool[by].eqNullSafe(F.col("n_by")) & pool[key].eqNullSafe(F.col("n_key")), "left_semi")
+    kept = out.join(left.select("l_by"), out[by].eqNullSafe(F.col("l_by")), "left_anti")
+    return kept.unionByName(first).unionByName(second)
 
 
 def greedy_with_quota(rows: DataFrame, by: str, n: int, multiplier: Column, top: tuple[str, ...], ratio: float = 0.2) -> DataFrame:
     """The best by adjusted score, a quota of other kinds than `top`, then the next best: with the reason."""
-    from pyspark.sql import Window
-
     quota = max(1, math.ceil(ratio * n)) if n > 1 else 0
     r = rows.withColumn("adjusted", F.col("score") * multiplier)
     r = r.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("adjusted"), "id")))

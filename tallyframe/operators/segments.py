@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .folds import cut_islands, folded
 
 
 def boundaries(words: DataFrame, by: str, gap_s: float = 0.65, speaker: str | None = None) -> DataFrame:
@@ -57,19 +58,27 @@ def split_long(segments: DataFrame, by: str, max_s: float) -> DataFrame:
 
 def dedupe_gap(rows: DataFrame, by: str, min_gap: float) -> DataFrame:
     """Of marks closer than min_gap to the last kept one, the one with more votes stays in its place:
-    (by, id, t, votes). Each step needs the last kept mark, so it folds over the group's sorted array."""
-    items = F.array_sort(F.collect_list(F.struct("t", "id", "votes")))
-    kind = "array<struct<t:double,id:bigint,votes:bigint>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        near = (F.size(acc) > 0) & (x["t"] - last["t"] < min_gap)
-        better = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))
-        return F.when(near, F.when(x["votes"] > last["votes"], better).otherwise(acc)).otherwise(F.array_append(acc, x))
-
-    typed = rows.select(by, F.col("t").cast("double").alias("t"), F.col("id").cast("long").alias("id"), F.col("votes").cast("long").alias("votes"))
-    kept = typed.groupBy(by).agg(F.aggregate(items, F.array().cast(kind), step).alias("kept"))
-    return kept.select(by, F.explode("kept").alias("x")).select(by, "x.id", "x.t", "x.votes")
+    (by, id, t, votes). Nothing carries over a pause longer than min_gap, so a group is folded by
+    islands, in streams that hold one mark. A null vote loses to any; a null group is one of its own;
+    marks without a time are left out; repeated rows are marks of their own."""
+    types = dict(rows.dtypes)
+    typed = rows.where("t is not null").select(by, F.col("t").cast("double").alias("t"), F.col("id").cast("long").alias("id"), F.col("votes").cast("long").alias("votes"))
+
+    def step(state: dict, row: tuple):
+        group, _, t, mark, votes = row
+        votes = None if votes is None or votes != votes else int(votes)
+        last = state.get("last")
+        state["last"] = (group, int(mark), t, votes)
+        if last is None:
+            return ()
+        if t - last[2] >= min_gap:
+            return (last,)
+        if votes is None or last[3] is not None and votes <= last[3]:
+            state["last"] = last
+        return ()
+
+    isles = cut_islands(typed, by, F.col("t"), min_gap).select(by, "island", "t", "id", "votes")
+    return folded(isles, [by, "island"], ["t", "id"], dict, step, lambda state: (state["last"],), f"{by} {types[by]}, id long, t double, votes long")
 
 
 def overlapping_windows(duration: Column, core: float, context: float) -> Column:

@@ -2,56 +2,116 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.durable import stored
+from .folds import folded
+from .ranks import upper_medians
+
 
 def anchors(rows: DataFrame, by: list[str], x: str, spread: float) -> DataFrame:
-    """(by, median, anchor): the upper median of the detections, and the mean of those within spread of it."""
-    g = rows.where(F.col(x).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(x)).alias("v"))
-    mid = F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int"))
-    near = F.filter("v", lambda y: F.abs(y - F.col("median")) <= spread)
-    mean = F.aggregate("near", F.lit(0.0), lambda a, y: a + y) / F.size("near")
-    return g.withColumn("median", mid).withColumn("near", near).select(*by, "median", mean.alias("anchor"))
+    """(by, median, anchor): the upper median of the detections, and the mean of those within spread of it.
+    Groups of any size; rows without x are left out, and a group without any has no row."""
+    some = rows.where(F.col(x).isNotNull()).select(*by, x)
+    m = stored(upper_medians(some, by, x).select(*(F.col(c).alias(f"m_{c}") for c in by), "median"))
+    on = reduce(lambda a, b: a & b, (some[c].eqNullSafe(m[f"m_{c}"]) for c in by))
+    near = some.join(m, on).where(F.abs(F.col(x) - F.col("median")) <= spread)
+    return near.groupBy(*by, "median").agg(F.avg(F.col(x).cast("double")).alias("anchor"))
 
 
-def smooth(t: np.ndarray, target: np.ndarray, cut: np.ndarray, start: float, deadzone: float, alpha: float, speed: float, top: float) -> np.ndarray:
-    """Positions that follow the targets: a share of the way at a time, at most `speed`, jumping at cuts.
+class Follower:
+    """A position that follows targets: a share of the way at a time, at most `speed`, jumping at cuts."""
 
-    A missing target holds, and one within the dead zone is as good as reached.
-    """
-    out, now, last = np.empty(len(t)), min(max(start, 0.0), top), t[0] if len(t) else 0.0
-    for i, (at, aim, jump) in enumerate(zip(t, target, cut, strict=True)):
-        aim = now if np.isnan(aim) else aim
+    def __init__(self, deadzone: float, alpha: float, speed: float, top: float) -> None:
+        self.deadzone, self.alpha, self.speed, self.top = deadzone, alpha, speed, top
+        self.now, self.last = None, None
+
+    def begin(self, start: float, at: float) -> None:
+        self.now, self.last = min(max(start, 0.0), self.top), at
+
+    def follow(self, at: float, aim: float | None, jump: bool) -> float:
+        """The position after one row: a missing target holds, one within the dead zone is as good as reached."""
+        aim = self.now if aim is None or aim != aim else aim
         if jump:
-            now = aim
-        else:
-            step = alpha * (aim - now)
-            most = speed * max(1e-3, at - last)
-            now += float(np.clip(step, -most, most)) if abs(aim - now) >= deadzone else 0.0
-        now = min(max(now, 0.0), top)
-        out[i], last = now, at
-    return out
+            self.now = aim
+        elif abs(aim - self.now) >= self.deadzone:
+            most = self.speed * max(1e-3, at - self.last)
+            self.now += min(max(self.alpha * (aim - self.now), -most), most)
+        self.now, self.last = min(max(self.now, 0.0), self.top), at
+        return self.now
 
 
-def ema_path(rows: DataFrame, by: str, width: float, window: float, deadzone: float = 0.06, alpha: float = 0.12, speed: float = 18.0, top: float | None = None) -> DataFrame:
-    """(by, t, x) smoothed positions of the crop's left edge; rows (by, t, x, shot, anchor), null x holds."""
-    limit = max(0.0, width - window) if top is None else top
+def smooth(t: np.ndarray, target: np.ndarray, cut: np.ndarray, start: float, deadzone: float, alpha: float, speed: float, top: float) -> np.ndarray:
+    """Positions of a Follower along whole arrays."""
+    f = Follower(deadzone, alpha, speed, top)
+    f.begin(start, t[0] if len(t) else 0.0)
+    return np.array([f.follow(*x) for x in zip(t, target, cut, strict=True)])
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "ordinal"], ignore_index=True)
-        aim = np.clip(pdf.anchor.to_numpy(float) - window / 2, 0, limit)
-        aim[pdf.x.isna().to_numpy()] = np.nan
-        first = pdf.anchor.iloc[0]
-        start = (first if not pd.isna(first) else width / 2) - window / 2
-        shot = pdf.shot.to_numpy()
-        cut = np.concatenate(([False], shot[1:] != shot[:-1]))
-        return pd.DataFrame({by: pdf[by], "t": pdf.t, "x": np.round(smooth(pdf.t.to_numpy(float), aim, cut, start, deadzone * width, alpha, speed, limit), 6)})
 
-    types = dict(rows.dtypes)
-    return rows.groupBy(by).applyInPandas(group, f"{by} {types[by]}, t double, x double")
+def ema_path(rows: DataFrame, by: str, width: float, window: float, deadzone: float = 0.06, alpha: float = 0.12, speed: float = 18.0, top: float | None = None) -> DataFrame:
+    """(by, t, x) smoothed positions of the crop's left edge; rows (by, t, x, shot, anchor, ordinal), null x holds.
+
+    Where a shot begins with a detection the position jumps there whatever it was before, so each such
+    stretch is folded by itself, in a stream that holds one position."""
+    limit = max(0.0, width - window) if top is None else top
+    w = Window.partitionBy(by).orderBy("t", "ordinal")
+    cut = F.coalesce(F.lag("shot").over(w) != F.col("shot"), F.lit(False))
+    aim = F.when(F.col("x").isNotNull(), F.least(F.greatest(F.col("anchor").cast("double") - window / 2, F.lit(0.0)), F.lit(limit)))
+    marked = rows.withColumn("_cut", cut).withColumn("_aim", aim)
+    marked = marked.withColumn("_run", F.sum(F.when(F.col("_cut") & F.col("_aim").isNotNull(), 1).otherwise(0)).over(w))
+    start = F.coalesce(F.col("anchor").cast("double"), F.lit(width / 2)) - window / 2
+    series = marked.select(by, "_run", F.col("t").cast("double").alias("t"), "ordinal", F.col("_aim").alias("aim"), "_cut", start.alias("start"))
+
+    def step(f: Follower, row: tuple):
+        group, _, t, _, aim, jump, first = row
+        if f.now is None:
+            f.begin(first, t)
+        return ((group, t, round(f.follow(t, aim, bool(jump)), 6)),)
+
+    return folded(series, [by, "_run"], ["t", "ordinal"], lambda: Follower(deadzone * width, alpha, speed, limit), step, lambda _: (), f"{by} {dict(rows.dtypes)[by]}, t double, x double")
+
+
+def active_speaker(frames: DataFrame, by: str, margin: float = 2.0, keep: float = 0.65) -> DataFrame:
+    """(by, frame, active): whose face is followed in each frame of (by, frame, faces array of (cx, area, energy)).
+
+    Faces go by area, the largest first. One face is taken; of the two largest the one whose mouth moves
+    at least `margin` times as much as the other's; else the face nearest to the last active place, `keep`
+    of the way from there; without one the largest. No face: null, and the last place stays. A frame with
+    one face or a clear winner does not depend on those before it, so a clip is folded from such frame to
+    such frame, in streams that hold one place. A null energy or area is none, a face without a place is
+    none; null or no faces are alike; repeated frames go by their faces.
+    """
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    faces = F.filter("faces", lambda x: x.isNotNull() & x["cx"].isNotNull())
+    order = F.transform(faces, lambda x, i: F.struct((-zero(x["area"])).alias("a"), i.alias("i"), x["cx"].cast("double").alias("cx"), zero(x["energy"]).alias("e")))
+    f = frames.select(by, "frame", F.coalesce(F.array_sort(order), F.array().cast("array<struct<a:double,i:int,cx:double,e:double>>")).alias("f"))
+    one, two = F.get("f", F.lit(0)), F.get("f", F.lit(1))
+    best, next_ = F.greatest(one["e"], two["e"]), F.least(one["e"], two["e"])
+    sure = F.when(F.size("f") == 1, one["cx"]).when((F.size("f") > 1) & (best > 0) & (best >= margin * F.greatest(next_, F.lit(1e-6))), F.when(one["e"] == best, one["cx"]).otherwise(two["cx"]))
+    f = f.select(by, "frame", F.transform("f", lambda x: x["cx"]).alias("cx"), sure.alias("sure"))
+    w = Window.partitionBy(by).orderBy("frame")
+    f = f.withColumn("run", F.count("sure").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+
+    def step(state: dict, row: tuple):
+        group, _, frame, cx, sure = row
+        last, now = state.get("last"), None
+        if len(cx):
+            if sure is not None and sure == sure:
+                now = sure
+            elif last is None:
+                now = cx[0]
+            else:
+                now = keep * min(cx, key=lambda x: abs(x - last)) + (1 - keep) * last
+            state["last"] = now
+        return ((group, frame, None if now is None else float(now)),)
+
+    types = dict(frames.dtypes)
+    return folded(f.select(by, "run", "frame", "cx", "sure"), [by, "run"], ["frame", F.col("sure").isNull(), "cx"], dict, step, lambda _: (), f"{by} {types[by]}, frame {types['frame']}, active double")
 
 
 def simplified(t: np.ndarray, x: np.ndarray, tolerance: float) -> np.ndarray:

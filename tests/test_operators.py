@@ -30,9 +30,10 @@ def brute(intervals, k, gap):
 def test_best_intervals_is_optimal(seed):
     rng = random.Random(seed)
     rows = [(s := rng.uniform(0, 100), s + rng.uniform(1, 30), round(rng.uniform(1, 60), 2)) for _ in range(9)]
-    start, end, score = map(np.array, zip(*rows))
-    got = schedule.best_intervals(start, end, score, 3, 5.0)
-    assert (len(got), round(float(score[got].sum()), 6)) == brute(rows, 3, 5.0)
+    start, end, score = map(list, zip(*rows))
+    totals = schedule.best_by_count(start, end, score, 3, 5.0)
+    assert (len(totals) - 1, round(totals[-1][0], 6)) == brute(rows, 3, 5.0)
+    assert all(round(sum(score[i] for i in chosen), 6) == round(total, 6) and len(chosen) == c for c, (total, chosen) in enumerate(totals))
 
 
 @pytest.mark.parametrize(("rows", "k", "gap", "scores"), [
@@ -42,17 +43,44 @@ def test_best_intervals_is_optimal(seed):
     ([(0, 10, 50)], 3, 5, [50]), ([(0, 10, 5)], 0, 5, []),
 ])
 def test_interval_cases(rows, k, gap, scores):
-    s, e, v = (np.array(x, float) for x in zip(*rows))
-    assert [v[i] for i in schedule.best_intervals(s, e, v, k, gap)] == scores
+    s, e, v = map(list, zip(*rows))
+    assert [v[i] for i in schedule.best_by_count(s, e, v, k, gap)[-1][1]] == scores
 
 
-def test_exploration_reserves_a_slot():
-    s = np.array([0.0, 20, 40, 60])
-    e, v, kind = s + 10, np.array([50.0, 40, 30, 5]), ["howto", "howto", "howto", "story"]
-    picked = schedule.best_intervals(s, e, v, 3, 5.0)
-    assert 3 not in picked
-    assert 3 in schedule.explored(s, e, v, kind, picked, 3, 5.0, {"howto"})
-    assert schedule.explored(s, e, v, kind, picked, 3, 5.0, set()) == picked
+def test_exploration_reserves_a_slot(spark):
+    rows = spark.createDataFrame([("v", i, 20.0 * i, 20.0 * i + 10, x, k) for i, (x, k) in enumerate([(50.0, "howto"), (40.0, "howto"), (30.0, "howto"), (5.0, "story")])], "v string, id int, start double, end double, score double, kind string")
+    chosen = lambda **more: sorted(r.id for r in schedule.schedule(rows, "v", "id", 3, 5.0, **more).collect())
+    assert chosen() == chosen(kind="kind", exploited=frozenset()) == [0, 1, 2]
+    assert chosen(kind="kind", exploited=frozenset({"howto"})) == [0, 1, 3]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_schedule_is_the_best_of_all(spark, seed, monkeypatch):
+    monkeypatch.setattr(schedule, "BLOCK", 2)
+    rng = random.Random(seed)
+    data = []
+    for g in ("a", "b", None, "c"):
+        for i in range(rng.randrange(1, 12)):
+            s = round(rng.uniform(0, 300 if g == "a" else 60), 3)
+            data.append((g, len(data), s, round(s + rng.uniform(1, 20), 3), round(rng.uniform(1, 60), 2), rng.choice(["x", "y"]), "other"))
+    data += [("d", 1000, None, 1.0, 1.0, "x", "z"), ("d", 1001, 0.0, 1.0, None, "x", "z"), ("d", 1002, 0.0, 1.0, 9.0, None, "z")]
+    df = spark.createDataFrame(data, "g string, id long, start double, end double, score double, kind string, k string")
+    got = {}
+    for r in schedule.schedule(df, "g", "id", 3, 5.0).collect():
+        got.setdefault(r.g, []).append((r.start, r.end, r.score))
+    for g in ("a", "b", None, "c"):
+        rows = [(x[2], x[3], x[4]) for x in data if x[0] == g]
+        assert (len(got[g]), round(sum(x[2] for x in got[g]), 6)) == brute(rows, 3, 5.0)
+    assert got["d"] == [(0.0, 1.0, 9.0)]
+    levels = {}
+    for r in schedule.schedule(df, "g", "id", 3, 5.0, thresholds=(45.0, 30.0)).collect():
+        levels.setdefault(r.g, []).append((r.threshold, r.score))
+    for g in ("a", "b", None, "c"):
+        for low in (45.0, 30.0):
+            want = brute([(x[2], x[3], x[4]) for x in data if x[0] == g and x[4] >= low], 3, 5.0)
+            if want[0] == 3 or low == 30.0:
+                assert (len(levels.get(g, [])), round(sum(x[1] for x in levels.get(g, [])), 6)) == want and {x[0] for x in levels.get(g, [])} <= {low}
+                break
 
 
 def test_zscore_of_lone_and_flat_groups(spark):
@@ -93,6 +121,53 @@ def test_newest_and_upsert(spark):
 def test_dedupe_gap_compares_with_last_kept(spark):
     rows = spark.createDataFrame([(1, 0, 0.0, 1), (1, 1, 5.0, 2), (1, 2, 9.0, 1), (1, 3, 20.0, 1)], "v int, id long, t double, votes long")
     assert sorted(r.id for r in segments.dedupe_gap(rows, "v", 6.0).collect()) == [1, 3]
+    odd = spark.createDataFrame([(None, 1, 0.0, None), (None, 2, 1.0, 3), (1, 3, None, 1), (1, 4, 7.0, 5), (1, 5, 7.0, 5), (1, 6, 8.0, None)], "v int, id long, t double, votes long")
+    assert sorted((str(r.v), r.id) for r in segments.dedupe_gap(odd, "v", 6.0).collect()) == [("1", 4), ("None", 2)]
+    assert segments.dedupe_gap(rows.limit(0), "v", 6.0).count() == 0
+
+
+def test_order_statistics_of_groups(spark):
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *(round(rng.gauss(0, 5), 1) for _ in range(6))]), "x") for _ in range(500)] + [("one", 7.0, "x"), ("none", None, "x")]
+    df = spark.createDataFrame(data, "g string, x double, rank string").drop("rank").repartition(5)
+    from tallyframe.operators import ranks
+
+    want = {r.g: r for r in df.groupBy("g").agg(F.expr("percentile(x, array(0.25, 0.5, 0.95))").alias("p"), F.sort_array(F.collect_list("x")).alias("v")).collect() if r.v}
+    got = {r.g: r for r in ranks.quantiles(df, ["g"], "x", [0.25, 0.5, 0.95]).collect()}
+    assert {k: [r.q0, r.q1, r.q2] for k, r in got.items()} == {k: r.p for k, r in want.items()}
+    assert {r.g: r.median for r in ranks.upper_medians(df, ["g"], "x").collect()} == {k: r.v[len(r.v) // 2] for k, r in want.items()}
+    mad = {r.g: (r.median, r.mad) for r in ranks.median_deviations(df, ["g"], "x").collect()}
+    assert mad == {k: (float(np.median(r.v)), float(np.median(np.abs(np.array(r.v) - np.median(r.v))))) for k, r in want.items()}
+
+
+def test_paths_fold_from_cut_to_cut(spark):
+    rng = random.Random(2)
+    data, t = [], 0.0
+    for u in (1, 2):
+        shot = 0
+        for i in range(150):
+            t += rng.choice([0.1, 0.5])
+            shot += rng.random() < 0.1
+            data.append((u, i, t, rng.choice([None, 50.0, 60.0, 90.0]), shot, rng.choice([20.0, 50.0, 80.0])))
+    df = spark.createDataFrame(data, "u int, ordinal int, t double, x double, shot int, anchor double").repartition(4)
+    got = {(r.u, r.t): r.x for r in timeseries.ema_path(df, "u", 100.0, 20.0).collect()}
+    for u in (1, 2):
+        own = [d for d in data if d[0] == u]
+        aim = np.array([np.nan if d[3] is None else min(max(d[5] - 10, 0), 80) for d in own])
+        cut = np.array([False, *(a[4] != b[4] for a, b in zip(own, own[1:], strict=False))])
+        path = timeseries.smooth(np.array([d[2] for d in own]), aim, cut, own[0][5] - 10, 6.0, 0.12, 18.0, 80.0)
+        assert [got[u, d[2]] for d in own] == [round(float(x), 6) for x in path]
+
+
+def test_active_speaker_is_sticky(spark):
+    frames = [
+        ("c", 0, []), ("c", 1, [(100.0, 9.0, 0.0)]), ("c", 2, [(100.0, 9.0, 1.0), (500.0, 5.0, 1.5)]), ("c", 3, [(100.0, 9.0, 1.0), (500.0, 5.0, 2.0)]), ("c", 4, None), ("c", 5, [(110.0, 9.0, 0.0), (480.0, 5.0, 0.0), (300.0, 1.0, 99.0)]),
+        ("d", 0, [(10.0, 1.0, None), (20.0, 3.0, None)]), ("d", 1, [(None, 9.0, 9.0), (12.0, 1.0, 0.0), (24.0, 2.0, 0.0)]),
+    ]
+    df = spark.createDataFrame(frames, "clip string, frame int, faces array<struct<cx:double,area:double,energy:double>>")
+    got = {(r.clip, r.frame): r.active for r in timeseries.active_speaker(df, "clip").collect()}
+    assert [got["c", i] for i in range(6)] == [None, 100.0, 100.0, 500.0, None, 0.65 * 480 + 0.35 * 500]
+    assert [got["d", i] for i in range(2)] == [20.0, pytest.approx(0.65 * 24 + 0.35 * 20)]
 
 
 def test_merge_short_and_split_long(spark):
