@@ -152,20 +152,16 @@ def shot_from_diff(s, d):
     return t.groupBy("user_id").agg(F.count_if("cut").alias("cuts"))
 
 
-def speaker_pick(s, d):
-    """The louder of two voices by a margin of two, else the one before: folded per user."""
-    kind = "struct<now:string,a:double,b:double,n:bigint>"
-    items = F.array_sort(F.collect_list(F.struct("t", "event_id", "event_type", F.coalesce("x", F.lit(0.0)).alias("x"))))
+def frames(s, d):
+    """Each user's events as frames of up to three faces."""
+    at, parts = F.floor(F.col("value") * 100), []
+    for i in range(3):
+        parts.append(F.struct(((at * (i + 1)) % 1000).cast("double").alias("cx"), ((F.col("event_id") * (i + 3)) % 97).cast("double").alias("area"), ((at * (i + 2)) % 13).cast("double").alias("energy")))
+    return v.table(s, d, "events").select("user_id", F.col("event_id").alias("frame"), F.slice(F.array(*parts), F.lit(1), (F.col("event_id") % 4).cast("int")).alias("faces"))
 
-    def step(acc: Column, e: Column) -> Column:
-        a = acc["a"] * 0.65 + F.when(e["event_type"] == "click", e["x"]).otherwise(0.0) * 0.35
-        b = acc["b"] * 0.65 + F.when(e["event_type"] == "view", e["x"]).otherwise(0.0) * 0.35
-        now = F.when(a > 2 * b, "a").when(b > 2 * a, "b").otherwise(acc["now"])
-        return F.struct(now.alias("now"), a.alias("a"), b.alias("b"), (acc["n"] + F.when(now != acc["now"], 1).otherwise(0)).alias("n")).cast(kind)
 
-    start = F.struct(F.lit("a").alias("now"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("n")).cast(kind)
-    rows = v.samples(s, d).join(v.table(s, d, "events").select("event_id", "event_type"), "event_id")
-    return rows.groupBy("user_id").agg(F.aggregate(items, start, step).alias("r")).select("user_id", "r.now", F.col("r.n").alias("switches"))
+def speaker_pick(s, d):
+    return ts.active_speaker(frames(s, d), "user_id").select("user_id", "frame", F.round("active", 6).alias("active"))
 
 
 def daily(s, d):
@@ -223,6 +219,13 @@ r(rule, p, weekdays, minute, weight) AS (VALUES {_RULES}),
 c AS (SELECT sp.*, day, rule, weight, weekdays, date_trunc('day', now + to_days(day::INTEGER)) + to_minutes(minute) AS slot FROM sp JOIN r ON p = platform, range(7) g(day)),
 slots AS (SELECT post_id, day::INTEGER AS day, rule, slot::TIMESTAMP AS slot, round(weight + CASE {_BONUS} ELSE 0 END - day * 0.02::DOUBLE, 4) AS score FROM c WHERE list_contains(weekdays, isodow(slot) - 1) AND slot > now + INTERVAL 30 MINUTE)"""
 _SHOT = "shots AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS shot FROM samples)"
+#: Days of intervals, and the best set of up to three of a pool's: as many as possible, then the highest total.
+_DAILY = "d AS (SELECT video || '|' || floor(start / 86400)::BIGINT AS video, event_id, start, \"end\", score, CASE WHEN event_id % 3 = 0 THEN 'story' ELSE 'howto' END AS kind FROM intervals)"
+_SETS = """sets AS (
+  SELECT video, t, 1 AS n, [event_id] AS ids, score AS total FROM pool
+  UNION ALL SELECT a.video, a.t, 2, [a.event_id, b.event_id], a.score + b.score FROM pool a JOIN pool b ON a.video = b.video AND a.t = b.t AND a."end" + 5 <= b.start
+  UNION ALL SELECT a.video, a.t, 3, [a.event_id, b.event_id, c.event_id], a.score + b.score + c.score FROM pool a JOIN pool b ON a.video = b.video AND a.t = b.t AND a."end" + 5 <= b.start JOIN pool c ON b.video = c.video AND b.t = c.t AND b."end" + 5 <= c.start
+), best AS (SELECT * FROM sets QUALIFY row_number() OVER (PARTITION BY video, t ORDER BY n DESC, total DESC) = 1)"""
 SQL = {
     "ab_clone": f"{_P} SELECT clip_id || s AS new_id, clip_id AS ab_group, e AS effect FROM (SELECT DISTINCT clip_id FROM posts), (VALUES ('a', 'plain'), ('b', 'blur')) x(s, e)",
     "aspect_routing": f"{_P} SELECT post_id, unnest(CASE WHEN post_id % 2 = 0 THEN ['instagram', 'tiktok', 'youtube'] ELSE ['linkedin', 'x'] END) AS platform FROM posts",
@@ -269,6 +272,33 @@ r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY score * CASE WHEN
 q AS (SELECT *, other AND row_number() OVER (PARTITION BY video, other ORDER BY rn) <= 1 AS quota FROM o), t AS (SELECT *, greedy OR quota AS taken FROM q),
 f AS (SELECT *, 5 - count_if(taken) OVER (PARTITION BY video) AS spare, row_number() OVER (PARTITION BY video, taken ORDER BY rn) AS fn FROM t)
 SELECT * FROM (SELECT video, id, score, hook_type, CASE WHEN greedy THEN 'greedy' WHEN quota THEN 'exploration_quota' WHEN fn <= spare THEN 'greedy_fill' END AS selected_reason FROM f) WHERE selected_reason IS NOT NULL""",
+    "schedule_k": f"""{_I}, {_DAILY}, pool AS (SELECT *, 0 AS t FROM d), {_SETS}
+SELECT d.video, d.event_id, d.start, d."end", d.score FROM (SELECT video, unnest(ids) AS event_id FROM best) JOIN d USING (video, event_id)""",
+    "relaxed_schedule": f"""{_I}, {_DAILY}, pool AS (SELECT d.*, t, low FROM d JOIN (VALUES (0, 55.0::DOUBLE), (1, 50.0::DOUBLE), (2, 45.0::DOUBLE), (3, 40.0::DOUBLE)) x(t, low) ON score >= low), {_SETS},
+level AS (SELECT video, coalesce(min(t) FILTER (n = 3), 3) AS t FROM best GROUP BY video)
+SELECT d.video, d.event_id, d.start, d."end", d.score, 55 - 5 * t::DOUBLE AS threshold FROM (SELECT video, t, unnest(ids) AS event_id FROM best JOIN level USING (video, t)) JOIN d USING (video, event_id)""",
+    "explore_quota": f"""{_I}, {_DAILY}, pool AS (SELECT *, 0 AS t FROM d), {_SETS},
+picked AS (SELECT d.* FROM (SELECT video, unnest(ids) AS event_id FROM best) JOIN d USING (video, event_id)),
+few AS (SELECT video FROM picked GROUP BY video HAVING count_if(kind <> 'howto') < 1),
+one AS (SELECT d.* FROM d JOIN few USING (video) WHERE kind <> 'howto' QUALIFY row_number() OVER (PARTITION BY video ORDER BY score DESC) = 1),
+clear AS (SELECT d.* FROM d JOIN one USING (video) WHERE d.start >= one."end" + 5 OR d."end" + 5 <= one.start),
+rest AS (SELECT video, ids FROM (SELECT video, 1 AS n, [event_id] AS ids, score AS total FROM clear UNION ALL SELECT a.video, 2, [a.event_id, b.event_id], a.score + b.score FROM clear a JOIN clear b ON a.video = b.video AND a."end" + 5 <= b.start)
+  QUALIFY row_number() OVER (PARTITION BY video ORDER BY n DESC, total DESC) = 1)
+SELECT video, event_id, start, "end", score FROM picked WHERE video NOT IN (SELECT video FROM one)
+UNION ALL SELECT video, event_id, start, "end", score FROM one UNION ALL SELECT d.video, d.event_id, d.start, d."end", d.score FROM (SELECT video, unnest(ids) AS event_id FROM rest) JOIN d USING (video, event_id)""",
+    "ema_path": f"""WITH RECURSIVE {v.SAMPLES}, {_SHOT}, m AS (SELECT user_id, shot, list_sort(list(x)) AS v FROM shots WHERE x IS NOT NULL GROUP BY 1, 2), a AS (SELECT user_id, shot, list_avg(list_filter(v, lambda y: abs(y - v[len(v) // 2 + 1]) <= 20)) AS anchor FROM m),
+n AS (SELECT s.user_id, s.t, CASE WHEN x IS NOT NULL THEN least(greatest(anchor - 10, 0), 80) END AS aim, coalesce(lag(s.shot) OVER w <> s.shot, false) AS cut, coalesce(anchor, 50) - 10 AS start, row_number() OVER w AS rn FROM shots s LEFT JOIN a ON a.user_id = s.user_id AND a.shot = s.shot WINDOW w AS (PARTITION BY s.user_id ORDER BY s.t, s.event_id)),
+k AS (SELECT user_id, 0::BIGINT AS rn, t, least(greatest(start, 0), 80)::DOUBLE AS now FROM n WHERE rn = 1
+  UNION ALL SELECT user_id, rn, t, least(greatest(CASE WHEN cut THEN aim WHEN abs(aim - now) >= 6 THEN now + least(greatest(0.12::DOUBLE * (aim - now), -most), most) ELSE now END, 0), 80)
+  FROM (SELECT n.user_id, n.rn, n.t, n.cut, coalesce(n.aim, k.now) AS aim, k.now, 18 * greatest(0.001::DOUBLE, n.t - k.t) AS most FROM k JOIN n ON n.user_id = k.user_id AND n.rn = k.rn + 1))
+SELECT user_id, t, round(now, 6) AS x FROM k WHERE rn > 0""",
+    "speaker_pick": """WITH RECURSIVE e AS (SELECT user_id, event_id AS frame, floor(value * 100)::BIGINT AS v FROM events),
+f AS (SELECT user_id, frame, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS rn, list_sort(list_transform(range(frame % 4), lambda i: {'a': -((frame * (i + 3)) % 97), 'i': i, 'cx': ((v * (i + 1)) % 1000)::DOUBLE, 'e': ((v * (i + 2)) % 13)::DOUBLE})) AS f FROM e),
+g AS (SELECT *, CASE WHEN len(f) = 1 THEN f[1].cx WHEN len(f) > 1 AND greatest(f[1].e, f[2].e) > 0 AND greatest(f[1].e, f[2].e) >= 2 * greatest(least(f[1].e, f[2].e), 1e-6) THEN CASE WHEN f[1].e >= f[2].e THEN f[1].cx ELSE f[2].cx END END AS sure FROM f),
+k(user_id, rn, frame, now, last) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE FROM g
+  UNION ALL SELECT user_id, rn, frame, now, coalesce(now, last) FROM (SELECT g.user_id, g.rn, g.frame, k.last, CASE WHEN len(f) = 0 THEN NULL WHEN sure IS NOT NULL THEN sure WHEN k.last IS NULL THEN f[1].cx
+    ELSE 0.65::DOUBLE * list_sort(list_transform(f, lambda x, i: {'d': abs(x.cx - k.last), 'i': i, 'cx': x.cx}))[1].cx + (1 - 0.65::DOUBLE) * k.last END AS now FROM k JOIN g ON g.user_id = k.user_id AND g.rn = k.rn + 1))
+SELECT user_id, frame, round(now, 6) AS active FROM k WHERE rn > 0""",
     "dedupe_gap": f"""WITH RECURSIVE {v.SAMPLES}, n AS (SELECT user_id, event_id AS id, t, coalesce(floor(x), 0)::BIGINT AS votes, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM samples),
 k AS (SELECT user_id, rn, id, t, votes, true AS added, 1::BIGINT AS place FROM n WHERE rn = 1
   UNION ALL SELECT n.user_id, n.rn, CASE WHEN n.t - k.t >= 86400 OR n.votes > k.votes THEN n.id ELSE k.id END, CASE WHEN n.t - k.t >= 86400 OR n.votes > k.votes THEN n.t ELSE k.t END, CASE WHEN n.t - k.t >= 86400 OR n.votes > k.votes THEN n.votes ELSE k.votes END,
