@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import publish, quality
+from ..operators import caption_documents, publish, quality
 from ..operators import segments as seg
 from ..operators.performance import half_up
 from . import views as v
@@ -77,6 +77,22 @@ def request_calls(s, d):
     return publish.platform_plan(slot_posts(s, d).join(v.posts(s, d).select("post_id", F.round(F.col("total") * 100).cast("long").alias("bytes")), "post_id").select("post_id", "platform", "bytes"))
 
 
+def caption_files(s, d):
+    """Each document's words as the lines of a caption file, by a table function over its sorted partition."""
+    caption_documents.register(s)
+    w = v.words(s, d)
+    hook = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("why "), F.col("doc_id").cast("string"), F.lit(" is a question of timing")))
+    words = w.select(F.col("doc_id").alias("clip"), "pos", F.regexp_replace("w", "[^A-Za-z0-9]", "").alias("w"), "start", "end", F.when(F.col("doc_id") % 3 == 0, "16:9").otherwise("9:16").alias("aspect"), hook.alias("hook"))
+    words.createOrReplaceTempView("caption_words")
+    return s.sql("SELECT CAST(clip AS BIGINT) AS clip, seq, line FROM caption_lines(TABLE(SELECT * FROM caption_words) PARTITION BY clip ORDER BY pos)")
+
+
+def cover_files(s, d):
+    """Cover documents of each line of text that a hook could be."""
+    t = v.sentences(s, d).where(F.size("tokens") > 0).select("doc_id", "line", F.regexp_replace("text", "[^A-Za-z0-9 ]", "").alias("text"))
+    return t.select("doc_id", "line", caption_documents.cover_document(F.col("text")).alias("tall"), caption_documents.cover_document(F.col("text"), "16:9").alias("wide"))
+
+
 def redacted_headers(s, d):
     h = F.create_map(F.lit("Authorization"), F.concat(F.lit("Bearer "), F.col("url")), F.lit("X-Api-Key"), F.col("page_id").cast("string"), F.lit("Accept"), F.col("url"))
     hidden = publish.redacted(h)
@@ -101,7 +117,7 @@ def spelled(s, d):
     return v.posts(s, d).select("post_id", F.array_join(F.transform(tx.spelled_numbers(text), lambda n: n.cast("string")), ",").alias("numbers"))
 
 
-QUERIES = {f.__name__: f for f in (nfc_text, tiled_segments, hook_location, hook_windows, cut_verdicts, clip_checks, face_scores, cover_pick, request_calls, redacted_headers, checked_share, spelled)}
+QUERIES = {f.__name__: f for f in (nfc_text, tiled_segments, hook_location, hook_windows, cut_verdicts, clip_checks, face_scores, cover_pick, request_calls, caption_files, cover_files, redacted_headers, checked_share, spelled)}
 
 _UNITS = f"""{v.SENTENCES}, u AS (SELECT doc_id, line AS unit, tokens, n, "end", round("end" - n * 0.3::DOUBLE, 3) AS start FROM (SELECT doc_id, line, list_transform(tokens, lambda x: lower(x)) AS tokens, len(tokens) AS n, round(sum(len(tokens)) OVER (PARTITION BY doc_id ORDER BY line) * 0.3::DOUBLE, 3) AS "end" FROM sentences)),
 b AS (SELECT item_id AS doc_id, list_distinct(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x))) AS wanted FROM benchmark),
@@ -116,7 +132,27 @@ _GATE = lambda c, least, floor: f"CASE WHEN {c} < {least} THEN {floor}::DOUBLE +
 _VERDICT = f"CASE WHEN l_quantity / 50 < {quality.DIP} THEN 'transitioned' WHEN l_linenumber % 3 = 0 THEN 'unreadable' WHEN l_tax * 3 >= {quality.SHIFT} OR l_discount * 2 >= {quality.SCALE} THEN 'motivated' WHEN l_discount < {quality.INERT} THEN 'inert' ELSE 'jump_cut' END"
 _PARTS = lambda label, first, size: f"SELECT post_id, {len(publish.PLANS['x'][0])} + i AS step, '{label}' || (i + {first}) AS label, i * {size} AS \"from\", least({size}, bytes - i * {size}) AS length FROM b, range(greatest(1, ceil(bytes / {size})::BIGINT)) r(i)"
 _CALLS = lambda platform, names, at: " UNION ALL ".join(f"SELECT post_id, {at} + {k}, '{x}', NULL, NULL FROM b WHERE platform = '{platform}'" for k, x in enumerate(names))
+_UPPER = lambda c: f"upper(translate({c}, 'iı', 'İI'))"
+#: Words t filled into lines of their numbers, at most so many.
+_FILLED = lambda t, width, lines: f"""CASE WHEN len({t}) > 0 THEN list_reduce(list_transform(range(1, len({t}) + 1), lambda i: {{'l': [[i]], 'n': length({t}[i])}}), lambda a, x: CASE WHEN a.n + 1 + x.n <= {width} OR len(a.l) >= {lines}
+  THEN {{'l': list_append(a.l[1:len(a.l) - 1], list_append(a.l[len(a.l)], x.l[1][1])), 'n': a.n + 1 + x.n}} ELSE {{'l': list_append(a.l, x.l[1]), 'n': x.n}} END).l ELSE [] END"""
+_JOINED = lambda l, word: f"array_to_string(list_transform({l}, lambda r: array_to_string(list_transform(r, lambda i: {word}), ' ')), '\\N')"
+_CLOCK = lambda x: f"(floor(({x}) * 100 + 0.5::DOUBLE)::BIGINT // 360000) || ':' || lpad((floor(({x}) * 100 + 0.5::DOUBLE)::BIGINT // 6000 % 60)::VARCHAR, 2, '0') || ':' || lpad((floor(({x}) * 100 + 0.5::DOUBLE)::BIGINT // 100 % 60)::VARCHAR, 2, '0') || '.' || lpad((floor(({x}) * 100 + 0.5::DOUBLE)::BIGINT % 100)::VARCHAR, 2, '0')"
+_HEADS = {a: caption_documents.HEAD.format(w=x["frame"][0], h=x["frame"][1], face="Segoe UI Black", font=x["font"], paper="&H00FFFFFF", ink="&H00101010", outline=x["outline"], beside=x["beside"], below=x["below"], hook_font=x["hook_font"], hook_outline=x["outline"] + 1).split("\n") for a, x in caption_documents.LAYOUTS.items()}
+_HEAD_ROWS = ", ".join("({}, {}, '{}')".format(a == "16:9", i + 1, line.replace("'", "''")) for a, lines in _HEADS.items() for i, line in enumerate(lines))
+_COVER_HEADS = {a: caption_documents.COVER_HEAD.format(w=x["frame"][0], h=x["frame"][1], face="Segoe UI Black", font=f, paper="&H00FFFFFF", accent="&H0000FFFF", ink="&H00101010", outline=x["outline"] + 2, beside=x["beside"]) for (a, x), f in zip(caption_documents.LAYOUTS.items(), (107, 80), strict=True)}
 SQL = {
+    "caption_files": f"""WITH {v.WORDS}, cw AS (SELECT doc_id AS clip, pos, {_UPPER("regexp_replace(w, '[^A-Za-z0-9]', '', 'g')")} AS w, start, "end", doc_id % 3 = 0 AS wide, doc_id % 2 = 0 AS hooked FROM words),
+g AS (SELECT clip, wide, pos // 6 AS g, list(w ORDER BY pos) AS t FROM cw GROUP BY ALL), f AS (SELECT clip, g, t, {_FILLED("t", "CASE WHEN wide THEN 34 ELSE 18 END", 3)} AS l FROM g),
+head(wide, seq, line) AS (VALUES {_HEAD_ROWS}), clips AS (SELECT DISTINCT clip, wide, hooked FROM cw), h AS (SELECT clip, wide, string_split({_UPPER("'why ' || clip || ' is a question of timing'")}, ' ') AS t FROM clips WHERE hooked)
+SELECT clip, seq::INTEGER AS seq, line FROM clips JOIN head USING (wide)
+UNION ALL SELECT clip, {len(_HEADS["9:16"]) + 1}, 'Dialogue: 1,0:00:00.00,0:00:03.20,Hook,,0,0,0,,{{\\fad(180,260)\\pos(' || CASE WHEN wide THEN '960,380' ELSE '540,760' END || ')}}' || {_JOINED(_FILLED("t", "CASE WHEN wide THEN 32 ELSE 16 END", 3), "t[i]")} FROM h
+UNION ALL SELECT cw.clip, ({len(_HEADS["9:16"])} + hooked::INTEGER + pos + 1)::INTEGER, 'Dialogue: 0,' || {_CLOCK("start")} || ',' || {_CLOCK('greatest(start + 0.04::DOUBLE, "end")')} || ',Base,,0,0,0,,' || {_JOINED("l", "CASE WHEN i = pos % 6 + 1 THEN '{\\c&H0000FFFF}' || t[i] || '{\\c&H00FFFFFF}' ELSE t[i] END")}
+FROM cw JOIN f ON f.clip = cw.clip AND f.g = pos // 6""",
+    "cover_files": f"""WITH {v.SENTENCES}, c AS (SELECT doc_id, line, list_filter(string_split({_UPPER("regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')")}, ' '), lambda w: w <> '') AS t FROM sentences WHERE len(tokens) > 0),
+f AS (SELECT doc_id, line, t, {_FILLED("t", 18, 1 << 30)} AS tall, {_FILLED("t", 34, 1 << 30)} AS wide FROM c)
+SELECT doc_id, line, '{_COVER_HEADS["9:16"]}' || chr(10) || 'Dialogue: 0,0:00:00.00,0:00:05.00,Cover,,0,0,0,,{{\\pos(540,1420)}}' || {_JOINED("tall[1:3]", "t[i]")} || chr(10) AS tall,
+  '{_COVER_HEADS["16:9"]}' || chr(10) || 'Dialogue: 0,0:00:00.00,0:00:05.00,Cover,,0,0,0,,{{\\pos(960,842)}}' || {_JOINED("wide[1:3]", "t[i]")} || chr(10) AS wide FROM f""",
     "nfc_text": "SELECT doc_id, md5(nfc_normalize(replace(text, 'é', 'e' || chr(769)))) AS composed FROM documents",
     "tiled_segments": f"""WITH {v.WORDS}, n AS (SELECT doc_id, min(start) AS origin, max("end") + 25 AS duration, count(*) AS words FROM words GROUP BY 1),
 e AS (SELECT doc_id, 0 AS first_word, origin AS start FROM n UNION ALL SELECT doc_id, pos, start FROM words WHERE pos > 0 AND pos % 45 = 0),

@@ -103,3 +103,37 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     finally:
         d.stop()
     assert spark.table("once").count() == src.count()
+
+
+def test_caption_lines_stream_by_partition(spark):
+    from tallyframe.operators import caption_documents as docs
+
+    docs.register(spark)
+    rows = [("a", i, w, i * 0.5, i * 0.5 + 0.4, "9:16", "vergi iadesi") for i, w in enumerate("bir iki üç dört beş altı yedi".split())] + [("b", 0, None, None, None, None, None)]
+    spark.createDataFrame(rows, "clip string, pos int, w string, start double, end double, aspect string, hook string").repartition(3).createOrReplaceTempView("few_words")
+    got = {}
+    for r in spark.sql("SELECT * FROM caption_lines(TABLE(few_words) PARTITION BY clip ORDER BY pos)").collect():
+        got.setdefault(r.clip, {})[r.seq] = r.line
+    a = [got["a"][i] for i in sorted(got["a"])]
+    n = len(docs.HEAD.split("\n"))
+    assert a[0] == "[Script Info]" and "PlayResX: 1080" in a and len(a) == n + 1 + 7
+    assert a[n].endswith("{\\fad(180,260)\\pos(540,760)}VERGİ İADESİ")
+    assert a[n + 2] == "Dialogue: 0,0:00:00.50,0:00:00.90,Base,,0,0,0,,BİR {\\c&H0000FFFF}İKİ{\\c&H00FFFFFF} ÜÇ DÖRT\\NBEŞ ALTI"
+    assert a[-1].endswith("{\\c&H0000FFFF}YEDİ{\\c&H00FFFFFF}")
+    assert len(got["b"]) == n + 1 and got["b"][n + 1].startswith("Dialogue: 0,0:00:00.00,0:00:00.04")
+
+
+@pytest.mark.parametrize("width", [1, 5, 12, 80])
+def test_filled_lines_hold_every_word(width):
+    from tallyframe.operators import caption_documents as docs
+
+    for lines in (1, 2, 3):
+        rows = docs.filled([3, 3, 5, 4, 4, 7], width, lines)
+        assert [i for r in rows for i in r] == list(range(6)) and len(rows) <= lines
+
+
+def test_cover_document(spark):
+    from tallyframe.operators import caption_documents as docs
+
+    text = spark.range(1).select(docs.cover_document(F.lit("on dört binin üzerinde kişi bunu hiç bilmiyor ve ödüyor"))).first()[0]
+    assert text.count("\\N") == 2 and "ÖDÜYOR" not in text and text.endswith("\n") and "{\\pos(540,1420)}ON DÖRT" in text
