@@ -24,9 +24,51 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+#: The file that names a store table's version.
+POINTER = "CURRENT"
+
+
+def _store(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The version that a store table's pointer names; None for a table that was never written."""
+    fs, p = _store(spark, f"{path}/{POINTER}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode().strip()
+    finally:
+        stream.close()
+
+
+def switch_pointer(spark: SparkSession, path: str, version: str) -> None:
+    """The pointer names another version, by a rename over the old pointer: readers see one or the other."""
+    fs, new = _store(spark, f"{path}/.{POINTER}.{version}")
+    out = fs.create(new, True)
+    out.write(version.encode())
+    out.close()
+    jvm = spark._jvm
+    over = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(new, _store(spark, f"{path}/{POINTER}")[1], over)
+
+
+def drop_versions(spark: SparkSession, path: str, keep: set[str | None]) -> None:
+    fs, p = _store(spark, path)
+    for x in fs.listStatus(p):
+        if x.isDirectory() and x.getPath().getName().startswith("v-") and x.getPath().getName() not in keep:
+            fs.delete(x.getPath(), True)
+
+
 def maybe_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A store table, or no rows of its schema where it does not exist yet."""
-    return spark.read.schema(TABLES[name]).parquet(path) if exists(spark, path) else spark.createDataFrame([], TABLES[name])
+    """A store table's current version, or no rows of its schema where it was never written."""
+    version = current_version(spark, path)
+    return spark.read.schema(TABLES[name]).parquet(f"{path}/{version}") if version else spark.createDataFrame([], TABLES[name])
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

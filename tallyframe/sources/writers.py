@@ -8,11 +8,12 @@ import os
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.store import upsert
-from .readers import exists, maybe_table
+from .readers import current_version, drop_versions, maybe_table, switch_pointer
 from .schemas import KEYS
 
 
@@ -33,35 +34,42 @@ def append_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def upsert_table(incoming: DataFrame, path: str, name: str, order: str) -> None:
-    """Merges rows into a store table: the merged table is written beside it, then takes its place. The
-    old table is moved aside, not deleted, until then: after a crash between the two moves the next
-    call finds it and puts it back."""
+def upsert_table(incoming: DataFrame, path: str, name: str, order: str, seen: Observation | None = None) -> None:
+    """Merges rows into a store table, which is a folder of versions and a pointer to one of them.
+
+    The merged table is written as a new version; then a pointer file with its name takes the old one's
+    place in one rename, so a reader has the old version or the new, never none. The version before it
+    stays for readers that have begun; older ones go. A call that ends early leaves a version that
+    nothing points to. seen: counts the incoming rows of this very write.
+    """
     spark = incoming.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.before")
-    fs = old.getFileSystem(conf)
-    if fs.exists(aside):  # left by a call that didn't end
-        if exists(spark, path):
-            fs.delete(aside, True)
-        elif not fs.rename(aside, old):
-            raise OSError(f"{path}.before could not be put back")
-    merged = upsert(maybe_table(spark, path, name), incoming, KEYS[name], order)
-    part = f"{path}.{uuid.uuid4().hex}"
-    merged.write.parquet(part)
-    if exists(spark, path) and not fs.rename(old, aside):
-        raise OSError(f"{path} could not be moved aside")
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(part), old):
-        raise OSError(f"{part} could not take the place of {path}")
-    fs.delete(aside, True)
+    rows = incoming.observe(seen, F.count("*").alias("rows")) if seen is not None else incoming
+    merged = upsert(maybe_table(spark, path, name), rows, KEYS[name], order)
+    before, version = current_version(spark, path), f"v-{uuid.uuid4().hex}"
+    merged.write.parquet(f"{path}/{version}")
+    switch_pointer(spark, path, version)
+    drop_versions(spark, path, keep={version, before})
+
+
+def observed_rows(seen: Observation) -> int:
+    """What an observed write has counted; 0 where Spark has dropped an empty input from the plan, whose
+    observation then holds no metrics at all."""
+    try:
+        return seen.get["rows"]
+    except Py4JJavaError as e:
+        if "toPyRow" in str(e):
+            return 0
+        raise
 
 
 def record_run(tables: dict[str, tuple[DataFrame, str]], folder: str) -> dict[str, int]:
-    """Upserts several tables, each with its order column, and counts what came in."""
+    """Upserts several tables, each with its order column, and counts what came in: by observing the
+    writes, so each input is worked out once."""
     counts = {}
     for name, (rows, order) in tables.items():
-        upsert_table(rows, f"{folder}/{name}", name, order)
-        counts[name] = rows.count()
+        seen = Observation(f"incoming {name}")
+        upsert_table(rows, f"{folder}/{name}", name, order, seen)
+        counts[name] = observed_rows(seen)
     return counts
 
 

@@ -340,12 +340,35 @@ def test_reports_refuse_to_shorten(spark):
         writers.markdown(spark.range(5), most=4)
 
 
-def test_upsert_recovers_the_table_moved_aside(spark, tmp_path):
+def test_upsert_has_no_gap_for_readers(spark, tmp_path, monkeypatch):
     from tallyframe.sources import readers, writers
 
     path = f"{tmp_path}/videos"
     rows = lambda *x: spark.createDataFrame(x, "video_id string, title string, at int")
+    ids = lambda df: sorted(r.video_id for r in df.collect())
     writers.upsert_table(rows(("a", "x", 1)), path, "videos", "at")
-    (tmp_path / "videos").rename(tmp_path / "videos.before")  # as a crash between the two moves leaves it
+    begun = readers.maybe_table(spark, path, "videos")  # a reader that starts before the next write
+    with monkeypatch.context() as m:
+        m.setattr(writers, "switch_pointer", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            writers.upsert_table(rows(("lost", "y", 1)), path, "videos", "at")
+    assert ids(readers.maybe_table(spark, path, "videos")) == ["a"]  # a write that ended early changed nothing
     writers.upsert_table(rows(("b", "y", 1)), path, "videos", "at")
-    assert sorted(r.video_id for r in readers.maybe_table(spark, path, "videos").collect()) == ["a", "b"] and not (tmp_path / "videos.before").exists()
+    assert ids(readers.maybe_table(spark, path, "videos")) == ["a", "b"] and ids(begun) == ["a"]
+    writers.upsert_table(rows(("c", "y", 1)), path, "videos", "at")
+    assert len([x for x in (tmp_path / "videos").iterdir() if x.name.startswith("v-")]) == 2
+
+
+def test_a_run_is_counted_by_its_writes(spark, tmp_path):
+    from tallyframe.sources import writers
+
+    tries = spark.sparkContext.accumulator(0)
+
+    def touched(batches):
+        for b in batches:
+            tries.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 1)], "video_id string, title string, at int").mapInArrow(touched, "video_id string, title string, at int")
+    assert writers.record_run({"videos": (df, "at"), "clips": (spark.createDataFrame([], "clip_id string, at int"), "at")}, str(tmp_path)) == {"videos": 3, "clips": 0}
+    assert tries.value == 3  # each input is worked out once
