@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, stored
 
 TRIGRAMS, SAMPLE, MAX_LANGUAGES = 1 << 15, 4000, 256
 PENALTY = 0.5
@@ -88,17 +88,23 @@ def _teach(batches):
 def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities by cell and language) from the usable labelled rows."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    marked = rows.withColumn("h", F.xxhash64("text")).withColumn("part", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(1 << 30)) / (1 << 30))
+    totals = {r["lang"]: r["n"] for r in marked.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not totals:
         return [], np.ones((TRIGRAMS, 0))
-    # the smallest hashes: a threshold that about twice as many pass, then exact ranks among these
-    text = F.xxhash64("text")
-    low = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, min(1.0, 2 * sample / n))))
-    part = F.pmod(F.xxhash64(text, F.lit(7)), F.lit(1 << 30)) / (1 << 30)
-    marked = rows.withColumn("h", text).withColumn("part", part)
-    few = marked.where(F.col("part") < F.get(F.array(low[F.col("lang")]), F.lit(0))).groupBy("lang", "h").agg(F.min("part").alias("part"))
+    # the smallest hashes of different texts: a threshold that about three times as many pass, raised
+    # for a language of which fewer than the sample have passed, then exact ranks among these
+    low = {lang: min(1.0, 3 * sample / max(1, n)) for lang, n in totals.items()}
+    while True:
+        limits = F.create_map(*(F.lit(x) for kv in low.items() for x in kv))
+        few = stored(marked.where(F.col("part") < limits[F.col("lang")]).groupBy("lang", "h").agg(F.min("part").alias("part")))
+        counts = {r["lang"]: r["n"] for r in few.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        short = [lang for lang in low if counts.get(lang, 0) < sample and low[lang] < 1]
+        if not short:
+            break
+        low |= {lang: min(1.0, 4 * low[lang]) for lang in short}
     passed = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("part", "h")))
     picked = passed.where(F.col("nth") <= sample).select("lang", "h")  # at most `sample` rows a language
     chosen = marked.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
