@@ -26,20 +26,26 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without(docs: DataFrame, found: DataFrame, hashed: str, named_only: bool = False) -> DataFrame:
     """docs less the rows that an operator (doc_id, kept and the hash of the text, null as empty) does
     not keep. Rows are told apart by id and text, so a text that stays is never lost with another of
-    its id; of repeated rows with the same id and text one stays, with named_only where the id isn't null."""
+    its id; of repeated rows with the same id and text one stays, with named_only where the id isn't null:
+    that whose other columns come first as JSON text, so that no run differs from another."""
     gone = found.where("not kept").select(F.col("doc_id").alias("g_id"), F.col(hashed).alias("g_hash")).distinct()
     text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     left = docs.join(gone, (text == gone["g_hash"]) & docs["doc_id"].cast("long").eqNullSafe(gone["g_id"]), "left_anti")
     single = F.col("doc_id").isNotNull() if named_only else F.lit(True)
     repeated = found.where(F.col("kept") & single).groupBy("doc_id", hashed).agg(F.count("*").alias("n")).where("n > 1")
-    return left if repeated.isEmpty() else left.where(~single).unionByName(left.where(single).dropDuplicates(["doc_id", "text"]))
+    if repeated.isEmpty():
+        return left
+    rest = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("_"))
+    first = left.where(single).groupBy("doc_id", "text").agg(F.min_by(rest, F.to_json(rest)).alias("r")).select("doc_id", "text", *(F.col("r")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")))
+    return left.where(~single).unionByName(first.select(*docs.columns))
 
 
 def exact_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, white space aside: the longest, then of the smallest id.
 
-    Null and empty texts are one group. A row with a null id stays only if no row with an id can
-    stand for it. An empty table gives no rows; other columns are carried along.
+    Null and empty texts are one group. A row with a null id takes part like any other: the longest
+    text stays, and of equally long ones a row with an id before one without. An empty table gives no
+    rows; other columns are carried along.
     """
     return without(docs, exact_dedup.exact_dedup(docs), "xx")
 
