@@ -5,10 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .numbers import round_binary
+
 #: Letters with a Turkish diacritic, and the forms without.
 DIACRITICS, SHADOWS = "çÇğĞıİöÖşŞüÜ", "cCgGiIoOsSuU"
 #: Words that point back, pronouns among them, and abbreviations whose dot ends no sentence.
@@ -91,6 +93,45 @@ def self_contained(c: Column, previous: Column, tokens: Column | None = None) ->
     return F.when(F.size(t) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.lit(10.0) - F.when(opens, 4.0).otherwise(0.0) - F.when(bare, 3.0).otherwise(0.0) - F.when(mid, 3.0).otherwise(0.0)))
 
 
+#: What the rules of a stand-alone opening take off.
+CONNECTIVE, UNBOUND, MID_ANSWER, NO_WORDS = ("opens_with_connective", -4.0), ("unbound_pronoun_in_opening", -3.0), ("starts_mid_answer", -3.0), ("empty_segment", -10.0)
+
+
+def penalties(c: Column, previous: Column) -> Column:
+    """What takes a text off 10 as an opening that stands alone: array of (rule, token, delta), in order of
+    the rules; token is the word that opens with a connective. A text without words has only that rule."""
+    raw = words(F.trim(c))
+    t = F.transform(raw, tr_lower)
+
+    def rule(found: Column, name: tuple[str, float], token: Column | None = None) -> Column:
+        return F.when(found, F.struct(F.lit(name[0]).alias("rule"), (token if token is not None else F.lit(None).cast("string")).alias("token"), F.lit(name[1]).alias("delta")))
+
+    some = F.array(
+        rule(F.get(t, F.lit(0)).isin(*ANAPHORA), CONNECTIVE, F.get(raw, F.lit(0))), rule(F.exists(F.slice(t, 2, 7), lambda w: w.isin(*PRONOUNS)), UNBOUND),
+        rule(F.coalesce(F.regexp_replace(previous, r"\s+$", "").endswith("?"), F.lit(False)), MID_ANSWER),
+    )
+    return F.when(F.size(t) == 0, F.array(rule(F.lit(True), NO_WORDS))).otherwise(F.filter(some, lambda x: x.isNotNull()))
+
+
+def text_signals(rows: DataFrame, text: str, duration: str, opening: str, previous: str) -> DataFrame:
+    """rows with word_count, numeric_per_100w, question_per_100w, speech_rate_wps, numeric_score, question_score,
+    rate_score, self_contained_score and self_contained_penalties of a segment's text.
+
+    opening is what is said in its first seconds, previous the segment before; null for none. A null text
+    counts as empty; without a duration the rate is 0. Steps are columns of their own, so each pattern
+    runs once a row.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    r = rows.withColumns({"_t": t, "word_count": F.size(words(t)), "_numeric": numeric_density(t), "_question": question_density(t, F.col(opening)), "self_contained_penalties": penalties(t, F.col(previous))})
+    r = r.withColumn("_wps", F.when(F.col(duration) > 0, F.col("word_count") / F.col(duration)).otherwise(0.0))
+    off = F.aggregate("self_contained_penalties", F.lit(0.0), lambda a, x: a + x["delta"])
+    two = {
+        "numeric_per_100w": F.col("_numeric"), "question_per_100w": F.col("_question"), "speech_rate_wps": F.col("_wps"), "numeric_score": scale(F.col("_numeric"), 0.0, 6.0), "question_score": scale(F.col("_question"), 0.0, 5.0),
+        "rate_score": rate_score(F.col("_wps")), "self_contained_score": F.greatest(F.lit(0.0), 10.0 + off),
+    }
+    return r.withColumns(two).withColumns({k: round_binary(F.col(k), 2) for k in two}).drop("_t", "_numeric", "_question", "_wps")
+
+
 def is_abbreviation(token: Column) -> Column:
     """Whether a token's final dot ends no sentence: ordinals and listed abbreviations."""
     body = F.regexp_replace(token, "[.?!…]+$", "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, urls
+from ..functions import sql as sqlf
 from ..functions import text as tx
 from ..operators import segments as seg
 from ..operators import store
@@ -153,6 +154,44 @@ def self_contained(s, d):
     return t.select("doc_id", "line", tx.self_contained(F.col("text"), F.col("previous"), F.col("tokens")).alias("score"))
 
 
+def spoken_lines(s, d):
+    """Lines of documents with Turkish numbers, questions and connectives put into some, each with the line before it."""
+    k, t = F.col("line") % 5, F.col("text")
+    said = F.when(k == 0, F.concat(F.lit("Bu maaş yüzde 5,5 artar mı? "), t)).when(k == 1, F.concat(F.lit("Yani o 2023 yılında "), t)).when(k == 2, F.concat(t, F.lit(" Neden % 40 ?"))).when(k == 4, F.concat(F.lit("Ne kadar kazanıyor lira "), t)).otherwise(t)
+    w = Window.partitionBy("doc_id").orderBy("line")
+    return v.sentences(s, d).select("doc_id", "line", said.alias("text")).withColumns({"previous": F.lag("text").over(w), "opening": F.substring("text", 1, 30), "seconds": F.length("text") / 15.0})
+
+
+def text_signals(s, d):
+    """Every signal of every line, by the operators' full rules."""
+    t = tx.text_signals(spoken_lines(s, d), "text", "seconds", "opening", "previous")
+    p = F.array_join(F.transform("self_contained_penalties", lambda x: F.concat_ws(":", x["rule"], x["token"], x["delta"].cast("string"))), ";")
+    return t.select("doc_id", "line", "word_count", "numeric_per_100w", "question_per_100w", "speech_rate_wps", "numeric_score", "question_score", "rate_score", "self_contained_score", p.alias("penalties"))
+
+
+def spoken_boundaries(s, d):
+    """Words of conversations with their punctuation, speakers and pauses: every reason for a boundary."""
+    c = v.table(s, d, "conversations").where("conv_id is not null")
+    said = F.concat(F.when(F.col("turn") % 3 == 0, "Dr. Ali 5. ").otherwise(""), F.regexp_replace("text", r"[\x{2026}]", ""))
+    tokens = F.filter(F.split(said, "[ \\t\\n\\r\\f]+"), lambda x: x != "")
+    t = c.select("conv_id", "turn", F.col("role").alias("speaker"), "text", tokens.alias("tokens"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "speaker", "text")
+    t = t.withColumn("base", F.sum(F.size("tokens")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.size("tokens"))
+    words = t.select("conv_id", "speaker", "base", F.posexplode("tokens").alias("i", "w")).withColumn("pos", F.col("base") + F.col("i"))
+    start = F.round(0.3 * F.col("pos") + F.floor(F.col("pos") / 11), 3)
+    return seg.boundaries(words.select("conv_id", "pos", "w", "speaker", start.alias("start"), F.round(start + 0.25, 3).alias("end")), "conv_id", speaker="speaker")
+
+
+def sql_text(s, d):
+    """The text functions by name, from SQL."""
+    sqlf.register(s)
+    docs(s, d).createOrReplaceTempView("texts_in_sql")
+    return s.sql("""
+        SELECT doc_id, md5(tr_upper(text)) AS up, md5(tr_lower(text)) AS low, size(words_of(ascii_fold(text))) AS n, round(rate_points(size(words_of(text)) / (length(text) / 20.0D + 1)), 3) AS points,
+            round(per_hundred(length(text) - length(replace(text, 'e', '')), size(words_of(text))), 6) AS es, round(set_similarity(words_of(norm_ws(text)), words_of(norm_ws(source))), 6) AS similar, md5(nfc(replace(text, 'é', 'e\u0301'))) AS composed
+        FROM texts_in_sql""")
+
+
 def dictionary_ratio(s, d):
     hit = F.count_if(F.col("w").isin(*STOP))
     t = docs(s, d).select("lang", F.explode(toks(F.lower("text"))).alias("w"))
@@ -321,7 +360,7 @@ def cache_key(s, d):
 
 QUERIES = {f.__name__: f for f in (
     tr_case_fold, diacritic_density, ascii_fold_tokens, numeric_density, rate_score, density_filter, flags, question_density, scale_clip, text_bundle, abbrev, norm_ws, contains_evidence, url23, ass_timestamp, term_freq_top, dice_agreement,
-    trigram_jaccard, quote_recall, stopword_recall, pairwise_jaccard, self_contained, dictionary_ratio, rates, url_parse, url_build_roundtrip, slug, video_id, attribution_rows, sentence_boundaries, shot_islands, turn_changes, merge_short,
+    trigram_jaccard, quote_recall, stopword_recall, pairwise_jaccard, self_contained, text_signals, spoken_boundaries, sql_text, dictionary_ratio, rates, url_parse, url_build_roundtrip, slug, video_id, attribution_rows, sentence_boundaries, shot_islands, turn_changes, merge_short,
     split_long, chunk6, overlap_windows, candidate_runs, range_slice_words, core_context_text, adjacent_pairs, votes_first, cum_alloc, systematic_sample, flatten_words, zip_pairs, json_props, cache_key,
 )}
 
@@ -335,6 +374,9 @@ _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _GRAMS = lambda t, n=3: f"list_distinct(list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string(list_slice({t}, i, i + {n} - 1), ' ')))"
 _JACCARD = lambda a, b: f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
 _LOW = "translate({}, 'Iİ', 'ıi')"
+_WORD = "'[\\p{L}\\p{M}\\p{N}\\p{Pc}]+'"
+_two = lambda x: f"format('{{:.2f}}', ({x})::DOUBLE)::DOUBLE"
+_ASKS = lambda text, t: f"length({text}) - length(replace({text}, '?', '')) + len(list_filter({t}, lambda x: x IN ('ne', 'neden', 'niye', 'nasıl', 'kaç', 'hangi', 'kim', 'nerede', 'nereye', 'niçin'))) + len(list_filter({t}, lambda x: right(x, 2) IN ('mı', 'mi', 'mu', 'mü')))"
 _BOUND = """b AS (SELECT doc_id, word_index, t, reason, (row_number() OVER (PARTITION BY doc_id ORDER BY word_index) - 1)::INTEGER AS id FROM (SELECT doc_id, pos + 1 AS word_index, lead(start) OVER w AS t,
   CASE WHEN regexp_matches(w, '[.?!…]$') THEN 'punctuation' WHEN round(lead(start) OVER w - "end", 6) >= 0.65 THEN 'pause' END AS reason FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE t IS NOT NULL AND reason IS NOT NULL)"""
 _Q = lambda name: f"regexp_extract(url, '[?&]{name}=([^&#]*)', 1)"
@@ -367,6 +409,26 @@ c AS (SELECT a.doc_id, a.line AS line_a, b.line AS line_b, a.n AS na, b.n AS nb,
 SELECT doc_id, line_a, line_b, round(shared::DOUBLE / (na + nb - shared), 6) AS jaccard FROM c WHERE round(shared::DOUBLE / (na + nb - shared), 6) >= 0.8""",
     "self_contained": f"""{_SENT}, x AS (SELECT doc_id, line, list_transform(tokens, lambda t: lower(translate(t, 'Iİ', 'ıi'))) AS t, coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY line), '') AS p FROM sentences)
 SELECT doc_id, line, CASE WHEN len(t) = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 10.0::DOUBLE - CASE WHEN t[1] IN {_IN(tx.ANAPHORA)} THEN 4 ELSE 0 END - CASE WHEN len(list_filter(list_slice(t, 2, 8), lambda w: w IN {_IN(tx.PRONOUNS)})) > 0 THEN 3 ELSE 0 END - CASE WHEN rtrim(p) LIKE '%?' THEN 3 ELSE 0 END) END AS score FROM x""",
+    "text_signals": f"""{_SENT}, l AS (SELECT doc_id, line, CASE line % 5 WHEN 0 THEN 'Bu maaş yüzde 5,5 artar mı? ' || text WHEN 1 THEN 'Yani o 2023 yılında ' || text WHEN 2 THEN text || ' Neden % 40 ?' WHEN 4 THEN 'Ne kadar kazanıyor lira ' || text ELSE text END AS text FROM sentences),
+p AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY line), '') AS previous, substr(text, 1, 30) AS opening, regexp_extract_all(text, {_WORD}) AS raw, list_transform(regexp_extract_all(text, {_WORD}), lambda x: lower(x)) AS t, list_transform(regexp_extract_all(text, {_WORD}), lambda x: lower(translate(x, 'Iİ', 'ıi'))) AS tr,
+  list_transform(regexp_extract_all(substr(text, 1, 30), {_WORD}), lambda x: lower(x)) AS o, length(text) / 15.0::DOUBLE AS seconds FROM l),
+h AS (SELECT *, len(t)::INTEGER AS n, len(regexp_extract_all(text, '[\\p{{Nd}}]+(?:[.,][\\p{{Nd}}]+)*[\\s\\p{{Z}}]*%?|%[\\s\\p{{Z}}]*[\\p{{Nd}}]+')) + len(list_filter(t, lambda x: x IN ('yüzde', 'bin', 'milyon', 'milyar', 'kat', 'katı', 'oran', 'oranı', 'oranında', 'lira', 'tl', 'dolar', 'euro', 'asgari'))) AS numbers,
+  {_ASKS("text", "t")} + {_ASKS("opening", "o")} AS asks FROM p),
+x AS (SELECT *, {_PER("numbers", "n")} AS num, {_PER("asks", "n")} AS que, CASE WHEN seconds > 0 THEN n / seconds ELSE 0 END AS wps, n > 0 AND tr[1] IN {_IN(tx.ANAPHORA)} AS a, n > 0 AND len(list_filter(list_slice(tr, 2, 8), lambda w: w IN {_IN(tx.PRONOUNS)})) > 0 AS b, n > 0 AND regexp_matches(previous, '\\?[\\s]*$') AS c FROM h)
+SELECT doc_id, line, n AS word_count, {_two("num")} AS numeric_per_100w, {_two("que")} AS question_per_100w, {_two("wps")} AS speech_rate_wps, {_two(_SC("num", 0.0, 6.0))} AS numeric_score, {_two(_SC("que", 0.0, 5.0))} AS question_score,
+  {_two("CASE WHEN wps <= 2.0 OR wps >= 4.5 THEN 0.0::DOUBLE WHEN wps <= 3.2 THEN " + _SC("wps", 2.0, 3.2) + " ELSE " + _SC("(4.5::DOUBLE - wps)", 0.0, 1.2999999999999998) + " END")} AS rate_score,
+  CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 10.0::DOUBLE - CASE WHEN a THEN 4 ELSE 0 END - CASE WHEN b THEN 3 ELSE 0 END - CASE WHEN c THEN 3 ELSE 0 END END AS self_contained_score,
+  CASE WHEN n = 0 THEN 'empty_segment:-10.0' ELSE array_to_string(list_filter([CASE WHEN a THEN 'opens_with_connective:' || raw[1] || ':-4.0' END, CASE WHEN b THEN 'unbound_pronoun_in_opening:-3.0' END, CASE WHEN c THEN 'starts_mid_answer:-3.0' END], lambda z: z IS NOT NULL), ';') END AS penalties FROM x""",
+    "spoken_boundaries": f"""WITH c AS (SELECT conv_id, turn, role, text, list_filter(regexp_split_to_array(CASE WHEN turn % 3 = 0 THEN 'Dr. Ali 5. ' ELSE '' END || replace(text, '…', ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT *, sum(len(t)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING) - len(t) AS base FROM c), e AS (SELECT conv_id, role, base::BIGINT + unnest(range(len(t))) AS pos, unnest(t) AS w FROM b),
+w AS (SELECT *, round(0.3::DOUBLE * pos + floor(pos / 11), 3) AS start, regexp_replace(w, '[.?!…]+$', '') AS body FROM e), n AS (SELECT *, lead(start) OVER o AS t, lead(role) OVER o AS after FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+r AS (SELECT conv_id, pos + 1 AS word_index, t, CASE WHEN regexp_matches(w, '[.?!…]$') AND NOT (body <> '' AND (regexp_matches(body, '^[0-9]+$') OR lower({_LOW.format('body')}) IN {_IN(tx.ABBREVIATIONS)})) THEN 'punctuation' WHEN round(t - round(start + 0.25::DOUBLE, 3), 6) >= 0.65 THEN 'pause' WHEN after <> role THEN 'speaker_change' END AS reason FROM n WHERE t IS NOT NULL)
+SELECT conv_id, word_index, t, reason, (row_number() OVER (PARTITION BY conv_id ORDER BY word_index) - 1)::INTEGER AS id FROM r WHERE reason IS NOT NULL""",
+    "sql_text": f"""WITH t AS (SELECT doc_id, text, len(regexp_extract_all(text, {_WORD})) AS n, list_distinct(regexp_extract_all(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), {_WORD})) AS a, list_distinct(regexp_extract_all(lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))), {_WORD})) AS b FROM documents),
+x AS (SELECT *, n / (length(text) / 20.0::DOUBLE + 1) AS wps FROM t)
+SELECT doc_id, md5(replace(upper(translate(text, 'iı', 'İI')), 'ẞ', 'SS')) AS up, md5(lower({_LOW.format('text')})) AS low, len(regexp_extract_all(translate(text, '{tx.DIACRITICS}', '{tx.SHADOWS}'), {_WORD}))::INTEGER AS n,
+  round(CASE WHEN wps <= 2.0 OR wps >= 4.5 THEN 0.0::DOUBLE WHEN wps <= 3.2 THEN {_SC('wps', 2.0, 3.2)} ELSE {_SC('(4.5::DOUBLE - wps)', 0.0, 1.2999999999999998)} END, 3) AS points, round({_PER("length(text) - length(replace(text, 'e', ''))", "n")}, 6) AS es,
+  round({_JACCARD("a", "b")}, 6) AS similar, md5(nfc_normalize(replace(text, 'é', 'e' || chr(769)))) AS composed FROM x""",
     "dictionary_ratio": f"SELECT lang, count_if(w IN {_IN(STOP)})::BIGINT AS hits, round(count_if(w IN {_IN(STOP)}) / count(*), 6) AS ratio FROM (SELECT lang, unnest({_T.format('lower(text)')}) AS w FROM documents) GROUP BY lang",
     "rates": f"SELECT doc_id, round(length(text) * 100.0::DOUBLE / greatest(1, n), 6) AS chars_per_100w, round(n * 60.0::DOUBLE / (length(text) / 15.0::DOUBLE + 1), 6) AS words_per_min FROM (SELECT doc_id, text, {_N} AS n FROM documents)",
     "url_parse": f"SELECT page_id, {_Q('utm_source')} AS platform, {_Q('utm_campaign')} AS campaign, coalesce(nullif({_Q('tf_v')}, ''), 'a') AS variant, coalesce(nullif({_Q('tf_lang')}, ''), 'tr') AS lang FROM pages WHERE regexp_matches(url, '[?&]utm_source=')",
