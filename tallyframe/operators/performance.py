@@ -120,3 +120,31 @@ def row_provenance(detail: Column) -> Column:
 def first_wins(a: Column, b: Column) -> Column:
     """Two maps in one; a key in both keeps the first map's value."""
     return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, y))
+
+
+#: The rubric's criteria with their weights, of 100 together, and how each is judged.
+RUBRIC = {
+    "energy": (8, "deterministic"), "pitch_variance": (6, "deterministic"), "speech_rate": (5, "deterministic"), "numeric_density": (7, "deterministic"), "question_density": (6, "deterministic"), "turn_taking": (5, "deterministic"),
+    "self_contained": (8, "deterministic"), "hook_3s": (14, "llm"), "curiosity_gap": (12, "llm"), "emotional_charge": (10, "llm"), "standalone": (11, "llm"), "audience_fit": (8, "llm"),
+}
+#: Fixed value: the score of a criterion that could not be judged.
+NEUTRAL = 5.0
+
+
+def rubric_rows(scores: DataFrame, key: str) -> DataFrame:
+    """(key, criterion, method, weight, score, points, judged): a row for each criterion of RUBRIC of each row of
+    scores, which has a column a criterion, 0 to 10. A null counts as NEUTRAL and is not judged; points
+    are score / 10 * weight."""
+    long = scores.select(key, *(F.col(c).cast("double").alias(c) for c in RUBRIC)).unpivot([key], list(RUBRIC), "criterion", "raw")
+    of = lambda i: F.element_at(F.create_map(*(F.lit(x) for c, v in RUBRIC.items() for x in (c, v[i]))), F.col("criterion"))
+    score = F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.coalesce("raw", F.lit(NEUTRAL))))
+    r = long.select(key, "criterion", of(1).alias("method"), of(0).alias("weight"), score.alias("score"), F.col("raw").isNotNull().alias("judged"))
+    return r.withColumn("points", F.col("score") / 10.0 * F.col("weight"))
+
+
+def rubric_totals(rows: DataFrame, key: str) -> DataFrame:
+    """(key, base, deterministic, llm, unjudged): a key's points, in all and by method, summed as decimals,
+    and how many criteria were not judged."""
+    exact = F.col("points").cast("decimal(20,9)")
+    of = lambda m: F.coalesce(F.sum(F.when(F.col("method") == m, exact)), F.lit(0)).cast("double").alias(m)
+    return rows.groupBy(key).agg(F.sum(exact).cast("double").alias("base"), of("deterministic"), of("llm"), F.count_if(~F.col("judged")).alias("unjudged"))

@@ -11,8 +11,15 @@ from ..functions import text as tx
 
 #: Fixed values by platform: most characters, characters kept for the link, least and most hashtags.
 SPECS = {"linkedin": (3000, 0, 3, 5), "instagram": (2200, 0, 8, 12), "x": (280, 24, 1, 2), "tiktok": (2200, 0, 3, 5), "youtube": (5000, 0, 3, 4)}
-#: Fixed values by platform: text, media bytes and seconds allowed; whether media must be public; whether it schedules.
-LIMITS = {"linkedin": (3000, 500 << 20, 1800, False, False), "instagram": (2200, 1 << 30, 900, True, False), "x": (280, 512 << 20, 140, False, False), "tiktok": (2200, 4 << 30, 600, False, False), "youtube": (5000, 256 << 30, 43200, False, True)}
+#: Fixed values by platform: characters of text and seconds of media allowed, whether media must be public, whether
+#: it schedules by itself, and the aspects it takes. Media may have MEDIA_BYTES anywhere.
+LIMITS = {
+    "linkedin": (3000, 600.0, False, False, ("16:9", "1:1", "9:16")), "instagram": (2200, 90.0, True, False, ("9:16",)), "x": (280, 140.0, False, False, ("16:9", "1:1", "9:16")),
+    "tiktok": (2200, 600.0, False, False, ("9:16",)), "youtube": (5000, 180.0, False, True, ("9:16",)),
+}
+MEDIA_BYTES = 512 << 20
+#: Characters that a link takes in a text of x, and of a title of youtube.
+LINK_CHARS, TITLE_CHARS = 24, 100
 LINKED = ("linkedin", "x", "youtube")
 
 
@@ -83,22 +90,31 @@ def near_identical(rows: DataFrame, limit: float = 0.85) -> DataFrame:
 
 
 def validate_request(rows: DataFrame) -> DataFrame:
-    """(post_id, issues) for rows (post_id, platform, text, bytes, duration_s, aspect, public_url, scheduled_at)."""
-    at = lambda i: _by(F.col("platform"), {k: v[i] for k, v in LIMITS.items()})
+    """(post_id, issues array of code, severity, detail) for rows (post_id, platform, text, bytes, duration_s, aspect,
+    public_url, scheduled_at, and title and tracking_url if there are any), in the order of the checks.
+
+    On x a link counts 23 characters wherever it stands and the tracking link LINK_CHARS; that check
+    comes first there. youtube has a limit for titles and a quota a call, tiktok its review. A platform
+    without limits has no issues; a null value is not checked, but a null aspect is unsupported.
+    """
+    p = F.col("platform")
+    at = lambda i: _by(p, {k: v[i] for k, v in LIMITS.items()})
+    title, link = (F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("title", "tracking_url"))
+    said = F.coalesce(F.col("text"), F.lit(""))
+    length = F.when(p == "x", F.length(tx.urls_as_23(said)) + F.when(F.coalesce(link, F.lit("")) != "", LINK_CHARS).otherwise(0)).otherwise(F.length(said))
+    fits = _by(p, {k: ",".join(v[4]) for k, v in LIMITS.items()})
     found = present(
-        issue(F.length("text") > at(0), "TEXT_TOO_LONG", "error", F.length("text").cast("string")), issue(F.col("bytes") > at(1), "MEDIA_TOO_LARGE", "error", F.col("bytes").cast("string")),
-        issue(F.col("duration_s") > at(2), "DURATION_TOO_LONG", "error", F.col("duration_s").cast("string")), issue(at(3) & F.col("public_url").isNull(), "PUBLIC_URL_REQUIRED", "error", "a public URL is needed"),
-        issue(F.col("scheduled_at").isNotNull() & ~at(4), "NO_NATIVE_SCHEDULE", "warn", "held until due"), issue(~F.col("aspect").isin("9:16", "16:9", "1:1"), "ASPECT_UNSUPPORTED", "warn", F.col("aspect")),
+        issue(length > at(0), "TEXT_TOO_LONG", "error", F.concat_ws(" > ", length.cast("string"), at(0).cast("string"))),
+        issue(~F.coalesce(F.array_contains(F.split(fits, ","), F.col("aspect")), F.lit(False)), "ASPECT_UNSUPPORTED", "warn", F.coalesce("aspect", F.lit("none"))),
+        issue(F.col("bytes") > MEDIA_BYTES, "MEDIA_TOO_LARGE", "error", F.concat_ws(" > ", F.col("bytes").cast("string"), F.lit(str(MEDIA_BYTES)))),
+        issue(F.col("duration_s") > at(1), "DURATION_TOO_LONG", "error", F.concat_ws(" > ", F.col("duration_s").cast("string"), at(1).cast("string"))),
+        issue(at(2) & (F.coalesce(F.col("public_url"), F.lit("")) == ""), "PUBLIC_URL_REQUIRED", "error", "a public URL is needed"),
+        issue(F.col("scheduled_at").isNotNull() & ~at(3), "NO_NATIVE_SCHEDULE", "warn", "held until due"),
+        issue((p == "youtube") & (F.length(title) > TITLE_CHARS), "TITLE_TOO_LONG", "error", F.length(title).cast("string")),
+        issue(p == "youtube", "QUOTA_COST", "warn", "an upload takes 1600 of 10000 units a day"),
+        issue(p == "tiktok", "TIKTOK_UNAUDITED", "warn", "private until the app is reviewed"),
     )
-    return rows.select("post_id", found.alias("issues"))
-
-
-def request_plan(rows: DataFrame, part: int = 4 << 20) -> DataFrame:
-    """(post_id, seq, step, from, length): start, a part for each `part` bytes, finish."""
-    n = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("bytes") / part))
-    parts = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.struct(i.alias("seq"), F.lit("upload").alias("step"), ((i - 1) * part).alias("from"), F.least(F.lit(part).cast("long"), F.col("bytes") - (i - 1) * part).alias("length")))
-    edge = lambda seq, step: F.array(F.struct(seq.cast("long").alias("seq"), F.lit(step).alias("step"), F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("length")))
-    return rows.select("post_id", F.explode(F.concat(edge(F.lit(0), "start"), parts, edge(n + 1, "finish"))).alias("c")).select("post_id", "c.*")
+    return rows.select("post_id", F.when(at(0).isNotNull(), found).otherwise(F.slice(found, 1, 0)).alias("issues"))
 
 
 #: Fixed values by platform: the calls before the media, the parts' label, first number and bytes (no

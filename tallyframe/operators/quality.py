@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import round_binary
+
 #: A dip below which a cut shows a transition, the least shift and change of scale that
 #: motivate one, and the change of frame below which nothing happened.
 DIP, SHIFT, SCALE, INERT = 0.35, 0.20, 0.18, 0.04
@@ -68,3 +70,28 @@ def best_cover(frames: DataFrame, by: str, key: str, weights: dict[str, float])
     total = F.floor(base * gate({k: F.col(k) for k in weights if k in GATES}, F.col("has_face")) * 1e6 + 0.5) / 1e6
     rated = j.withColumn("total", total)
     return rated.groupBy(by).agg(F.max_by(F.struct(key, "total"), F.struct(F.col("total"), -F.col(key))).alias("r")).select(by, f"r.{key}", "r.total")
+
+
+def crop_box(face: Column, scale: Column, aspect: Column, width: Column, height: Column) -> Column:
+    """struct(x, y, w, h) of the largest crop of an aspect (9:16, else 16:9) in a frame: with the face (x, y, w,
+    h on a frame scaled by `scale`) in its middle and the eyes on the upper third, moved to lie inside the
+    frame; without a face or scale in the middle. Halves go to even."""
+    target = F.when(aspect == "9:16", F.lit(9 / 16)).otherwise(F.lit(16 / 9))
+    tall = target <= width / height
+    bounded = lambda c, most: F.greatest(F.lit(2).cast("long"), F.least(c.cast("long"), most.cast("long")))
+    h = bounded(F.when(tall, height.cast("double")).otherwise(F.rint(width / target)), height)
+    w = bounded(F.when(tall, F.rint(height * target)).otherwise(width.cast("double")), width)
+    on_face = face.isNotNull() & (scale > 0)
+    by = F.nullif(scale, F.lit(0.0))
+    x = F.when(on_face, F.rint((face["x"] + face["w"] / 2) / by - w / 2).cast("long")).otherwise(F.floor((width - w) / 2))
+    y = F.when(on_face, F.rint((face["y"] + face["h"] * 0.42) / by - h / 3).cast("long")).otherwise(F.floor((height - h) / 2))
+    inside = lambda c, room: F.greatest(F.lit(0).cast("long"), F.least(c, room))
+    return F.struct(inside(x, width - w).alias("x"), inside(y, height - h).alias("y"), w.alias("w"), h.alias("h"))
+
+
+def defocus_pulses(cuts: Column, width: float = 0.24, strength: int = 7) -> Column:
+    """A renderer's expression that softens the picture around each cut (array of seconds): a triangle of
+    `width` seconds a cut, summed; empty for no cuts."""
+    half = repr(round(width / 2, 4))
+    one = lambda t: F.concat(F.lit("max(0\\,1-abs(t-"), round_binary(t, 3).cast("string"), F.lit(f")/{half})"))
+    return F.when(F.size(cuts) > 0, F.concat(F.lit(f"{strength}*("), F.array_join(F.transform(cuts, one), "+"), F.lit(")"))).otherwise("")

@@ -192,17 +192,23 @@ def is_holiday(ts: Column) -> Column:
 def _slots(days: int) -> Column:
     """Array of a post's (day, rule, slot, score): a row's slots, without an exchange. The rules are
     eight rows, built into the plan."""
-    rules = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(p).alias("p"), F.array(*map(F.lit, w)).alias("weekdays"), F.lit(a).alias("minute"), F.lit(x).alias("weight")) for i, p, w, a, _, x in RULES))
-    default = F.array(F.struct(F.lit("S0").alias("rule"), F.col("platform").alias("p"), F.array(*map(F.lit, (1, 2, 3))).alias("weekdays"), F.lit(600).alias("minute"), F.lit(0.5).alias("weight")))
-    own = F.filter(rules, lambda r: r["p"] == F.col("platform"))
-    own = F.when(F.size(own) > 0, own).otherwise(default)
+    kinds = "array<struct<day:int,rule:string,minute:int,weight:double,weekdays:array<int>>>"
 
-    def at(day: Column, r: Column) -> Column:
-        slot = F.timestamp_add("MINUTE", r["minute"], F.date_trunc("day", F.timestamp_add("DAY", day, F.col("now"))))
-        return F.struct(day.alias("day"), r["rule"].alias("rule"), slot.alias("slot"), r["weight"].alias("weight"), r["weekdays"].alias("weekdays"))
+    def pairs(rules) -> Column:
+        """Every day of every rule, as one literal: day by day, the rules in their order."""
+        return F.array(*(F.struct(F.lit(day), F.lit(i), F.lit(a), F.lit(float(x)), F.array(*map(F.lit, w))) for day in range(days) for i, w, a, x in rules)).cast(kinds)
 
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda day: F.transform(own, lambda r: at(day, r))))
-    open_ = F.filter(every, lambda x: F.array_contains(x["weekdays"], F.weekday(x["slot"])) & (x["slot"] > F.timestamp_add("MINUTE", F.lit(30), F.col("now"))))
+    own = pairs([("S0", (1, 2, 3), 600, 0.5)])
+    for platform in dict.fromkeys(r[1] for r in RULES):
+        own = F.when(F.col("platform") == platform, pairs([(i, w, a, x) for i, p, w, a, _, x in RULES if p == platform])).otherwise(own)
+    today, first = F.weekday("now"), F.date_trunc("day", "now")
+    meant = F.filter(own, lambda x: F.array_contains(x["weekdays"], (today + x["day"]) % 7))  # before any time is worked out
+
+    def at(x: Column) -> Column:
+        slot = F.timestamp_add("MINUTE", x["minute"], F.timestamp_add("DAY", x["day"], first))
+        return F.struct(x["day"].alias("day"), x["rule"].alias("rule"), slot.alias("slot"), x["weight"].alias("weight"))
+
+    open_ = F.filter(F.transform(meant, at), lambda x: x["slot"] > F.timestamp_add("MINUTE", F.lit(30), F.col("now")))
 
     def bonus(x: Column) -> Column:
         return F.coalesce(*(F.when(F.col("hook_type") == h, F.when(F.hour(x["slot"]) < 15, a).otherwise(b)) for h, (a, b) in CONTENT.items()), F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import performance as perf
-from ..operators import priors, store
+from ..operators import priors, ranks, store
 from . import views as v
 
 M = list(perf.WEIGHTS)
@@ -207,6 +207,20 @@ def rubric_total(s, d):
     return store.left_with_defaults(base, hook_priors(s, d), "hook_type", {"multiplier": 1.0}).select("post_id", R("base", 3), F.round(F.col("base") * F.col("multiplier"), 2).alias("total"))
 
 
+def rubric_twelve(s, d):
+    """The whole rubric on made-up scores, some of them missing, times the hook type's learned multiplier."""
+    o = v.outcomes(s, d)
+    of = lambda i, c: F.when((F.col("post_id") + i) % 7 == 0, None).otherwise(F.round(F.col(M[i % 4]) * (3 + i), 3)).alias(c)
+    t = perf.rubric_totals(perf.rubric_rows(o.select("post_id", *(of(i, c) for i, c in enumerate(perf.RUBRIC))), "post_id"), "post_id")
+    kinds = t.join(o.select("post_id", "hook_type"), "post_id")
+    return store.left_with_defaults(kinds, hook_priors(s, d), "hook_type", {"multiplier": 1.0}).select("post_id", *(perf.half_up(F.col(c), 4).alias(c) for c in ("base", "deterministic", "llm")), "unjudged", perf.half_up(F.col("base") * F.col("multiplier"), 2).alias("total"))
+
+
+def median_spread(s, d):
+    """Median and median distance to it, by platform: exact, from a range sort."""
+    return ranks.median_deviations(v.outcomes(s, d), ["platform"], "completion_rate").select("platform", R("median"), R("mad"))
+
+
 def union_all(s, d):
     p = v.posts(s, d)
     return p.where("platform = '1-URGENT'").select("post_id", F.lit("current").alias("part")).unionByName(p.where("total > 200000").select("post_id", F.lit("past").alias("part")))
@@ -238,7 +252,7 @@ def map_merge(s, d):
 QUERIES = {f.__name__: f for f in (
     outcomes_join, zscore_platform, hqs_composite, hook_ranking, hook_gap_drivers, ab_lift_by_platform, ab_verdict, provenance_rollup, simulated_share, real_weight, hook_priors, hook_priors_sampled, newest_snapshot, upsert_converges,
     left_join_default, anti_accounting, fallback_key_join, posts_x_windows, target_window_fallback, store_counts, minmax_gate_pick, criteria_long, derived_keys, status_filter, membership_semi, classify_case, issue_rows, inner_skip,
-    dim_lookup_default, group_stats, percentiles, distinct_sets, rubric_total, union_all, set_intersect, set_except, multiset_intersect, map_merge,
+    dim_lookup_default, group_stats, percentiles, distinct_sets, rubric_total, rubric_twelve, median_spread, union_all, set_intersect, set_except, multiset_intersect, map_merge,
 )}
 
 _P, _M, _O, _S = f"WITH {v.POSTS}", f"WITH {v.METRICS}", v.WITH_OUTCOMES, v.WITH_SCORED
@@ -302,6 +316,12 @@ SELECT post_id, p.platform, CASE WHEN post_id % 10 = 0 THEN 'post' WHEN c.platfo
     "distinct_sets": f"{_P} SELECT hook_type, count(DISTINCT platform) AS platforms, count(DISTINCT clip_id) AS clips FROM posts GROUP BY hook_type",
     "rubric_total": f"""{_S}, {_PRIORS}, b AS (SELECT post_id, hook_type, {' + '.join(f'round(least(10.0::DOUBLE, greatest(0.0::DOUBLE, {m} * 10)) / 10 * {w * 100}::DOUBLE, 4)' for m, w in perf.WEIGHTS.items())} AS base FROM outcomes)
 SELECT post_id, round(base, 3) AS base, round(base * coalesce(multiplier, 1), 2) AS total FROM b LEFT JOIN priors USING (hook_type)""",
+    "rubric_twelve": f"""{_S}, {_PRIORS}, r AS (SELECT post_id, hook_type, {', '.join(f"CASE WHEN (post_id + {i}) % 7 <> 0 THEN round({M[i % 4]} * {3 + i}, 3) END AS {c}" for i, c in enumerate(perf.RUBRIC))} FROM outcomes),
+p AS (SELECT post_id, hook_type, {', '.join(f"least(10::DOUBLE, greatest(0::DOUBLE, coalesce({c}, 5.0::DOUBLE))) / 10 * {w} AS p_{c}" for c, (w, _) in perf.RUBRIC.items())}, {' + '.join(f"({c} IS NULL)::BIGINT" for c in perf.RUBRIC)} AS unjudged FROM r),
+t AS (SELECT post_id, hook_type, unjudged, {' + '.join(f"p_{c}" for c, (_, k) in perf.RUBRIC.items() if k == "deterministic")} AS deterministic, {' + '.join(f"p_{c}" for c, (_, k) in perf.RUBRIC.items() if k == "llm")} AS llm FROM p),
+b AS (SELECT *, round(deterministic, 9) + round(llm, 9) AS base FROM t)
+SELECT post_id, floor(round(base, 9) * 1e4 + 0.5::DOUBLE) / 1e4 AS base, floor(round(deterministic, 9) * 1e4 + 0.5::DOUBLE) / 1e4 AS deterministic, floor(round(llm, 9) * 1e4 + 0.5::DOUBLE) / 1e4 AS llm, unjudged, floor(round(base, 9) * coalesce(multiplier, 1) * 1e2 + 0.5::DOUBLE) / 1e2 AS total FROM b LEFT JOIN priors USING (hook_type)""",
+    "median_spread": f"{_O}, m AS (SELECT platform, median(completion_rate) AS m FROM outcomes GROUP BY platform) SELECT platform, round(m, 6) AS median, round(median(abs(completion_rate - m)), 6) AS mad FROM outcomes JOIN m USING (platform) GROUP BY platform, m",
     "union_all": f"{_P} SELECT post_id, 'current' AS part FROM posts WHERE platform = '1-URGENT' UNION ALL SELECT post_id, 'past' FROM posts WHERE total > 200000",
     "set_intersect": f"{_P} SELECT clip_id, platform FROM posts WHERE variant = 'A' INTERSECT SELECT clip_id, platform FROM posts WHERE variant = 'B'",
     "set_except": f"{_P} SELECT clip_id FROM posts EXCEPT SELECT clip_id FROM posts WHERE variant = 'B'",

@@ -93,6 +93,50 @@ def cover_files(s, d):
     return t.select("doc_id", "line", caption_documents.cover_document(F.col("text")).alias("tall"), caption_documents.cover_document(F.col("text"), "16:9").alias("wide"))
 
 
+def requests(s, d):
+    """Posts as requests of every platform, some of them over a limit."""
+    k, c = F.col("post_id"), F.col("clip_id")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(i, F.lit(len(xs))) + 1).cast("int"))
+    text = F.concat(F.lit("see https://example.com/"), F.repeat(F.lit("c"), (k % 300).cast("int")), F.lit(" "), F.repeat(F.lit("d"), (c * 7 % 5200).cast("int")))
+    return slot_posts(s, d).join(v.posts(s, d).select("post_id", "total"), "post_id").select(
+        "post_id", "platform", text.alias("text"), F.round(F.col("total") * 2000).cast("long").alias("bytes"), (k % 700).cast("double").alias("duration_s"), pick(("9:16", "16:9", "1:1", "4:5"), k).alias("aspect"),
+        F.when(k % 3 == 0, "https://media").alias("public_url"), F.when(c % 2 == 0, F.col("now")).alias("scheduled_at"), F.repeat(F.lit("t"), (k % 150).cast("int")).alias("title"), F.when(k % 4 == 0, "https://link").alias("tracking_url"),
+    )
+
+
+def request_issues(s, d):
+    """Every issue of every request, in the order of the checks."""
+    return publish.validate_request(requests(s, d)).select("post_id", F.posexplode("issues").alias("at", "i")).select("post_id", "at", "i.code", "i.severity", "i.detail")
+
+
+def crops(s, d):
+    """Crop boxes on made-up faces in frames of two shapes, with the softened cuts of each order."""
+    li, wide = v.table(s, d, "lineitem"), F.col("l_linenumber") % 2 == 0
+    face = F.when(F.col("l_linenumber") % 3 > 0, F.struct((F.col("l_partkey") % 900).cast("double").alias("x"), (F.col("l_suppkey") % 800).cast("double").alias("y"), (F.col("l_quantity") + 40).alias("w"), (F.col("l_quantity") + 60).alias("h")))
+    w, h = F.when(wide, 1920).otherwise(1080).cast("long"), F.when(wide, 1080).otherwise(1920).cast("long")
+    box = quality.crop_box(face, F.lit(0.5), F.when(F.col("l_orderkey") % 2 == 0, "9:16").otherwise("16:9"), w, h)
+    pulses = quality.defocus_pulses(F.array(F.col("l_quantity") / 8, F.col("l_extendedprice") / 1000))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", box.alias("b"), pulses.alias("pulses")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "b.*", "pulses")
+
+
+def redacted_mixed(s, d):
+    """Headers of changing names, cases and schemes: what is secret and what isn't."""
+    k = F.col("page_id")
+    name = F.element_at(F.array(*map(F.lit, ("authorization", "COOKIE", "X-Cookie", "profile-key", "Authorization-Extra"))), (F.pmod(k, F.lit(5)) + 1).cast("int"))
+    value = F.concat(F.element_at(F.array(*map(F.lit, ("Bearer ", "bearer ", "Basic ", ""))), (F.pmod(k, F.lit(4)) + 1).cast("int")), F.col("url"))
+    return v.table(s, d, "pages").select("page_id", publish.redacted(F.create_map(name, value))[name].alias("value"))
+
+
+def spelled_texts(s, d):
+    """Numbers up to millions, other words between, and words that begin like a number: with up to three
+    letters more (yüzük) they count as one, with four (binadan, birinci) they don't."""
+    at = lambda words, c: F.element_at(F.array(*map(F.lit, words)), (F.pmod(c, F.lit(9)) + 1).cast("int"))
+    p, c = F.col("post_id"), F.col("clip_id")
+    big = F.element_at(F.array(*map(F.lit, ("bin", "milyon", "yüz"))), (F.pmod(p, F.lit(3)) + 1).cast("int"))
+    text = F.concat_ws(" ", at(ONES, c), big, at(TENS, p), F.lit("ve"), F.concat(at(ONES, p), F.lit("inci")), F.lit("binadan yüzük"), F.when(p % 2 == 0, F.lit("Kırk")).otherwise(F.lit("elma")))
+    return v.posts(s, d).select("post_id", F.array_join(F.transform(tx.spelled_numbers(text), lambda n: n.cast("string")), ",").alias("numbers"))
+
+
 def redacted_headers(s, d):
     h = F.create_map(F.lit("Authorization"), F.concat(F.lit("Bearer "), F.col("url")), F.lit("X-Api-Key"), F.col("page_id").cast("string"), F.lit("Accept"), F.col("url"))
     hidden = publish.redacted(h)
@@ -117,7 +161,7 @@ def spelled(s, d):
     return v.posts(s, d).select("post_id", F.array_join(F.transform(tx.spelled_numbers(text), lambda n: n.cast("string")), ",").alias("numbers"))
 
 
-QUERIES = {f.__name__: f for f in (nfc_text, tiled_segments, hook_location, hook_windows, cut_verdicts, clip_checks, face_scores, cover_pick, request_calls, caption_files, cover_files, redacted_headers, checked_share, spelled)}
+QUERIES = {f.__name__: f for f in (nfc_text, tiled_segments, hook_location, hook_windows, cut_verdicts, clip_checks, face_scores, cover_pick, request_calls, caption_files, cover_files, request_issues, crops, redacted_mixed, spelled_texts, redacted_headers, checked_share, spelled)}
 
 _UNITS = f"""{v.SENTENCES}, u AS (SELECT doc_id, line AS unit, tokens, n, "end", round("end" - n * 0.3::DOUBLE, 3) AS start FROM (SELECT doc_id, line, list_transform(tokens, lambda x: lower(x)) AS tokens, len(tokens) AS n, round(sum(len(tokens)) OVER (PARTITION BY doc_id ORDER BY line) * 0.3::DOUBLE, 3) AS "end" FROM sentences)),
 b AS (SELECT item_id AS doc_id, list_distinct(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x))) AS wanted FROM benchmark),
@@ -149,6 +193,26 @@ SELECT clip, seq::INTEGER AS seq, line FROM clips JOIN head USING (wide)
 UNION ALL SELECT clip, {len(_HEADS["9:16"]) + 1}, 'Dialogue: 1,0:00:00.00,0:00:03.20,Hook,,0,0,0,,{{\\fad(180,260)\\pos(' || CASE WHEN wide THEN '960,380' ELSE '540,760' END || ')}}' || {_JOINED(_FILLED("t", "CASE WHEN wide THEN 32 ELSE 16 END", 3), "t[i]")} FROM h
 UNION ALL SELECT cw.clip, ({len(_HEADS["9:16"])} + hooked::INTEGER + pos + 1)::INTEGER, 'Dialogue: 0,' || {_CLOCK("start")} || ',' || {_CLOCK('greatest(start + 0.04::DOUBLE, "end")')} || ',Base,,0,0,0,,' || {_JOINED("l", "CASE WHEN i = pos % 6 + 1 THEN '{\\c&H0000FFFF}' || t[i] || '{\\c&H00FFFFFF}' ELSE t[i] END")}
 FROM cw JOIN f ON f.clip = cw.clip AND f.g = pos // 6""",
+    "request_issues": f"""WITH {v.POSTS}, r AS (SELECT post_id, (['linkedin', 'instagram', 'x', 'tiktok', 'youtube'])[post_id % 5 + 1] AS platform, post_id % 300 AS link, clip_id * 7 % 5200 AS body, round(total * 2000)::BIGINT AS bytes, (post_id % 700)::DOUBLE AS seconds,
+  (['9:16', '16:9', '1:1', '4:5'])[post_id % 4 + 1] AS aspect, post_id % 3 = 0 AS hosted, clip_id % 2 = 0 AS due, post_id % 150 AS title, post_id % 4 = 0 AS tracked FROM posts),
+l(platform, chars, most, public, native, aspects) AS (VALUES ('linkedin', 3000, 600.0::DOUBLE, false, false, ['16:9', '1:1', '9:16']), ('instagram', 2200, 90.0, true, false, ['9:16']), ('x', 280, 140.0, false, false, ['16:9', '1:1', '9:16']), ('tiktok', 2200, 600.0, false, false, ['9:16']), ('youtube', 5000, 180.0, false, true, ['9:16'])),
+n AS (SELECT r.*, l.* EXCLUDE (platform), CASE WHEN r.platform = 'x' THEN 4 + 23 + 1 + body + CASE WHEN tracked THEN 24 ELSE 0 END ELSE 24 + link + 1 + body END AS length FROM r JOIN l USING (platform)),
+i AS (SELECT post_id, list_filter([
+  CASE WHEN length > chars THEN {{'code': 'TEXT_TOO_LONG', 'severity': 'error', 'detail': length || ' > ' || chars}} END, CASE WHEN NOT list_contains(aspects, aspect) THEN {{'code': 'ASPECT_UNSUPPORTED', 'severity': 'warn', 'detail': aspect}} END,
+  CASE WHEN bytes > 536870912 THEN {{'code': 'MEDIA_TOO_LARGE', 'severity': 'error', 'detail': bytes || ' > 536870912'}} END, CASE WHEN seconds > most THEN {{'code': 'DURATION_TOO_LONG', 'severity': 'error', 'detail': seconds::VARCHAR || ' > ' || most::VARCHAR}} END,
+  CASE WHEN public AND NOT hosted THEN {{'code': 'PUBLIC_URL_REQUIRED', 'severity': 'error', 'detail': 'a public URL is needed'}} END, CASE WHEN due AND NOT native THEN {{'code': 'NO_NATIVE_SCHEDULE', 'severity': 'warn', 'detail': 'held until due'}} END,
+  CASE WHEN platform = 'youtube' AND title > 100 THEN {{'code': 'TITLE_TOO_LONG', 'severity': 'error', 'detail': title::VARCHAR}} END, CASE WHEN platform = 'youtube' THEN {{'code': 'QUOTA_COST', 'severity': 'warn', 'detail': 'an upload takes 1600 of 10000 units a day'}} END,
+  CASE WHEN platform = 'tiktok' THEN {{'code': 'TIKTOK_UNAUDITED', 'severity': 'warn', 'detail': 'private until the app is reviewed'}} END], lambda z: z IS NOT NULL) AS issues FROM n)
+SELECT post_id, (unnest(range(len(issues))))::INTEGER AS at_, unnest(issues).code AS code, unnest(issues).severity AS severity, unnest(issues).detail AS detail FROM i""".replace("at_,", '"at",'),
+    "crops": """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 3 > 0 AS face, l_partkey % 900 AS fx, l_suppkey % 800 AS fy, l_quantity::DOUBLE + 40 AS fw, l_quantity::DOUBLE + 60 AS fh, CASE WHEN l_orderkey % 2 = 0 THEN 9 / 16.0::DOUBLE ELSE 16 / 9.0::DOUBLE END AS target,
+  CASE WHEN l_linenumber % 2 = 0 THEN 1920 ELSE 1080 END AS width, CASE WHEN l_linenumber % 2 = 0 THEN 1080 ELSE 1920 END AS height, l_quantity::DOUBLE / 8 AS c1, l_extendedprice::DOUBLE / 1000 AS c2 FROM lineitem),
+s AS (SELECT *, CASE WHEN target <= width / height THEN height ELSE least(height, round_even(width / target, 0))::BIGINT END AS h, CASE WHEN target <= width / height THEN least(width, round_even(height * target, 0))::BIGINT ELSE width END AS w FROM f)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(0, least(CASE WHEN face THEN round_even((fx + fw / 2) / 0.5::DOUBLE - w / 2, 0)::BIGINT ELSE (width - w) // 2 END, width - w))::BIGINT AS x, greatest(0, least(CASE WHEN face THEN round_even((fy + fh * 0.42::DOUBLE) / 0.5::DOUBLE - h / 3, 0)::BIGINT ELSE (height - h) // 2 END, height - h))::BIGINT AS y,
+  w::BIGINT AS w, h::BIGINT AS h, '7*(max(0\\,1-abs(t-' || (format('{:.3f}', c1)::DOUBLE)::VARCHAR || ')/0.12)+max(0\\,1-abs(t-' || (format('{:.3f}', c2)::DOUBLE)::VARCHAR || ')/0.12))' AS pulses FROM s""",
+    "redacted_mixed": """SELECT page_id, CASE WHEN page_id % 5 IN (2, 4) THEN (['Bearer ', 'bearer ', 'Basic ', ''])[page_id % 4 + 1] || url WHEN page_id % 4 = 0 OR starts_with(url, 'Bearer ') THEN 'Bearer [REDACTED]' ELSE '[REDACTED]' END AS value FROM pages""",
+    "spelled_texts": f"""WITH {v.POSTS}, n AS (SELECT post_id, clip_id % 9 + 1 AS one, (post_id % 9 + 1) * 10 AS ten, post_id % 9 + 1 AS other, ([1000, 1000000, 100])[post_id % 3 + 1] AS big FROM posts),
+x AS (SELECT *, list_concat([one, big, ten, one * big + ten, 100], CASE WHEN post_id % 2 = 0 THEN [40, 140] ELSE [] END) AS f FROM n)
+SELECT post_id, numbers FROM x, LATERAL (SELECT array_to_string(list_sort(list_distinct(f)), ',') AS numbers)""",
     "cover_files": f"""WITH {v.SENTENCES}, c AS (SELECT doc_id, line, list_filter(string_split({_UPPER("regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')")}, ' '), lambda w: w <> '') AS t FROM sentences WHERE len(tokens) > 0),
 f AS (SELECT doc_id, line, t, {_FILLED("t", 18, 1 << 30)} AS tall, {_FILLED("t", 34, 1 << 30)} AS wide FROM c)
 SELECT doc_id, line, '{_COVER_HEADS["9:16"]}' || chr(10) || 'Dialogue: 0,0:00:00.00,0:00:05.00,Cover,,0,0,0,,{{\\pos(540,1420)}}' || {_JOINED("tall[1:3]", "t[i]")} || chr(10) AS tall,

@@ -98,7 +98,9 @@ def ass_timestamp(s, d):
 def term_freq_top(s, d):
     """The fifty most frequent terms, of equal counts the one that occurs first."""
     t = docs(s, d).select("doc_id", F.posexplode(toks(F.lower("text"))).alias("pos", "term"))
-    g = t.groupBy("term").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    own = t.groupBy("term", "doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))  # numbers only: hashed, a row a document's word
+    first = F.min(F.col("doc_id").cast("decimal(20,0)") * (1 << 31) + F.col("pos"))
+    g = own.groupBy("term").agg(F.sum("n").alias("n"), first.alias("first"))
     return g.orderBy(F.desc("n"), "first").limit(50).select("term", "n")
 
 
@@ -138,9 +140,12 @@ def stopword_recall(s, d):
 
 
 def pairwise_jaccard(s, d):
-    """Pairs of a document's lines that share 0.8 of their words. Of such a pair's sets, sorted, the
-    first fifths and one more meet, so lines are joined by these words and not each with each."""
-    t = v.sentences(s, d).select("doc_id", "line", F.array_sort(F.array_distinct(F.transform("tokens", F.lower))).alias("g")).where("size(g) > 0")
+    """Pairs of a document's lines that share 0.8 of their words. Of such a pair's sets, the words
+    in fewest of the document's lines first, the first fifths and one more meet: lines are joined by these
+    rare words, not each with each nor by what stands in every line."""
+    t = v.sentences(s, d).select("doc_id", "line", F.explode(F.array_distinct(F.transform("tokens", F.lower))).alias("w"))
+    lines = t.groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    t = t.join(lines, ["doc_id", "w"]).groupBy("doc_id", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias("g"))
     head = t.select("doc_id", "line", F.explode(F.slice("g", F.lit(1), F.size("g") - F.ceil(F.size("g") * 0.8).cast("int") + 1)).alias("w"))
     pairs = head.alias("a").join(head.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.line") < F.col("b.line"))).select(F.col("a.doc_id").alias("doc_id"), F.col("a.line").alias("line_a"), F.col("b.line").alias("line_b")).distinct()
     side = lambda k: t.select("doc_id", F.col("line").alias(f"line_{k}"), F.col("g").alias(f"g_{k}"))

@@ -236,10 +236,47 @@ def test_copy_gates(spark):
     assert got["linkedin"] == {"EVIDENCE_NOT_IN_TRANSCRIPT", "NUMBER_HALLUCINATION", "HASHTAG_COUNT", "BANNED_PHRASE"}
 
 
-def test_request_plan_and_redaction(spark):
-    rows = spark.createDataFrame([("p", 10)], "post_id string, bytes long")
-    got = [(r.step, r["from"], r.length) for r in publish.request_plan(rows, 4).orderBy("seq").collect()]
-    assert got == [("start", 0, 0), ("upload", 0, 4), ("upload", 4, 4), ("upload", 8, 2), ("finish", 0, 0)]
+def test_requests_by_platform(spark):
+    rows = [
+        ("a", "x", "see https://a.b/" + "c" * 300 + " " + "d" * 240, 1, 1.0, "9:16", None, None, None, "https://t"), ("b", "x", "see https://a.b/" + "c" * 300, 1, 150.0, "4:5", None, None, None, None),
+        ("c", "youtube", "t", 600 << 20, 180.0, "9:16", None, "soon", "t" * 101, None), ("d", "tiktok", "t", 1, 601.0, "1:1", None, "soon", None, None), ("e", "instagram", None, None, None, None, "", None, None, None),
+        ("f", "elsewhere", "t" * 9999, 1, 1.0, None, None, None, None, None), ("g", "linkedin", "t" * 3001, 1, 1.0, "1:1", None, None, None, None), ("h", "instagram", "t", 1, 90.5, "9:16", "https://u", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "post_id string, platform string, text string, bytes long, duration_s double, aspect string, public_url string, scheduled_at string, title string, tracking_url string")
+    got = {r.post_id: [i.code for i in r.issues] for r in publish.validate_request(df).collect()}
+    assert got == {
+        "a": ["TEXT_TOO_LONG"], "b": ["ASPECT_UNSUPPORTED", "DURATION_TOO_LONG"], "c": ["MEDIA_TOO_LARGE", "TITLE_TOO_LONG", "QUOTA_COST"], "d": ["ASPECT_UNSUPPORTED", "DURATION_TOO_LONG", "NO_NATIVE_SCHEDULE", "TIKTOK_UNAUDITED"],
+        "e": ["ASPECT_UNSUPPORTED", "PUBLIC_URL_REQUIRED"], "f": [], "g": ["TEXT_TOO_LONG"], "h": ["DURATION_TOO_LONG"],
+    }
+    assert publish.validate_request(df.drop("title", "tracking_url")).count() == 8
+
+
+def test_crops_and_pulses(spark):
+    from tallyframe.operators import quality
+
+    def box(face, scale, aspect, w, h):
+        f = F.struct(*(F.lit(float(v)).alias(k) for k, v in zip("xywh", face, strict=True))) if face else F.lit(None).cast("struct<x:double,y:double,w:double,h:double>")
+        return tuple(spark.range(1).select(quality.crop_box(f, F.lit(scale), F.lit(aspect), F.lit(w), F.lit(h)).alias("b")).select("b.*").first())
+
+    assert box(None, 0.0, "9:16", 1920, 1080) == (656, 0, 608, 1080)
+    assert box((400, 100, 100, 120), 0.5, "9:16", 1920, 1080) == (596, 0, 608, 1080)
+    assert box((0, 0, 10, 10), 1.0, "16:9", 1080, 1920) == (0, 0, 1080, 608)
+    assert box((900, 1900, 10, 10), 1.0, "16:9", 1080, 1920) == (0, 1312, 1080, 608)
+    pulse = lambda *t: spark.range(1).select(quality.defocus_pulses(F.array(*map(F.lit, t)).cast("array<double>"))).first()[0]
+    assert pulse() == "" and pulse(1.5, 2.0004) == "7*(max(0\\,1-abs(t-1.5)/0.12)+max(0\\,1-abs(t-2.0)/0.12))"
+
+
+def test_rubric_of_twelve(spark):
+    cols = ", ".join(f"{c} double" for c in perf.RUBRIC)
+    df = spark.createDataFrame([("a", *[10.0] * 12), ("b", *[None] * 12), ("c", -1.0, *[0.0] * 10, 99.0)], f"seg string, {cols}")
+    rows = perf.rubric_rows(df, "seg")
+    got = {r.seg: r for r in perf.rubric_totals(rows, "seg").collect()}
+    assert rows.count() == 36 and sum(w for w, _ in perf.RUBRIC.values()) == 100
+    assert (got["a"].base, got["a"].deterministic, got["a"].llm, got["a"].unjudged) == (100.0, 45.0, 55.0, 0)
+    assert (got["b"].base, got["b"].unjudged) == (50.0, 12) and got["c"].base == 8.0
+
+
+def test_redaction(spark):
     h = spark.sql("SELECT map('Authorization', 'Bearer abc', 'Accept', 'x') AS h").select(publish.redacted(F.col("h"))).first()[0]
     assert h == {"Authorization": "Bearer [REDACTED]", "Accept": "x"}
 
