@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -65,6 +65,14 @@ def repair_json(s: pd.Series) -> pd.Series:
     return s.map(repaired)
 
 
+def repair_rows(rows: DataFrame, text: str, name: str = "repaired") -> DataFrame:
+    """rows with valid JSON text, or null where none can be made of it. Text that Spark parses is only
+    trimmed; the others alone go through the repair, in batches."""
+    good = F.try_parse_json(text).isNotNull()
+    kept = rows.where(good).withColumn(name, F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return kept.unionByName(rows.where(~F.coalesce(good, F.lit(False))).withColumn(name, repair_json(text)))
+
+
 def map_or_empty(c: Column) -> Column:
     """A JSON object of strings as a map; malformed text as an empty one."""
     return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import jsonx
 from ..functions import text as tx
 from ..operators import caption_documents, publish, quality
+from ..operators import schedule as sch
 from ..operators import segments as seg
 from ..operators.performance import half_up
 from . import views as v
-from .timeline import slot_posts
+from .timeline import _BONUS, _SLOTS, slot_posts
 
 
 def nfc_text(s, d):
@@ -93,6 +95,48 @@ def cover_files(s, d):
     return t.select("doc_id", "line", caption_documents.cover_document(F.col("text")).alias("tall"), caption_documents.cover_document(F.col("text"), "16:9").alias("wide"))
 
 
+def copies(s, d):
+    """Documents as copy for a platform: some with quotes and numbers that their clip lacks, links, or too many tags."""
+    k = F.col("doc_id")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(i, F.lit(len(xs))) + 1).cast("int"))
+    said = F.array_join(F.slice(F.filter(F.split("text", "[ \\n]+"), lambda w: w != ""), 1, (k % 9 + 2).cast("int")), "  ")
+    quote = F.when(k % 4 == 0, F.lit("six words that nobody has said")).otherwise(said)
+    return v.table(s, d, "documents").where("doc_id is not null and text is not null").select(
+        k.alias("clip_id"), pick(("linkedin", "instagram", "x", "tiktok", "youtube"), k).alias("platform"), F.when(k % 6 == 0, F.concat("text", F.lit(" http://a.b/"), F.repeat(F.lit("c"), 40))).otherwise(F.col("text")).alias("body"),
+        F.array_repeat(F.lit("tag"), (k % 14).cast("int")).alias("hashtags"), quote.alias("evidence_quote"), F.when(k % 3 == 0, F.lit("up 987.654 of 987654")).alias("key_number"), F.col("text").alias("clip_text"),
+        F.when(k % 5 == 0, pick(("", " plain words ", "look at http://x", "the Secret is out"), k)).alias("body_en"),
+    )
+
+
+def copy_gates(s, d):
+    """Every issue of every copy, in the order of the gates."""
+    return publish.validate_copy(copies(s, d), ("secret",)).select("clip_id", "platform", F.posexplode("issues").alias("at", "i")).select("clip_id", "platform", "at", "i.code", "i.severity", "i.detail")
+
+
+def bilingual_posts(s, d):
+    return publish.bilingual(copies(s, d)).select("clip_id", "platform", "lang", F.md5(F.col("body").cast("binary")).alias("body"), F.size("hashtags").alias("tags"))
+
+
+def observed_slots(s, d):
+    """Slots scored with what was observed at their hour, by platform and weekday."""
+    hour = F.element_at(F.array(*map(F.lit, (8, 12, 20, 9, 21, 19, 18, 10))), (F.pmod("post_id", F.lit(8)) + 1).cast("int"))
+    p = slot_posts(s, d)
+    seen = p.join(v.posts(s, d).select("post_id", "total"), "post_id").groupBy("platform", F.weekday("now").alias("weekday"), hour.alias("hour")).agg((F.round(F.avg("total") / 1000) / 1000).alias("lift"), F.count("*").alias("n"))
+    return sch.slot_candidates(p, observed=seen).select("post_id", "day", "rule", "slot", "score")
+
+
+def answers(s, d):
+    """What a language model might have answered: JSON, in fences, in prose, with a comma too many, or none."""
+    body = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "lang": "'), F.coalesce("lang", F.lit("")), F.lit('"'))
+    k = F.col("doc_id") % 5
+    said = F.when(k == 0, F.concat(F.lit("  "), body, F.lit("}\n"))).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("}\n```"))).when(k == 2, F.concat(F.lit("Here it is: "), body, F.lit("} as asked"))).when(k == 3, F.concat(body, F.lit(",}")))
+    return v.table(s, d, "documents").where("doc_id is not null").select("doc_id", said.otherwise(F.lit("I cannot say")).alias("answer"))
+
+
+def repaired_answers(s, d):
+    return jsonx.repair_rows(answers(s, d), "answer").select("doc_id", "repaired", F.get_json_object("repaired", "$.lang").alias("lang"))
+
+
 def requests(s, d):
     """Posts as requests of every platform, some of them over a limit."""
     k, c = F.col("post_id"), F.col("clip_id")
@@ -161,7 +205,7 @@ def spelled(s, d):
     return v.posts(s, d).select("post_id", F.array_join(F.transform(tx.spelled_numbers(text), lambda n: n.cast("string")), ",").alias("numbers"))
 
 
-QUERIES = {f.__name__: f for f in (nfc_text, tiled_segments, hook_location, hook_windows, cut_verdicts, clip_checks, face_scores, cover_pick, request_calls, caption_files, cover_files, request_issues, crops, redacted_mixed, spelled_texts, redacted_headers, checked_share, spelled)}
+QUERIES = {f.__name__: f for f in (nfc_text, tiled_segments, hook_location, hook_windows, cut_verdicts, clip_checks, face_scores, cover_pick, request_calls, caption_files, cover_files, request_issues, copy_gates, bilingual_posts, observed_slots, repaired_answers, crops, redacted_mixed, spelled_texts, redacted_headers, checked_share, spelled)}
 
 _UNITS = f"""{v.SENTENCES}, u AS (SELECT doc_id, line AS unit, tokens, n, "end", round("end" - n * 0.3::DOUBLE, 3) AS start FROM (SELECT doc_id, line, list_transform(tokens, lambda x: lower(x)) AS tokens, len(tokens) AS n, round(sum(len(tokens)) OVER (PARTITION BY doc_id ORDER BY line) * 0.3::DOUBLE, 3) AS "end" FROM sentences)),
 b AS (SELECT item_id AS doc_id, list_distinct(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x))) AS wanted FROM benchmark),
@@ -176,6 +220,9 @@ _GATE = lambda c, least, floor: f"CASE WHEN {c} < {least} THEN {floor}::DOUBLE +
 _VERDICT = f"CASE WHEN l_quantity / 50 < {quality.DIP} THEN 'transitioned' WHEN l_linenumber % 3 = 0 THEN 'unreadable' WHEN l_tax * 3 >= {quality.SHIFT} OR l_discount * 2 >= {quality.SCALE} THEN 'motivated' WHEN l_discount < {quality.INERT} THEN 'inert' ELSE 'jump_cut' END"
 _PARTS = lambda label, first, size: f"SELECT post_id, {len(publish.PLANS['x'][0])} + i AS step, '{label}' || (i + {first}) AS label, i * {size} AS \"from\", least({size}, bytes - i * {size}) AS length FROM b, range(greatest(1, ceil(bytes / {size})::BIGINT)) r(i)"
 _CALLS = lambda platform, names, at: " UNION ALL ".join(f"SELECT post_id, {at} + {k}, '{x}', NULL, NULL FROM b WHERE platform = '{platform}'" for k, x in enumerate(names))
+_COPIES = """c AS (SELECT doc_id AS clip_id, (['linkedin', 'instagram', 'x', 'tiktok', 'youtube'])[doc_id % 5 + 1] AS platform, text, text || CASE WHEN doc_id % 6 = 0 THEN ' http://a.b/' || repeat('c', 40) ELSE '' END AS body, (doc_id % 14)::INTEGER AS tags, doc_id % 3 = 0 AS number,
+  CASE WHEN doc_id % 4 = 0 THEN 'six words that nobody has said' ELSE array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> ''), 1, doc_id % 9 + 2), '  ') END AS quote,
+  CASE WHEN doc_id % 5 = 0 THEN (['', ' plain words ', 'look at http://x', 'the Secret is out'])[doc_id % 4 + 1] END AS en FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"""
 _UPPER = lambda c: f"upper(translate({c}, 'iı', 'İI'))"
 #: Words t filled into lines of their numbers, at most so many.
 _FILLED = lambda t, width, lines: f"""CASE WHEN len({t}) > 0 THEN list_reduce(list_transform(range(1, len({t}) + 1), lambda i: {{'l': [[i]], 'n': length({t}[i])}}), lambda a, x: CASE WHEN a.n + 1 + x.n <= {width} OR len(a.l) >= {lines}
@@ -204,6 +251,21 @@ i AS (SELECT post_id, list_filter([
   CASE WHEN platform = 'youtube' AND title > 100 THEN {{'code': 'TITLE_TOO_LONG', 'severity': 'error', 'detail': title::VARCHAR}} END, CASE WHEN platform = 'youtube' THEN {{'code': 'QUOTA_COST', 'severity': 'warn', 'detail': 'an upload takes 1600 of 10000 units a day'}} END,
   CASE WHEN platform = 'tiktok' THEN {{'code': 'TIKTOK_UNAUDITED', 'severity': 'warn', 'detail': 'private until the app is reviewed'}} END], lambda z: z IS NOT NULL) AS issues FROM n)
 SELECT post_id, (unnest(range(len(issues))))::INTEGER AS at_, unnest(issues).code AS code, unnest(issues).severity AS severity, unnest(issues).detail AS detail FROM i""".replace("at_,", '"at",'),
+    "copy_gates": f"""WITH {_COPIES}, n AS (SELECT *, lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'), ' ')) AS q, len(list_filter(string_split(lower(trim(regexp_replace(quote, '\\s+', ' ', 'g'), ' ')), ' '), lambda w: w <> '')) AS words,
+  contains(regexp_replace(text, '[^0-9]', '', 'g'), '987654') AS cited, length(CASE WHEN platform = 'x' THEN regexp_replace(body, 'https?://\\S+', repeat('x', 23), 'g') ELSE body END) AS length, trim(en) AS e FROM c),
+l(platform, most, low, high) AS (VALUES ('linkedin', 3000, 3, 5), ('instagram', 2200, 8, 12), ('x', 256, 1, 2), ('tiktok', 2200, 3, 5), ('youtube', 5000, 3, 4)),
+i AS (SELECT clip_id, platform, list_filter([
+  CASE WHEN words < 6 THEN {{'code': 'EVIDENCE_TOO_SHORT', 'severity': 'error', 'detail': words || ' words'}} END, CASE WHEN words >= 6 AND NOT contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')), q) THEN {{'code': 'EVIDENCE_NOT_IN_TRANSCRIPT', 'severity': 'error', 'detail': substr(quote, 1, 60)}} END,
+  CASE WHEN number AND NOT cited THEN {{'code': 'NUMBER_HALLUCINATION', 'severity': 'error', 'detail': '987.654, 987654'}} END, CASE WHEN length > most THEN {{'code': 'LEN_OVER', 'severity': 'error', 'detail': length || ' > ' || most}} END,
+  CASE WHEN platform IN ('linkedin', 'x', 'youtube') AND contains(body, 'http') THEN {{'code': 'LINK_IN_BODY', 'severity': 'error', 'detail': 'the link is appended later'}} END, CASE WHEN tags NOT BETWEEN low AND high THEN {{'code': 'HASHTAG_COUNT', 'severity': 'warn', 'detail': tags::VARCHAR}} END,
+  CASE WHEN contains(lower(body), 'secret') THEN {{'code': 'BANNED_PHRASE', 'severity': 'error', 'detail': 'secret'}} END, CASE WHEN e <> '' AND length(e) > 3000 THEN {{'code': 'EN_LEN_OVER', 'severity': 'error', 'detail': length(e) || ' > 3000'}} END,
+  CASE WHEN e <> '' AND contains(e, 'http') THEN {{'code': 'EN_LINK_IN_BODY', 'severity': 'error', 'detail': 'the link is appended later'}} END, CASE WHEN e <> '' AND contains(lower(e), 'secret') THEN {{'code': 'EN_BANNED_PHRASE', 'severity': 'error', 'detail': 'secret'}} END], lambda z: z IS NOT NULL) AS issues FROM n JOIN l USING (platform))
+SELECT clip_id, platform, (unnest(range(len(issues))))::INTEGER AS "at", unnest(issues).code AS code, unnest(issues).severity AS severity, unnest(issues).detail AS detail FROM i""",
+    "bilingual_posts": f"""WITH {_COPIES} SELECT clip_id, platform, 'tr' AS lang, md5(body) AS body, tags FROM c UNION ALL SELECT clip_id, platform, 'en', md5(trim(en)), tags FROM c WHERE platform = 'linkedin' AND trim(coalesce(en, '')) <> ''""",
+    "observed_slots": f"""WITH {v.POSTS}, {_SLOTS}, o AS (SELECT sp.platform, isodow(sp.now) - 1 AS weekday, ([8, 12, 20, 9, 21, 19, 18, 10])[sp.post_id % 8 + 1] AS hour, round(avg(posts.total) / 1000) / 1000 AS lift, count(*) AS n FROM sp JOIN posts ON posts.post_id = sp.post_id GROUP BY ALL)
+SELECT post_id, day::INTEGER AS day, rule, slot::TIMESTAMP AS slot, round(weight + CASE {_BONUS} ELSE 0 END - day * 0.02::DOUBLE + coalesce(lift * n / (n + 20), 0), 4) AS score
+FROM c LEFT JOIN o ON o.platform = c.platform AND o.weekday = isodow(slot) - 1 AND o.hour = hour(slot) WHERE list_contains(weekdays, isodow(slot) - 1) AND slot > c.now + INTERVAL 30 MINUTE""",
+    "repaired_answers": """SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN NULL ELSE '{"id": ' || doc_id || ', "lang": "' || coalesce(lang, '') || '"}' END AS repaired, CASE WHEN doc_id % 5 <> 4 THEN coalesce(lang, '') END AS lang FROM documents WHERE doc_id IS NOT NULL""",
     "crops": """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 3 > 0 AS face, l_partkey % 900 AS fx, l_suppkey % 800 AS fy, l_quantity::DOUBLE + 40 AS fw, l_quantity::DOUBLE + 60 AS fh, CASE WHEN l_orderkey % 2 = 0 THEN 9 / 16.0::DOUBLE ELSE 16 / 9.0::DOUBLE END AS target,
   CASE WHEN l_linenumber % 2 = 0 THEN 1920 ELSE 1080 END AS width, CASE WHEN l_linenumber % 2 = 0 THEN 1080 ELSE 1920 END AS height, l_quantity::DOUBLE / 8 AS c1, l_extendedprice::DOUBLE / 1000 AS c2 FROM lineitem),
 s AS (SELECT *, CASE WHEN target <= width / height THEN height ELSE least(height, round_even(width / target, 0))::BIGINT END AS h, CASE WHEN target <= width / height THEN least(width, round_even(height * target, 0))::BIGINT ELSE width END AS w FROM f)
