@@ -312,7 +312,7 @@ def core_context_text(s, d):
 def adjacent_pairs(s, d):
     w = Window.partitionBy("doc_id").orderBy("pos")
     t = v.words(s, d).select("doc_id", "w", F.lead("w").over(w).alias("next"))
-    return t.where("next is not null").groupBy("w", "next").agg(F.count("*").alias("n")).where("n >= 5")
+    return t.where("next is not null").groupBy("w", "next").agg(F.count("*").alias("n"))
 
 
 def votes_first(s, d):
@@ -459,7 +459,7 @@ SELECT a.doc_id, a.line AS first, b.line AS last, a.start, b."end" FROM u a JOIN
     "range_slice_words": f"""{_W} SELECT doc_id, pos, round(greatest(0.0::DOUBLE, start - 5), 3) AS start, round("end" - 5, 3) AS "end" FROM words WHERE "end" > 4.99 AND start < 9.01""",
     "core_context_text": f"""{_W}, {_BOUND}, r AS (SELECT *, coalesce(lead(word_index) OVER (PARTITION BY doc_id ORDER BY word_index), word_index + 1000000000) AS until FROM b)
 SELECT r.doc_id, r.id::BIGINT AS id, CASE WHEN min(r.t) < 30 THEN 'core' ELSE 'context' END AS part, left(string_agg(w, ' ' ORDER BY pos), 160) AS text FROM words JOIN r USING (doc_id) WHERE pos >= word_index AND pos < until GROUP BY 1, 2""",
-    "adjacent_pairs": f"{_W} SELECT w, next, count(*) AS n FROM (SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM words) WHERE next IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5",
+    "adjacent_pairs": f"{_W} SELECT w, next, count(*) AS n FROM (SELECT w, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM words) WHERE next IS NOT NULL GROUP BY 1, 2",
     "votes_first": "SELECT role AS speaker, count(*) AS votes, first(length(text) ORDER BY turn, conv_id, text)::BIGINT AS first_length FROM conversations GROUP BY role",
     "cum_alloc": f"{_SENT} SELECT doc_id, line, round(60 * (sum(length(text)) OVER (PARTITION BY doc_id ORDER BY line) / nullif(sum(length(text)) OVER (PARTITION BY doc_id), 0)), 5) AS until FROM sentences",
     "systematic_sample": f"{_SENT} SELECT doc_id, line FROM sentences WHERE line % 3 = 0",

@@ -106,7 +106,7 @@ def interval_conflicts(s, d):
 def range_words(s, d):
     """Words of each line's time on the words' clock: an equi-join by document and slice of time with the range as residue."""
     w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    lines = v.sentences(s, d).withColumn("last", F.sum(F.size("tokens")).over(w)).withColumn("from", F.round(0.3 * (F.col("last") - F.size("tokens")), 3)).withColumn("to", F.round(F.col("from") + 6, 3)).select("doc_id", "line", "from", "to")
+    lines = v.sentences(s, d).withColumn("last", F.sum(F.size("tokens")).over(w)).withColumn("from", F.round(0.3 * (F.col("last") - F.size("tokens")), 3)).withColumn("to", F.round(0.3 * F.col("last"), 3)).select("doc_id", "line", "from", "to")
     lines = lines.withColumn("part", F.explode(F.sequence(F.floor((F.col("from") - 0.3) / 6), F.floor((F.col("to") + 0.01) / 6))))
     j = v.words(s, d).withColumn("part", F.floor(F.col("start") / 6)).join(lines, ["doc_id", "part"]).where("end > `from` - 0.01 and start < `to` + 0.01")
     return j.groupBy("doc_id", "line").agg(F.count("*").alias("n"))
@@ -258,8 +258,8 @@ SELECT video, post_id, clip_id, platform, pick.rule AS rule, due AS slot, pick.s
   (floor(1080 * 9 / 16 / 2 + completion_rate * 100) * 2)::BIGINT AS even_width FROM metrics""",
     "interval_conflicts": f"""{_I} , chosen AS (SELECT * FROM intervals QUALIFY row_number() OVER (PARTITION BY video, floor(start / 3600) ORDER BY score DESC, event_id DESC) = 1)
 SELECT event_id, video FROM intervals i WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.video = i.video AND i.start < c."end" + 5 AND c.start < i."end" + 5)""",
-    "range_words": f"""WITH {v.WORDS}, {v.SENTENCES}, l AS (SELECT doc_id, line, round(0.3::DOUBLE * (sum(len(tokens)) OVER (PARTITION BY doc_id ORDER BY line) - len(tokens)), 3) AS f FROM sentences), p AS (SELECT doc_id, line, f, unnest(range(floor((f - 0.3) / 6)::BIGINT, floor((f + 6.01) / 6)::BIGINT + 1)) AS part FROM l)
-SELECT doc_id, line, count(*) AS n FROM (SELECT *, floor(start / 6)::BIGINT AS part FROM words) JOIN p USING (doc_id, part) WHERE "end" > f - 0.01 AND start < round(f + 6, 3) + 0.01 GROUP BY 1, 2""",
+    "range_words": f"""WITH {v.WORDS}, {v.SENTENCES}, l AS (SELECT doc_id, line, round(0.3::DOUBLE * (sum(len(tokens)) OVER (PARTITION BY doc_id ORDER BY line) - len(tokens)), 3) AS f, round(0.3::DOUBLE * sum(len(tokens)) OVER (PARTITION BY doc_id ORDER BY line), 3) AS u FROM sentences), p AS (SELECT doc_id, line, f, u, unnest(range(floor((f - 0.3) / 6)::BIGINT, floor((u + 0.01) / 6)::BIGINT + 1)) AS part FROM l)
+SELECT doc_id, line, count(*) AS n FROM (SELECT *, floor(start / 6)::BIGINT AS part FROM words) JOIN p USING (doc_id, part) WHERE "end" > f - 0.01 AND start < u + 0.01 GROUP BY 1, 2""",
     "nearest_energy": f"""{_SA}, r AS (SELECT user_id, t, max(x) AS x FROM samples WHERE cut = 0 AND x IS NOT NULL GROUP BY 1, 2), l AS (SELECT * FROM samples WHERE cut = 1),
 a AS (SELECT l.event_id, l.t AS t, l.user_id, r.t AS a_t, r.x AS ax FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.t >= r.t), b AS (SELECT a.*, r.t AS b_t, r.x AS bx FROM a ASOF LEFT JOIN r ON a.user_id = r.user_id AND a.t <= r.t)
 SELECT event_id, CASE WHEN b_t IS NULL OR t - a_t <= b_t - t THEN ax ELSE bx END AS x FROM b""",
