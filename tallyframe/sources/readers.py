@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import wave
 
 import numpy as np
@@ -83,6 +84,43 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return kept.select("row.*")
 
 
+def _leaves(value: object, key: str = "") -> list[tuple[str, str]]:
+    """(dotted key, JSON text) of a document's leaves; empty objects and lists are leaves."""
+    if isinstance(value, dict) and value or isinstance(value, list) and value:
+        items = value.items() if isinstance(value, dict) else enumerate(value)
+        return [x for k, v in items for x in _leaves(v, f"{key}.{k}" if key else str(k))]
+    return [(key, json.dumps(value, ensure_ascii=False, default=str))]
+
+
+def _document(path: str, text: str) -> object:
+    if not path.endswith((".yaml", ".yml")):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError("no YAML reader is installed") from e
+    return yaml.safe_load(text)
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, key, value, error): the leaves of settings documents, JSON, or YAML where a reader for it is
+    installed. Keys are joined by dots, places in lists are numbers, values are JSON text. A document that
+    cannot be read is one row with the reason, and an empty one has a single leaf without a key."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for file, text in zip(pdf.file, pdf.value, strict=True):
+                try:
+                    out += [(file, k, v, None) for k, v in _leaves(_document(file, text))]
+                except Exception as e:  # noqa: BLE001, any reader's own error
+                    out.append((file, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["file", "key", "value", "error"])
+
+    docs = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
+    return docs.mapInPandas(run, "file string, key string, value string, error string")
+
+
 def captions(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of WebVTT files: headers, cues and tags dropped, lines joined in order."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("l"))

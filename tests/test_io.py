@@ -137,3 +137,13 @@ def test_cover_document(spark):
 
     text = spark.range(1).select(docs.cover_document(F.lit("on dört binin üzerinde kişi bunu hiç bilmiyor ve ödüyor"))).first()[0]
     assert text.count("\\N") == 2 and "ÖDÜYOR" not in text and text.endswith("\n") and "{\\pos(540,1420)}ON DÖRT" in text
+
+
+def test_settings_are_leaves(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"select": {"k": 3, "gap": [1.5, {"s": "ş"}]}, "none": {}, "off": None}, ensure_ascii=False))
+    (tmp_path / "b.json").write_text("{broken")
+    (tmp_path / "c.yaml").write_text("a: 1")
+    got = {(r.file, r.key): r.value for r in readers.settings(spark, str(tmp_path)).where("error is null").collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "a.json"} == {"select.k": "3", "select.gap.0": "1.5", "select.gap.1.s": '"ş"', "none": "{}", "off": "null"}
+    errors = {r.file: r.error for r in readers.settings(spark, str(tmp_path)).where("error is not null").collect()}
+    assert errors["b.json"].startswith("JSONDecodeError") and (got.get(("c.yaml", "a")) == "1" or "YAML" in errors["c.yaml"])
