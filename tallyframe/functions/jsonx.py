@@ -12,6 +12,8 @@ from pyspark.sql.types import StringType
 
 #: Curly quotes and what they stand for.
 QUOTES = str.maketrans({"“": '"', "”": '"', "„": '"', "‘": "'", "’": "'"})
+#: Patterns of a comma before a closing bracket, and of names that are no JSON.
+TRAILING, FOREIGN = r",\s*([}\]])", r"\bNaN\b|\bNone\b"
 STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 
 
@@ -53,7 +55,7 @@ def repaired(text: str | None) -> str | None:
     if text is None:
         return None
     bare = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", text.strip())
-    for step in (lambda t: t, lambda t: outer_block(t) or t, lambda t: re.sub(r"\bNaN\b|\bNone\b", "null", re.sub(r",\s*([}\]])", r"\1", t.translate(QUOTES))), quoted_inside):
+    for step in (lambda t: t, lambda t: outer_block(t) or t, lambda t: re.sub(FOREIGN, "null", re.sub(TRAILING, r"\1", t.translate(QUOTES))), quoted_inside):
         bare = step(bare)
         if _parses(bare):
             return bare

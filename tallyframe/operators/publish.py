@@ -150,9 +150,13 @@ def platform_plan(rows: DataFrame) -> DataFrame:
     return rows.select("post_id", F.posexplode(plan).alias("at", "c")).select("post_id", (F.col("at") + 1).alias("seq"), "c.*")
 
 
+#: Headers that carry credentials, in lower case.
+SECRET_HEADERS = ("authorization", "x-api-key", "profile-key", "cookie")
+
+
 def redacted(headers: Column) -> Column:
     """Header values that carry credentials, hidden; the Bearer scheme stays."""
-    secret = lambda k: F.lower(k).isin("authorization", "x-api-key", "profile-key", "cookie")
+    secret = lambda k: F.lower(k).isin(*SECRET_HEADERS)
     return F.transform_values(headers, lambda k, v: F.when(secret(k) & v.startswith("Bearer "), "Bearer [REDACTED]").when(secret(k), "[REDACTED]").otherwise(v))
 
 
