@@ -139,19 +139,24 @@ def opening_windows(units: DataFrame, found: DataFrame, by: str, min_s: float, m
     return j.select(by, "first", "last", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round(fraction, 3).alias("fraction"), F.round(score, 2).alias("score"))
 
 
-def candidate_runs(units: DataFrame, by: str, min_s: float, max_s: float) -> DataFrame:
-    """All runs of adjacent units whose span lies in [min_s, max_s]: (by, first, last, start, end, text).
+def candidate_runs(units: DataFrame, by: str, min_s: float, max_s: float, text: bool = True) -> DataFrame:
+    """All runs of adjacent units whose span lies in [min_s, max_s]: (by, first, last, start, end, and text).
 
     A run is found from its first unit's row and the units that start within max_s of it, however
-    many they are, so nothing is joined.
+    many they are. Only their numbers and times are carried; the texts of the runs found are joined last,
+    and not at all without `text`.
     """
     w = Window.partitionBy(by).orderBy(F.floor(F.col("start") * 1000)).rangeBetween(0, int(max_s * 1000) + 1)
-    near = F.filter(F.array_sort(F.collect_list(F.struct("unit", "start", "end", "text")).over(w)), lambda x: x["unit"] >= F.col("unit"))
-    ahead = units.withColumn("ahead", near)
-    runs = F.filter(F.transform(F.sequence(F.lit(1), F.size("ahead")), lambda n: F.slice("ahead", 1, n)), lambda r: F.round(F.get(r, F.size(r) - 1)["end"] - r[0]["start"], 6).between(min_s, max_s))
-    out = ahead.select(by, F.explode(runs).alias("r"))
-    last = F.get("r", F.size("r") - 1)
-    return out.select(by, F.col("r")[0]["unit"].alias("first"), last["unit"].alias("last"), F.col("r")[0]["start"].alias("start"), last["end"].alias("end"), F.array_join(F.transform("r", lambda x: x["text"]), " ").alias("text"))
+    near = F.filter(F.array_sort(F.collect_list(F.struct("unit", "start", "end")).over(w)), lambda x: x["unit"] >= F.col("unit"))
+    last = F.filter(F.col("ahead"), lambda x: F.round(x["end"] - F.col("start"), 6).between(min_s, max_s))
+    runs = units.select(by, "unit", "start", near.alias("ahead")).select(by, F.col("unit").alias("first"), "start", F.explode(last).alias("x"))
+    runs = runs.select(by, "first", F.col("x.unit").alias("last"), "start", F.col("x.end").alias("end"))
+    if not text:
+        return runs
+    own = units.select(F.col(by).alias("_by"), F.col("unit").alias("_unit"), "text")
+    each = runs.withColumn("_at", F.explode(F.sequence("first", "last"))).join(own, (F.col(by) == F.col("_by")) & (F.col("_at") == F.col("_unit")))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_unit", "text"))), lambda x: x["text"]), " ")
+    return each.groupBy(by, "first", "last", "start", "end").agg(said.alias("text"))
 
 
 def fill_from_pauses(marks: DataFrame, failed: DataFrame, by: str, every_s: float = 90.0) -> DataFrame:

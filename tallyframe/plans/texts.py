@@ -290,7 +290,7 @@ def candidate_runs(s, d):
     u = v.sentences(s, d).withColumn("n", F.size("tokens"))
     w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("end", F.round(F.sum("n").over(w) * 0.3, 3)).withColumn("start", F.round(F.col("end") - F.col("n") * 0.3, 3)).withColumnRenamed("line", "unit")
-    return seg.candidate_runs(u, "doc_id", 10.0, 60.0).select("doc_id", "first", "last", "start", "end")
+    return seg.candidate_runs(u, "doc_id", 10.0, 60.0, text=False).select("doc_id", "first", "last", "start", "end")
 
 
 def range_slice_words(s, d):

@@ -409,3 +409,12 @@ def test_a_run_is_counted_by_its_writes(spark, tmp_path):
     df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 1)], "video_id string, title string, at int").mapInArrow(touched, "video_id string, title string, at int")
     assert writers.record_run({"videos": (df, "at"), "clips": (spark.createDataFrame([], "clip_id string, at int"), "at")}, str(tmp_path)) == {"videos": 3, "clips": 0}
     assert tries.value == 3  # each input is worked out once
+
+
+def test_candidate_runs_carry_their_texts(spark):
+    units = [("a", 0, 0.0, 6.0, "one"), ("a", 1, 6.0, 9.0, None), ("a", 2, 9.0, 15.0, "three"), ("a", 3, 30.0, 45.0, "four"), ("b", 0, 0.0, 12.0, "own"), (None, 0, 0.0, 12.0, "none")]
+    df = spark.createDataFrame(units, "g string, unit long, start double, end double, text string")
+    want = sorted((g, a, z, " ".join(t for *_, t in run if t)) for g in "ab" for a in range(4) for z in range(a, 4) if (run := [u for u in units if u[0] == g and a <= u[1] <= z]) and len(run) == z - a + 1 and 8 <= run[-1][3] - run[0][2] <= 16)
+    got = segments.candidate_runs(df, "g", 8.0, 16.0).collect()
+    assert sorted((r.g, r.first, r.last, r.text) for r in got) == want
+    assert sorted((r.g or "", r.first, r.last) for r in segments.candidate_runs(df, "g", 8.0, 16.0, text=False).where("g is not null").collect()) == [x[:3] for x in want]
