@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from tallyframe.plans import catalogue
+from tallyframe.plans import catalogue, texts
 from tallyframe.plans import views as v
 
 #: Queries, and how many exchanges their plans may have where every id stands once.
-EXCHANGES = {"caption_files": 0}
+EXCHANGES = {"caption_files": 0, "dice_agreement": 1}
 LONG = " ".join(f"word{i} yıl_{i}, i" for i in range(40))
 DOCS = [(1, LONG), (2, "one two three\nfour five six\nfour five six"), (3, None), (4, " "), (5, "extraordinarily-longish-word " * 9), (6, LONG), (8, "ııı iii\n\n" + LONG)]
 
@@ -31,9 +31,19 @@ def test_documents_stay_in_their_rows(spark, compare, tmp_path, name):
     assert got == wanted
 
 
-@pytest.mark.parametrize("name", EXCHANGES)
+@pytest.mark.parametrize("name", [*(x for x in EXCHANGES if x != "dice_agreement"), "pairwise_jaccard"])
 def test_rows_of_one_id_count_as_one_document(spark, tmp_path, monkeypatch, name):
     d = folder(spark, tmp_path, [*DOCS, (2, "one two three\nfour five six\nfour five six"), (None, "alone i"), (None, "alone i")])
     got = result(spark, name, d)
     monkeypatch.setattr(v, "by_row", lambda docs, own, shared: shared(docs))
     assert got == result(spark, name, d)
+
+
+def test_lines_of_a_row_meet_there(spark, compare, tmp_path, monkeypatch):
+    d = folder(spark, tmp_path, DOCS)
+    near = texts.similar_lines(v.table(spark, d, "documents").where("text is not null"))
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    for most in (256, 1):  # within rows; by rare words
+        monkeypatch.setattr(texts, "ROW_LINES", most)
+        got, wanted = compare(texts.pairwise_jaccard, texts.SQL["pairwise_jaccard"], d)
+        assert got == wanted and got
