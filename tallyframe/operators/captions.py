@@ -20,13 +20,11 @@ def wrap(words: Column, width: int, lines: int) -> Column:
 
 
 def wrap_cut(words: Column, width: int, lines: int) -> Column:
-    """Array of the first `lines` lines of the same filling: a cover's title, what doesn't fit goes."""
-
-    def step(acc: Column, w: Column) -> Column:
-        joined = F.concat(F.get(acc, F.size(acc) - 1), F.lit(" "), w)
-        return F.when((F.size(acc) > 0) & (F.length(joined) <= width), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.array_append(acc, w))
-
-    return F.slice(F.aggregate(words, F.array().cast("array<string>"), step), 1, lines)
+    """Array of the first `lines` lines of the same filling: a cover's title, what doesn't fit goes. The words have no
+    blanks, so a line is what a pattern takes: the most up to the width that ends with a word, or one longer word."""
+    line = rf"(?:[^ ].{{0,{width - 1}}}(?= |$)|[^ ]+)"
+    top = F.regexp_extract(F.array_join(words, " "), rf"(?s)^{line}(?: {line}){{0,{lines - 1}}}", 0)
+    return F.regexp_extract_all(top, F.lit(f"(?s){line}"), 0)
 
 
 def timestamp(seconds: Column) -> Column:
