@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,13 +36,20 @@ def _by(platform: Column, values: dict) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, v))), platform)
 
 
+def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f reads it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def missing_numbers(cited: Column, clip: Column) -> Column:
-    """The cited numbers that the clip gives neither in digits nor in words."""
-    digits = F.regexp_replace(clip, "[^0-9]", "")
-    spelled = tx.spelled_numbers(clip)
-    tokens = F.regexp_extract_all(F.coalesce(cited, F.lit("")), F.lit("[0-9][0-9.,]*"), 0)
+    """The cited numbers that the clip gives neither in digits nor in words: the clip is read once for all of them,
+    and its words only where digits don't do."""
     bare = lambda t: F.regexp_replace(t, "[^0-9]", "")
-    return F.filter(tokens, lambda t: ~digits.contains(bare(t)) & ~F.array_contains(spelled, F.coalesce(bare(t).try_cast("bigint"), F.lit(-1).cast("bigint"))))
+    tokens = F.regexp_extract_all(F.coalesce(cited, F.lit("")), F.lit("[0-9][0-9.,]*"), 0)
+    spelled = lambda left: _let(tx.spelled_numbers(clip), lambda s: F.filter(left, lambda t: ~F.array_contains(s, F.coalesce(bare(t).try_cast("bigint"), F.lit(-1).cast("bigint")))))
+    left = _let(bare(clip), lambda digits: F.filter(tokens, lambda t: ~digits.contains(bare(t))))
+    found = _let(left, lambda x: F.when(F.size(x) > 0, spelled(x)).otherwise(x))
+    return F.when(F.size(tokens) > 0, found).otherwise(tokens)
 
 
 def validate_copy(rows: DataFrame, banned: tuple[str, ...] = ()) -> DataFrame:
@@ -53,7 +61,8 @@ def validate_copy(rows: DataFrame, banned: tuple[str, ...] = ()) -> DataFrame:
     words = F.size(F.filter(F.split(quote, " "), lambda w: w != ""))
     most, low, high = _by(platform, {k: v[0] - v[1] for k, v in SPECS.items()}), _by(platform, {k: v[2] for k, v in SPECS.items()}), _by(platform, {k: v[3] for k, v in SPECS.items()})
     length = F.length(F.when(platform == "x", tx.urls_as_23(F.col("body"))).otherwise(F.col("body")))
-    gone, tags = missing_numbers(F.col("key_number"), F.col("clip_text")), F.size("hashtags")
+    rows = rows.withColumn("_gone", missing_numbers(F.col("key_number"), F.col("clip_text")))  # read twice below
+    gone, tags = F.col("_gone"), F.size("hashtags")
     found = present(
         issue(words < 6, "EVIDENCE_TOO_SHORT", "error", F.concat(words.cast("string"), F.lit(" words"))),
         issue((words >= 6) & ~tx.norm_ws(F.col("clip_text")).contains(quote), "EVIDENCE_NOT_IN_TRANSCRIPT", "error", F.substring("evidence_quote", 1, 60)),
