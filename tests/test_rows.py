@@ -8,7 +8,7 @@ from tallyframe.plans import catalogue, texts
 from tallyframe.plans import views as v
 
 #: Queries, and how many exchanges their plans may have where every id stands once.
-EXCHANGES = {"caption_files": 0, "dice_agreement": 1}
+EXCHANGES = {"caption_files": 0, "dice_agreement": 1, "chunk6": 0, "core_context_text": 1, "sentence_boundaries": 1, "overlap_windows": 1}
 LONG = " ".join(f"word{i} yıl_{i}, i" for i in range(40))
 DOCS = [(1, LONG), (2, "one two three\nfour five six\nfour five six"), (3, None), (4, " "), (5, "extraordinarily-longish-word " * 9), (6, LONG), (8, "ııı iii\n\n" + LONG)]
 
@@ -47,3 +47,11 @@ def test_lines_of_a_row_meet_there(spark, compare, tmp_path, monkeypatch):
         monkeypatch.setattr(texts, "ROW_LINES", most)
         got, wanted = compare(texts.pairwise_jaccard, texts.SQL["pairwise_jaccard"], d)
         assert got == wanted and got
+
+
+def test_terms_are_counted_once(spark, compare, tmp_path):
+    rows = [*DOCS, (7, " ".join(f"t{i}" for i in range(70, 0, -1))), (2, "three two"), (None, "nobody nobody")]
+    d = folder(spark, tmp_path, rows)
+    assert "w" not in [f.name for f in texts.term_freq_top(spark, d).schema]
+    got, wanted = compare(texts.term_freq_top, texts.SQL["term_freq_top"], d)
+    assert got == wanted and len(got) == 50
