@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], Iterable[tuple]], end: Callable[[object], Iterable[tuple]], schema: str) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], Iterable[tuple]], end: Callable[[object], Iterable[tuple]], schema: str, sorted_rows: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """For each group, in order: step(state, row) for its rows, then end(state); what they give are the
-    result's rows. Groups are dealt out by key and sorted by Spark, so a task holds a batch and a state.
+    result's rows. Groups are dealt out by key and sorted by Spark, so a task holds a batch and a state. sorted_rows adds, row by row, what the sort need not carry.
 
     Nulls in keys form groups of their own, first in order as Spark sorts them; no rows give none.
     """
@@ -33,7 +33,7 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[
 
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
     first = rows.select(*keys, *(c for c in rows.columns if c not in keys))
-    return first.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return sorted_rows(first.repartition(*keys).sortWithinPartitions(*keys, *order)).mapInPandas(run, schema)
 
 
 def cut_islands(rows: DataFrame, by: str, at: Column, gap: float, name: str = "island") -> DataFrame:

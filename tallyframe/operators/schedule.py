@@ -305,9 +305,10 @@ def plan_slots(posts: DataFrame, by: str, clip: str, days: int = 7) -> DataFrame
         rule, at, score, notes = state.choose(platform, own, list(slots), int(jitter))
         yield video, post, own, platform, rule, at, score, ",".join(notes)
 
-    placed = cut_islands(rows.where(ready).drop("hook_type"), by, F.unix_seconds(F.col("now").cast("timestamp")) / 86400.0, days + 2.0)
-    placed = placed.select(by, "island", "post_id", clip, "platform", "slots", "jitter")
-    done = folded(placed, [by, "island"], ["post_id", clip], Planned, step, lambda _: (), schema)
+    placed = cut_islands(rows.where(ready).drop("slots"), by, F.unix_seconds(F.col("now").cast("timestamp")) / 86400.0, days + 2.0)
+    placed = placed.select(by, "island", "post_id", clip, "platform", "hook_type", "now", "jitter")
+    own = lambda x: x.select(by, "island", "post_id", clip, "platform", slots.alias("slots"), "jitter")  # noqa: E731  a video is one sort: of bare posts, not of their slots
+    done = folded(placed, [by, "island"], ["post_id", clip], Planned, step, lambda _: (), schema, own)
     none = rows.where(~F.coalesce(ready, F.lit(False)))
     at = F.date_trunc("day", F.timestamp_add("DAY", F.lit(1), F.col("now"))) + F.expr("INTERVAL 9 HOURS")
     none = none.select(by, "post_id", clip, "platform", F.lit("FALLBACK").alias("rule"), minute(at).alias("minute"), F.lit(0.0).alias("score"), F.lit(NO_RULE).alias("constraints"))

@@ -120,3 +120,11 @@ def test_responses_merge_by_precedence(spark):
     assert got["q", "w1"].errors == [] and got["q", "w1"].n_measured == 0
     assert got["r", "w1"].errors == ["core: not JSON"]
     assert got["s", "w1"].views == 4 and got["s", "w1"].shares is None
+
+
+def test_slots_are_not_sorted(spark):
+    """A video is one sort: posts are sorted bare, their slots are worked out behind it."""
+    plan = sch.plan_slots(spark.createDataFrame([], POSTS), "video", "clip")._jdf.queryExecution().optimizedPlan().toString()
+    sort = next(i for i, line in enumerate(plan.splitlines()) if "Sort [video" in line)
+    shuffled = next(line for line in plan.splitlines()[sort:] if "Project [video" in line)
+    assert "slots" not in shuffled
