@@ -418,3 +418,13 @@ def test_candidate_runs_carry_their_texts(spark):
     got = segments.candidate_runs(df, "g", 8.0, 16.0).collect()
     assert sorted((r.g, r.first, r.last, r.text) for r in got) == want
     assert sorted((r.g or "", r.first, r.last) for r in segments.candidate_runs(df, "g", 8.0, 16.0, text=False).where("g is not null").collect()) == [x[:3] for x in want]
+
+
+def test_covers_are_cut_by_a_pattern(spark):
+    """Words of any length, exact fits, and no fold over the words."""
+    from tallyframe.operators import captions
+
+    rows = spark.createDataFrame([(["seven77", "a", "bc"],), (["1234", "67", "9"],), (["longerthanseven", "x"],), (["a"] * 30,), ([],)], "w array<string>")
+    cut = rows.select(captions.wrap_cut(F.col("w"), 7, 2).alias("l"))
+    assert [r.l for r in cut.collect()] == [["seven77", "a bc"], ["1234 67", "9"], ["longerthanseven", "x"], ["a a a a", "a a a a"], []]
+    assert "aggregate(" not in cut._jdf.queryExecution().optimizedPlan().toString()
