@@ -149,11 +149,12 @@ def interpolate(curve: Column, at: Column, clamp_low: bool = True) -> Column:
     """y at a position of a curve of (x, y) sorted by x. Past the end, and before the start unless
     clamp_low, it is the last y; before the start with clamp_low the first."""
     pairs = F.zip_with(F.slice(curve, 1, F.size(curve) - 1), F.slice(curve, 2, F.size(curve) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    hit = F.get(F.filter(pairs, lambda p: (p["a"]["x"] <= at) & (at <= p["b"]["x"])), F.lit(0))
-    span = hit["b"]["x"] - hit["a"]["x"]
-    inside = F.when(span == 0, hit["a"]["y"]).otherwise(hit["a"]["y"] + (at - hit["a"]["x"]) / F.nullif(span, F.lit(0.0)) * (hit["b"]["y"] - hit["a"]["y"]))
+    span = lambda p: p["b"]["x"] - p["a"]["x"]
+    inside = lambda p: F.when(span(p) == 0, p["a"]["y"]).otherwise(p["a"]["y"] + (at - p["a"]["x"]) / F.nullif(span(p), F.lit(0.0)) * (p["b"]["y"] - p["a"]["y"]))
+    # the pairs are searched once, however often the one found is used
+    hit = F.get(F.transform(F.filter(pairs, lambda p: (p["a"]["x"] <= at) & (at <= p["b"]["x"])), lambda p: F.struct(inside(p).alias("y"))), F.lit(0))
     last, first = F.get(curve, F.size(curve) - 1)["y"], F.get(curve, F.lit(0))
-    out = F.when(hit.isNotNull(), inside).otherwise(last)
+    out = F.coalesce(hit, F.struct(last.alias("y")))["y"]
     return F.when(F.lit(clamp_low) & (at <= first["x"]), first["y"]).otherwise(out)
 
 

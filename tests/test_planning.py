@@ -128,3 +128,10 @@ def test_slots_are_not_sorted(spark):
     sort = next(i for i, line in enumerate(plan.splitlines()) if "Sort [video" in line)
     shuffled = next(line for line in plan.splitlines()[sort:] if "Project [video" in line)
     assert "slots" not in shuffled
+
+
+def test_answers_are_read_once(spark):
+    from tallyframe.plans import collecting
+
+    plan = collecting.metric_responses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == plan.count("Relation [") == 1
