@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, join_by_key, stored
+from .common import ASCII_SPACE, TEXTS, join_by_key, stored
 
 PRIMES = (2147483647, 2147483629)
 POINTS = (1000003, 1299709)
@@ -137,7 +137,7 @@ def exact_dedup(docs: DataFrame, chunk: int = CHUNK, primes=PRIMES) -> DataFrame
     broadcast. The texts that share a fingerprint move once by id and once by group, a large group's
     dealt over one copy of its chosen text for each BESIDE members.
     """
-    rows, part = stored(fingerprints(docs, chunk, primes).withColumn("part", F.lit(0))), 0
+    rows, part = stored(fingerprints(docs, chunk, primes).withColumn("part", F.lit(0)), TEXTS), 0
     while True:
         best = F.min_by(F.struct("doc_id", "xx"), F.struct(-F.col("n_cp"), F.col("doc_id").isNull(), "doc_id", "xx"))
         groups = stored(rows.groupBy(*KEY).agg(F.count("*").alias("group_size"), best.alias("best")).select(*KEY, "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.xx").alias("keep_xx")))

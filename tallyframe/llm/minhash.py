@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_by_key, stored
+from .common import TEXTS, components, join_by_key, stored
 from .shingles import shared, shingle_set
 
 BANDS, ROWS = 48, 6
@@ -310,7 +310,7 @@ def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def minhash_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash: a row per input row."""
-    feats = stored(described(docs))
+    feats = stored(described(docs), TEXTS)
     named = _identified(docs)
     usable = feats.where("digest is not null and doc_id is not null")
     low = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("low")
@@ -328,14 +328,14 @@ def minhash_dedup(docs: DataFrame) -> DataFrame:
     own = shown.join(wanted, "id", "left_semi").withColumnRenamed("id", "class")
     texts = named.join(own, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select(F.col("class").alias("doc_id"), "text")
     texts = stored(texts)
-    links = stored(verified(pruned(star, sigs), texts))
+    links = stored(verified(pruned(star, sigs), texts), TEXTS)
     labels = stored(components(links))
     m = members.where("n > 2").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
     m = stored(m)
     mains = m.groupBy(F.col("key").alias("k")).agg(F.min_by("comp", "id").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k", "main")
     mixed = stored(m.join(mains, F.col("key") == F.col("k")).select("key", "id", "comp", "main"))
     if not mixed.isEmpty():
-        found = stored(main_links(mixed, labels, sigs, texts).union(outside_links(mixed, sigs, texts)))
+        found = stored(main_links(mixed, labels, sigs, texts).union(outside_links(mixed, sigs, texts)), TEXTS)
         if not found.isEmpty():
             labels = stored(joined_labels(labels, found))
     linked = labels.join(classes.select("id", "rep"), "id")

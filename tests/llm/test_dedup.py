@@ -143,3 +143,19 @@ def test_components_raise_when_rounds_run_out(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
     with pytest.raises(RuntimeError):
         common.components(edges, rounds=1)
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    import pyarrow as pa
+
+    from tallyframe.llm import common
+
+    def sizes(batches):
+        for t in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([t.num_rows])], names=["n"])
+
+    before = spark.conf.get(common.BATCH_ROWS)
+    df = spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long")
+    assert max(r.n for r in common.stored(df).collect()) == 2500
+    assert sorted(r.n for r in common.stored(df, common.TEXTS).collect()) == [500, 1000, 1000]
+    assert spark.conf.get(common.BATCH_ROWS) == before
