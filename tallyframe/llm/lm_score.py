@@ -364,10 +364,11 @@ def _totals(keep, reply):
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     low = np.maximum(0.0, np.ceil(8.0 - x))
-    y, shift = x + low, np.zeros_like(x)
+    y, rise = x + low, np.ones_like(x)
     for k in range(int(low.max(initial=0))):
-        shift += np.log(np.where(k < low, x + k, 1.0))
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+        rise *= np.where(k < low, x + k, 1.0)
+    r = 1 / y
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + r * (1 / 12 - r * r * (1 / 360 - r * r / 1260)) - np.log(rise)
 
 
 def _seat_one(c, j, weight, step, tables, logz, discount, rng):
