@@ -5,7 +5,8 @@ share one parent restaurant over single words, whose own base is uniform over th
 unknown. Each table in a context restaurant is a customer of the parent. A text's end and the start
 of the next are one symbol: as a word it is the end, as a context the start.
 
-Texts are read once, in runs of about BATCH tokens. A run sends its distinct (context, word) pairs,
+Beside a sample for the frequent words, texts are split into words once, in runs of about BATCH
+tokens. A run sends its distinct (context, word) pairs,
 with their counts in training, to groups by word; a word with more than GROUP tokens is split over
 groups by its contexts, and the parent's part of it is drawn from the sum over them. A group keeps the
 pairs that occur in training, and for each run the places of the run's pairs and words among its own:
