@@ -4,12 +4,16 @@ Equal vectors of a label form a class. The top level of a label's tree is a boun
 centres; each class goes to its nearest centre's cell, whose covering radius is the largest such
 distance. Cells that hold too many classes get centres of their own, level by level. A class outside a cell is no neighbour of anything in it if its distance to the centre
 exceeds the radius plus the link distance. Two cells whose centres' distance plus both radii stays
-below it link as a whole, settled by bound for the members of both; otherwise a class that may
-have neighbours in a cell visits it, so that each side of a pair counts it once. Inside a cell, trees of halving radii over
-its own classes and over all classes there are walked in pairs, with the same two bounds on node
-pairs and double-precision cosines where neither decides.
+below it link as a whole, settled by bound for the members of both; otherwise the classes of one of the two
+that may have neighbours in the other visit it, and a link found there counts for both its ends. A cell's own
+classes are held, with a tree of halving radii; its visitors stream past by some thousands, each lot with a tree
+of its own, and two trees are walked in pairs with the same two bounds on node pairs. A node that halving
+does not compress is a leaf however large. Leaves meet in blocks: cosines in single precision, and in double
+precision where the rounding could decide.
 
-Pairs are counted and merged into a spanning set of links where they are found, never emitted.
+Pairs are counted and merged into a spanning set of links where they are found, never emitted. Without structure
+all pairs of a label have to be compared, so the comparisons and the visits, about half a cell's
+share of the label each, grow with the square of its classes.
 
 Defined cases: a null label, and vectors that are null, empty, zero or hold null or non-finite
 components, link with nothing; vectors of unequal lengths do not link; a null vec_id links with
@@ -19,6 +23,9 @@ their own; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +34,11 @@ from pyspark.sql import functions as F
 from .common import components, join_by_key, stored
 
 COSINE = 0.93
-#: Classes a cell should have; centres in all, and bytes of them; own classes in a block of a cell; points in a leaf.
-CELL, CENTRES, CENTRE_BYTES, BLOCK, LEAF = 1000, 4096, 1 << 25, 4096, 64
-EDGE = 1e-9
+#: Classes a cell should have; centres in all, and bytes of them; own classes in a block of a cell; points in a leaf that halving can compress.
+CELL, CENTRES, CENTRE_BYTES, BLOCK, LEAF = 8192, 4096, 1 << 25, 16384, 256
+#: Visitors that meet a block at a time; rows of an Arrow batch; cosines held at a time; points that a node's parts have on average.
+VISITORS, ROWS, HELD, COMPRESSED = 8192, 8192, 1 << 21, 8
+EDGE = 1e-7
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -54,7 +63,7 @@ class Node:
             return
         left, parts = np.arange(len(idx)), []
         while len(left):  # the next point left is a centre of the level below and covers what it can
-            if len(parts) > len(idx) // 8:
+            if len(parts) >= 2 * COMPRESSED and len(idx) - len(left) < COMPRESSED * len(parts):
                 return  # halving does not compress: stay a leaf
             near = _distance(own[left[:1]], own[left])[0] <= self.radius / 2
             near[0] = True
@@ -63,52 +72,100 @@ class Node:
         self.children = [Node(x, p) for p in parts] if len(parts) > 1 else []
 
 
-class Links:
-    """Counts of links of the first points and a partition of all points by links."""
-
-    def __init__(self, n_own: int, weights: np.ndarray):
-        self.count, self.weights, self.label = np.zeros(n_own), weights, np.arange(len(weights))
-
-    def merge(self, idx: np.ndarray) -> None:
-        labels = np.unique(self.label[idx])
-        for old in labels[1:]:
-            self.label[self.label == old] = labels[0]
-
-
-def traverse(x: np.ndarray, own: Node, every: Node, links: Links, cosine: float, unit: np.ndarray) -> None:
-    """Links between the points of two trees, by pairs of nodes."""
-    reach = float(np.sqrt(2 - 2 * cosine))
-    norm = np.linalg.norm(x, axis=1)
-    pairs = [(own, every)]
+class Points:
+    """Classes with their tree: vectors and lengths, unit vectors in single precision, weights, and the links counted so far."""
+
+    def __init__(self, rep: np.ndarray, weights: np.ndarray, x: np.ndarray):
+        self.rep, self.weights, self.x = rep, weights.astype(float), x
+        self.norm = np.linalg.norm(x, axis=1)
+        unit = x / self.norm[:, None]
+        self.single, self.count, self.tree = unit.astype(np.float32), np.zeros(len(x)), Node(unit, np.arange(len(x)))
+
+
+def _merge(label: np.ndarray, idx: np.ndarray) -> None:
+    old = np.unique(label[idx])
+    if len(old) > 1:
+        to = np.arange(len(label))
+        to[old] = old[0]
+        label[:] = to[label]
+
+
+def _linked(own: Points, rows: np.ndarray, other: Points, columns: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of two leaves with that cosine at least, row by row. Single precision tells it up to its
+    rounding, for which the slack is twice the bound; between, it is worked out in double precision."""
+    slack = np.float32((own.x.shape[1] + 16) * 2.0**-23)
+    dots = own.single[rows] @ other.single[columns].T
+    i, j = (dots >= np.float32(cosine) - slack).nonzero()
+    close = (dots[i, j] < np.float32(cosine) + slack).nonzero()[0]
+    keep = np.ones(len(i), bool)
+    for k in range(0, len(close), 1 << 14):
+        at = close[k : k + (1 << 14)]
+        a, b = rows[i[at]], columns[j[at]]
+        keep[at] = np.einsum("ij,ij->i", own.x[a], other.x[b]) / (own.norm[a] * other.norm[b]) >= cosine
+    return rows[i[keep]], columns[j[keep]]
+
+
+def traverse(own: Points, other: Points, label: np.ndarray, cosine: float) -> None:
+    """Adds the links between two sets, or of a set within itself, to their counts and to label, a partition
+    of the own and then the other points."""
+    reach, within = float(np.sqrt(2 - 2 * cosine)), other is own
+    first = 0 if within else len(own.x)
+    pairs = [(own.tree, other.tree)]
     while pairs:
         a, b = pairs.pop()
         d = float(_distance(a.centre[None], b.centre[None])[0, 0])
         if d - a.radius - b.radius > reach + EDGE:
             continue
         if d + a.radius + b.radius < reach - EDGE:
-            links.count[a.idx] += links.weights[b.idx].sum()
-            links.merge(np.concatenate([a.idx, b.idx]))
+            own.count[a.idx] += other.weights[b.idx].sum()
+            if not within:
+                other.count[b.idx] += own.weights[a.idx].sum()
+            _merge(label, np.concatenate([a.idx, b.idx + first]))
         elif a.children and (a.radius >= b.radius or not b.children):
             pairs += [(c, b) for c in a.children]
         elif b.children:
             pairs += [(a, c) for c in b.children]
         else:
-            for i in range(0, len(a.idx), 512):
-                rows = a.idx[i : i + 512]
-                near = (x[rows] @ x[b.idx].T) / (norm[rows, None] * norm[b.idx]) >= cosine
-                links.count[rows] += near @ links.weights[b.idx]
-                for row, hits in zip(rows.tolist(), near, strict=True):
-                    found = b.idx[hits]
-                    if (links.label[found] != links.label[row]).any():
-                        links.merge(np.concatenate([[row], found]))
+            for y in range(0, len(b.idx), VISITORS):
+                columns = b.idx[y : y + VISITORS]
+                step = max(1, HELD // len(columns))
+                for z in range(0, len(a.idx), step):
+                    i, j = _linked(own, a.idx[z : z + step], other, columns, cosine)
+                    own.count += np.bincount(i, other.weights[j], len(own.count))
+                    if not within:
+                        other.count += np.bincount(j, own.weights[i], len(other.count))
+                    apart = label[i] != label[j + first]
+                    starts = np.flatnonzero(np.diff(i, prepend=-1))
+                    for k in np.unique(np.searchsorted(starts, apart.nonzero()[0], "right") - 1):
+                        found = j[starts[k] : starts[k + 1] if k + 1 < len(starts) else None] + first
+                        if (label[found] != label[i[starts[k]]]).any():
+                            _merge(label, np.append(found, i[starts[k]]))
 
 
 def _vectors(column) -> np.ndarray:
-    return np.array(column.to_pylist(), float)
+    """A list column as a matrix; its lists are of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def _groups(column) -> Iterator[tuple[str, np.ndarray]]:
+    """A column's values, and the rows that have them."""
+    coded = column.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    yield from zip(coded.dictionary.to_pylist(), np.split(order, np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))[:-1]), strict=True)
+
 
+_CLASS = ("grp", "own", "rep", "mult", "bulk", "sure", "v")
 
-CLASS = "grp string, own boolean, rep long, mult long, bulk double, sure array<long>, v array<double>"
-_CLASS = tuple(c.split()[0] for c in CLASS.split(", "))
+
+def _class(rows: DataFrame) -> str:
+    """The schema of classes; vectors are carried in single precision if they are given so."""
+    return f"grp string, own boolean, rep long, mult long, bulk double, sure array<long>, v {dict(rows.dtypes)['v']}"
+
+
+def _visits(home, cell):
+    """Whether the classes of a cell visit another, or its classes them: of two cells, numbers or columns, one visits."""
+    return ((home + cell) % 2 == 0) == (home < cell)
 
 
 def _place(sent):
@@ -116,12 +173,12 @@ def _place(sent):
 
     def run(batches):
         for t in batches:
-            group, cell, dist = t.column("grp").to_pylist(), np.full(t.num_rows, -1, np.int64), np.zeros(t.num_rows)
-            for g in {g for g in group if g in sent.value}:
-                at = np.array([i for i, v in enumerate(group) if v == g])
-                first, centres = sent.value[g]
-                d = _distance(_unit(_vectors(t.column("v").take(pa.array(at)))), centres)
-                cell[at], dist[at] = first + d.argmin(1), d.min(1)
+            cell, dist = np.full(t.num_rows, -1, np.int64), np.zeros(t.num_rows)
+            for g, at in _groups(t.column("grp")):
+                if g in sent.value:
+                    first, centres = sent.value[g]
+                    d = _distance(_unit(_vectors(t.column("v").take(pa.array(at)))), centres)
+                    cell[at], dist[at] = first + d.argmin(1), d.min(1)
             yield pa.RecordBatch.from_arrays([*(t.column(c) for c in _CLASS), pa.array(cell), pa.array(dist)], names=[*_CLASS, "cell", "dist"])
 
     return run
@@ -133,13 +190,14 @@ def _visit(sent, ids, cells, reach):
 
     def run(batches):
         for t in batches:
-            group, home, mine = t.column("grp").to_pylist(), t.column("cell").to_numpy(), t.column("own").to_numpy(zero_copy_only=False)
-            bulk, other = t.column("bulk").to_numpy().copy(), [list(x or ()) for x in t.column("sure").to_pylist()]
-            alone = np.array([g not in sent.value for g in group], bool)
-            stay = (mine | alone).nonzero()[0]
-            at, cell, own = [stay], [home[stay]], [mine[stay]]
-            for g in {g for g in group if g in sent.value}:
-                i = np.array([k for k, v in enumerate(group) if v == g])
+            home, mine = t.column("cell").to_numpy(), t.column("own").to_numpy(zero_copy_only=False)
+            bulk, other = t.column("bulk").to_numpy().copy(), {}
+            at, cell, own = [mine.nonzero()[0]], [home[mine]], [np.ones(mine.sum(), bool)]
+            for g, i in _groups(t.column("grp")):
+                if g not in sent.value:
+                    i = i[~mine[i]]
+                    at, cell, own = [*at, i], [*cell, home[i]], [*own, np.zeros(len(i), bool)]
+                    continue
                 first, centres = sent.value[g]
                 d = _distance(_unit(_vectors(t.column("v").take(pa.array(i)))), centres)
                 radius, weight = cells.value[0][first : first + len(centres)], cells.value[1][first : first + len(centres)]
@@ -149,18 +207,20 @@ def _visit(sent, ids, cells, reach):
                 inside = away & whole[own_home] & (weight > 0) & mine[i][:, None]
                 bulk[i] += inside @ weight
                 for a, j in zip(*inside.nonzero(), strict=True):
-                    other[i[a]].append(int(ids.value[first + j]))
-                a, j = (away & ~inside & (d <= radius + reach + EDGE) & (weight > 0)).nonzero()
-                at.append(i[a])
-                cell.append(first + j)
-                own.append(np.zeros(len(a), bool))
-            at, own = np.concatenate(at), np.concatenate(own)
-            sure = [other[k] if o else [] for k, o in zip(at.tolist(), own.tolist(), strict=True)]
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [t.column("grp").take(take), pa.array(own), t.column("rep").take(take), t.column("mult").take(take), pa.array(np.where(own, bulk[at], 0.0)), pa.array(sure, pa.list_(pa.int64())), t.column("v").take(take), pa.array(np.concatenate(cell))],
-                names=[*_CLASS, "cell"],
-            )
+                    other.setdefault(i[a], []).append(int(ids.value[first + j]))
+                goes = _visits(home[i][:, None], np.arange(len(centres)) + first) | ~mine[i][:, None]
+                a, j = (away & ~inside & goes & (d <= radius + reach + EDGE) & (weight > 0)).nonzero()
+                at, cell, own = [*at, i[a]], [*cell, first + j], [*own, np.zeros(len(a), bool)]
+            at, cell, own = np.concatenate(at), np.concatenate(cell), np.concatenate(own)
+            had = t.column("sure")
+            for k in range(0, len(at), ROWS):
+                a, o = at[k : k + ROWS], own[k : k + ROWS]
+                take = pa.array(a)
+                sure = [(had[i].as_py() or []) + other.get(i, []) if x else [] for i, x in zip(a.tolist(), o.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [t.column("grp").take(take), pa.array(o), t.column("rep").take(take), t.column("mult").take(take), pa.array(np.where(o, bulk[a], 0.0)), pa.array(sure, pa.list_(pa.int64())), t.column("v").take(take), pa.array(cell[k : k + ROWS])],
+                    names=[*_CLASS, "cell"],
+                )
 
     return run
 
@@ -187,11 +247,11 @@ def _level(rows: DataFrame, large: list, cosine: float, cell: int) -> DataFrame:
             ids += [r.rep for r in chosen]
             first += len(chosen)
     sent, reach = send(tops), float(np.sqrt(2 - 2 * cosine))
-    placed = stored(rows.select(*_CLASS).mapInArrow(_place(sent), CLASS + ", cell long, dist double"))
+    placed = stored(rows.select(*_CLASS).mapInArrow(_place(sent), _class(rows) + ", cell long, dist double"))
     radius, weight = np.zeros(first), np.zeros(first)
     for r in placed.where("own and cell >= 0").groupBy("cell").agg(F.max("dist").alias("radius"), F.sum("mult").alias("weight")).collect():
         radius[r.cell], weight[r.cell] = r.radius, r.weight
-    return stored(placed.mapInArrow(_visit(sent, send(np.array(ids, np.int64)), send((radius, weight)), reach), CLASS + ", cell long"))
+    return stored(placed.mapInArrow(_visit(sent, send(np.array(ids, np.int64)), send((radius, weight)), reach), _class(rows) + ", cell long"))
 
 
 def _cells(classes: DataFrame, cosine: float, cell: int) -> DataFrame:
@@ -221,39 +281,63 @@ def _cells(classes: DataFrame, cosine: float, cell: int) -> DataFrame:
 
 
 def _link(cosine):
-    """Rows in order of (grp, cell, block): for each own class its weight of linked vectors and links that join its component."""
-
-    def group(rows):
-        rows.sort(key=lambda r: not r[0])
-        n = sum(r[0] for r in rows)
-        if not n:
-            return []
-        rep, x = [r[1] for r in rows], np.array([r[5] for r in rows], float)
-        links = Links(n, np.array([r[2] for r in rows], float))
-        unit = _unit(x)
-        traverse(x, Node(unit, np.arange(n)), Node(unit, np.arange(len(rows))), links, cosine, unit)
-        out = []
-        for i, r in enumerate(rows):
-            near = [rep[links.label[i]]] if links.label[i] != i else []
-            if r[0]:
-                out.append((rep[i], int(links.count[i] + r[3]), near + (r[4] or [])))
-            elif near:
-                out.append((rep[i], 0, near))
-        return out
+    """Rows in order of (grp, cell, block), own classes first: for each class its weight of linked vectors and
+    links that join its component. A block's own classes are held, its visitors pass by VISITORS at a time."""
+
+    def answer(rep, linked, near):
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.asarray(linked, np.int64)), pa.array(near, pa.list_(pa.int64()))], names=["rep", "linked", "near"])
+
+    def points(rows):
+        t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        return t, Points(t.column("rep").to_numpy(), t.column("mult").to_numpy(), _vectors(t.column("v")))
+
+    def near(label, reps, first):
+        return [[int(reps[x])] if x != k else [] for k, x in enumerate(label[first:].tolist(), first)]
+
+    def visited(held, label, lot):
+        """What visitors have found; the held classes keep their counts and their partition."""
+        _, met = points(lot)
+        both = np.append(label, np.arange(len(label), len(label) + len(met.x)))
+        traverse(held, met, both, cosine)
+        label[:] = both[: len(label)]
+        some = (met.count > 0).nonzero()[0]
+        links = near(both, np.append(held.rep, met.rep), len(label))
+        return answer(met.rep[some], met.count[some], [links[k] for k in some])
+
+    def ended(t, held, label):
+        return answer(held.rep, held.count + t.column("bulk").to_numpy(), [a + (b or []) for a, b in zip(near(label, held.rep, 0), t.column("sure").to_pylist(), strict=True)])
+
+    def stretches(batches):
+        """(key, whether own, rows): the stretches of the batches with one key."""
+        for t in batches:
+            keys = list(zip(*(t.column(c).to_pylist() for c in ("grp", "cell", "block", "own")), strict=True))
+            ends = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]] + [len(keys)]
+            for a, b in zip([0, *ends], ends, strict=False):
+                if b > a:
+                    yield keys[a][:3], keys[a][3], t.slice(a, b - a)
 
     def run(batches):
-        at, rows = None, []
-
-        def batch(found):
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["rep", "linked", "near"])
-
-        for t in batches:
-            for *key, own, rep, mult, bulk, sure, v in zip(*(t.column(c).to_pylist() for c in ("grp", "cell", "block", "own", "rep", "mult", "bulk", "sure", "v")), strict=True):
-                if key != at:
-                    yield batch(group(rows))
-                    at, rows = key, []
-                rows.append((own, rep, mult, bulk, sure, v))
-        yield batch(group(rows))
+        at, own = None, None
+        for (key, mine), rows in groupby(stretches(batches), lambda x: x[:2]):
+            if key != at:
+                if own:
+                    yield ended(*own)
+                at, own = key, None
+            if mine:
+                t, held = points([x[2] for x in rows])
+                own = t, held, np.arange(len(held.x))
+                traverse(held, held, own[2], cosine)
+            elif own:
+                lot, n = [], 0
+                for *_, some in rows:
+                    lot, n = [*lot, some], n + some.num_rows
+                    if n >= VISITORS:
+                        yield visited(*own[1:], lot)
+                        lot, n = [], 0
+                if lot:
+                    yield visited(*own[1:], lot)
+        if own:
+            yield ended(*own)
 
     return run
 
@@ -261,7 +345,7 @@ def _link(cosine):
 def covertree_dedup(table: DataFrame, cosine: float = COSINE, cell: int = CELL) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row per input row."""
     spark = table.sparkSession
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    v = F.col("embedding") if dict(table.dtypes)["embedding"] == "array<float>" else F.transform("embedding", lambda x: x.cast("double"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (F.size("v") == 0) | ~F.exists("v", lambda x: x != 0)
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v"))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~bad, F.lit(False))
@@ -271,13 +355,14 @@ def covertree_dedup(table: DataFrame, cosine: float = COSINE, cell: int = CELL)
     classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))  # a class's own id: a vec_id may be in several
     own = classes.select("grp", F.lit(True).alias("own"), "rep", "mult", F.lit(0.0).alias("bulk"), F.array().cast("array<long>").alias("sure"), "v")
     visits = _cells(own, cosine, cell)
-    sizes = visits.where("own").groupBy("grp", "cell").agg(F.count("*").alias("n"))
-    blocks = sizes.select(F.col("grp").alias("b_grp"), F.col("cell").alias("b_cell"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    dealt = visits.join(blocks, (F.col("grp") == F.col("b_grp")) & (F.col("cell") == F.col("b_cell"))).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("own", F.col("own") & (F.col("mine") == F.col("block")))
+    sizes = visits.where("own").groupBy(F.col("grp").alias("b_grp"), F.col("cell").alias("b_cell")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = visits.join(F.broadcast(sizes.where("blocks > 1")), (F.col("grp") == F.col("b_grp")) & (F.col("cell") == F.col("b_cell")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.where(~F.col("own") | (F.col("mine") == F.col("block")) | _visits(F.col("mine"), F.col("block"))).withColumn("own", F.col("own") & (F.col("mine") == F.col("block")))
     dealt = dealt.select("grp", "cell", "block", "own", "rep", "mult", F.when(F.col("own"), F.col("bulk")).otherwise(0.0).alias("bulk"), F.when(F.col("own"), F.col("sure")).alias("sure"), "v")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(dealt.repartition(parts, "grp", "cell", "block").sortWithinPartitions("grp", "cell", "block").mapInArrow(_link(cosine), "rep long, linked long, near array<long>"))
+    dealt = dealt.repartition(parts, "grp", "cell", "block").sortWithinPartitions("grp", "cell", "block", F.desc("own"))
+    found = stored(dealt.mapInArrow(_link(cosine), "rep long, linked long, near array<long>"))
     labels = components(found.select(F.col("rep").alias("a"), F.explode("near").alias("b")))
     linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     told = stored(classes.join(linked, "rep").join(labels, F.col("rep") == F.col("id"), "left").select("grp", "v", "mult", "least", "linked", F.coalesce("component_id", "rep").alias("root")))

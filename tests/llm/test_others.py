@@ -337,6 +337,50 @@ def test_covertree_stretched_cell_beside_a_tight_one(spark):
     assert {i: r.n_links for i, r in got.items()} == links and {i: r.component_id for i, r in got.items()} == label
 
 
+def test_covertree_leaves_unstructured_points_alone(monkeypatch):
+    """Points that halving does not compress are a leaf after a few distances, not after one for each eighth point."""
+    calls, distance = [], covertree._distance
+    monkeypatch.setattr(covertree, "_distance", lambda a, b: calls.append(1) or distance(a, b))
+    x = np.random.default_rng(1).normal(size=(4000, 64))
+    node = covertree.Node(covertree._unit(x), np.arange(4000))
+    assert not node.children and len(calls) < 50
+
+
+@pytest.mark.parametrize("lot", [7, 1000])
+def test_covertree_visitors_pass_in_lots(lot, monkeypatch):
+    """Links of held classes and of visitors, counted for both ends, with pairs beside the threshold that single precision cannot tell."""
+    import pyarrow as pa
+
+    for name, value in {"VISITORS": lot, "HELD": 50, "LEAF": 8, "COMPRESSED": 2}.items():
+        monkeypatch.setattr(covertree, name, value)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(5, 6))
+    x = np.concatenate([centres[np.arange(60) % 5] + rng.normal(size=(60, 6)) * np.where(np.arange(60) % 2, 0.05, 0.4)[:, None], rng.normal(size=(20, 6))])
+    for k, off in enumerate((1e-9, -1e-9, 1e-12, -1e-12)):
+        u, w = np.eye(6)[k], np.eye(6)[k + 1]
+        x = np.concatenate([x, [u, (0.93 + off) * u + math.sqrt(1 - (0.93 + off) ** 2) * w]])
+    order = rng.permutation(len(x))
+    x, n, mult = x[order], 40, rng.integers(1, 4, len(x))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    near[n:, n:] = False  # visitors do not meet each other
+    rows = [{"grp": "g", "cell": 0, "block": 0, "own": i < n, "rep": 100 + i, "mult": int(mult[i]), "bulk": 0.0, "sure": [] if i < n else None, "v": x[i].tolist()} for i in range(len(x))]
+    kinds = {"grp": pa.string(), "own": pa.bool_(), "bulk": pa.float64(), "sure": pa.list_(pa.int64()), "v": pa.list_(pa.float64())}
+    schema = pa.schema([(c, kinds.get(c, pa.int64())) for c in rows[0]])
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 9], schema) for i in range(0, len(rows), 9)]
+    found = [r for b in covertree._link(0.93)(iter(batches)) for r in b.to_pylist()]
+    linked = {r["rep"] - 100: r["linked"] for r in found}
+    assert len(found) == len(linked) and {i: linked.get(i, 0) for i in range(len(x))} == dict(enumerate((near @ mult).tolist()))
+    label, told = list(range(len(x))), list(range(len(x)))
+    for _ in x:
+        for i in range(len(x)):
+            label[i] = min(label[i], *(label[j] for j in near[i].nonzero()[0]), len(x))
+        for r in found:
+            for j in r["near"]:
+                told[r["rep"] - 100] = told[j - 100] = min(told[r["rep"] - 100], told[j - 100])
+    assert told == label
+
+
 def test_covertree_one_id_in_two_classes(spark):
     """Orthogonal vectors with one vec_id do not link, and what one of them links with is no link of the other."""
     rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (3, [-1.0, 0.0], 0), (3, [-1.0, 0.0], 0)]
