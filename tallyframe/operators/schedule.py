@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_right
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -242,41 +242,79 @@ def best_slots(posts: DataFrame, first: int, last: int, days: int = 7) -> DataFr
 NO_RULE, HOLIDAY_SKIPPED, RELAXED, STAGGERED, JITTERED = "no_rule_matched", "G3_holiday_skipped", "G1_relaxed_no_free_slot", "G2_cross_platform_stagger", "G5_jitter_applied"
 
 
+#: A post's time is its slot's, later by STAGGER_MIN or not, moved by up to JITTER minutes.
+JITTER, DAY = 12, 1440
+_MINUTES = {i: a for i, _, _, a, _, _ in RULES} | {"S0": 600}
+
+
+def _reached() -> dict[str, list[int]]:
+    """For each rule, how many minutes from its slots others of its platform lie that a post there may block."""
+    of = {r[0]: r[1] for r in RULES}
+    apart = {x: [_MINUTES[y] - a + day * DAY for y in _MINUTES for day in (-1, 0, 1) if of.get(x) == of.get(y) and (y != x or day)] for x, a in _MINUTES.items()}
+    return {x: [d for d in far if -JITTER - MIN_GAP_H * 60 < d < STAGGER_MIN + JITTER + MIN_GAP_H * 60] for x, far in apart.items()}
+
+
+def _staggers_that_tell() -> set[str]:
+    """Rules at whose slots it depends on the stagger what a post blocks, and those whose posts may stagger such a one."""
+    blocks = lambda d, off: abs(d - off) < MIN_GAP_H * 60
+    found = {x for x, far in _reached().items() for d in far if any(blocks(d, j) != blocks(d, j + STAGGER_MIN) for j in range(-JITTER, JITTER + 1))}
+    while more := {y for y, b in _MINUTES.items() for x in found for day in (-1, 0, 1) if -STAGGER_MIN - JITTER - STAGGER_MIN < b + day * DAY - _MINUTES[x] < STAGGER_MIN + JITTER} - found:
+        found |= more
+    return found
+
+
+class Taken:
+    """Planned minutes, as the first and last in each stretch of `gap` minutes: that tells whether one is nearer than the gap."""
+
+    def __init__(self, gap: int) -> None:
+        self.gap, self.ends = gap, {}
+
+    def add(self, at: int) -> None:
+        first, last = self.ends.get(at // self.gap, (at, at))
+        self.ends[at // self.gap] = min(first, at), max(last, at)
+
+    def near(self, at: int) -> bool:
+        k, none = at // self.gap, (float("-inf"), float("inf"))
+        return k in self.ends or self.ends.get(k - 1, none[:1])[-1] > at - self.gap or self.ends.get(k + 1, none[1:])[0] < at + self.gap
+
+
 class Planned:
-    """What limits a video's next post: minutes planned so far, by platform and by clip, in order."""
+    """What limits a video's next post: minutes planned so far, by platform and by clip."""
 
     def __init__(self) -> None:
-        self.platforms: dict[str, list[int]] = {}
-        self.clips: dict[object, list[int]] = {}
-
-    @staticmethod
-    def near(times: list[int], at: int, minutes: int) -> bool:
-        i = bisect_left(times, at - minutes + 1)
-        return i < len(times) and times[i] < at + minutes
-
-    def choose(self, platform: str, clip: object, slots: list, jitter: int) -> tuple[str, int, float, list[str]]:
-        """(rule, minute, score, notes) of the post, which is added to what is planned. slots: (score, rule,
-        minute, holiday) from the best on."""
-        notes, pick, taken = [], None, self.platforms.setdefault(platform, [])
-        for x in slots:
-            if self.near(taken, x["minute"], MIN_GAP_H * 60):
-                continue
-            if not x["holiday"]:
-                pick = x
-                break
-            notes.append(HOLIDAY_SKIPPED)
-        if pick is None:
-            pick = slots[0]
-            notes.append(RELAXED)
-        at, own = pick["minute"], self.clips.setdefault(clip, [])
-        if self.near(own, at, STAGGER_MIN):
-            at += STAGGER_MIN
-            notes.append(STAGGERED)
-        at += jitter
-        notes.append(JITTERED)
-        insort(taken, at)
-        insort(own, at)
-        return pick["rule"], at, pick["score"], notes
+        self.platforms: dict[str, Taken] = {}
+        self.clips: dict[str | None, Taken] = {}
+
+    def choose(self, platform: str, clip: str | None, shared: bool, choices: list[int], jitter: int) -> tuple[int, int, bool]:
+        """(place of its slot, free holidays skipped, whether none was free) of the post, which is added to what
+        is planned. choices: from the best on twice a slot's minute, and one for a holiday. Clips are looked at if shared."""
+        taken, pick, skipped = self.platforms.setdefault(platform, Taken(MIN_GAP_H * 60)), None, 0
+        for place, x in enumerate(choices):
+            if not taken.near(x >> 1):
+                if not x & 1:
+                    pick = place
+                    break
+                skipped += 1
+        at = choices[pick or 0] >> 1
+        if shared:
+            own = self.clips.setdefault(clip, Taken(STAGGER_MIN))
+            at += STAGGER_MIN * own.near(at) + jitter
+            own.add(at)
+        else:
+            at += jitter
+        taken.add(at)
+        return pick or 0, skipped, pick is None
+
+
+def _since() -> Column:
+    """Seconds of the last moment up to now from which a post's slots are the same: midnight, or when one gets too near."""
+    first = F.date_trunc("day", "now")
+    last = F.lit(None).cast("timestamp")
+    for platform in dict.fromkeys(r[1] for r in RULES):
+        cuts = [F.timestamp_add("MINUTE", F.lit(a - 30), first) for _, p, _, a, _, _ in RULES if p == platform]
+        last = F.when(F.col("platform") == platform, F.greatest(first, *(F.when(c <= F.col("now"), c) for c in cuts))).otherwise(last)
+    other = F.timestamp_add("MINUTE", F.lit(_MINUTES["S0"] - 30), first)
+    return F.unix_seconds(F.coalesce(last, F.when(other <= F.col("now"), other), first).cast("timestamp"))
 
 
 def plan_slots(posts: DataFrame, by: str, clip: str, days: int = 7) -> DataFrame:
@@ -285,32 +323,83 @@ def plan_slots(posts: DataFrame, by: str, clip: str, days: int = 7) -> DataFrame
 
     A post takes its best slot that is no holiday and at least MIN_GAP_H hours from the posts already
     planned for its platform, whatever their clip; if none is free, its best. Within STAGGER_MIN minutes
-    of another post of its clip it goes that much later; its jitter comes last. Posts more than days + 2
-    days apart cannot limit each other, so a video is folded by islands of time, in streams.
+    of another post of its clip it goes that much later; its jitter comes last.
+
+    Slots are worked out once for all posts of a platform and hook type that have the same. A slot that is taken stays
+    taken, and a post that finds one free takes one. So of a video's posts of a platform with the same n slots,
+    those behind the first n find none and take their best, which nobody else notices if no slot is a
+    holiday: they need no fold. The others are folded by video and islands of time (posts more than days + 2 days
+    apart cannot limit each other), as many as there are slots at most, and those with holidays. The stagger comes
+    behind: a clip's posts that are planned far from its others go as they are, the rest is folded by clip and island.
+    Where it depends on the stagger what a post blocks, the first fold sees the clip's other posts of that kind too.
 
     Defined cases: a post without a time or platform takes tomorrow at nine and neither limits nor is
     limited; repeated rows are posts of their own; a null video or clip is one of its own; an empty table
     gives none.
     """
-    order = F.array_sort(F.transform(_slots(days), lambda x: F.struct((-F.round(x["score"], 4)).alias("low"), x["day"].alias("day"), x["rule"].alias("rule"), x["slot"].cast("timestamp_ntz").alias("slot"))))
+    types, reached, telling = dict(posts.dtypes), _reached(), _staggers_that_tell()
     minute = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / 60_000_000)
-    slots = F.transform(order, lambda x: F.struct((-x["low"]).alias("score"), x["rule"].alias("rule"), minute(x["slot"]).alias("minute"), is_holiday(x["slot"]).alias("holiday")))
-    rows = posts.select(by, clip, "post_id", "platform", "hook_type", "now").withColumn("slots", slots).withColumn("jitter", jitter_minutes(F.col("post_id").cast("string")))
-    ready = (F.size("slots") > 0) & F.col("platform").isNotNull()
-    types = dict(posts.dtypes)
-    schema = f"{by} {types[by]}, post_id {types['post_id']}, {clip} {types[clip]}, platform string, rule string, minute long, score double, constraints string"
+    rows = stored(posts.select(by, clip, "post_id", "platform", "hook_type", "now").withColumn("since", _since()).withColumn("jitter", jitter_minutes(F.col("post_id").cast("string"))).drop("now"))
+    known = F.col("platform").isNotNull() & F.col("since").isNotNull()
+
+    order = F.array_sort(F.transform(_slots(days), lambda x: F.struct((-F.round(x["score"], 4)).alias("low"), x["day"].alias("day"), x["rule"].alias("rule"), x["slot"].cast("timestamp_ntz").alias("slot"))))
+    slots = F.transform(order, lambda x: F.struct(x["rule"].alias("rule"), minute(x["slot"]).alias("minute"), (-x["low"]).alias("score"), is_holiday(x["slot"]).alias("holiday")))
+    kinds = rows.where(known).select("platform", "hook_type", "since").distinct().withColumn("now", F.timestamp_seconds("since").cast(types["now"])).withColumn("slots", slots)
+    best, minutes = F.get("slots", F.lit(0)), F.transform("slots", lambda x: x["minute"])
+    alone = reduce(lambda a, b: a & b, (F.when(best["rule"] == x, F.array_contains(minutes, best["minute"] + d)).otherwise(True) for x, far in reached.items() for d in far), ~F.exists("slots", lambda x: x["holiday"]))
+    kinds = kinds.select("platform", "hook_type", "since", F.monotonically_increasing_id().alias("kind"), "slots", F.size("slots").alias("n"), alone.alias("settled"), F.exists("slots", lambda x: x["rule"].isin(*telling) if telling else F.lit(False)).alias("telling"))
+    kinds = stored(kinds.withColumn("best", best))
+
+    w = Window.partitionBy(by, "platform", "since").orderBy("post_id", clip, "hook_type")
+    ranked = rows.where(known).withColumn("rn", F.row_number().over(w))
+    k = kinds.select(F.col("platform").alias("k_platform"), F.col("hook_type").alias("k_hook"), F.col("since").alias("k_since"), "kind", "n", "settled", "telling", "best.rule", "best.minute", "best.score")
+    ranked = ranked.join(k, (F.col("platform") == F.col("k_platform")) & (F.col("since") == F.col("k_since")) & F.col("hook_type").eqNullSafe(F.col("k_hook")))
+    ranked = stored(ranked.withColumn("folds", (F.col("rn") <= F.col("n")) | ~F.col("settled")).drop("k_platform", "k_hook", "k_since", "rn", "settled"))
+
+    ready = F.col("n") > 0
+    in_clip = Window.partitionBy(by, clip).orderBy("since")
+    reach = F.lit((days + 2) * 86400)
+    close = lambda c: F.coalesce(F.abs(c - F.col("since")) <= reach, F.lit(False))
+    some = ranked.where(ready & F.col("telling")).withColumn("shared", close(F.lag("since").over(in_clip)) | close(F.lead("since").over(in_clip))).where(F.col("folds") | F.col("shared"))
+    some = some.unionByName(ranked.where(ready & ~F.col("telling") & F.col("folds")).withColumn("shared", F.lit(False)))
+    choices = kinds.select(F.col("kind").alias("k_kind"), F.transform("slots", lambda x: x["minute"] * 2 + x["holiday"].cast("long")).alias("choices"))
+    some = cut_islands(some.select(by, clip, "post_id", "platform", "hook_type", "since", "jitter", "kind", "shared", "folds"), by, F.col("since") / 86400.0, days + 2.0)
+    some = some.join(choices, F.col("kind") == F.col("k_kind"))
+    some = some.select(by, "island", "post_id", clip, "platform", "hook_type", "since", "jitter", "kind", "shared", "folds", F.col(clip).cast("string").alias("name"), "choices")
 
     def step(state: Planned, row: tuple):
-        video, _, post, own, platform, slots, jitter = row
-        rule, at, score, notes = state.choose(platform, own, list(slots), int(jitter))
-        yield video, post, own, platform, rule, at, score, ",".join(notes)
-
-    placed = cut_islands(rows.where(ready).drop("slots"), by, F.unix_seconds(F.col("now").cast("timestamp")) / 86400.0, days + 2.0)
-    placed = placed.select(by, "island", "post_id", clip, "platform", "hook_type", "now", "jitter")
-    own = lambda x: x.select(by, "island", "post_id", clip, "platform", slots.alias("slots"), "jitter")  # noqa: E731  a video is one sort: of bare posts, not of their slots
-    done = folded(placed, [by, "island"], ["post_id", clip], Planned, step, lambda _: (), schema, own)
-    none = rows.where(~F.coalesce(ready, F.lit(False)))
-    at = F.date_trunc("day", F.timestamp_add("DAY", F.lit(1), F.col("now"))) + F.expr("INTERVAL 9 HOURS")
+        video, _, post, own, platform, hook, since, jitter, kind, shared, folds, name, choices = row
+        place, skipped, relaxed = state.choose(platform, name, shared, choices.tolist(), jitter)
+        if folds:
+            yield video, post, own, platform, hook, since, jitter, kind, place, skipped, relaxed
+
+    head = f"{by} {types[by]}, post_id {types['post_id']}, {clip} {types[clip]}, platform string, hook_type string, since long, jitter int"
+    chosen = folded(some, [by, "island"], ["post_id", clip, "platform", "since", "hook_type"], Planned, step, lambda _: (), f"{head}, kind long, place int, skipped int, relaxed boolean")
+    chosen = chosen.join(kinds.select(F.col("kind").alias("k_kind"), "slots"), F.col("kind") == F.col("k_kind")).withColumn("x", F.get("slots", F.col("place")))
+    columns = (by, "post_id", clip, "platform", "hook_type", "since", "jitter")
+    chosen = chosen.select(*columns, "x.rule", "x.minute", "x.score", "skipped", "relaxed")
+    others = ranked.where(ready & ~F.col("folds")).select(*columns, "rule", "minute", "score", F.lit(0).alias("skipped"), F.lit(True).alias("relaxed"))
+
+    w = Window.partitionBy(by, clip).orderBy("minute")
+    far = lambda c: F.coalesce(F.abs(F.col("minute") - c) >= 2 * (STAGGER_MIN + JITTER), F.lit(True))
+    planned = chosen.unionByName(others).withColumn("first", far(F.lag("minute").over(w))).withColumn("alone", F.col("first") & far(F.lead("minute").over(w)))
+    planned = stored(planned.withColumn("island", F.sum(F.col("first").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("first"))
+
+    def stagger(state: Taken, row: tuple):
+        video, own, _, post, platform, _, _, jitter, rule, at, score, skipped, relaxed = row
+        late = state.near(at)
+        at += STAGGER_MIN * late + jitter
+        state.add(at)
+        yield video, post, own, platform, rule, at, score, skipped, relaxed, late
+
+    head = f"{by} {types[by]}, post_id {types['post_id']}, {clip} {types[clip]}, platform string"
+    close = planned.where(~F.col("alone")).select(by, clip, "island", "post_id", "platform", "hook_type", "since", "jitter", "rule", "minute", "score", "skipped", "relaxed")
+    late = folded(close, [by, clip, "island"], ["post_id", "platform", "since", "hook_type"], lambda: Taken(STAGGER_MIN), stagger, lambda _: (), f"{head}, rule string, minute long, score double, skipped int, relaxed boolean, late boolean")
+    done = planned.where("alone").select(by, "post_id", clip, "platform", "rule", (F.col("minute") + F.col("jitter")).alias("minute"), "score", "skipped", "relaxed", F.lit(False).alias("late")).unionByName(late)
+    notes = F.concat_ws(",", F.array_repeat(F.lit(HOLIDAY_SKIPPED), F.col("skipped")), F.when(F.col("relaxed"), RELAXED), F.when(F.col("late"), STAGGERED), F.lit(JITTERED))
+    done = done.select(by, "post_id", clip, "platform", "rule", "minute", "score", notes.alias("constraints"))
+    none = rows.where(~known).select(*columns).unionByName(ranked.where(~ready).select(*columns))
+    at = F.date_trunc("day", F.timestamp_add("DAY", F.lit(1), F.timestamp_seconds("since"))) + F.expr("INTERVAL 9 HOURS")
     none = none.select(by, "post_id", clip, "platform", F.lit("FALLBACK").alias("rule"), minute(at).alias("minute"), F.lit(0.0).alias("score"), F.lit(NO_RULE).alias("constraints"))
     slot = F.timestamp_seconds(F.col("minute") * 60).cast("timestamp_ntz")
     return done.unionByName(none).select(by, "post_id", clip, "platform", "rule", slot.alias("slot"), "score", "constraints")

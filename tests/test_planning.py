@@ -58,6 +58,44 @@ def test_plans_equal_a_plain_fold(spark, seed):
         assert all(any(note in x[2] for x in got.values()) for note in ("G1_", "G2_", "G3_"))
 
 
+@pytest.mark.parametrize("start", [datetime(2024, 4, 15), datetime(2024, 6, 3)])  # with holidays in reach, and without
+def test_crowded_plans_equal_a_plain_fold(spark, start):
+    """Many more posts than slots, and clips whose posts stagger each other."""
+    rnd = random.Random(7)
+    posts = [(f"v{rnd.randrange(2)}", f"c{rnd.randrange(60)}", i, rnd.choice(["linkedin", "linkedin", "x", "instagram", "elsewhere"]), rnd.choice(["data_number", "contrarian", None]), start + timedelta(days=rnd.randrange(4), hours=rnd.choice([6, 7.5, 7.6, 12, 21]))) for i in range(1500)]
+    df = spark.createDataFrame(posts, POSTS).repartition(4)
+    slots = {i: [] for i in range(len(posts))}
+    for r in sch.slot_candidates(df).orderBy(F.desc("score"), "day", "rule").collect():
+        slots[r.post_id].append((r.score, r.rule, r.slot))
+    jitter = {r.post_id: r.j for r in df.select("post_id", sch.jitter_minutes(F.col("post_id").cast("string")).alias("j")).collect()}
+    got = {r.post_id: (r.rule, r.slot, r.constraints) for r in sch.plan_slots(df, "video", "clip").collect()}
+    wanted = plain_plan(posts, slots, jitter)
+    assert got == wanted
+    assert any("G2_" in x[2] for x in wanted.values()) and any("G3_" in x[2] for x in wanted.values()) == (start.month == 4)
+
+
+def test_posts_behind_all_slots_are_not_folded(spark, monkeypatch):
+    """The first post for each slot finds one free at most; the others of the day are planned row by row."""
+    sizes, plain = [], sch.folded
+    monkeypatch.setattr(sch, "folded", lambda rows, *args: sizes.append(rows.count()) or plain(rows, *args))
+    posts = [(f"v{i % 2}", f"c{i}", i, "instagram", "story", datetime(2024, 6, 3, 6)) for i in range(300)]
+    plan = sch.plan_slots(spark.createDataFrame(posts, POSTS), "video", "clip")
+    relaxed = plan.groupBy("video").agg(F.count_if(F.col("constraints").contains("G1_")).alias("n")).collect()
+    assert sizes == [2 * 12, 0] and all(150 - 12 <= r.n < 150 for r in relaxed)  # seven days of S3, five of S4
+
+
+def test_taken_minutes_are_near_as_a_list_tells():
+    rnd = random.Random(2)
+    for gap in (30, 240):
+        taken, plain = sch.Taken(gap), []
+        for _ in range(300):
+            at = rnd.randrange(-50 * gap, 50 * gap)
+            assert taken.near(at) == any(abs(at - t) < gap for t in plain)
+            if rnd.random() < 0.3:
+                taken.add(at)
+                plain.append(at)
+
+
 def test_posts_of_other_clips_keep_the_platforms_gap(spark):
     at = datetime(2024, 3, 4, 6)
     df = spark.createDataFrame([("v", "a", 1, "linkedin", "story", at), ("v", "b", 2, "linkedin", "story", at), ("w", "a", 3, "linkedin", "story", at)], POSTS)
