text_signals: words of a line are told once, clitics are found at word ends

Symptom: text_signals used 1,491 CPU seconds a GB over 0.51 GB, nearly all JVM time in the stage behind the window, against a budget of 960.
Evidence: the plan told a line's words apart again for each of its counts and for every rule of the opening, and lowered all words where the rules look at eight; the clitic pattern read a word again from each of its letters.
Fix: words, their number and the lowered first eight are columns of their own, handed to the densities and the penalties; a clitic is looked for at a word's end only, and question and number words are tried only where their first letter stands.
Effect: at 1 GB of input CPU 3724 -> 1556 s, shuffle 1.30 -> 1.30 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.97 GB, longest task 173 -> 81 s, most memory of a task 143 -> 143 MB; at 6 GB of input CPU 22119 -> 8231 s, shuffle 8.00 -> 8.00 GB, spill 0.00 -> 0.00 GB, read 5.89 -> 5.89 GB, longest task 145 -> 50 s, most memory of a task 109 -> 109 MB; with hot keys, at 1 GB of input CPU 1008 -> 500 s, shuffle 0.24 -> 0.24 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 82 -> 31 s, most memory of a task 71 -> 71 MB.

@@ -17,10 +17,11 @@ DIACRITICS, SHADOWS = "çÇğĞıİöÖşŞüÜ", "cCgGiIoOsSuU"
 ANAPHORA = "bu o şu bunu onu şunu bunun onun şunun bunlar onlar yani ama fakat ancak dolayısıyla işte çünkü ayrıca böylece".split()
 PRONOUNS = "bu o şu bunu onu bunlar onlar".split()
 ABBREVIATIONS = "dr sn vb vs bkz prof doç av mah cad sok no tl örn yy".split()
-#: Patterns of numbers and money, and of question words and clitics.
-NUMERIC = r"(?iU)\d+(?:[.,]\d+)*\s*%?|%\s*\d+|\b(?:yüzde|bin|milyon|milyar|katı?|oran(?:ı|ında)?|lira|tl|dolar|euro|asgari)\b"
-QUESTION_WORDS = r"(?iU)\b(?:ne|neden|niye|nasıl|kaç|hangi|kim|nerede|nereye|ne\s+kadar|niçin)\b"
-QUESTION_CLITICS = r"(?iU)\b(?:mı|mi|mu|mü)\b|\w+(?:mı|mi|mu|mü)\b"
+#: Patterns of numbers and money, and of question words and clitics. A first letter is looked at before
+#: the word boundary, which costs more; a clitic counts as a word or at a word's end, so the word before it isn't read.
+NUMERIC = r"(?iU)\d+(?:[.,]\d+)*\s*%?|%\s*\d+|(?=[abdeklmoty])\b(?:yüzde|bin|milyon|milyar|katı?|oran(?:ı|ında)?|lira|tl|dolar|euro|asgari)\b"
+QUESTION_WORDS = r"(?iU)(?=[hkn])\b(?:ne|neden|niye|nasıl|kaç|hangi|kim|nerede|nereye|ne\s+kadar|niçin)\b"
+QUESTION_CLITICS = r"(?iU)(?:mı|mi|mu|mü)\b"
 WORD = r"(?U)\w+"
 
 
@@ -69,14 +70,14 @@ def per_hundred(hits: Column, n_words: Column) -> Column:
     return F.when(n_words == 0, 0.0).otherwise(hits * 100.0 / F.nullif(n_words, F.lit(0)))
 
 
-def numeric_density(c: Column, pattern: str = NUMERIC) -> Column:
-    return per_hundred(F.regexp_count(c, F.lit(pattern)), F.size(words(c)))
+def numeric_density(c: Column, pattern: str = NUMERIC, n_words: Column | None = None) -> Column:
+    return per_hundred(F.regexp_count(c, F.lit(pattern)), n_words if n_words is not None else F.size(words(c)))
 
 
-def question_density(c: Column, opening: Column | None = None) -> Column:
+def question_density(c: Column, opening: Column | None = None, n_words: Column | None = None) -> Column:
     """Question marks, words and clitics in a hundred words; those of the opening count twice."""
     hits = lambda x: F.length(x) - F.length(F.replace(x, F.lit("?"), F.lit(""))) + F.regexp_count(x, F.lit(QUESTION_WORDS)) + F.regexp_count(x, F.lit(QUESTION_CLITICS))
-    return per_hundred(hits(c) + (hits(F.coalesce(opening, F.lit(""))) if opening is not None else 0), F.size(words(c)))
+    return per_hundred(hits(c) + (hits(F.coalesce(opening, F.lit(""))) if opening is not None else 0), n_words if n_words is not None else F.size(words(c)))
 
 
 def rate_score(wps: Column) -> Column:
@@ -97,11 +98,17 @@ def self_contained(c: Column, previous: Column, tokens: Column | None = None) ->
 CONNECTIVE, UNBOUND, MID_ANSWER, NO_WORDS = ("opens_with_connective", -4.0), ("unbound_pronoun_in_opening", -3.0), ("starts_mid_answer", -3.0), ("empty_segment", -10.0)
 
 
-def penalties(c: Column, previous: Column) -> Column:
+def opening_words(tokens: Column) -> Column:
+    """The words that the rules of a stand-alone opening look at."""
+    return F.slice(tokens, 1, 8)
+
+
+def penalties(c: Column, previous: Column, raw: Column | None = None, low: Column | None = None) -> Column:
     """What takes a text off 10 as an opening that stands alone: array of (rule, token, delta), in order of
-    the rules; token is the word that opens with a connective. A text without words has only that rule."""
-    raw = words(F.trim(c))
-    t = F.transform(raw, tr_lower)
+    the rules; token is the word that opens with a connective. A text without words has only that rule.
+    raw and low are its opening words, as they are and in lower case, where they are there already."""
+    raw = raw if raw is not None else opening_words(words(F.trim(c)))
+    t = low if low is not None else F.transform(raw, tr_lower)
 
     def rule(found: Column, name: tuple[str, float], token: Column | None = None) -> Column:
         return F.when(found, F.struct(F.lit(name[0]).alias("rule"), (token if token is not None else F.lit(None).cast("string")).alias("token"), F.lit(name[1]).alias("delta")))
@@ -119,17 +126,19 @@ def text_signals(rows: DataFrame, text: str, duration: str, opening: str, previo
 
     opening is what is said in its first seconds, previous the segment before; null for none. A null text
     counts as empty; without a duration the rate is 0. Steps are columns of their own, so each pattern
-    runs once a row.
+    runs once a row, and the rules of the opening see its first words only.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    r = rows.withColumns({"_t": t, "word_count": F.size(words(t)), "_numeric": numeric_density(t), "_question": question_density(t, F.col(opening)), "self_contained_penalties": penalties(t, F.col(previous))})
+    t, n = F.col("_t"), F.col("word_count")
+    r = rows.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", words(t))
+    r = r.withColumns({"word_count": F.size("_words"), "_raw": opening_words(F.col("_words"))}).withColumn("_low", F.transform("_raw", tr_lower))
+    r = r.withColumns({"_numeric": numeric_density(t, n_words=n), "_question": question_density(t, F.col(opening), n), "self_contained_penalties": penalties(t, F.col(previous), F.col("_raw"), F.col("_low"))})
     r = r.withColumn("_wps", F.when(F.col(duration) > 0, F.col("word_count") / F.col(duration)).otherwise(0.0))
     off = F.aggregate("self_contained_penalties", F.lit(0.0), lambda a, x: a + x["delta"])
     two = {
         "numeric_per_100w": F.col("_numeric"), "question_per_100w": F.col("_question"), "speech_rate_wps": F.col("_wps"), "numeric_score": scale(F.col("_numeric"), 0.0, 6.0), "question_score": scale(F.col("_question"), 0.0, 5.0),
         "rate_score": rate_score(F.col("_wps")), "self_contained_score": F.greatest(F.lit(0.0), 10.0 + off),
     }
-    return r.withColumns(two).withColumns({k: round_binary(F.col(k), 2) for k in two}).drop("_t", "_numeric", "_question", "_wps")
+    return r.withColumns(two).withColumns({k: round_binary(F.col(k), 2) for k in two}).drop("_t", "_words", "_raw", "_low", "_numeric", "_question", "_wps")
 
 
 def is_abbreviation(token: Column) -> Column:
