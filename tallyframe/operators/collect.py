@@ -93,22 +93,24 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     field's largest value counts. Null post or window: a group of its own. An unknown call is ignored.
     """
     rows = responses.where(F.col("call").isin(*CALLS)).select("post_id", "window", "call", F.coalesce(F.col("duration_s").cast("double"), F.lit(0.0)).alias("duration_s"), F.try_parse_json("body").isNull().alias("broken"), F.from_json("body", BODY, {"mode": "PERMISSIVE"}).alias("parsed"))
-    # every answer is read once and passes all calls: at another call's it has no body
-    flat, errors, kinds = rows, [], {}
+    # Every answer is read once and passes all calls: at another call's it has no body. Its fields stand in a structure
+    # of its call, so while rows wait for their groups none has room for another call's; what went wrong is a bit.
+    flat, kinds, bits = rows, {}, {}
     for call, add in CALLS.items():
         mine = F.col("call") == call
         before = flat.columns
         flat = add(flat.withColumn("body", F.when(mine, F.col("parsed"))))
         fields = [c for c in flat.columns if c in FIELDS]
-        errors.append(F.col(f"{call}_error"))
-        flat = flat.withColumn(f"{call}_error", F.when(mine & F.col("broken"), f"{call}: not JSON").when(mine & F.col("bad"), f"{call}: not a number"))
-        good = mine & F.col(f"{call}_error").isNull()
-        flat = flat.select(*before, f"{call}_error", *(F.when(good, F.col(f)).alias(f"{call}_{f}") for f in fields))
+        not_json, not_a_number = (bits.setdefault(f"{call}: {reason}", 1 << len(bits)) for reason in ("not JSON", "not a number"))
+        flat = flat.withColumn(f"{call}_wrong", F.when(mine & F.col("broken"), not_json).when(mine & F.col("bad"), not_a_number))
+        good = mine & F.col(f"{call}_wrong").isNull()
+        flat = flat.select(*before, f"{call}_wrong", F.when(good, F.struct(*fields)).alias(f"{call}_fields"))
         for f in fields:
-            kinds.setdefault(f, []).append(f"{call}_{f}")
-    flat = flat.withColumn("error", F.coalesce(*errors))
-    merged = flat.groupBy("post_id", "window").agg(*(F.max(c).alias(c) for cs in kinds.values() for c in cs), F.array_sort(F.collect_set("error")).alias("errors"))
-    return merged.select("post_id", "window", *(F.coalesce(*kinds[f]).alias(f) for f in FIELDS), "errors")
+            kinds.setdefault(f, []).append(f"{call}_fields.{f}")
+    flat = flat.select("post_id", "window", *(f"{call}_fields" for call in CALLS), F.coalesce(*(f"{call}_wrong" for call in CALLS)).alias("wrong"))
+    merged = flat.groupBy("post_id", "window").agg(*(F.max(c).alias(c) for cs in kinds.values() for c in cs), F.bit_or("wrong").alias("wrong"))
+    errors = F.array_compact(F.array(*(F.when(F.col("wrong").bitwiseAND(bits[x]) > 0, x) for x in sorted(bits))))
+    return merged.select("post_id", "window", *(F.coalesce(*(F.col(f"`{c}`") for c in kinds[f])).alias(f) for f in FIELDS), errors.alias("errors"))
 
 
 def collected_share(parsed: DataFrame) -> DataFrame:
